@@ -2,13 +2,50 @@
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+
+from lacunae.llm import benchmark_decontamination, language_cnn, pivotal_mix, simhash_pivots, token_planes
+from lacunae.llm.common import stored
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no letter, no text) go."""
+    return language_cnn.keep_identified(docs, language_cnn.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash_pivots.keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return benchmark_decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def run(spark, sf_dir: str):
-    from lacunae.llm.common import stored
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document enters as often as the mix takes it."""
+    return pivotal_mix.repeat_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token ids: what the written files hold of each document."""
+    return token_planes.encode_corpus(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("language-id", language_id),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source-mix", source_mix),
+    ("token-output", token_output),
+]
+
+#: SQL can't train the network or draw the mix.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

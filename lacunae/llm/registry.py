@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from .benchmark_decontamination import OP5_SQL, op5_benchmark_decontamination
+from .language_cnn import op7_language_cnn
+from .mpeg_audio import op8_mpeg_audio
+from .pivotal_mix import op1_pivotal_mix
+from .secret_ledger import op9_secret_ledger
+from .simhash_pivots import op10_simhash_pivots
 from .substring_dedup import OP6_SQL, op6_substring_dedup
+from .token_counts import op3_token_counts
 from .token_planes import op2_token_planes
+from .toxicity_mil import op4_toxicity_mil
 
 REGISTRY = {
+    "op1_pivotal_mix": (op1_pivotal_mix, None),
     "op2_token_planes": (op2_token_planes, None),
+    "op3_token_counts": (op3_token_counts, None),
+    "op4_toxicity_mil": (op4_toxicity_mil, None),
     "op5_benchmark_decontamination": (op5_benchmark_decontamination, OP5_SQL),
     "op6_substring_dedup": (op6_substring_dedup, OP6_SQL),
+    "op7_language_cnn": (op7_language_cnn, None),
+    "op8_mpeg_audio": (op8_mpeg_audio, None),
+    "op9_secret_ledger": (op9_secret_ledger, None),
+    "op10_simhash_pivots": (op10_simhash_pivots, None),
 }
