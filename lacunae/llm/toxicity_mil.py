@@ -1,10 +1,13 @@
 """Toxicity by multiple-instance learning.
 
-Labels mark whole documents, though a few sentences make them toxic. A sentence's score is a logistic function of its words; a
+Labels mark whole documents, though a few sentences make them toxic. A sentence's score is a logistic function of its words and their
+beginnings; a
 document's is the noisy-or of its sentences', 1 - prod(1 - p). The gradient of the documents' likelihood so reaches the
 sentences, and the trained words score each sentence of any document: those with the highest scores are where it offends.
 
-Words that fewer than MIN_DOCS training documents hold have no weight. Words are hashed to FEATURES places. Null and empty
+Labels are noisy: some documents are marked though none of their sentences offends. A leak, one more term of the noisy-or that
+every document has, takes up their share, so that long clean documents aren't made suspects. Only words that toxic documents
+hold significantly more often than others have a weight (MIN_DOCS, MIN_Z); rare words would only learn the noise by heart. Words are hashed to FEATURES places. Null and empty
 texts have one empty sentence, so their score is that of no words. Repeated rows get equal results. Without labelled rows every
 score is 0. Of documents with several labels any toxic one counts. Extra columns are ignored.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,9 +27,12 @@ from .common import Memo, held_out, map_texts, texts_of
 FEATURES = 1 << 18
 THRESHOLD = 0.3
 #: Bound on the labelled documents that are learned from.
-SAMPLE = 10_000
-MIN_DOCS = 8
-L2 = 2e-4
+SAMPLE = 5_000
+#: Lengths in bytes of the beginnings of words that count besides the words.
+PREFIXES = (3, 5)
+MIN_DOCS = 20
+MIN_Z = 5.0
+L2 = 1e-4
 
 #: Lower case; sentence ends become line ends, other marks and controls blanks.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".!?\n" else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -37,8 +44,9 @@ def sentences_of(text: str | None) -> list[list[bytes]]:
     return [s.split() for s in data.split(b"\n")]
 
 
-def feature(word: bytes) -> int:
-    return zlib.crc32(word) % FEATURES
+def features_of(word: bytes) -> list[int]:
+    """Places of the word and of its beginnings: inflected and compound forms share those."""
+    return [zlib.crc32(x) % FEATURES for x in (word, *(b"^" + word[:k] for k in PREFIXES if len(word) > k))]
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
@@ -56,33 +64,59 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, logits).sum()))
 
 
-def train(words: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray, steps: int = 250, rate: float = 0.1, l2: float = L2) -> tuple[np.ndarray, float]:
-    """Weights and bias. words: features in turn; sentence: of each word; document: of each sentence."""
-    n_s, n_d = len(document), len(labels)
-    own = np.unique(np.stack([document[sentence], words]), axis=1)
-    frequent = np.flatnonzero(np.bincount(own[1], minlength=FEATURES) >= MIN_DOCS)
+@dataclass
+class Model:
+    weights: np.ndarray  # of each feature
+    bias: float  # of a sentence
+    leak: float  # logit of a document without offending sentences
+
+
+def screened(words: np.ndarray, document_of_word: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Features of at least MIN_DOCS documents that toxic ones hold more often than the others by MIN_Z standard errors."""
+    own = np.unique(document_of_word * FEATURES + words)
+    docs, features = own // FEATURES, own % FEATURES
+    n1 = max(1, int(labels.sum()))
+    n0 = max(1, len(labels) - n1)
+    df = np.bincount(features, minlength=FEATURES)
+    df1 = np.bincount(features[labels[docs] == 1], minlength=FEATURES)
+    p = df / len(labels)
+    error = np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
+    return np.flatnonzero((df >= MIN_DOCS) & ((df1 / n1 - (df - df1) / n0) / error >= MIN_Z))
+
+
+def train(words: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = L2) -> Model:
+    """Leaky noisy-or by Adam. words: features in turn; sentence: of each word; document: of each sentence.
+
+    Sentences without a screened word all have the same logit, so they enter as one term a document with their count.
+    """
+    n_d = len(labels)
+    known = screened(words, document[sentence], labels)
     place = np.full(FEATURES, -1)
-    place[frequent] = np.arange(len(frequent))
+    place[known] = np.arange(len(known))
     x = place[words]
     x, s = x[x >= 0], sentence[x >= 0]
-    w, bias = np.zeros(len(frequent)), -6.0
-    m, v = np.zeros(len(frequent) + 1), np.zeros(len(frequent) + 1)
+    told, s = np.unique(s, return_inverse=True)  # sentences with screened words
+    owner = document[told]
+    plain = np.bincount(document, minlength=n_d) - np.bincount(owner, minlength=n_d)
+    theta = np.concatenate([np.ones(len(known)), [-6.0, -3.0]])
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
     for t in range(1, steps + 1):
-        z = np.bincount(s, w[x], n_s) + bias
-        none = np.exp(-np.bincount(document, np.logaddexp(0, z), n_d))  # probability that no sentence offends
-        pull = np.where(labels == 1, -none / np.maximum(1 - none, 1e-9), 1.0)
-        g = pull[document] / (1 + np.exp(-z)) / n_d
-        grad = np.append(np.bincount(x, g[s], len(frequent)) + l2 * w / max(1, n_d) ** 0.5, g.sum())
+        w, bias, leak = theta[:-2], theta[-2], theta[-1]
+        z = np.bincount(s, w[x], len(told)) + bias
+        none = np.exp(-np.bincount(owner, np.logaddexp(0, z), n_d) - plain * np.logaddexp(0, bias) - np.logaddexp(0, leak))
+        pull = np.where(labels == 1, -none / np.maximum(1 - none, 1e-9), 1.0) / n_d
+        g = pull[owner] * sigmoid(z)
+        grad = np.concatenate([np.bincount(x, g[s], len(known)) + l2 * w, [g.sum() + (pull * plain).sum() * sigmoid(bias), pull.sum() * sigmoid(leak)]])
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
+        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     out = np.zeros(FEATURES, np.float32)
-    out[frequent] = w
-    return out, float(bias)
+    out[known] = theta[:-2]
+    return Model(out, float(theta[-2]), float(theta[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, float] | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> Model | None:
     """Train on labelled documents that are not held out, at most `sample` of them, chosen by a hash of their ids."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", 4, 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -91,14 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = base.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
 
     def make():
-        features = Memo(feature)
+        features = Memo(features_of)
 
         def work(batch):
             words, ends = [], []
             for text in texts_of(batch):
                 sentences = [s for s in sentences_of(text) if s]
-                words.append(np.array([features[w] for s in sentences for w in s], "<u4").tobytes())
-                ends.append(np.array([len(s) for s in sentences], "<u4").tobytes())
+                of_sentence = [[x for w in s for x in features[w]] for s in sentences]
+                words.append(np.array([x for s in of_sentence for x in s], "<u4").tobytes())
+                ends.append(np.array(list(map(len, of_sentence)), "<u4").tobytes())
             return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": words, "lengths": ends}
 
         return work
@@ -114,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(words, sentence, document, got["toxic"].to_numpy())
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, n_sentences, worst_sentence (its place), worst_score, worst_start, worst_end (code points)."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = docs.sparkSession.sparkContext.broadcast(model)
@@ -146,17 +181,16 @@ def _span(text: str, nth: int) -> tuple[int, int]:
 _ENDS = str.maketrans(".!?", "\n\n\n")
 
 
-def scorer(model: tuple[np.ndarray, float] | None) -> Callable[[str], tuple[float, int, int, float]]:
+def scorer(model: Model | None) -> Callable[[str], tuple[float, int, int, float]]:
     """text -> score, sentences, place and score of the worst."""
     if model is None:
         return lambda text: (0.0, len(sentences_of(text)), 0, 0.0)
-    weights, bias = model
-    weight = Memo(lambda w: float(weights[feature(w)])).__getitem__
+    weight = Memo(lambda w: float(model.weights[features_of(w)].sum())).__getitem__
 
     def of_text(text: str) -> tuple[float, int, int, float]:
-        z = np.array([sum(map(weight, s)) for s in sentences_of(text)]) + bias
+        z = np.array([sum(map(weight, s)) for s in sentences_of(text)]) + model.bias
         worst = int(z.argmax())
-        return noisy_or(z), len(z), worst, float(1 / (1 + np.exp(-z[worst])))
+        return noisy_or(np.append(z, model.leak)), len(z), worst, float(1 / (1 + np.exp(-z[worst])))
 
     return of_text
 
