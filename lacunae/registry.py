@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-REGISTRY: dict = {}
+from .plans import flagship, structure
+
+REGISTRY: dict = {**flagship.QUERIES, **structure.QUERIES}
