@@ -41,7 +41,7 @@ def valid_rows(spark: SparkSession, sf_dir: str, depth: int = DEPTH, horizon: in
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 def scored_rows(spark: SparkSession, sf_dir: str, horizon: int = H) -> DataFrame:

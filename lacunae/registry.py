@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .plans import flagship, structure
+from .plans import flagship, modelling, structure
 
-REGISTRY: dict = {**flagship.QUERIES, **structure.QUERIES}
+REGISTRY: dict = {**flagship.QUERIES, **structure.QUERIES, **modelling.QUERIES}
