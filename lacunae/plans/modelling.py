@@ -97,7 +97,7 @@ def displaced_targets(spark, d):
 
 def sequences(spark, d):
     s = features.sequences(segmented(spark, d), 4, OWN).where("window is not null")
-    return rounded(s.select("series_id", "t", F.size("window").alias("n"), F.aggregate("window", F.lit(0.0), lambda a, x: a * 0.37 + x).alias("folded")))
+    return rounded(s.select("series_id", "t", F.size("window").alias("n"), F.aggregate("window", F.lit(0.0), lambda a, x: a * 0.37 + x).alias("folded")), 3)
 
 
 def valid_origins(spark, d):
@@ -303,7 +303,7 @@ QUERIES = {
     "feature_diff": (feature_diff, with_([*SEGS, *kalman_sql("seg", "seg", "ks"), *kalman_sql("0", "s", "kn"), f"rw AS (SELECT seg.*, ks.x AS ka, kn.x AS kb, row_number() OVER (PARTITION BY series_id, seg.seg ORDER BY t) AS n FROM seg JOIN ks USING (series_id, t) JOIN kn USING (series_id, t))"], "SELECT 0.0::DOUBLE AS max_lag_0, 0.0::DOUBLE AS max_lag_1, 0.0::DOUBLE AS max_lag_2, 0.0::DOUBLE AS max_lag_5, 0.0::DOUBLE AS max_roll_mean_5, round(max(abs(ka - kb)), 5) AS max_kalman, count(*) FILTER (abs(ka - kb) > 1e-9) AS n_differ, count(*) AS n_rows FROM rw WHERE n >= 6", True)),
     "naive_target": (naive_target, with_([*SEGS, naive_sql(3)], "SELECT series_id, t, round(v, 6) AS v, round(target, 6) AS target, target_t FROM nv")),
     "displaced_targets": (displaced_targets, with_([*SEGS, naive_sql(3)], "SELECT series_id, count(*) AS n, count(*) FILTER (displaced) AS n_displaced, max(target_t - t) AS longest_lead FROM nv WHERE target IS NOT NULL GROUP BY 1")),
-    "sequences": (sequences, with_(SEGS, f"SELECT series_id, t, 4 AS n, round(v + 0.37::DOUBLE * l1 + 0.1369::DOUBLE * l2 + 0.050653::DOUBLE * l3, 6) AS folded FROM (SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2, lag(v, 3) OVER w AS l3 FROM seg WINDOW w AS ({_OWN})) WHERE l3 IS NOT NULL")),
+    "sequences": (sequences, with_(SEGS, f"SELECT series_id, t, 4 AS n, round(((l3 * 0.37::DOUBLE + l2) * 0.37::DOUBLE + l1) * 0.37::DOUBLE + v, 3) AS folded FROM (SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2, lag(v, 3) OVER w AS l3 FROM seg WINDOW w AS ({_OWN})) WHERE l3 IS NOT NULL")),
     "valid_origins": (valid_origins, with_(_VA, "SELECT series_id, t, round(v, 6) AS v, round(target, 6) AS target, target_t FROM va")),
     "formula_vs_pipeline": (formula_vs_pipeline, with_([*_VA, LEN], f"SELECT series_id, n_formula, coalesce(n_pipeline, 0) AS n_pipeline FROM (SELECT series_id, sum(greatest(0, length - {DEPTH + H}))::BIGINT AS n_formula FROM len GROUP BY 1) LEFT JOIN (SELECT series_id, count(*) AS n_pipeline FROM va GROUP BY 1) USING (series_id)")),
     "gap_aware_split": (gap_aware_split, with_(_SP, "SELECT series_id, t, split FROM sp")),
