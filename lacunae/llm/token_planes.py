@@ -13,11 +13,14 @@ hashes; rows with a null doc_id come first. An empty table gives no chunks. Extr
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +50,13 @@ class Encoder:
     def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core already
         self.tokenizer = Tokenizer.from_file(path)
         self.ids = Memo(self._miss, most)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.word_ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.word_ends[[k for piece, k in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
 
     def _library(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32).astype("<u4").tobytes()
@@ -62,7 +70,8 @@ class Encoder:
         return self._library(word)
 
     def prepare(self, words: list[str]) -> None:
-        """Encode many unseen plain words in one call of the library."""
+        """Encode many unseen words in two calls of the library: words of Latin letters in one text, as each ends with the one
+        id that carries the end-of-word mark, and the others as a batch."""
         ids, new = self.ids, set()
         for w in set(words).difference(ids):
             core = w[:-1] if w[-1:] in self.MARKS and w.isascii() else w
@@ -71,13 +80,32 @@ class Encoder:
                 new.add(core)
         if len(ids) + len(new) >= ids.most:
             ids.clear()
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        plain = [w for w in new if w.isalpha() and max(w) < "\u0250"]
+        got = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.word_ends[got]) + 1
+        if len(ends) != len(plain):  # some word has several ends or none: word by word then
+            plain, ends = [], ends[:0]
+        raw, at = got.tobytes(), (4 * ends).tolist()
+        for w, a, b in zip(plain, [0, *at], at, strict=False):
+            ids[w] = raw[a:b]
+        others = list(new.difference(plain))
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             ids[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, text: str, end: bytes = b"") -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.ids.__getitem__, text.replace("\n", " ").split(" "))) + end
+    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Each distinct word is looked up once."""
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        self.prepare(distinct)
+        parts = list(map(self.ids.__getitem__, distinct))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, first = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        flat = pool[np.repeat(first[codes] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = (4 * np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [flat[a:b] + end for a, b in zip(at, at[1:])]
 
 
 def planes_of(ids: bytes, bits: bool = False) -> list[bytes]:
@@ -153,16 +181,14 @@ def write_planes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), 100):
-                encoder.prepare(" ".join(texts[k : k + 100]).replace("\n", " ").split(" "))
-                for doc, text in zip(batch.column("doc_id")[k : k + 100].to_pylist(), texts[k : k + 100], strict=True):
-                    doc_ids.append(doc)
-                    parts.append(encoder.encode(text, end))
-                    held += len(parts[-1]) // 4
-                    if held >= chunk_ids:
-                        yield chunk()
-                        seq, done, held = seq + 1, done + held, 0
-                        doc_ids.clear(), parts.clear()
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts, end), strict=True):
+                doc_ids.append(doc)
+                parts.append(ids)
+                held += len(ids) // 4
+                if held >= chunk_ids:
+                    yield chunk()
+                    seq, done, held = seq + 1, done + held, 0
+                    doc_ids.clear(), parts.clear()
         if parts:
             yield chunk()
 
