@@ -9,20 +9,23 @@ from ..operators import bootstrap, features, hac, inject, models, origins, segme
 from .base import SCORES, SEGS, SEQ, STEP, H, rounded, scored_rows, segmented, series, valid_rows, with_
 from .modelling import LEAST, OWN, K
 
-E1, E2 = F.col("target") - F.col("m5"), F.col("target") - F.col("v")
 REPS = 100
 
 
+def _errors():
+    return F.col("target") - F.col("m5"), F.col("target") - F.col("v")
+
+
 def _hac(spark, d):
     return scored_rows(spark, d).select("series_id", "t", "v", "m5", "target", "d", "displaced", "sq_m", "sq_p")
 
 
 def dm_statistic(spark, d):
-    return rounded(hac.diebold_mariano(_hac(spark, d), E1, E2, H).select("series_id", "n", "dm"), 4)
+    return rounded(hac.diebold_mariano(_hac(spark, d), *_errors(), H).select("series_id", "n", "dm"), 4)
 
 
 def dm_p_value(spark, d):
-    return rounded(hac.p_values(hac.diebold_mariano(_hac(spark, d), E1, E2, H), "dm").select("series_id", "n", "dm", "p"))
+    return rounded(hac.p_values(hac.diebold_mariano(_hac(spark, d), *_errors(), H), "dm").select("series_id", "n", "dm", "p"))
 
 
 def cw_statistic(spark, d):

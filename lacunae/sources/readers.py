@@ -23,7 +23,7 @@ def read_preambled_csv(spark: SparkSession, path: str, columns: dict[str, str],
 
     Files are split by line; names are taken from each file's own header, so columns may differ in order between files.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
     body = text.withColumn("header", F.split(F.get("lines", F.lit(preamble)), ","))
     rows = body.select("file", "header", F.get("lines", F.lit(0)).alias("preamble"), F.posexplode(F.slice("lines", preamble + 2, F.greatest(F.size("lines"), F.lit(1)))).alias("line", "row")).where("row <> ''")
     cells = F.split("row", ",")
