@@ -45,6 +45,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    name, taken = f"_{stem}", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -113,9 +113,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it; rows of one doc_id get its largest number of copies."""
-    copies = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n")).where("_n > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    key, n, k = unused(docs, "key"), unused(docs, "copies"), unused(docs, "nth")
+    copies = mix(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
+    return taken.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op1_pivotal_mix(spark, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix64, partitions, small_batches, stored, texts_of
+from .common import map_texts, mix64, partitions, small_batches, stored, texts_of, unused
 from .packed_exchange import SCHEMA, Gathered, batch_of, bucket_rows, group_starts
 
 SHINGLE = 4
@@ -212,13 +212,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, of which doc_id is its component's smallest; of repeated doc_ids one row stays."""
-    from pyspark.sql import Window
-
-    keep = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    own = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return own.withColumn("_nth", nth).where("_nth = 1 or doc_id is null").drop("_nth")
+    """The documents, all columns, of which doc_id is its component's smallest; of repeated doc_ids one row stays.
+
+    Rows without an id stay only if their component has no id.
+    """
+    keep = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    own = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept"]), "left_semi")
+    nth = unused(docs, "nth")
+    numbered = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    return numbered.where((F.col(nth) == 1) | F.col("doc_id").isNull()).drop(nth)
 
 
 def op10_simhash_pivots(spark, sf_dir: str) -> DataFrame:
