@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .plans import flagship, inference, modelling, structure
+from .plans import experiments, flagship, inference, modelling, structure
 
-REGISTRY: dict = {**flagship.QUERIES, **structure.QUERIES, **modelling.QUERIES, **inference.QUERIES}
+REGISTRY: dict = {**flagship.QUERIES, **structure.QUERIES, **modelling.QUERIES, **inference.QUERIES, **experiments.QUERIES}
