@@ -12,10 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import mix64
+
 #: Pairs that a task gathers before it sorts and ships them.
 FLUSH_PAIRS = 1 << 20
 
-#: kind 0: packed keys of a bucket; kind 1: packed findings of one document, dealt by its own hash.
+#: kind 0: packed keys of a bucket; kind 1: packed findings of a bucket of documents.
 SCHEMA = "kind int, bucket int, doc_id bigint, a binary, b binary, docs binary, pos binary, many binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
@@ -65,6 +67,33 @@ def per_group(ufunc: np.ufunc, values: np.ndarray, new: np.ndarray) -> np.ndarra
     return ufunc.reduceat(values, np.flatnonzero(new))[np.cumsum(new) - 1] if len(values) else values
 
 
+def owner_rows(n_buckets: int, docs: np.ndarray, found: np.ndarray) -> Iterator[tuple]:
+    """Rows of kind 1: findings (one for each entry of docs) packed for each bucket of documents."""
+    for _, bucket, _, _, _, own, packed, _ in bucket_rows(n_buckets, mix64(docs.view(np.uint64)), None, docs, found, None):
+        yield (1, bucket, None, None, None, own, packed, None)
+
+
+def of_kind(batch: pa.RecordBatch, kind: int) -> np.ndarray:
+    """Places of the batch's rows of this kind."""
+    return np.flatnonzero(batch.column("kind").to_numpy() == kind)
+
+
+def by_owner(batches: Iterator[pa.RecordBatch], dtype: type) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one task's rows of kind 1: each document and its sorted distinct findings."""
+    blocks = Gathered({"docs": np.int64, "pos": dtype})
+    for batch in batches:
+        for k in of_kind(batch, 1):
+            blocks.add(batch, int(k))
+    docs, found = blocks.arrays()
+    order = np.lexsort((found, docs))
+    docs, found = docs[order], found[order]
+    keep = group_starts(docs, found)
+    docs, found = docs[keep], found[keep]
+    starts = np.flatnonzero(group_starts(docs))
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(docs)], strict=False):
+        yield int(docs[s]), found[s:e]
+
+
 class Gathered:
     """Blocks of one reduce task, by column."""
 

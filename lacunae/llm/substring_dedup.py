@@ -6,7 +6,7 @@ are looked at again, and so on until the wanted length is reached or no candidat
 
 The first level needs not ship every window of 7 words: of the seven that a window of 13 words holds, the one with the least
 hash stands for it (equal windows choose equal ones), which leaves about one in four. From level to level the hash of a
-window of twice the length comes from those of its halves. Windows of the last level are compared by 128 bits of hash.
+window of twice the length comes from those of its halves. Windows of the last level are compared by 96 bits of hash.
 
 Null texts have no words. Rows with equal doc_ids count as one document: neither makes the other's windows repeated. A document
 of fewer words than a window keeps all of them. An empty table gives an empty result. Extra columns are ignored.
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, mix64, partitions, small_batches, stored, texts_of
-from .packed_exchange import FLUSH_PAIRS, SCHEMA, Gathered, batch_of, bucket_rows, doc_rows, group_starts, per_group
+from .common import Memo, map_texts, mix64, partitions, small_batches, texts_of
+from .packed_exchange import FLUSH_PAIRS, SCHEMA, Gathered, batch_of, bucket_rows, by_owner, group_starts, of_kind, owner_rows, per_group
 
 WINDOW = 13
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers of two rolling hashes
@@ -90,7 +90,7 @@ class _Pairs:
 
 
 def _first_level(base: DataFrame, window: int, first: int, n_buckets: int) -> DataFrame:
-    """Per document with any: the anchors it shares with another document, as packed arrays (doc_id, a)."""
+    """Per document with any: the anchors it shares with another document, packed (doc_id, found)."""
 
     def flush(pairs: _Pairs):
         a, docs = pairs.take()
@@ -102,7 +102,7 @@ def _first_level(base: DataFrame, window: int, first: int, n_buckets: int) -> Da
         many = per_group(np.add, np.ones(len(a), np.int64), new) > 1
         # what repeats within the task is decided here; one pair tells the others
         rows = list(bucket_rows(n_buckets, a[new], None, docs[new], None, many[new].astype(np.int8)))
-        rows += doc_rows(n_buckets, docs[many], a[many], None, None, None, None)
+        rows += owner_rows(n_buckets, docs[many], a[many])
         return batch_of(rows)
 
     def ship(batches):
@@ -121,10 +121,9 @@ def _first_level(base: DataFrame, window: int, first: int, n_buckets: int) -> Da
     def decide(batches):
         blocks = Gathered({"a": np.uint64, "docs": np.int64, "many": np.int8})
         for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            for k in np.flatnonzero(kinds == 0):
+            for k in of_kind(batch, 0):
                 blocks.add(batch, int(k))
-            yield batch.filter(pa.array(kinds == 1))
+            yield batch.take(pa.array(of_kind(batch, 1)))
         a, docs, many = blocks.arrays()
         order = np.argsort(a, kind="stable")
         a, docs, many = a[order], docs[order], many[order]
@@ -133,15 +132,14 @@ def _first_level(base: DataFrame, window: int, first: int, n_buckets: int) -> Da
             shared = (per_group(np.minimum, docs, new) != per_group(np.maximum, docs, new)) | (per_group(np.maximum, many, new) > 0)
             open_ = shared & (many == 0)
             if open_.any():
-                yield batch_of(list(doc_rows(n_buckets, docs[open_], a[open_], None, None, None, None)))
+                yield batch_of(list(owner_rows(n_buckets, docs[open_], a[open_])))
 
     small_batches(base.sparkSession)
-    dealt = base.mapInArrow(ship, SCHEMA).repartition(n_buckets, "bucket")
-    return dealt.mapInArrow(decide, SCHEMA).groupBy("doc_id").agg(F.collect_list("a").alias("parts"))
+    return _decided(base, ship, decide, n_buckets, lambda batches: ((doc, a.tobytes()) for doc, a in by_owner(batches, np.uint64)))
 
 
 def _last_level(candidates: DataFrame, window: int, first: int, n_buckets: int) -> DataFrame:
-    """Per document with any: runs of window starts that also start in a document with a smaller id (doc_id, parts)."""
+    """Per document with any: runs of window starts that also start in a document with a smaller id, packed (doc_id, found)."""
 
     def flush(pairs: _Pairs):
         a, b, docs, pos = pairs.take()
@@ -151,67 +149,81 @@ def _last_level(candidates: DataFrame, window: int, first: int, n_buckets: int)
         later = docs > per_group(np.minimum, docs, new)
         ship = ~later
         rows = list(bucket_rows(n_buckets, a[ship], b[ship], docs[ship], pos[ship], None))
-        return batch_of(rows + _run_rows(n_buckets, docs[later], pos[later]))
+        return batch_of([*rows, *owner_rows(n_buckets, docs[later], pos[later])])
 
     def ship(batches):
         pairs = _Pairs(4)
         for batch in batches:
-            for doc, text, parts in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("parts").to_pylist(), strict=True):
+            for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("found").to_pylist(), strict=True):
                 words = words_of(text)
                 if len(words) < window:
                     continue
                 h = hashes_of(words)
-                shared = np.unique(np.frombuffer(b"".join(parts), np.uint64))
+                shared = np.frombuffer(found, np.uint64)
                 at = np.flatnonzero(np.isin(anchors(h, window, first), shared))
-                pairs.add(mix64(rolled(h, window, _B1))[at], mix64(rolled(h, window, _B2))[at], np.full(len(at), doc, np.int64), at.astype(np.int32))
+                pairs.add(mix64(rolled(h, window, _B1))[at], mix64(rolled(h, window, _B2))[at].astype(np.uint32), np.full(len(at), doc, np.int64), at.astype(np.int32))
                 if pairs.size >= FLUSH_PAIRS:
                     yield flush(pairs)
         if pairs.size:
             yield flush(pairs)
 
     def decide(batches):
-        blocks = Gathered({"a": np.uint64, "b": np.uint64, "docs": np.int64, "pos": np.int32})
+        blocks = Gathered({"a": np.uint64, "b": np.uint32, "docs": np.int64, "pos": np.int32})
         for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            for k in np.flatnonzero(kinds == 0):
+            for k in of_kind(batch, 0):
                 blocks.add(batch, int(k))
-            yield batch.filter(pa.array(kinds == 1))
+            yield batch.take(pa.array(of_kind(batch, 1)))
         a, b, docs, pos = blocks.arrays()
         order = np.lexsort((b, a))
         a, b, docs, pos = a[order], b[order], docs[order], pos[order]
         if len(a):
             later = docs > per_group(np.minimum, docs, group_starts(a, b))
             if later.any():
-                yield batch_of(_run_rows(n_buckets, docs[later], pos[later]))
+                yield batch_of(list(owner_rows(n_buckets, docs[later], pos[later])))
 
     small_batches(candidates.sparkSession)
-    dealt = candidates.mapInArrow(ship, SCHEMA).repartition(n_buckets, "bucket")
-    return dealt.mapInArrow(decide, SCHEMA).groupBy("doc_id").agg(F.collect_list("pos").alias("parts"))
+    return _decided(candidates, ship, decide, n_buckets, lambda batches: ((doc, packed_runs(pos)) for doc, pos in by_owner(batches, np.int32)))
 
 
-def _run_rows(n_buckets: int, docs: np.ndarray, pos: np.ndarray) -> list[tuple]:
-    """Rows of kind 1 whose pos holds starts and lengths of runs of positions."""
-    rows = []
-    for kind, bucket, doc, at in (r[:4] for r in doc_rows(n_buckets, docs, pos)):
-        at = np.unique(np.frombuffer(at, np.int32))
-        new = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-        lengths = np.diff(np.r_[new, len(at)])
-        rows.append((kind, bucket, doc, None, None, None, np.stack([at[new], lengths], axis=1).astype("<i4").tobytes(), None))
-    return rows
+def _decided(source: DataFrame, ship, decide, n_buckets: int, of_documents) -> DataFrame:
+    """doc_id, found: keys are shipped to their buckets and decided there, findings go on to their documents' buckets."""
 
+    def collect(batches):
+        rows = []
+        for row in of_documents(batches):
+            rows.append(row)
+            if len(rows) == 5000:
+                yield found_batch(rows)
+                rows = []
+        if rows:
+            yield found_batch(rows)
 
-def covered(n: int, window: int, parts: list[bytes] | None) -> np.ndarray:
+    decided = source.mapInArrow(ship, SCHEMA).repartition(n_buckets, "bucket").mapInArrow(decide, SCHEMA)
+    return decided.repartition(n_buckets, "bucket").mapInArrow(collect, "doc_id bigint, found binary")
+
+
+def found_batch(rows: list[tuple]) -> pa.RecordBatch:
+    docs, found = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "found"])
+
+
+def packed_runs(at: np.ndarray) -> bytes:
+    """Starts and lengths, in turn, of the runs of consecutive places in sorted at."""
+    new = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+    return np.stack([at[new], np.diff(np.r_[new, len(at)])], axis=1).astype("<i4").tobytes()
+
+
+def covered(n: int, window: int, runs: bytes) -> np.ndarray:
     """Which of n words lie in a flagged window."""
     edge = np.zeros(n + 1, np.int64)
-    for part in parts or ():
-        runs = np.frombuffer(part, "<i4").reshape(-1, 2)
-        np.add.at(edge, runs[:, 0], 1)
-        np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + window, -1)
+    runs = np.frombuffer(runs, "<i4").reshape(-1, 2)
+    np.add.at(edge, runs[:, 0], 1)
+    np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + window, -1)
     return np.cumsum(edge[:n]) > 0
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, parts: the runs of window starts (packed starts and lengths) that also start in a smaller doc_id.
+    """doc_id, text, found: the runs of window starts (packed starts and lengths) that also start in a smaller doc_id.
 
     first is the length of the first level, at least half the window (and by default just that).
     Integer ids only; rows with a null id are never compared and keep their words.
@@ -220,10 +232,13 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, first: int | None = None
     first = first or (window + 1) // 2
     n_buckets = partitions(spark)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    known = base.where("doc_id is not null")
+    if (id_col, text_col, docs.schema[id_col].dataType.simpleString()) == ("doc_id", "text", "bigint"):
+        base = docs.select("doc_id", "text")  # without aliases the plans of both joins' sides are equal
+    known = base.where("doc_id is not null")  # dealt by doc_id once: both joins read the same exchange
     shared = _first_level(known, window, first, n_buckets)
-    runs = _last_level(known.join(shared, "doc_id"), window, first, n_buckets)
-    return base.join(stored(runs, "repeat-runs"), "doc_id", "left")
+    runs = _last_level(known.join(shared.hint("merge"), "doc_id"), window, first, n_buckets)
+    unknown = base.where("doc_id is null").withColumn("found", F.lit(None).cast("binary"))
+    return known.join(runs.hint("merge"), "doc_id", "left").unionByName(unknown)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
@@ -233,18 +248,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     def make():
         def work(batch):
             rows = []
-            for text, parts in zip(texts_of(batch), batch.column("parts").to_pylist(), strict=True):
+            for text, runs in zip(texts_of(batch), batch.column("found").to_pylist(), strict=True):
                 words = words_of(text)
                 kept = words
-                if parts:
-                    kept = [w for w, gone in zip(words, covered(len(words), window, parts).tolist(), strict=True) if not gone]
+                if runs:
+                    kept = [w for w, gone in zip(words, covered(len(words), window, runs).tolist(), strict=True) if not gone]
                 joined = b" ".join(kept)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass")))
             return {"doc_id": batch.column("doc_id")} | dict(zip(("n_words", "n_removed", "kept_sha256", "kept"), map(list, zip(*rows, strict=True)), strict=True))
 
         return work
 
-    return map_texts(find_repeats(docs, window, **options), ["doc_id", "text", "parts"], make, schema)
+    return map_texts(find_repeats(docs, window, **options), ["doc_id", "text", "found"], make, schema)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
