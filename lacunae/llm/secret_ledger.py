@@ -59,7 +59,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def scan_unseen(blobs: DataFrame, ledger: str, rule_version: int = RULE_VERSION) -> None:
     """Scan the blobs (blob, text) that the ledger lacks under this rule version, one copy of each, and append the findings."""
     seen = read_ledger(blobs.sparkSession, ledger).where(F.col("rule_version") == rule_version).select("blob")
-    unseen = blobs.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    one = blobs.groupBy("blob").agg(F.first("text").alias("text"))  # copies meet before the shuffle: a hot blob is no hot task
+    unseen = one.join(seen, "blob", "left_anti")
 
     def make():
         def work(batch):
