@@ -48,10 +48,12 @@ class Encoder:
     MARKS = frozenset(".,;:!?")
 
     def __init__(self, path: str, most: int = 1_500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core already
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.ids = Memo(self._miss, most)
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.word_ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -70,8 +72,9 @@ class Encoder:
         return self._library(word)
 
     def prepare(self, words: list[str]) -> None:
-        """Encode many unseen words in two calls of the library: words of Latin letters in one text, as each ends with the one
-        id that carries the end-of-word mark, and the others as a batch."""
+        """Encode many unseen words in a few calls of the library: words of Latin letters in one text, as each ends with the one
+        id that carries the end-of-word mark, and the others as a batch. Lower-case ASCII words need no normalising or cutting
+        beyond blanks, so they go to a tokenizer of the same vocabulary without those steps."""
         ids, new = self.ids, set()
         for w in set(words).difference(ids):
             core = w[:-1] if w[-1:] in self.MARKS and w.isascii() else w
@@ -80,21 +83,23 @@ class Encoder:
                 new.add(core)
         if len(ids) + len(new) >= ids.most:
             ids.clear()
-        plain = [w for w in new if w.isalpha() and max(w) < "\u0250"]
-        got = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.word_ends[got]) + 1
-        if len(ends) != len(plain):  # some word has several ends or none: word by word then
-            plain, ends = [], ends[:0]
-        raw, at = got.tobytes(), (4 * ends).tolist()
-        for w, a, b in zip(plain, [0, *at], at, strict=False):
-            ids[w] = raw[a:b]
-        others = list(new.difference(plain))
+        done: set[str] = set()
+        latin = {w for w in new if w.isalpha() and max(w) < "\u0250"}
+        ascii_ = [w for w in latin if w.isascii()]
+        for tokenizer, words in ((self.bare, ascii_), (self.tokenizer, list(latin.difference(ascii_)))):
+            got = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.word_ends[got]) + 1
+            if len(ends) == len(words):  # else some word has several ends or none: word by word then
+                raw, at = got.tobytes(), (4 * ends).tolist()
+                ids.update(zip(words, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+                done.update(words)
+        others = list(new.difference(done))
         for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             ids[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+    def encode(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Each distinct word is looked up once."""
-        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
         distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
         self.prepare(distinct)
@@ -180,8 +185,7 @@ def write_planes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts, end), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"), end), strict=True):
                 doc_ids.append(doc)
                 parts.append(ids)
                 held += len(ids) // 4

@@ -274,6 +274,16 @@ def test_near_duplicates(docs, empty):
     assert sp.near_duplicates(empty).count() == 0 and sp.keep_one_of_each(empty).count() == 0
 
 
+def test_links_with_any_number_of_equal_blocks(spark):
+    rng = random.Random(9)
+    centres = [rng.getrandbits(63) for _ in range(20)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(5))) for c in centres for _ in range(30)}
+    table = spark.createDataFrame([(p,) for p in fps], "fp bigint")
+    shown = [{r.node: r.label for r in sp.components(sp.links(table, equal=e)).collect()} for e in (2, 3, 4)]
+    assert shown[0] == shown[1] == shown[2] and len(set(shown[0].values())) <= 20
+    assert [sp.equal_blocks(n) for n in (0, 10**6, 10**8, 10**10)] == [2, 2, 3, 4]
+
+
 def test_chain_of_links(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 103), (102, 103)], "u bigint, v bigint")
     labels = {r.node: r.label for r in sp.components(edges).collect()}
