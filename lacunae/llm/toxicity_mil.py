@@ -1,15 +1,17 @@
 """Toxicity by multiple-instance learning.
 
-Labels mark whole documents, though a few sentences make them toxic. A sentence's score is a logistic function of its words and their
-beginnings; a
-document's is the noisy-or of its sentences', 1 - prod(1 - p). The gradient of the documents' likelihood so reaches the
-sentences, and the trained words score each sentence of any document: those with the highest scores are where it offends.
+Labels mark whole documents, though a few sentences make them toxic. A sentence's score is a logistic function of its words and
+their beginnings; a document's is the noisy-or of its sentences', 1 - prod(1 - p). The gradient of the documents' likelihood so
+reaches the sentences, and the trained words score each sentence of any document: those with the highest scores are where it
+offends.
 
 Labels are noisy: some documents are marked though none of their sentences offends. A leak, one more term of the noisy-or that
 every document has, takes up their share, so that long clean documents aren't made suspects. Only words that toxic documents
-hold significantly more often than others have a weight (MIN_DOCS, MIN_Z); rare words would only learn the noise by heart. Words are hashed to FEATURES places. Null and empty
-texts have one empty sentence, so their score is that of no words. Repeated rows get equal results. Without labelled rows every
-score is 0. Of documents with several labels any toxic one counts. Extra columns are ignored.
+hold significantly more often than others have a weight (MIN_DOCS, MIN_Z); rare words would only learn the noise by heart.
+
+Words are hashed to FEATURES places. Null and empty texts have one empty sentence, so their score is that of no words. Repeated
+rows get equal results. Without labelled rows every score is 0. Of documents with several labels any toxic one counts. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,16 +74,19 @@ class Model:
 
 
 def screened(words: np.ndarray, document_of_word: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Features of at least MIN_DOCS documents that toxic ones hold more often than the others by MIN_Z standard errors."""
-    own = np.unique(document_of_word * FEATURES + words)
-    docs, features = own // FEATURES, own % FEATURES
-    n1 = max(1, int(labels.sum()))
+    """Features of at least MIN_DOCS documents that toxic ones hold more often than the others by MIN_Z standard errors.
+
+    Words stand in the order of their documents.
+    """
+    df = np.zeros((2, FEATURES), np.int32)
+    bounds = np.searchsorted(document_of_word, np.arange(len(labels) + 1))
+    for label, a, b in zip(labels, bounds, bounds[1:]):
+        df[int(label == 1), np.unique(words[a:b])] += 1
+    n1 = max(1, int((labels == 1).sum()))
     n0 = max(1, len(labels) - n1)
-    df = np.bincount(features, minlength=FEATURES)
-    df1 = np.bincount(features[labels[docs] == 1], minlength=FEATURES)
-    p = df / len(labels)
+    p = df.sum(axis=0) / len(labels)
     error = np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
-    return np.flatnonzero((df >= MIN_DOCS) & ((df1 / n1 - (df - df1) / n0) / error >= MIN_Z))
+    return np.flatnonzero((df.sum(axis=0) >= MIN_DOCS) & ((df[1] / n1 - df[0] / n0) / error >= MIN_Z))
 
 
 def train(words: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = L2) -> Model:
@@ -143,9 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not got.num_rows:
         return None
     lengths = [np.frombuffer(x, "<u4") for x in got["lengths"].to_pylist()]
-    words = np.frombuffer(b"".join(got["words"].to_pylist()), "<u4").astype(np.int64)
-    document = np.repeat(np.arange(len(lengths)), [len(x) for x in lengths])
-    sentence = np.repeat(np.arange(len(document)), np.concatenate(lengths))
+    words = np.frombuffer(b"".join(got["words"].to_pylist()), "<u4")
+    document = np.repeat(np.arange(len(lengths), dtype=np.int32), [len(x) for x in lengths])
+    sentence = np.repeat(np.arange(len(document), dtype=np.int32), np.concatenate(lengths))
     return train(words, sentence, document, got["toxic"].to_numpy())
 
 
