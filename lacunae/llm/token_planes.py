@@ -30,6 +30,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 18
 LEVEL = 3
+#: Bytes of text that are encoded at once.
+GATHER_BYTES = 8_000_000
 
 
 def default_tokenizer() -> str:
@@ -76,7 +78,7 @@ class Encoder:
         id that carries the end-of-word mark, and the others as a batch. Lower-case ASCII words need no normalising or cutting
         beyond blanks, so they go to a tokenizer of the same vocabulary without those steps."""
         ids, new = self.ids, set()
-        for w in set(words).difference(ids):
+        for w in [w for w in words if w not in ids]:
             core = w[:-1] if w[-1:] in self.MARKS and w.isascii() else w
             core = core.lower() if core.isascii() else core
             if core not in ids:
@@ -100,7 +102,10 @@ class Encoder:
     def encode(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Each distinct word is looked up once."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        words = lists.flatten().dictionary_encode()
+        words = lists.flatten()
+        if not pc.any(pc.match_substring(words, "<|")).as_py():  # else special tokens might be meant, whose case counts
+            words = pc.ascii_lower(words)  # the tokenizer's own first effect on letters
+        words = words.dictionary_encode()
         distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
         self.prepare(distinct)
         parts = list(map(self.ids.__getitem__, distinct))
@@ -184,8 +189,8 @@ def write_planes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             row = [shard, seq, done, len(ids) // 4, block_ids, bits, list(doc_ids), [len(p) // 4 for p in parts], index, payload]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
-        for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"), end), strict=True):
+        for docs, texts in gathered(batches):
+            for doc, ids in zip(docs.to_pylist(), encoder.encode(texts, end), strict=True):
                 doc_ids.append(doc)
                 parts.append(ids)
                 held += len(ids) // 4
@@ -201,6 +206,18 @@ def write_planes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     dealt.mapInArrow(encode, schema).write.option("compression", "none").parquet(path)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of several batches together: the more text at once, the fewer distinct words to look up."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+            held = []
+    if held:
+        yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
