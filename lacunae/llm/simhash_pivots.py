@@ -5,8 +5,8 @@ inequality two fingerprints differ in at least as many bits as their rows differ
 by more than the wanted distance is discarded, and only survivors are verified bit by bit.
 
 A pivot lets a little over half of random pairs pass, so pivots alone would still have to look at every pair. Which pairs meet
-at all is therefore decided by blocks of bits: of distance+2 blocks at least two are equal in any linked pair, so fingerprints
-meet in one bucket for each two blocks. Only distinct fingerprints are dealt to buckets, in packed rows. Within a bucket links
+at all is therefore decided by blocks of bits: of distance+e blocks at least e are equal in any linked pair, so fingerprints
+meet in one bucket for each choice of e blocks. e is 2, and more for so many fingerprints that buckets of two would be large. Only distinct fingerprints are dealt to buckets, in packed rows. Within a bucket links
 are kept as a spanning forest, never as all pairs, and in a large bucket each fingerprint is compared only with those that no
 earlier one has reached. Components then come from label propagation with pointer jumping over written tables.
 
@@ -146,19 +146,29 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) ->
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def equal_blocks(n: int, distance: int = DISTANCE, fill: int = 8) -> int:
+    """How many blocks must be equal so that n unrelated fingerprints put about `fill` at most in a bucket; at least 2."""
+    e = 2
+    while n > fill * 2 ** (64 * e / (distance + e)) and e < 6:
+        e += 1
+    return e
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, equal: int | None = None) -> DataFrame:
     """Pairs u < v of linked fingerprints that connect whatever is connected; distinct has one row for each fp."""
     spark = distinct.sparkSession
+    equal = equal or equal_blocks(distinct.count(), distance)
     n_buckets = partitions(spark)
     small_batches(spark)
 
     def deal(batches):
-        masks = bit_blocks(distance + 2)
+        masks = bit_blocks(distance + equal)
         waiting: list[np.ndarray] = []
 
         def ship():
             fps = np.concatenate(waiting)
-            keys = np.concatenate([mix64((fps & (a | b)) ^ mix64(np.array([t + 1], np.uint64))) for t, (a, b) in enumerate(combinations(masks, 2))])
+            chosen = [np.bitwise_or.reduce(np.array(c)) for c in combinations(masks, equal)]
+            keys = np.concatenate([mix64((fps & mask) ^ mix64(np.array([t + 1], np.uint64))) for t, mask in enumerate(chosen)])
             again = np.tile(fps, len(keys) // len(fps))
             waiting.clear()
             return batch_of(list(bucket_rows(n_buckets, keys, None, again.view(np.int64), None, None)))
@@ -214,13 +224,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, of which doc_id is its component's smallest; of repeated doc_ids one row stays.
 
-    Rows without an id stay only if their component has no id.
+    Rows without an id, which no component can be named after, stay. The join and the numbering of repeated ids share one
+    exchange by doc_id.
     """
-    keep = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    own = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept"]), "left_semi")
+    keep = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
     nth = unused(docs, "nth")
-    numbered = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    return numbered.where((F.col(nth) == 1) | F.col("doc_id").isNull()).drop(nth)
+    own = docs.where("doc_id is not null").join(keep, docs["doc_id"] == keep["kept"], "left_semi")
+    first = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(nth) == 1).drop(nth)
+    return first.unionByName(docs.where("doc_id is null"))
 
 
 def op10_simhash_pivots(spark, sf_dir: str) -> DataFrame:
