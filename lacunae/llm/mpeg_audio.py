@@ -147,15 +147,22 @@ def parse_table(frame: bytes, header: Header) -> dict[str, int]:
 
 
 def parse(data: bytes) -> Stream:
-    """All frames of a stream. A header counts if the frame fits and the next bytes are another header, a tag, or the end."""
+    """All frames of a stream. A header counts if the frame fits and the next bytes are another header, a tag, or the end.
+
+    The letters TAG 128 bytes before the end begin an ID3v1 tag only if no frame of the chain runs over them.
+    """
     out = Stream()
     out.tag, at = parse_tag(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    end = len(data)
+    tail = end - 128 if data[-128:-125] == b"TAG" else end
     synced = True
     while at + 4 <= end:
+        if at == tail or (not synced and at > tail):
+            break
         header = parse_header(data[at : at + 4])
         after = at + header.size if header else 0
-        if not header or after > end or (not synced and after + 4 <= end and parse_header(data[after : after + 4]) is None):
+        unsure = (not synced and after + 4 <= tail) or at < tail < after < end
+        if not header or after > end or (unsure and parse_header(data[after : after + 4]) is None):
             out.resyncs += synced
             synced, at = False, data.find(b"\xff", at + 1)
             if at < 0:
