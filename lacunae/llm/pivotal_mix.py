@@ -7,7 +7,8 @@ next document. Expectations and the source's total are kept at each step. Groups
 parallel; each leaves one open residual, and the residuals meet again in groups on the next level of a reduction tree, until
 one is left for each source. The words taken from a source so differ from its target by less than the last document's size.
 
-Random numbers are hashes of seed, level and doc_id, so reruns agree. Null sources are a source of their own, last in order.
+Random numbers are hashes of seed, level and doc_id, so reruns agree; one hash sorts a group and another decides its transfers,
+so that a transfer is random given the pair. Null sources are a source of their own, last in order.
 Null and empty texts have no words and are never in doubt. Repeated rows are rounded each on its own. An empty table gives an
 empty result. Extra columns are ignored.
 """
@@ -73,7 +74,7 @@ def round_group(ps: list[float], sizes: list[float], us: list[float]) -> tuple[l
     return [float(round(p)) if k != open_ else p for k, p in enumerate(ps)], open_
 
 
-_UNIT = "doc_id {id}, source string, size bigint, source_size bigint, target double, whole bigint, p double, part bigint, u double, open boolean"
+_UNIT = "doc_id {id}, source string, size bigint, source_size bigint, target double, whole bigint, p double, part bigint, turn bigint, u double, open boolean"
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 1, group: int = GROUP, **columns) -> DataFrame:
@@ -90,10 +91,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
     def drawn(df: DataFrame, level: int) -> DataFrame:
         u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), F.lit(level), F.lit("u")), 11) / F.lit(float(1 << 53))
-        return df.withColumn("u", u).withColumn("open", F.lit(False)).select(names)
+        turn = F.xxhash64("doc_id", F.lit(seed), F.lit(level), F.lit("turn"))
+        return df.withColumn("turn", turn).withColumn("u", u).withColumn("open", F.lit(False)).select(names)
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["turn", "doc_id", "size"], kind="stable")
         ps, open_ = round_group(pdf["p"].tolist(), pdf["size"].tolist(), pdf["u"].tolist())
         return pdf.assign(p=ps, open=[k == open_ for k in range(len(ps))])
 
@@ -103,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         level += 1
         got = stored(drawn(doubtful, level).groupBy("source", "part").applyInPandas(rounded, schema), f"mix-level{level}")
         done = done.unionByName(got.where("not open"))
-        doubtful = got.where("open").withColumn("part", F.floor(F.col("part") / group)).drop("u", "open")
+        doubtful = got.where("open").withColumn("part", F.floor(F.col("part") / group)).drop("turn", "u", "open")
         n = 0 if n == 1 else -(-n // group)
     last = drawn(doubtful, level + 1)
     done = done.unionByName(last.withColumn("p", (F.col("u") < F.col("p")).cast("double")))
