@@ -8,7 +8,8 @@ The first level needs not ship every window of 7 words: of the seven that a wind
 hash stands for it (equal windows choose equal ones), which leaves about one in four. From level to level the hash of a
 window of twice the length comes from those of its halves. Windows of the last level are compared by 96 bits of hash.
 
-Null texts have no words. Rows with equal doc_ids count as one document: neither makes the other's windows repeated. A document
+Null texts have no words. Rows with equal doc_ids count as one document: neither makes the other's windows repeated. Each of
+their texts still loses its own repeated windows only: findings carry the number of the text among those of its doc_id. A document
 of fewer words than a window keeps all of them. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -18,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, map_texts, mix64, partitions, small_batches, texts_of
@@ -139,7 +140,10 @@ def _first_level(base: DataFrame, window: int, first: int, n_buckets: int) -> Da
 
 
 def _last_level(candidates: DataFrame, window: int, first: int, n_buckets: int) -> DataFrame:
-    """Per document with any: runs of window starts that also start in a document with a smaller id, packed (doc_id, found)."""
+    """Per document with any: runs of window starts that also start in a document with a smaller id, packed (doc_id, found).
+
+    A start is its place in the text with the text's number (nth, of candidates) in the upper half.
+    """
 
     def flush(pairs: _Pairs):
         a, b, docs, pos = pairs.take()
@@ -154,21 +158,21 @@ def _last_level(candidates: DataFrame, window: int, first: int, n_buckets: int)
     def ship(batches):
         pairs = _Pairs(4)
         for batch in batches:
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("found").to_pylist(), strict=True):
+            for doc, nth, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("nth").to_pylist(), texts_of(batch), batch.column("found").to_pylist(), strict=True):
                 words = words_of(text)
                 if len(words) < window:
                     continue
                 h = hashes_of(words)
                 shared = np.frombuffer(found, np.uint64)
                 at = np.flatnonzero(np.isin(anchors(h, window, first), shared))
-                pairs.add(mix64(rolled(h, window, _B1))[at], mix64(rolled(h, window, _B2))[at].astype(np.uint32), np.full(len(at), doc, np.int64), at.astype(np.int32))
+                pairs.add(mix64(rolled(h, window, _B1))[at], mix64(rolled(h, window, _B2))[at].astype(np.uint32), np.full(len(at), doc, np.int64), at | nth << 32)
                 if pairs.size >= FLUSH_PAIRS:
                     yield flush(pairs)
         if pairs.size:
             yield flush(pairs)
 
     def decide(batches):
-        blocks = Gathered({"a": np.uint64, "b": np.uint32, "docs": np.int64, "pos": np.int32})
+        blocks = Gathered({"a": np.uint64, "b": np.uint32, "docs": np.int64, "pos": np.int64})
         for batch in batches:
             for k in of_kind(batch, 0):
                 blocks.add(batch, int(k))
@@ -182,7 +186,7 @@ def _last_level(candidates: DataFrame, window: int, first: int, n_buckets: int)
                 yield batch_of(list(owner_rows(n_buckets, docs[later], pos[later])))
 
     small_batches(candidates.sparkSession)
-    return _decided(candidates, ship, decide, n_buckets, lambda batches: ((doc, packed_runs(pos)) for doc, pos in by_owner(batches, np.int32)))
+    return _decided(candidates, ship, decide, n_buckets, lambda batches: ((doc, packed_runs(pos)) for doc, pos in by_owner(batches, np.int64)))
 
 
 def _decided(source: DataFrame, ship, decide, n_buckets: int, of_documents) -> DataFrame:
@@ -210,20 +214,23 @@ def found_batch(rows: list[tuple]) -> pa.RecordBatch:
 def packed_runs(at: np.ndarray) -> bytes:
     """Starts and lengths, in turn, of the runs of consecutive places in sorted at."""
     new = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-    return np.stack([at[new], np.diff(np.r_[new, len(at)])], axis=1).astype("<i4").tobytes()
+    return np.stack([at[new], np.diff(np.r_[new, len(at)])], axis=1).astype("<i8").tobytes()
 
 
-def covered(n: int, window: int, runs: bytes) -> np.ndarray:
-    """Which of n words lie in a flagged window."""
+def covered(n: int, window: int, runs: bytes, nth: int = 0) -> np.ndarray:
+    """Which of n words of the text with this number lie in a flagged window."""
     edge = np.zeros(n + 1, np.int64)
-    runs = np.frombuffer(runs, "<i4").reshape(-1, 2)
+    runs = np.frombuffer(runs, "<i8").reshape(-1, 2)
+    runs = runs[runs[:, 0] >> 32 == nth] & 0xFFFFFFFF
     np.add.at(edge, runs[:, 0], 1)
     np.add.at(edge, runs[:, 0] + runs[:, 1] - 1 + window, -1)
     return np.cumsum(edge[:n]) > 0
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, found: the runs of window starts (packed starts and lengths) that also start in a smaller doc_id.
+    """doc_id, text, nth, found: the runs of window starts (packed starts and lengths) that also start in a smaller doc_id.
+
+    nth numbers the different texts of one doc_id from 0; found has the runs of all of them, each start with its text's number.
 
     first is the length of the first level, at least half the window (and by default just that).
     Integer ids only; rows with a null id are never compared and keep their words.
@@ -234,10 +241,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, first: int | None = None
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     if (id_col, text_col, docs.schema[id_col].dataType.simpleString()) == ("doc_id", "text", "bigint"):
         base = docs.select("doc_id", "text")  # without aliases the plans of both joins' sides are equal
-    known = base.where("doc_id is not null")  # dealt by doc_id once: both joins read the same exchange
+    known = base.where("doc_id is not null")
     shared = _first_level(known, window, first, n_buckets)
+    # dealt by doc_id once: the window and both joins read the same exchange
+    known = known.withColumn("nth", (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) - 1).cast("bigint"))
     runs = _last_level(known.join(shared.hint("merge"), "doc_id"), window, first, n_buckets)
-    unknown = base.where("doc_id is null").withColumn("found", F.lit(None).cast("binary"))
+    unknown = base.where("doc_id is null").withColumns({"nth": F.lit(0).cast("bigint"), "found": F.lit(None).cast("binary")})
     return known.join(runs.hint("merge"), "doc_id", "left").unionByName(unknown)
 
 
@@ -248,18 +257,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFram
     def make():
         def work(batch):
             rows = []
-            for text, runs in zip(texts_of(batch), batch.column("found").to_pylist(), strict=True):
+            for text, nth, runs in zip(texts_of(batch), batch.column("nth").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 words = words_of(text)
                 kept = words
                 if runs:
-                    kept = [w for w, gone in zip(words, covered(len(words), window, runs).tolist(), strict=True) if not gone]
+                    kept = [w for w, gone in zip(words, covered(len(words), window, runs, nth).tolist(), strict=True) if not gone]
                 joined = b" ".join(kept)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass")))
             return {"doc_id": batch.column("doc_id")} | dict(zip(("n_words", "n_removed", "kept_sha256", "kept"), map(list, zip(*rows, strict=True)), strict=True))
 
         return work
 
-    return map_texts(find_repeats(docs, window, **options), ["doc_id", "text", "found"], make, schema)
+    return map_texts(find_repeats(docs, window, **options), ["doc_id", "text", "nth", "found"], make, schema)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
