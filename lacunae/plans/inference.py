@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import functions as F
 
 from ..functions.special import t_quantile
@@ -138,11 +140,16 @@ _CLUST = [
 
 CONDITIONS = (("MANY-SHORT", 2), ("MEDIUM", 6), ("FEW-LONG", 24))
 SHARES = (0.05, 0.1)
+#: Whether gaps go into the series of all types; queries as first registered have three of them.
+EVERY = ContextVar("EVERY", default=False)
+_THREE = " WHERE series_id IN ('click', 'purchase', 'view')"
 
 
 def _injected(spark, d):
-    """Copies of the hourly series of three types with gaps of three lengths and two shares, all in one table."""
-    s = series(spark, d).where("series_id in ('click', 'purchase', 'view')")
+    """Copies of the hourly series of three types (or all, by EVERY) with gaps of three lengths and two shares, all in one table."""
+    s = series(spark, d)
+    if not EVERY.get():
+        s = s.where("series_id in ('click', 'purchase', 'view')")
     out = None
     for name, length in CONDITIONS:
         for share in SHARES:
@@ -160,7 +167,7 @@ def _injected_sql() -> list[str]:
     parts = []
     for name, length in CONDITIONS:
         for share in SHARES:
-            parts.append(f"""SELECT series_id, t, v, '{name}' AS condition, {share}::DOUBLE AS share FROM (SELECT *, stratum * width + 1 + ('0x' || substr(md5('5|' || series_id || '|' || stratum), 1, 8))::UBIGINT::BIGINT % greatest(1, width - {length} - 1) AS start FROM (SELECT *, i // width AS stratum FROM (SELECT *, n // strata AS width FROM (SELECT *, greatest(1, floor(n * {share}::DOUBLE / {length})::BIGINT) AS strata FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM s WHERE series_id IN ('click', 'purchase', 'view')))))) WHERE NOT (stratum < strata AND width > {length} + 1 AND i >= start AND i < start + {length})""")
+            parts.append(f"""SELECT series_id, t, v, '{name}' AS condition, {share}::DOUBLE AS share FROM (SELECT *, stratum * width + 1 + ('0x' || substr(md5('5|' || series_id || '|' || stratum), 1, 8))::UBIGINT::BIGINT % greatest(1, width - {length} - 1) AS start FROM (SELECT *, i // width AS stratum FROM (SELECT *, n // strata AS width FROM (SELECT *, greatest(1, floor(n * {share}::DOUBLE / {length})::BIGINT) AS strata FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM s{_THREE}))))) WHERE NOT (stratum < strata AND width > {length} + 1 AND i >= start AND i < start + {length})""")
     return ["ij AS (" + "\nUNION ALL ".join(parts) + ")"]
 
 
@@ -349,3 +356,24 @@ QUERIES = {
     "inject_exact": (inject_exact, None),
     "causality_check": (causality_check, with_(SEGS, "SELECT 0::BIGINT AS n_wrong")),
 }
+
+
+INJECTED = "inject_stratified injected_gaps injection_bias cell_means cell_pivot_monotonic survival_grid summary_grouping_sets reliability origin_summary sign_agreement spread best_condition long_numbers t_interval direction_test extreme_runs sign_against_mean origin_growth".split()
+
+
+def with_value(query, var: ContextVar, value):
+    """The query with var set while its plan is made."""
+
+    def run(spark, d):
+        token = var.set(value)
+        try:
+            return query(spark, d)
+        finally:
+            var.reset(token)
+
+    return run
+
+
+def every_type(queries: dict) -> dict:
+    """NAME_every_type of each query on injected gaps: the same on the series of all types."""
+    return {f"{n}_every_type": (with_value(queries[n][0], EVERY, True), queries[n][1] and queries[n][1].replace(_THREE, "")) for n in INJECTED}
