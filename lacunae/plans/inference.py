@@ -278,11 +278,11 @@ def _trees(spark, d, kind, **params):
 
 
 def gbt_skill(spark, d):
-    return _trees(spark, d, "gbt", maxIter=5, maxDepth=3)
+    return _trees(spark, d, "gbt")
 
 
 def forest_skill(spark, d):
-    return _trees(spark, d, "forest", numTrees=10, maxDepth=5)
+    return _trees(spark, d, "forest")
 
 
 def arma_skill(spark, d):
