@@ -40,11 +40,12 @@ def segment_blocks(scored: DataFrame, size: int, keys: list[str] = KEYS) -> Data
     return part.withColumn("block", rank.cast("bigint")).drop("_p")
 
 
-def bias_interval(arm_a: DataFrame, arm_c: DataFrame, blocks: DataFrame, reps: int, seed: int, keys: list[str] = KEYS, share: float = 0.5) -> DataFrame:
+def bias_interval(arm_a: DataFrame, arm_c: DataFrame, blocks: DataFrame, reps: int, seed: int, keys: list[str] = KEYS, share: float = 0.5, redraws: int = 1) -> DataFrame:
     """Interval of skill_C - skill_A under one draw of blocks for both arms.
 
     arms: rows keyed by t with em2, ep2; blocks: the union of their rows with block. Replicates in which an arm has fewer than
-    `share` of its rows are left out.
+    `share` of its rows are left out. With redraws over 1 up to redraws * reps are drawn and the first reps usable ones count;
+    the interval is null where fewer than half of reps are usable (n_reps tells how many).
     """
     def sums(arm: DataFrame, name: str) -> DataFrame:
         got = arm.join(blocks.select(*keys, "t", "block"), [*keys, "t"])
@@ -53,10 +54,16 @@ def bias_interval(arm_a: DataFrame, arm_c: DataFrame, blocks: DataFrame, reps: i
     names = [f"{x}_{arm}" for arm in "ac" for x in "nmp"]
     table = blocks.select(*keys, "block").distinct().join(sums(arm_a, "a"), [*keys, "block"], "left").join(sums(arm_c, "c"), [*keys, "block"], "left").fillna(0)
     total = table.groupBy(*keys).agg(F.count("*").alias("n_blocks"), F.sum("n_a").alias("t_a"), F.sum("n_c").alias("t_c"))
-    drawn = draws(total, "n_blocks", reps, seed, keys).join(table.withColumnRenamed("block", "place"), [*keys, "place"])
+    drawn = draws(total, "n_blocks", reps * redraws, seed, keys).join(table.withColumnRenamed("block", "place"), [*keys, "place"])
     rep = drawn.groupBy(*keys, "rep", "t_a", "t_c").agg(*[F.sum(x).alias(x) for x in names])
     rep = rep.where((F.col("n_a") >= share * F.col("t_a")) & (F.col("n_c") >= share * F.col("t_c")))
-    return percentiles(rep.withColumn("bias", skill(F.col("m_c"), F.col("p_c")) - skill(F.col("m_a"), F.col("p_a"))), "bias", keys)
+    rep = rep.withColumn("bias", skill(F.col("m_c"), F.col("p_c")) - skill(F.col("m_a"), F.col("p_a")))
+    if redraws == 1:
+        return percentiles(rep, "bias", keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("rep"))
+    got = percentiles(rep.where("bias is not null").withColumn("_nth", nth).where(F.col("_nth") <= reps), "bias", keys)
+    enough = F.col("n_reps") >= reps / 2
+    return got.withColumns({c: F.when(enough, F.col(c)) for c in ("ci_lo", "ci_hi")})
 
 
 def circular_rmse_interval(scored: DataFrame, e2: Column, block: int, reps: int, seed: int, keys: list[str] = KEYS) -> DataFrame:

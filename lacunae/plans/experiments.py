@@ -12,7 +12,7 @@ from ..functions.columns import in_order, rmse, skill
 from ..operators import bootstrap, features, grid, origins, scores, segments, summary
 from ..streaming import series as stream
 from .base import EV, LEN, SCORES, SEGS, SEQ, STEP, H, events, grid_sql, naive_rows, rounded, s_sql, scored_rows, segmented, series, valid_sql, with_
-from .inference import _CLUST, _RT, REPS, _clusters, _draw_sql, _pct, _runs_table
+from .inference import _CLUST, _RT, DRAWS, _clusters, _draw_sql, _pct, _runs_table
 from .modelling import K, kalman_sql
 
 BLOCK_SIZES = (12, 25, 50)
@@ -32,7 +32,7 @@ def block_sensitivity(spark, d):
         b = bootstrap.segment_blocks(rows, size)
         c = b.select("series_id", "t", F.col("sq_m").alias("em2"), F.col("sq_p").alias("ep2"))
         a = b.where("d > 5 and not displaced").select("series_id", "t", F.col("sq_m").alias("em2"), F.col("sq_p").alias("ep2"))
-        one = bootstrap.bias_interval(a, c, b, REPS, 7).withColumn("block", F.lit(size))
+        one = bootstrap.bias_interval(a, c, b, DRAWS.get()[0], 7, redraws=DRAWS.get()[1]).withColumn("block", F.lit(size))
         out = one if out is None else out.unionByName(one)
     return rounded(out, 4)
 
@@ -64,7 +64,7 @@ def first_ratio_interval(spark, d):
     place = F.row_number().over(in_order(K)) - 1
     one = s.where("d = 1").select("series_id", "sq_m", "sq_p", place.cast("bigint").alias("place"))
     n = one.groupBy("series_id").agg(F.count("*").alias("n"))
-    drawn = bootstrap.draws(n, "n", REPS, 7, K).join(one, ["series_id", "place"]).join(far, "series_id")
+    drawn = bootstrap.draws(n, "n", DRAWS.get()[0], 7, K).join(one, ["series_id", "place"]).join(far, "series_id")
     rep = drawn.groupBy("series_id", "rep", "fm", "fp").agg((F.sqrt(F.avg("sq_m")) / F.col("fm") / (F.sqrt(F.avg("sq_p")) / F.col("fp"))).alias("ratio"))
     return rounded(bootstrap.percentiles(rep, "ratio", K), 4)
 
@@ -72,7 +72,7 @@ def first_ratio_interval(spark, d):
 def common_support(spark, d):
     """Interval of the mean over hour-of-day cells with equal weights: cells are averaged within each replicate."""
     c = _clusters(spark, d).withColumn("all", F.lit(0)).withColumn("cell", F.floor(F.pmod(F.col("t"), F.lit(86400)) / 21600))
-    w = bootstrap.cluster_weights(c, REPS, 7, ["all"])
+    w = bootstrap.cluster_weights(c, DRAWS.get()[0], 7, ["all"])
     sums = c.groupBy("series_id", "cell", "cluster").agg(F.sum("sq_p").alias("s"), F.count("*").alias("n"))
     cells = sums.join(w, "cluster").groupBy("series_id", "rep", "cell").agg((F.sum(F.col("s") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("m"))
     return rounded(bootstrap.percentiles(cells.groupBy("series_id", "rep").agg(F.avg("m").alias("mean")), "mean", K), 4)

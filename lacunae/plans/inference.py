@@ -12,6 +12,8 @@ from .base import SCORES, SEGS, SEQ, STEP, H, rounded, scored_rows, segmented, s
 from .modelling import LEAST, OWN, K
 
 REPS = 100
+#: Replicates, and times as many draws as may be made for unusable ones; (REPS, 1) in queries as first registered.
+DRAWS = ContextVar("DRAWS", default=(REPS, 1))
 
 
 def _errors():
@@ -79,15 +81,15 @@ def bias_block_bootstrap(spark, d):
     b = _blocks(spark, d)
     c = b.select("series_id", "t", F.col("sq_m").alias("em2"), F.col("sq_p").alias("ep2"))
     a = b.where("d > 5 and not displaced").select("series_id", "t", F.col("sq_m").alias("em2"), F.col("sq_p").alias("ep2"))
-    return rounded(bootstrap.bias_interval(a, c, b, REPS, 7), 4)
+    return rounded(bootstrap.bias_interval(a, c, b, DRAWS.get()[0], 7, redraws=DRAWS.get()[1]), 4)
 
 
 def circular_bootstrap(spark, d):
-    return rounded(bootstrap.circular_rmse_interval(scored_rows(spark, d), F.col("sq_p"), 24, REPS, 7), 4)
+    return rounded(bootstrap.circular_rmse_interval(scored_rows(spark, d), F.col("sq_p"), 24, DRAWS.get()[0], 7), 4)
 
 
 def iid_bootstrap(spark, d):
-    return rounded(bootstrap.iid_mean_interval(scored_rows(spark, d).where("displaced"), "sq_p", REPS, 7, K), 4)
+    return rounded(bootstrap.iid_mean_interval(scored_rows(spark, d).where("displaced"), "sq_p", DRAWS.get()[0], 7, K), 4)
 
 
 def _clusters(spark, d):
@@ -98,13 +100,13 @@ def _clusters(spark, d):
 
 def cluster_bootstrap(spark, d):
     c = _clusters(spark, d).withColumn("all", F.lit(0))
-    w = bootstrap.cluster_weights(c, REPS, 7, ["all"])
+    w = bootstrap.cluster_weights(c, DRAWS.get()[0], 7, ["all"])
     return rounded(bootstrap.cluster_mean_interval(c, "sq_p", w, K), 4)
 
 
 def paired_difference(spark, d):
     c = _clusters(spark, d).withColumn("all", F.lit(0))
-    w = bootstrap.cluster_weights(c, REPS, 7, ["all"])
+    w = bootstrap.cluster_weights(c, DRAWS.get()[0], 7, ["all"])
     return rounded(bootstrap.paired_difference_interval(c, "sq_p", "level", "displaced", "kept", w, K), 4)
 
 
@@ -377,3 +379,14 @@ def with_value(query, var: ContextVar, value):
 def every_type(queries: dict) -> dict:
     """NAME_every_type of each query on injected gaps: the same on the series of all types."""
     return {f"{n}_every_type": (with_value(queries[n][0], EVERY, True), queries[n][1] and queries[n][1].replace(_THREE, "")) for n in INJECTED}
+
+
+#: Replicates of the reference (N_BOOT, BOOT_N); intervals of a bias may draw five times as many.
+FULL = {n: (2000, 1) for n in ("iid_bootstrap", "cluster_bootstrap", "paired_difference", "first_ratio_interval", "common_support")}
+FULL |= {"circular_bootstrap": (500, 1)} | {n: (2000, 5) for n in ("bias_block_bootstrap", "block_sensitivity", "width_change", "intervals_excluding_zero")}
+
+
+def full_reps(queries: dict) -> dict:
+    """NAME_full of each query with intervals: the same with the reference's replicates. Those that may draw again have no SQL."""
+    more = lambda sql, n: sql and sql.replace(f"unnest(range(0, {REPS})) AS rep", f"unnest(range(0, {n})) AS rep")
+    return {f"{k}_full": (with_value(queries[k][0], DRAWS, (n, again)), more(queries[k][1], n) if again == 1 else None) for k, (n, again) in FULL.items()}

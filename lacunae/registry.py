@@ -6,3 +6,4 @@ from .plans import experiments, flagship, inference, modelling, structure
 
 REGISTRY: dict = {**flagship.QUERIES, **structure.QUERIES, **modelling.QUERIES, **inference.QUERIES, **experiments.QUERIES}
 REGISTRY |= inference.every_type(REGISTRY)
+REGISTRY |= inference.full_reps(REGISTRY)
