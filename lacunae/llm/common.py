@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,16 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: texts may be long, so batches stay small.
-BATCH_ROWS = 500
+#: Bytes of one Arrow batch: texts may be long, so batches stay small. Narrow rows reach the session's own row bound first.
+BATCH_BYTES = 2 << 20
+#: Bytes that one bucket of a shuffle held in Python may have.
+BUCKET_BYTES = 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset a fresh local one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. In local mode a fresh local one may take its place (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -39,10 +44,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, so that Python workers' memory stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound Arrow batches by bytes, so that Python workers' memory stays bounded. Batches of narrow rows are no smaller for it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not 0 < byte_size(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def byte_size(text: str) -> int:
+    """Bytes of a size as Spark writes it: a number, maybe with k, m or g."""
+    number, unit = re.match(r"(-?\d+)\s*([kmg]?)", text.lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
 
 
 def unused(df: DataFrame, stem: str) -> str:
@@ -58,6 +70,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(spark: SparkSession, n_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets to deal n_bytes into: as many as the session has shuffle partitions, more where a bucket would pass bucket_bytes."""
+    return max(partitions(spark), -(-n_bytes // bucket_bytes))
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, by one aggregate over that column."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts, null read as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -151,7 +151,7 @@ def test_toxicity(spark, docs, empty):
     assert np.array_equal(tm.fit(table, flipped).weights, model.weights)
 
 
-@pytest.mark.parametrize("block", [bd.BLOCK_BYTES, 60])
+@pytest.mark.parametrize("block", [bd.BLOCK_BYTES, 1200])
 def test_contamination(docs, benchmark, empty, block):
     word = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     fold = lambda t: word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
