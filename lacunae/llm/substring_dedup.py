@@ -1,13 +1,16 @@
 """Substring dedup by level-wise doubling of repeated windows.
 
 A window of 13 words can only repeat in another document if the windows of 7 words in it do. So the first level looks for
-windows of 7 words that two documents share, and only windows of the next level (up to twice as long) that hold such a window
-are looked at again, and so on until the wanted length is reached or no candidate survives.
+windows of 7 words that two documents share, and only windows of the next level (up to twice as long) that hold such windows
+are looked at again, and so on until the wanted length is reached or no candidate survives (levels() gives the lengths:
+7, 13; of a wanted length of 50 they are 7, 13, 25, 50). Each level's findings are written, so a lost executor repeats one level.
 
-The first level needs not ship every window of 7 words: of the seven that a window of 13 words holds, the one with the least
-hash stands for it (equal windows choose equal ones), which leaves about one in four. From level to level the hash of a
+A level needs not ship every window: of those that a window of the next level holds, the one with the least hash stands for
+it (equal windows choose equal ones), which leaves about one in four. From level to level the hash of a
 window of twice the length comes from those of its halves. Windows of the last level are compared by 96 bits of hash.
 
+Keys are dealt to buckets whose number grows with the bytes of the texts, so that a task's share stays bounded.
+
 Null texts have no words. Rows with equal doc_ids count as one document: neither makes the other's windows repeated. Each of
 their texts still loses its own repeated windows only: findings carry the number of the text among those of its doc_id. A document
 of fewer words than a window keeps all of them. An empty table gives an empty result. Extra columns are ignored.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, mix64, partitions, small_batches, texts_of
+from .common import Memo, buckets_for, map_texts, mix64, partitions, small_batches, stored, text_bytes, texts_of
 from .packed_exchange import FLUSH_PAIRS, SCHEMA, Gathered, batch_of, bucket_rows, by_owner, group_starts, of_kind, owner_rows, per_group
 
 WINDOW = 13
@@ -62,6 +65,14 @@ def rolled(h: np.ndarray, length: int, base: int) -> np.ndarray:
     return out
 
 
+def levels(window: int, least: int = 7) -> list[int]:
+    """Lengths from level to level, each at most twice the one before, the last the wanted one. None but the first is below `least`."""
+    out = [window] if window > 1 else [1, 1]
+    while out[0] > 1 and (len(out) == 1 or (out[0] + 1) // 2 >= least):
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 def anchors(h: np.ndarray, window: int, first: int) -> np.ndarray:
     """For each window start: the least mixed hash of the windows of the first length in it."""
     m = mix64(rolled(h, first, _B1))
@@ -90,8 +101,18 @@ class _Pairs:
         return out
 
 
-def _first_level(base: DataFrame, window: int, first: int, n_buckets: int) -> DataFrame:
-    """Per document with any: the anchors it shares with another document, packed (doc_id, found)."""
+def survivors(h: np.ndarray, length: int, before: int | None, shared: np.ndarray | None) -> np.ndarray:
+    """For each window of this length: whether the windows of the level before let it repeat (all may, at the first level)."""
+    if before is None:
+        return np.ones(max(0, len(h) - length + 1), bool)
+    return np.isin(anchors(h, length, before), shared)
+
+
+def _level(candidates: DataFrame, length: int, nxt: int, before: int | None, n_buckets: int) -> DataFrame:
+    """Per document with any: the anchors of windows of the next length that it shares with another document, packed (doc_id, found).
+
+    candidates: doc_id, text, and from the second level on found, the anchors shared at the level before.
+    """
 
     def flush(pairs: _Pairs):
         a, docs = pairs.take()
@@ -109,10 +130,16 @@ def _first_level(base: DataFrame, window: int, first: int, n_buckets: int) -> Da
     def ship(batches):
         pairs = _Pairs(2)
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+            found = batch.column("found").to_pylist() if before else [None] * batch.num_rows
+            for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts_of(batch), found, strict=True):
                 words = words_of(text)
-                if len(words) >= window:
-                    a = np.unique(anchors(hashes_of(words), window, first))
+                if len(words) >= nxt:
+                    h = hashes_of(words)
+                    a = anchors(h, nxt, length)
+                    if before:  # a window of the next length can repeat only if all windows of this length in it can
+                        dead = np.r_[0, np.cumsum(~survivors(h, length, before, np.frombuffer(own, np.uint64)))]
+                        a = a[dead[nxt - length + 1 :] == dead[: len(a)]]
+                    a = np.unique(a)
                     pairs.add(a, np.full(len(a), doc, np.int64))
                     if pairs.size >= FLUSH_PAIRS:
                         yield flush(pairs)
@@ -135,11 +162,11 @@ def _first_level(base: DataFrame, window: int, first: int, n_buckets: int) -> Da
             if open_.any():
                 yield batch_of(list(owner_rows(n_buckets, docs[open_], a[open_])))
 
-    small_batches(base.sparkSession)
-    return _decided(base, ship, decide, n_buckets, lambda batches: ((doc, a.tobytes()) for doc, a in by_owner(batches, np.uint64)))
+    small_batches(candidates.sparkSession)
+    return _decided(candidates, ship, decide, n_buckets, lambda batches: ((doc, a.tobytes()) for doc, a in by_owner(batches, np.uint64)))
 
 
-def _last_level(candidates: DataFrame, window: int, first: int, n_buckets: int) -> DataFrame:
+def _last_level(candidates: DataFrame, window: int, before: int, n_buckets: int) -> DataFrame:
     """Per document with any: runs of window starts that also start in a document with a smaller id, packed (doc_id, found).
 
     A start is its place in the text with the text's number (nth, of candidates) in the upper half.
@@ -163,8 +190,7 @@ def _last_level(candidates: DataFrame, window: int, first: int, n_buckets: int)
                 if len(words) < window:
                     continue
                 h = hashes_of(words)
-                shared = np.frombuffer(found, np.uint64)
-                at = np.flatnonzero(np.isin(anchors(h, window, first), shared))
+                at = np.flatnonzero(survivors(h, window, before, np.frombuffer(found, np.uint64)))
                 pairs.add(mix64(rolled(h, window, _B1))[at], mix64(rolled(h, window, _B2))[at].astype(np.uint32), np.full(len(at), doc, np.int64), at | nth << 32)
                 if pairs.size >= FLUSH_PAIRS:
                     yield flush(pairs)
@@ -227,26 +253,33 @@ def covered(n: int, window: int, runs: bytes, nth: int = 0) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, nth, found: the runs of window starts (packed starts and lengths) that also start in a smaller doc_id.
 
     nth numbers the different texts of one doc_id from 0; found has the runs of all of them, each start with its text's number.
-
-    first is the length of the first level, at least half the window (and by default just that).
     Integer ids only; rows with a null id are never compared and keep their words.
     """
-    spark = docs.sparkSession
-    first = first or (window + 1) // 2
-    n_buckets = partitions(spark)
+    spark, lengths = docs.sparkSession, levels(window)
+    n_buckets = buckets_for(spark, text_bytes(docs, text_col))
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     if (id_col, text_col, docs.schema[id_col].dataType.simpleString()) == ("doc_id", "text", "bigint"):
         base = docs.select("doc_id", "text")  # without aliases the plans of both joins' sides are equal
     known = base.where("doc_id is not null")
-    shared = _first_level(known, window, first, n_buckets)
+    if n_buckets > partitions(spark):
+        known = known.repartition(n_buckets, "doc_id")
+    unknown = base.where("doc_id is null").withColumns({"nth": F.lit(0).cast("bigint"), "found": F.lit(None).cast("binary")})
+    source, before, alive = known, None, True
+    for length, nxt in zip(lengths, lengths[1:], strict=False):
+        shared = stored(_level(source, length, nxt, before, n_buckets), f"repeats-{length}")
+        alive = not shared.isEmpty()
+        if not alive:
+            break
+        source, before = known.join(shared.hint("merge"), "doc_id"), length
     # dealt by doc_id once: the window and both joins read the same exchange
     known = known.withColumn("nth", (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) - 1).cast("bigint"))
-    runs = _last_level(known.join(shared.hint("merge"), "doc_id"), window, first, n_buckets)
-    unknown = base.where("doc_id is null").withColumns({"nth": F.lit(0).cast("bigint"), "found": F.lit(None).cast("binary")})
+    if not alive:  # no candidate survives: nothing repeats
+        return known.withColumn("found", F.lit(None).cast("binary")).unionByName(unknown)
+    runs = _last_level(known.join(shared.hint("merge"), "doc_id"), window, before or 0, n_buckets)
     return known.join(runs.hint("merge"), "doc_id", "left").unionByName(unknown)
 
 

@@ -21,3 +21,21 @@ def test_rows_of_one_id_with_different_texts(spark, window):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = sd.remove_repeats(docs, window).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert Counter(map(tuple, got.collect())) == slow_removal(rows, window)
+
+
+def test_levels():
+    assert [sd.levels(n) for n in (1, 2, 6, 13, 14, 26, 50)] == [[1, 1], [1, 2], [3, 6], [7, 13], [7, 14], [7, 13, 26], [7, 13, 25, 50]]
+
+
+@pytest.mark.parametrize(("window", "buckets"), [(1, 8), (26, 8), (26, 20), (50, 8), (60, 8)])
+def test_more_than_two_levels(spark, monkeypatch, window, buckets):
+    """Longer windows go over more levels; of 60 words nothing repeats, so a level leaves no candidate."""
+    monkeypatch.setattr(sd, "buckets_for", lambda *_: buckets)
+    rng = random.Random(window)
+    plain = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [plain(n) for n in (30, 55, 12, 26, 51)]
+    rows = [(k % 25, " ".join([*plain(rng.randrange(8)), *passages[k % 5][rng.randrange(3) :], *plain(rng.randrange(40))])) for k in range(40)]
+    rows += [(100, None), (101, ""), (102, " ".join(passages[1] + passages[0])), (None, " ".join(passages[1]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sd.remove_repeats(docs, window).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(map(tuple, got.collect())) == slow_removal(rows, window)
