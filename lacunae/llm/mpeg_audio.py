@@ -3,8 +3,9 @@
 The writer makes a valid MPEG-1 Layer III stream: an ID3v2 tag with the number of bytes held, a first frame with a Xing table
 (frames, bytes, 100 seek points), then mono frames at 44.1 kHz whose side information says that no main data is used (silence),
 each with a CRC-16 and 576 payload bytes in its ancillary part. The reader takes any MPEG-1/2/2.5 Layer I-III stream: it skips
-tags, finds frame headers that chain to a next header or the stream's end, resynchronises after damage, verifies checksums of
-protected Layer III frames, reads Xing/Info tables, and gives exact durations (samples) and each frame's place.
+tags, finds frame headers that chain to a next header, a tag or the stream's end, resynchronises after damage, verifies checksums of
+protected Layer I and III frames (those of Layer II take tables of its bit allocations and aren't verified), reads Xing/Info and
+VBRI tables, and gives exact durations (samples over rate) and each frame's place.
 
 Null texts are empty: one frame's payload of bytes 255. Equal texts give equal streams. Repeated rows are each written. Bytes
 that hold no frame give no frames and duration 0. An empty table gives an empty result. Extra columns are ignored.
@@ -59,6 +60,7 @@ class Header:
     rate: int
     padding: int
     mono: bool
+    bound: int = 32  # Layer I and II: first subband of joint stereo, 32 in other modes
 
     @property
     def samples(self) -> int:
@@ -76,6 +78,11 @@ class Header:
             return 0
         return (17 if self.mono else 32) if self.version == 1 else (9 if self.mono else 17)
 
+    @property
+    def checked_size(self) -> int:
+        """Bytes after the checksum that it covers besides the header's last two: side information, or Layer I's bit allocation."""
+        return self.side_size if self.layer == 3 else (16 if self.mono else (32 + self.bound) // 2) if self.layer == 1 else 0
+
 
 @lru_cache(4096)
 def parse_header(four: bytes) -> Header | None:
@@ -86,7 +93,7 @@ def parse_header(four: bytes) -> Header | None:
     bitrate, rate = four[2] >> 4, four[2] >> 2 & 3
     if version is None or layer == 4 or bitrate in (0, 15) or rate == 3 or four[3] & 3 == 2:
         return None
-    return Header(version, layer, not four[1] & 1, BITRATES[version == 1, layer][bitrate - 1], RATES[rate] // {1: 1, 2: 2, 25: 4}[version], four[2] >> 1 & 1, four[3] >> 6 == 3)
+    return Header(version, layer, not four[1] & 1, BITRATES[version == 1, layer][bitrate - 1], RATES[rate] // {1: 1, 2: 2, 25: 4}[version], four[2] >> 1 & 1, four[3] >> 6 == 3, 4 * (four[3] >> 4 & 3) + 4 if four[3] >> 6 == 1 else 32)
 
 
 @dataclass
@@ -126,13 +133,19 @@ def parse_tag(data: bytes) -> tuple[dict[str, str], int]:
         size = number(data[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
         name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)]
         if name[0] == "T" and body:
-            out[name] = body[1:].decode("utf-8" if body[0] == 3 else "utf-16" if body[0] in (1, 2) else "latin-1", "replace").rstrip("\0")
+            text = body[1:].decode("utf-8" if body[0] == 3 else "utf-16" if body[0] in (1, 2) else "latin-1", "replace").rstrip("\0")
+            if name == "TXXX":  # a described text: its description is part of its name
+                described, _, text = text.partition("\0")
+                name = f"TXXX:{described}"
+            out[name] = text
         at += 10 + size
     return out, end
 
 
 def parse_table(frame: bytes, header: Header) -> dict[str, int]:
-    """Of a Xing/Info table in the first frame: frames and bytes, as far as it tells."""
+    """Of a Xing/Info or VBRI table in the first frame: frames and bytes, as far as it tells."""
+    if frame[36:40] == b"VBRI" and len(frame) >= 54:  # always 32 bytes after the header
+        return {"table": 1, "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
     at = 4 + 2 * header.protected + header.side_size
     if frame[at : at + 4] not in (b"Xing", b"Info"):
         return {}
@@ -147,31 +160,37 @@ def parse_table(frame: bytes, header: Header) -> dict[str, int]:
 
 
 def parse(data: bytes) -> Stream:
-    """All frames of a stream. A header counts if the frame fits and the next bytes are another header, a tag, or the end.
+    """All frames of a stream. Without sync a header counts if the frame fits and the next bytes are another header, a tag, or the end;
+    in sync the frame before has told its place, so it counts if the frame fits.
 
-    The letters TAG 128 bytes before the end begin an ID3v1 tag only if no frame of the chain runs over them.
+    The letters TAG 128 bytes before the end begin an ID3v1 tag only if no frame of the chain runs over them. resyncs counts how often
+    sync was lost; bytes before the first frame are no loss.
     """
     out = Stream()
     out.tag, at = parse_tag(data)
     end = len(data)
     tail = end - 128 if data[-128:-125] == b"TAG" else end
-    synced = True
+    synced = False
+
+    def chained(after: int) -> bool:
+        return after in (end, tail) or parse_header(data[after : after + 4]) is not None or data[after : after + 3] in (b"TAG", b"ID3") or data[after : after + 8] == b"APETAGEX"
+
     while at + 4 <= end:
         if at == tail or (not synced and at > tail):
             break
         header = parse_header(data[at : at + 4])
         after = at + header.size if header else 0
-        unsure = (not synced and after + 4 <= tail) or at < tail < after < end
-        if not header or after > end or (unsure and parse_header(data[after : after + 4]) is None):
+        unsure = not synced or at < tail < after < end
+        if not header or after > end or (unsure and not chained(after)):
             out.resyncs += synced
             synced, at = False, data.find(b"\xff", at + 1)
             if at < 0:
                 break
             continue
-        if header.protected and header.layer == 3:
+        if header.protected and header.checked_size:
             out.checked += 1
             body = at + 6
-            out.damaged += _crc(data[at + 2 : at + 4] + data[body : body + header.side_size]) != int.from_bytes(data[at + 4 : body], "big")
+            out.damaged += _crc(data[at + 2 : at + 4] + data[body : body + header.checked_size]) != int.from_bytes(data[at + 4 : body], "big")
         table = parse_table(data[at:after], header) if not out.headers and not out.table else {}
         if table:
             out.table = table
@@ -214,8 +233,8 @@ def encode(payload: bytes, n_bytes: int) -> bytes:
     ends = np.cumsum(626 + pads)
     toc = bytes(int(256 * (ends[n * k // 100] - 626) // max(1, ends[-1])) & 255 for k in range(100))
     table = (_STARTS[0] + b"Xing" + struct.pack(">III", 7, n, 626 + len(frames)) + toc).ljust(626, b"\0")
-    text = b"\3" + str(n_bytes).encode()
-    frame = b"TLEN" + synchsafe(len(text)) + b"\0\0" + text
+    text = b"\3n_bytes\0" + str(n_bytes).encode()
+    frame = b"TXXX" + synchsafe(len(text)) + b"\0\0" + text
     return b"ID3\4\0\0" + synchsafe(len(frame)) + frame + table + frames
 
 
@@ -269,4 +288,4 @@ def read_media(media: DataFrame) -> DataFrame:
 
 def op8_mpeg_audio(spark, sf_dir: str) -> DataFrame:
     got = read_media(write_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "frame_offsets")

@@ -34,3 +34,40 @@ def test_media_with_tag(spark):
         p = ma.padded(t.encode())
         want.add((k, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
     assert {(r.doc_id, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in ma.read_media(ma.write_media(docs)).collect()} == want
+
+
+def test_false_header_in_leading_garbage():
+    payload = ma.padded(b"text " * 400)
+    data = ma.encode(payload, 2000)
+    start = ma.parse(data)
+    garbage = bytes((0xFF, 0xFA, 11 << 4, 0xC0)) + bytes(50)
+    body = data[data.index(b"\xff\xfa", 10) :]
+    got = ma.parse(garbage + body)
+    assert got.table == start.table and got.resyncs == 0
+    assert ma.decode(garbage + body, got) == payload
+    assert ma.parse(garbage).offsets == [] and ma.parse(garbage * 3).offsets == []
+
+
+def test_tag_tells_the_bytes_held():
+    stream = ma.parse(ma.encode(ma.padded(b"abc"), 3))
+    assert stream.tag == {"TXXX:n_bytes": "3"}
+
+
+def test_vbri_table():
+    frame = bytearray(ma._start(0).ljust(626, b"\0"))
+    frame[36:40], frame[46:50], frame[50:54] = b"VBRI", (5000).to_bytes(4, "big"), (7).to_bytes(4, "big")
+    stream = ma.parse(bytes(frame) + ma._start(0).ljust(626, b"\0") * 2)
+    assert stream.table == {"table": 1, "bytes": 5000, "frames": 7} and len(stream.offsets) == 2
+
+
+def test_checksums_of_layer_one():
+    head = bytes((0xFF, 0xFE, 4 << 4, 0x40))  # MPEG-1 Layer I, protected, 128 kbit/s, 44.1 kHz, joint stereo
+    header = ma.parse_header(head)
+    assert (header.layer, header.bound, header.checked_size) == (1, 4, 18)
+    body = bytes(range(18))
+    good = head + ma.crc16(head[2:] + body).to_bytes(2, "big") + body
+    frame = good.ljust(header.size, b"\0")
+    bad = bytearray(frame)
+    bad[10] ^= 1
+    stream = ma.parse(frame + bytes(bad) + frame)
+    assert (stream.checked, stream.damaged, stream.samples) == (3, 1, 3 * 384)
