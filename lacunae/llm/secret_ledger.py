@@ -2,8 +2,10 @@
 
 Every version of every text is addressed by its content (SHA-256). The ledger holds, for each blob and rule version, what the
 scan found. A run looks up which pairs of blob and rule version the ledger lacks, scans one copy of each of those blobs, appends
-the findings, and joins them back to every path (here: every row) that holds the blob. Unchanged texts are so never scanned
-again, copies are scanned once, and a new rule version scans everything afresh without touching the old findings.
+the findings, and joins them back to every path and version (every row, by the columns that name it) that holds the blob. Unchanged
+texts are so never scanned again, copies are scanned once, and a new rule version scans everything afresh without touching the
+old findings. Two runs that append at once, or one that is repeated after its driver was lost, may put a pair into the ledger
+twice; readers take it once.
 
 Null texts are the empty blob. Repeated rows each get the blob's findings. An empty table gives an empty result and leaves the
 ledger as it is. Extra columns are ignored. Offsets are code points, ends exclusive.
@@ -47,9 +49,9 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger at path; an empty one where nothing has been written yet."""
+    """The ledger at path, each blob and rule version once; an empty one where nothing has been written yet."""
     try:
-        return spark.read.schema(_LEDGER).parquet(path)
+        return spark.read.schema(_LEDGER).parquet(path).dropDuplicates(["blob", "rule_version"])
     except AnalysisException as none:
         if "PATH_NOT_FOUND" not in str(none):
             raise
@@ -72,13 +74,18 @@ def scan_unseen(blobs: DataFrame, ledger: str, rule_version: int = RULE_VERSION)
     map_texts(unseen, ["blob", "text"], make, _LEDGER).write.mode("append").parquet(ledger)
 
 
-def find_secrets(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, blob, and the blob's kinds, starts and ends, for every row of docs."""
+def with_blobs(docs: DataFrame, paths: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns that name a version of a path, blob (its content's address) and text (null as empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+    return docs.select(*paths, F.sha2(text, 256).alias("blob"), text.alias("text"))
+
+
+def find_secrets(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION, paths: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns of paths (say path and commit), blob, and the blob's kinds, starts and ends, for every row of docs."""
+    rows = with_blobs(docs, paths, text_col)
     scan_unseen(rows.select("blob", "text"), ledger, rule_version)
     found = read_ledger(docs.sparkSession, ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
-    return rows.select("doc_id", "blob").join(found, "blob")
+    return rows.select(*paths, "blob").join(found, "blob")
 
 
 def joined(base_only: bool):
@@ -91,7 +98,9 @@ def joined(base_only: bool):
 
 
 def op9_secret_ledger(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = find_secrets(docs, fresh_path(spark, "secret-ledger"))
+    """Two runs: an earlier state (the documents whose address begins with 0) fills the ledger, then all documents are scanned on top of it."""
+    docs, ledger = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_path(spark, "secret-ledger")
+    scan_unseen(with_blobs(docs).where(F.col("blob").startswith("0")).select("blob", "text"), ledger)
+    found = find_secrets(docs, ledger)
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("bigint")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"))
