@@ -1,7 +1,7 @@
 """Token ids written as bit- or byte-planes.
 
-Every text is encoded with the tokenizers library; the end id follows each document. Documents are dealt to shards by ranges
-of doc_id and sorted, so the shards in order hold all ids in ascending doc_id order. A shard is a list of chunks, each with
+Every text is encoded with the tokenizers library (where the tokenizer's file allows it, each distinct word once); the end id
+follows each document. Documents are dealt to shards by ranges of doc_id and text hash and sorted, so the shards in order hold all ids in ascending doc_id order. A shard is a list of chunks, each with
 the ids of some whole documents; a chunk's ids are cut into blocks of a fixed size, each block transposed into planes (the
 first byte or bit of every id, then the second, ...), and each plane compressed with zstandard. A chunk's index gives where
 each plane begins, so that a block or a plane can be read alone. Chunks are rows of a Parquet table in the shared folder:
@@ -40,10 +40,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a tokenizer's file must say for texts to be encoded word by word. Fixed values of the format.
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def by_words(tokenizer: dict) -> bool:
+    """Whether a tokenizer (the parsed file) lower-cases, cuts at white space first, marks words' ends, and adds nothing to a text."""
+    normal, cut, model = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}, tokenizer["model"]
+    return (
+        normal.get("normalizers") == WORD_NORMALIZERS
+        and [x if x["type"] == "Split" else x["type"] for x in cut.get("pretokenizers", ())] == [WORD_SPLIT, "ByteLevel"]
+        and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout")
+        and not tokenizer.get("truncation") and not tokenizer.get("padding")
+        and all(x["content"].startswith("<|") for x in tokenizer.get("added_tokens", ()))
+    )
+
+
+class WholeTexts:
+    """Ids of whole texts by the library, for any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core already
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation(), self.tokenizer.no_padding()
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [np.array(e.ids, "<u4").tobytes() + end for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+
+
 class Encoder:
-    """Ids of whole texts, by a memo of blank-separated words.
+    """Ids of whole texts, by a memo of blank-separated words, for tokenizers of which by_words holds.
 
-    This tokenizer cuts at white space before anything else, and its normaliser never composes characters across a blank, so
+    Such a tokenizer cuts at white space before anything else, and its normaliser never composes characters across a blank, so
     a text's ids are those of its blank-separated words in turn. Lower-case letters and the marks after them are also cut apart.
     """
 
@@ -201,8 +233,8 @@ def write_planes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if parts:
             yield chunk()
 
-    dealt = base.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    dealt = base.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     dealt.mapInArrow(encode, schema).write.option("compression", "none").parquet(path)
 
 
@@ -218,13 +250,14 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = GATHER_BYTES) -> Ite
         yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder | WholeTexts] = {}
 
 
-def shared_encoder(path: str) -> Encoder:
+def shared_encoder(path: str) -> Encoder | WholeTexts:
     """One encoder a worker process, so that its memo serves all its tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        with open(path, encoding="utf-8") as file:
+            _ENCODERS[path] = Encoder(path) if by_words(json.load(file)) else WholeTexts(path)
     return _ENCODERS[path]
 
 
