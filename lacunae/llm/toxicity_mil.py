@@ -10,7 +10,7 @@ every document has, takes up their share, so that long clean documents aren't ma
 hold significantly more often than others have a weight (MIN_DOCS, MIN_Z); rare words would only learn the noise by heart.
 
 Words are hashed to FEATURES places. Null and empty texts have one empty sentence, so their score is that of no words. Repeated
-rows get equal results. Without labelled rows every score is 0. Of documents with several labels any toxic one counts. Extra
+rows get equal results; of several texts of a labelled doc_id the least in order is learned from. Without labelled rows every score is 0. Of documents with several labels any toxic one counts. Extra
 columns are ignored.
 """
 
@@ -28,8 +28,10 @@ from .common import Memo, held_out, map_texts, texts_of
 
 FEATURES = 1 << 18
 THRESHOLD = 0.3
-#: Bound on the labelled documents that are learned from.
+#: Bounds on the labelled documents that are learned from: their number, and the bytes of each. The driver so holds the features
+#: of SAMPLE * SAMPLE_BYTES bytes of text at the most, whatever the corpus.
 SAMPLE = 5_000
+SAMPLE_BYTES = 32_768
 #: Lengths in bytes of the beginnings of words that count besides the words.
 PREFIXES = (3, 5)
 MIN_DOCS = 20
@@ -121,13 +123,15 @@ def train(words: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels:
     return Model(out, float(theta[-2]), float(theta[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> Model | None:
-    """Train on labelled documents that are not held out, at most `sample` of them, chosen by a hash of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = 11) -> Model | None:
+    """Train on labelled documents that are not held out, at most `sample` of them, chosen by a hash of their ids, of those those with at
+    most `sample_bytes` of text."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", 4, 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = base.join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
+    chosen = base.where(F.octet_length("text") <= sample_bytes).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def make():
         features = Memo(features_of)
@@ -155,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, n_sentences, worst_sentence (its place), worst_score, worst_start, worst_end (code points)."""
+    """doc_id, score, n_sentences, worst_sentence (its place), worst_score, worst_start, worst_end (code points), and offending: the
+    spans (starts and ends in turn) of all sentences that reach the threshold by themselves."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,37 +170,44 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         def work(batch):
             texts = texts_of(batch)
             rows = [of_text(t) for t in texts]
-            spans = [_span(t, k) for t, (_, _, k, _) in zip(texts, rows, strict=True)]
-            return {"doc_id": batch.column("doc_id")} | dict(zip(("score", "n_sentences", "worst_sentence", "worst_score"), map(list, zip(*rows, strict=True)), strict=True)) | {"worst_start": [s for s, _ in spans], "worst_end": [e for _, e in spans]}
+            spans = [_spans(t, [k, *bad]) for t, (_, _, k, _, bad) in zip(texts, rows, strict=True)]
+            names = ("score", "n_sentences", "worst_sentence", "worst_score")
+            told = {"worst_start": [s[0][0] for s in spans], "worst_end": [s[0][1] for s in spans], "offending": [[x for pair in s[1:] for x in pair] for s in spans]}
+            return {"doc_id": batch.column("doc_id")} | {n: [r[k] for r in rows] for k, n in enumerate(names)} | told
 
         return work
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return map_texts(base, ["doc_id", "text"], make, f"doc_id {kind}, score double, n_sentences bigint, worst_sentence bigint, worst_score double, worst_start bigint, worst_end bigint")
+    return map_texts(base, ["doc_id", "text"], make, f"doc_id {kind}, score double, n_sentences bigint, worst_sentence bigint, worst_score double, worst_start bigint, worst_end bigint, offending array<bigint>")
 
 
-def _span(text: str, nth: int) -> tuple[int, int]:
-    """Code-point span of the nth sentence."""
-    flat, start = text.translate(_ENDS), 0
-    for _ in range(nth):
-        start = flat.index("\n", start) + 1
-    end = flat.find("\n", start)
-    return start, len(text) if end < 0 else end
+def _spans(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """Code-point spans of the sentences at these places."""
+    wanted, flat, out, start = set(places), text.translate(_ENDS), {}, 0
+    for nth in range(max(places) + 1):
+        end = flat.find("\n", start)
+        end = len(text) if end < 0 else end
+        if nth in wanted:
+            out[nth] = (start, end)
+        start = end + 1
+    return [out[k] for k in places]
 
 
 _ENDS = str.maketrans(".!?", "\n\n\n")
 
 
-def scorer(model: Model | None) -> Callable[[str], tuple[float, int, int, float]]:
-    """text -> score, sentences, place and score of the worst."""
+def scorer(model: Model | None, threshold: float = THRESHOLD) -> Callable[[str], tuple[float, int, int, float, list[int]]]:
+    """text -> score, sentences, place and score of the worst, places of those that reach the threshold."""
     if model is None:
-        return lambda text: (0.0, len(sentences_of(text)), 0, 0.0)
+        return lambda text: (0.0, len(sentences_of(text)), 0, 0.0, [])
+    least = float(np.log(threshold / (1 - threshold)))
     weight = Memo(lambda w: float(model.weights[features_of(w)].sum())).__getitem__
 
     def of_text(text: str) -> tuple[float, int, int, float]:
         z = np.array([sum(map(weight, s)) for s in sentences_of(text)]) + model.bias
         worst = int(z.argmax())
-        return noisy_or(np.append(z, model.leak)), len(z), worst, float(1 / (1 + np.exp(-z[worst])))
+        bad = np.flatnonzero(z >= least).tolist() if z[worst] >= least else []
+        return noisy_or(np.append(z, model.leak)), len(z), worst, float(1 / (1 + np.exp(-z[worst]))), bad
 
     return of_text
 
@@ -205,4 +217,4 @@ def op4_toxicity_mil(spark, sf_dir: str) -> DataFrame:
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     got = score(docs, model)
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
-    return got.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", predicted, "worst_start", "worst_end")
+    return got.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", predicted, "worst_start", "worst_end", "offending")
