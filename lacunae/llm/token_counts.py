@@ -31,7 +31,8 @@ def default_model() -> str:
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """All pieces with their scores, in the order of ids; controls and byte pieces are listed but match no text (see Counter)."""
+    """All pieces with their scores, in the order of ids. Controls and byte pieces are among them and match text that spells them out,
+    as in the library's Unigram model of the same vocabulary."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
