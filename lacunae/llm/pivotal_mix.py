@@ -7,10 +7,11 @@ next document. Expectations and the source's total are kept at each step. Groups
 parallel; each leaves one open residual, and the residuals meet again in groups on the next level of a reduction tree, until
 one is left for each source. The words taken from a source so differ from its target by less than the last document's size.
 
-Random numbers are hashes of seed, level and doc_id, so reruns agree; one hash sorts a group and another decides its transfers,
-so that a transfer is random given the pair. Null sources are a source of their own, last in order.
-Null and empty texts have no words and are never in doubt. Repeated rows are rounded each on its own. An empty table gives an
-empty result. Extra columns are ignored.
+Random numbers are hashes of seed, level and a row's key (doc_id, text hash, and its number among rows that repeat both), so
+reruns agree, and rows of one id, or without an id, are dealt to groups like any others; one hash sorts a group and another
+decides its transfers, so that a transfer is random given the pair. Null sources are a source of their own, last in order.
+Null and empty texts have no words and are never in doubt. Repeated rows are counted first, then numbered in blocks, and rounded
+each on its own. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,18 +20,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, unused
+from .common import partitions, stored, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 GROUP = 128
+#: Repeats of one row that are numbered at once.
+REPEATS = 4096
 
 
 def with_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: the number of runs of characters other than ASCII blanks."""
+    """doc_id, source, size (the number of runs of characters other than ASCII blanks), h (a hash of the text)."""
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.cast("bigint").alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.cast("bigint").alias("size"), F.xxhash64(text_col).alias("h"))
+
+
+def numbered_repeats(sizes: DataFrame) -> DataFrame:
+    """sizes with h made a key of the row: equal rows are counted (copies meet before the shuffle) and numbered.
+
+    Numbers come in blocks, which are dealt anew before they are written out as rows, so that a row repeated very often isn't one task's.
+    """
+    names = sizes.columns
+    counted = sizes.groupBy(*names).agg(F.count("*").alias("_m"))
+    blocks = counted.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_m") - 1) / REPEATS))))
+    blocks = blocks.repartition(partitions(sizes.sparkSession), F.xxhash64("doc_id", "h", "_b"))
+    last = F.least(F.col("_m"), (F.col("_b") + 1) * REPEATS) - 1
+    rows = blocks.withColumn("_k", F.explode(F.sequence(F.col("_b") * REPEATS, last)))
+    return rows.withColumn("h", F.xxhash64("h", "_k")).select(names)
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -74,28 +91,28 @@ def round_group(ps: list[float], sizes: list[float], us: list[float]) -> tuple[l
     return [float(round(p)) if k != open_ else p for k, p in enumerate(ps)], open_
 
 
-_UNIT = "doc_id {id}, source string, size bigint, source_size bigint, target double, whole bigint, p double, part bigint, turn bigint, u double, open boolean"
+_UNIT = "doc_id {id}, source string, size bigint, h bigint, source_size bigint, target double, whole bigint, p double, part bigint, turn bigint, u double, open boolean"
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 1, group: int = GROUP, **columns) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: how often each document enters the mix, and its words there."""
-    sizes = stored(with_sizes(docs, **columns), "mix-sizes")
+    sizes = stored(numbered_repeats(with_sizes(docs, **columns)), "mix-sizes")
     table = stored(targets(sizes, weights, share, most), "mix-targets")
     schema = _UNIT.format(id=sizes.schema["doc_id"].dataType.simpleString())
     t = table.select(F.col("source").alias("_s"), "source_size", "target", F.ceil(F.col("n_docs") / group).alias("parts"))
     unit = sizes.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     unit = unit.withColumn("whole", F.floor(rate)).withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
-    unit = unit.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts"))).drop("parts")
+    unit = unit.withColumn("part", F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.col("parts"))).drop("parts")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def drawn(df: DataFrame, level: int) -> DataFrame:
-        u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), F.lit(level), F.lit("u")), 11) / F.lit(float(1 << 53))
-        turn = F.xxhash64("doc_id", F.lit(seed), F.lit(level), F.lit("turn"))
+        u = F.shiftrightunsigned(F.xxhash64("doc_id", "h", F.lit(seed), F.lit(level), F.lit("u")), 11) / F.lit(float(1 << 53))
+        turn = F.xxhash64("doc_id", "h", F.lit(seed), F.lit(level), F.lit("turn"))
         return df.withColumn("turn", turn).withColumn("u", u).withColumn("open", F.lit(False)).select(names)
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["turn", "doc_id", "size", "h"], kind="stable")
         ps, open_ = round_group(pdf["p"].tolist(), pdf["size"].tolist(), pdf["u"].tolist())
         return pdf.assign(p=ps, open=[k == open_ for k in range(len(ps))])
 
