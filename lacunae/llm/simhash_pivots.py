@@ -7,10 +7,12 @@ by more than the wanted distance is discarded, and only survivors are verified b
 A pivot lets a little over half of random pairs pass, so pivots alone would still have to look at every pair. Which pairs meet
 at all is therefore decided by blocks of bits: of distance+e blocks at least e are equal in any linked pair, so fingerprints
 meet in one bucket for each choice of e blocks. e is 2, and more for so many fingerprints that buckets of two would be large. Only distinct fingerprints are dealt to buckets, in packed rows. Within a bucket links
-are kept as a spanning forest, never as all pairs, and in a large bucket each fingerprint is compared only with those that no
-earlier one has reached. Components then come from label propagation with pointer jumping over written tables.
+are kept as a spanning forest, never as all pairs: in a large bucket each fingerprint is compared only with those that no
+earlier one has reached, and where that would still mean too many comparisons, what is left of the bucket is dealt again by the
+bits that it hasn't been dealt by yet (cut into distance+1 blocks, one of which is equal in any linked pair). Components then come from label propagation with pointer jumping over written tables.
 
-Null and empty texts have fingerprint zero and link like any other. Rows with equal doc_ids are each given their result.
+Null and empty texts have fingerprint zero and link like any other. Rows with equal doc_ids are each given their result; where one
+of each component is kept, it is the row with the smallest text hash among those of its smallest doc_id.
 A null doc_id is never the smallest id; a component of null ids only has a null component_id. Extra columns are ignored.
 """
 
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix64, partitions, small_batches, stored, texts_of, unused
-from .packed_exchange import SCHEMA, Gathered, batch_of, bucket_rows, group_starts
+from .common import buckets_for, map_texts, mix64, small_batches, stored, texts_of, unused
+from .packed_exchange import SCHEMA, Gathered, batch_of, bucket_rows, group_starts, per_group
 
 SHINGLE = 4
 DISTANCE = 4
 PIVOTS = 16
 #: Buckets up to this size are compared pair by pair at once; in larger ones reached fingerprints are left out.
 SMALL_BUCKET = 24
+#: Comparisons within one bucket after which the rest of it is dealt by further bits.
+BUCKET_WORK = 4_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LANES = np.uint64(0x0101010101010101)
@@ -76,21 +80,23 @@ def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the 64-bit fingerprint as a signed integer."""
+    """doc_id, h, fp: a hash of the text, and the 64-bit fingerprint as a signed integer."""
 
     def make():
         def work(batch):
-            return {"doc_id": batch.column("doc_id"), "fp": pa.array(fingerprints([shingle_hashes(t, shingle) for t in texts_of(batch)]).view(np.int64))}
+            return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "fp": pa.array(fingerprints([shingle_hashes(t, shingle) for t in texts_of(batch)]).view(np.int64))}
 
         return work
 
-    return map_texts(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], make, "doc_id bigint, fp bigint")
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    return map_texts(base, ["doc_id", "text", "h"], make, "doc_id bigint, h bigint, fp bigint")
 
 
-def bit_blocks(n: int) -> list[np.uint64]:
-    """n masks that share out the 64 bits."""
-    edges = [64 * k // n for k in range(n + 1)]
-    return [np.uint64(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(edges, edges[1:])]
+def bit_blocks(n: int, free: int = (1 << 64) - 1) -> list[np.uint64]:
+    """n masks that share out the bits of free (all 64)."""
+    bits = [b for b in range(64) if free >> b & 1]
+    edges = [len(bits) * k // n for k in range(n + 1)]
+    return [np.uint64(sum(1 << b for b in bits[x:y])) for x, y in zip(edges, edges[1:])]
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -112,10 +118,14 @@ def _near(fps, table, i, j, distance: int) -> np.ndarray:
     return out
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect, within each group of equal keys, all fingerprints that are connected there."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, free: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect, within each group of equal keys, all fingerprints that are connected there.
+
+    free: bits by which a group hasn't been dealt yet, of each row or of all.
+    """
+    free = np.broadcast_to(np.asarray(free, np.uint64), keys.shape)
     order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
+    keys, fps, free = keys[order], fps[order], free[order]
     table = pivot_table(fps)
     starts = np.flatnonzero(group_starts(keys))
     sizes = np.diff(np.r_[starts, len(keys)])
@@ -128,24 +138,44 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) ->
         for part in np.array_split(i, len(i) // 200_000 + 1):
             hit = part[_near(fps, table, part, part + step, distance)]
             left.append(fps[hit]), right.append(fps[hit + step])
-    for s, n in zip(starts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
+    for s, n in zip(starts[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist(), strict=True):
         unreached = np.arange(s, s + n)
         queue: list[int] = []
+        work = 0
         while len(unreached):
             if not queue:
                 queue, unreached = [int(unreached[0])], unreached[1:]
             at = queue.pop()
+            work += len(unreached)
             hit = _near(fps, table, unreached, np.array([at]), distance) if len(unreached) else np.empty(0, bool)
             got = unreached[hit]
             if len(got):
                 left.append(np.full(len(got), fps[at])), right.append(fps[got])
                 queue.extend(got.tolist())
                 unreached = unreached[~hit]
+            own = int(free[s])
+            if work > BUCKET_WORK and own.bit_count() > 2 * distance and len(unreached) > SMALL_BUCKET:
+                # what has been compared with all of the rest is done; the rest meets again by other bits
+                rest = fps[np.r_[unreached, np.array(queue, np.int64)]]
+                for mask in bit_blocks(distance + 1, own):
+                    u, v = bucket_links(rest & mask, rest, distance, own & ~int(mask))
+                    left.append(u), right.append(v)
+                break
     if not left:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     return np.concatenate(left), np.concatenate(right)
 
 
+def differing(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """For each row: the bits in which the fingerprints of its key differ at all."""
+    order = np.argsort(keys, kind="stable")
+    new = group_starts(keys[order])
+    bits = per_group(np.bitwise_or, fps[order], new) & ~per_group(np.bitwise_and, fps[order], new)
+    out = np.empty_like(bits)
+    out[order] = bits
+    return out
+
+
 def equal_blocks(n: int, distance: int = DISTANCE, fill: int = 8) -> int:
     """How many blocks must be equal so that n unrelated fingerprints put about `fill` at most in a bucket; at least 2."""
     e = 2
@@ -157,18 +187,18 @@ def equal_blocks(n: int, distance: int = DISTANCE, fill: int = 8) -> int:
 def links(distinct: DataFrame, distance: int = DISTANCE, equal: int | None = None) -> DataFrame:
     """Pairs u < v of linked fingerprints that connect whatever is connected; distinct has one row for each fp."""
     spark = distinct.sparkSession
-    equal = equal or equal_blocks(distinct.count(), distance)
-    n_buckets = partitions(spark)
+    n = distinct.count()
+    equal = equal or equal_blocks(n, distance)
+    chosen = list(combinations(bit_blocks(distance + equal), equal))
+    n_buckets = buckets_for(spark, n * len(chosen) * 80)  # a key, a fingerprint, its pivot row and what sorting them takes
     small_batches(spark)
 
     def deal(batches):
-        masks = bit_blocks(distance + equal)
         waiting: list[np.ndarray] = []
 
         def ship():
             fps = np.concatenate(waiting)
-            chosen = [np.bitwise_or.reduce(np.array(c)) for c in combinations(masks, equal)]
-            keys = np.concatenate([mix64((fps & mask) ^ mix64(np.array([t + 1], np.uint64))) for t, mask in enumerate(chosen)])
+            keys = np.concatenate([mix64((fps & np.bitwise_or.reduce(np.array(c))) ^ mix64(np.array([t + 1], np.uint64))) for t, c in enumerate(chosen)])
             again = np.tile(fps, len(keys) // len(fps))
             waiting.clear()
             return batch_of(list(bucket_rows(n_buckets, keys, None, again.view(np.int64), None, None)))
@@ -186,7 +216,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, equal: int | None = Non
             for k in range(batch.num_rows):
                 blocks.add(batch, k)
         keys, fps = blocks.arrays()
-        u, v = bucket_links(keys, fps, distance)
+        # a key tells its choice of blocks no more, so of a bucket only bits that all its fingerprints share are known to be used up
+        u, v = bucket_links(keys, fps, distance, differing(keys, fps))
         u, v = u.view(np.int64), v.view(np.int64)
         pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
         for k in range(0, len(pairs), 100_000):
@@ -211,28 +242,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, fingerprint (hex), component_id (smallest doc_id reachable over links)."""
+    """doc_id, h, fp, fingerprint (hex), label (one for each component), component_id (smallest doc_id reachable over links)."""
     prints = stored(fingerprint_documents(docs, id_col, text_col, shingle), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     labels = components(links(distinct, distance))
     known = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     smallest = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_print = known.join(smallest, "label").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = known.join(smallest, "label").select("fp", "label", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "h", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "label", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, of which doc_id is its component's smallest; of repeated doc_ids one row stays.
+def keep_one_of_each(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, one of each component: of the rows with its smallest doc_id that with the smallest text hash.
 
-    Rows without an id, which no component can be named after, stay. The join and the numbering of repeated ids share one
-    exchange by doc_id.
+    Of rows that repeat that one in id and text, the first by a hash of all columns stays. Rows without an id, which no component
+    can be named after, stay. Joining and numbering share one exchange by doc_id.
     """
-    keep = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    nth = unused(docs, "nth")
-    own = docs.where("doc_id is not null").join(keep, docs["doc_id"] == keep["kept"], "left_semi")
-    first = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(nth) == 1).drop(nth)
+    rows = near_duplicates(docs, text_col=text_col, **options).where("doc_id = component_id")
+    keep = rows.groupBy("label", F.col("doc_id").alias("kept")).agg(F.min("h").alias("kept_h")).select("kept", "kept_h").distinct()
+    nth, h, turn = unused(docs, "nth"), unused(docs, "h"), unused(docs, "turn")
+    own = docs.where("doc_id is not null").withColumns({h: F.xxhash64(text_col), turn: F.xxhash64(*hashable(docs))})
+    own = own.join(keep, (own["doc_id"] == keep["kept"]) & (own[h] == keep["kept_h"]), "left_semi")
+    first = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(turn))).where(F.col(nth) == 1).drop(nth, h, turn)
     return first.unionByName(docs.where("doc_id is null"))
 
 
+def hashable(docs: DataFrame) -> list:
+    """The columns that xxhash64 takes; maps go as their sorted entries."""
+    return [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "variant"]
+
+
 def op10_simhash_pivots(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
