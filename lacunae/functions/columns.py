@@ -6,6 +6,10 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
+#: Columns that name a series, where a call doesn't give others.
+KEYS = ["series_id"]
+
+
 def seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))

@@ -13,6 +13,10 @@ from ..functions.columns import in_order, skill
 from .grid import KEYS
 
 
+#: Draws that are written out at once.
+SLOTS = 4096
+
+
 def draw(seed: int, rep: Column, slot: Column, n: Column) -> Column:
     """A whole number from 0 to n - 1."""
     text = F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), slot.cast("string"))
@@ -20,9 +24,14 @@ def draw(seed: int, rep: Column, slot: Column, n: Column) -> Column:
 
 
 def draws(groups: DataFrame, n: str, reps: int, seed: int, keys: list[str], slots: Column | None = None) -> DataFrame:
-    """keys, rep, slot, place: n draws of n (or slots of n) for each replicate. groups: one row for each key with its n."""
-    each = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    each = each.withColumn("slot", F.explode(F.sequence(F.lit(0), (slots if slots is not None else F.col(n)) - 1)))
+    """keys, rep, slot, place: n draws of n (or slots of n) for each replicate. groups: one row for each key with its n.
+
+    Slots come in blocks, which are dealt over all tasks before they are written out as rows: no task has all draws of a key.
+    """
+    each = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_m", slots if slots is not None else F.col(n))
+    each = each.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_m") - 1) / SLOTS)))).repartition(*keys, "rep", "_b")
+    last = F.least(F.col("_m"), (F.col("_b") + 1) * SLOTS) - 1
+    each = each.withColumn("slot", F.explode(F.sequence(F.col("_b") * SLOTS, last.cast("bigint")))).drop("_b", "_m")
     return each.withColumn("place", draw(seed, F.col("rep"), F.col("slot"), F.col(n)))
 
 
@@ -47,12 +56,30 @@ def bias_interval(arm_a: DataFrame, arm_c: DataFrame, blocks: DataFrame, reps: i
     `share` of its rows are left out. With redraws over 1 up to redraws * reps are drawn and the first reps usable ones count;
     the interval is null where fewer than half of reps are usable (n_reps tells how many).
     """
-    def sums(arm: DataFrame, name: str) -> DataFrame:
-        got = arm.join(blocks.select(*keys, "t", "block"), [*keys, "t"])
-        return got.groupBy(*keys, "block").agg(F.count("*").alias(f"n_{name}"), F.sum("em2").alias(f"m_{name}"), F.sum("ep2").alias(f"p_{name}"))
+    own = [*keys, "t"]
+    rows = blocks.select(*own, "block")
+    for arm, x in ((arm_a, "a"), (arm_c, "c")):
+        rows = rows.join(arm.select(*own, F.col("em2").alias(f"m_{x}"), F.col("ep2").alias(f"p_{x}"), F.lit(1).alias(f"n_{x}")), own, "left")
+    table = rows.groupBy(*keys, "block").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_a", "m_a", "p_a", "n_c", "m_c", "p_c")])
+    return bias_of_blocks(table, reps, seed, keys, share, redraws)
+
+
+def block_sums(rows: DataFrame, in_a: Column, in_c: Column, em2: str, ep2: str, keys: list[str] = KEYS, em2_a: str | None = None) -> DataFrame:
+    """keys, block and for both arms n, m, p: counts and sums of squared errors, of rows that carry block, in one aggregate.
+
+    em2_a: the squared errors of arm A's own model, where it has another than C's.
+    """
+    part = lambda c, f, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0)).alias(f)
+    one, m, p = F.lit(1), F.col(em2), F.col(ep2)
+    return rows.groupBy(*keys, "block").agg(part(in_a, "n_a", one), part(in_a, "m_a", F.col(em2_a or em2)), part(in_a, "p_a", p), part(in_c, "n_c", one), part(in_c, "m_c", m), part(in_c, "p_c", p))
+
 
+def bias_of_blocks(table: DataFrame, reps: int, seed: int, keys: list[str] = KEYS, share: float = 0.5, redraws: int = 1) -> DataFrame:
+    """bias_interval from block_sums."""
+    every = Window.partitionBy(*keys)
+    place = F.row_number().over(every.orderBy("block")) - 1
+    table = table.withColumn("block", place.cast("bigint"))
     names = [f"{x}_{arm}" for arm in "ac" for x in "nmp"]
-    table = blocks.select(*keys, "block").distinct().join(sums(arm_a, "a"), [*keys, "block"], "left").join(sums(arm_c, "c"), [*keys, "block"], "left").fillna(0)
     total = table.groupBy(*keys).agg(F.count("*").alias("n_blocks"), F.sum("n_a").alias("t_a"), F.sum("n_c").alias("t_c"))
     drawn = draws(total, "n_blocks", reps * redraws, seed, keys).join(table.withColumnRenamed("block", "place"), [*keys, "place"])
     rep = drawn.groupBy(*keys, "rep", "t_a", "t_c").agg(*[F.sum(x).alias(x) for x in names])

@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import floor_to, snap
-
-KEYS = ["series_id"]
+from ..functions.columns import KEYS, floor_to, snap
+from .blocked import SPAN, in_blocks
 
 
 def in_range(v: Column, low: float = 0.0, high: float = 45.0) -> Column:
@@ -68,20 +67,31 @@ def reindex(df: DataFrame, step: int, keys: list[str] = KEYS, block: int = 1 <<
     return points.join(df, [*keys, "t"], "left")
 
 
-def fill_short_gaps(df: DataFrame, limit: int, keys: list[str] = KEYS) -> DataFrame:
+def fill_short_gaps(df: DataFrame, limit: int, keys: list[str] = KEYS, span: int = SPAN) -> DataFrame:
     """Linear fill of runs of at most limit nulls that have values on both sides; `filled` marks them. df is a complete grid.
 
-    Rows are numbered once; a gap's neighbours come from last/first non-null values over the same ordering.
+    Rows are dealt by block of time. A gap's neighbours come from last/first non-null values within the block, and beyond its edges
+    from one row a block, which are ordered along the series with the counts that number the rows.
     """
-    order = Window.partitionBy(*keys).orderBy("t")
+    own = [*keys, "_k"]
+    order = Window.partitionBy(*own).orderBy("t")
     before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    place = F.row_number().over(order)
-    known = df.withColumn("_n", place)
-    at = F.when(F.col("v").isNotNull(), F.col("_n"))
-    known = known.select("*", F.last(at, True).over(before).alias("_n0"), F.last("v", True).over(before).alias("_v0"), F.first(at, True).over(after).alias("_n1"), F.first("v", True).over(after).alias("_v1"))
-    fill = F.col("v").isNull() & F.col("_n0").isNotNull() & F.col("_n1").isNotNull() & (F.col("_n1") - F.col("_n0") - 1 <= limit)
-    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * ((F.col("_n") - F.col("_n0")) / (F.col("_n1") - F.col("_n0")))
-    return known.select(*df.columns[: df.columns.index("v")], F.when(fill, line).otherwise(F.col("v")).alias("v"), *df.columns[df.columns.index("v") + 1 :], fill.alias("filled"))
+    dealt = df.withColumn("_k", F.floor(F.col("t") / span)).withColumn("_i", F.row_number().over(order).cast("long"))
+    dealt = dealt.withColumn("_at", F.when(F.col("v").isNotNull(), F.col("_i")))
+    known = dealt.withColumns({"_i0": F.last("_at", True).over(before), "_w0": F.last("v", True).over(before), "_i1": F.first("_at", True).over(after), "_w1": F.first("v", True).over(after)})
+    edges = dealt.groupBy(*own).agg(F.count("*").alias("_m"), F.max("_at").alias("_l"), F.max_by("v", "_at").alias("_lv"), F.min("_at").alias("_f"), F.min_by("v", "_at").alias("_fv"))
+    along = Window.partitionBy(*keys).orderBy("_k")
+    ahead, back = along.rowsBetween(1, Window.unboundedFollowing), along.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_off", F.coalesce(F.sum("_m").over(back), F.lit(0)))
+    edges = edges.withColumns({"_p": F.last(F.col("_off") + F.col("_l"), True).over(back), "_pv": F.last("_lv", True).over(back), "_q": F.first(F.col("_off") + F.col("_f"), True).over(ahead), "_qv": F.first("_fv", True).over(ahead)})
+    got = in_blocks(known, edges, own, ["_off", "_p", "_pv", "_q", "_qv"])
+    n, off = F.col("_off") + F.col("_i"), F.col("_off")
+    n0, v0 = F.coalesce(off + F.col("_i0"), F.col("_p")), F.coalesce("_w0", "_pv")
+    n1, v1 = F.coalesce(off + F.col("_i1"), F.col("_q")), F.coalesce("_w1", "_qv")
+    fill = F.col("v").isNull() & n0.isNotNull() & n1.isNotNull() & (n1 - n0 - 1 <= limit)
+    line = v0 + (v1 - v0) * ((n - n0) / (n1 - n0))
+    at = df.columns.index("v")
+    return got.select(*df.columns[:at], F.when(fill, line).otherwise(F.col("v")).alias("v"), *df.columns[at + 1 :], fill.alias("filled"))
 
 
 def between(df: DataFrame, start: int, end: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tests of forecast errors with autocorrelation-robust variances (Bartlett kernel): Diebold-Mariano and Clark-West.
 
-Autocovariances are sums of a difference times its own lag, so the lags are window columns and everything else one aggregate
-for each key. P-values come from one call a result row.
+The Bartlett kernel is a box convolved with itself, so its weighted sum of autocovariances is the sum of squares of moving sums of
+lag + 1 values, those that overhang either end included. Moving sums are differences of running sums, whatever the lag. P-values come
+from one call a result row.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import in_order
+from ..functions.columns import KEYS
 from ..functions.special import normal_sf, t_two_sided
-from .grid import KEYS
+from .blocked import in_blocks, running
 
 
 def truncation_lag(n: Column, h: int) -> Column:
@@ -22,20 +23,21 @@ def truncation_lag(n: Column, h: int) -> Column:
     return F.least(n - 1, F.greatest(F.lit(10), F.lit(h - 1), F.floor(4 * F.pow(n / 100, F.lit(2 / 9))).cast("long")))
 
 
-def hac_mean(df: DataFrame, value: Column, h: int, keys: list[str] = KEYS, most_lag: int = 40) -> DataFrame:
-    """n, mean, variance of the mean (floor 1e-12) of a value in time order.
+def hac_mean(df: DataFrame, value: Column, h: int, keys: list[str] = KEYS) -> DataFrame:
+    """n, mean, variance of the mean (floor 1e-12) of a value in time order. Nulls are left out.
 
-    most_lag bounds the lags that are computed; the kernel's lag passes it only beyond some 3 million rows.
+    With centred values c, running sums P and lag L, sum_k w_k c_t c_(t-k) = (sum_s (P_s - P_(s-L-1))^2 + sum of P_i^2 for the last L i < n) / (L+1).
     """
-    every, order = Window.partitionBy(*keys), in_order(keys)
-    d = df.withColumn("_x", value).withColumn("_n", F.count("_x").over(every)).withColumn("_c", F.col("_x") - F.avg("_x").over(every))
-    d = d.withColumn("_l", truncation_lag(F.col("_n"), h))
-    top = max(most_lag, h - 1)
-    lagged = d.select("*", *[F.lag("_c", k).over(order).alias(f"_c{k}") for k in range(1, top + 1)])
-    terms = F.sum(F.col("_c") * F.col("_c"))
-    for k in range(1, top + 1):
-        terms = terms + F.sum(F.when(F.col("_l") >= k, 2 * (1 - k / (F.col("_l") + 1)) * F.col("_c") * F.col(f"_c{k}")).otherwise(0.0))
-    return lagged.groupBy(*keys).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), terms.alias("_s")).withColumn("variance", F.greatest(F.lit(1e-12), F.col("_s") / F.col("n") / F.col("n"))).drop("_s")
+    d = df.select(*keys, "t", value.alias("_x")).where("_x is not null")
+    stats = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean")).withColumn("_l", truncation_lag(F.col("n"), h))
+    d = in_blocks(d, stats, keys, ["n", "mean", "_l"])
+    d = running(d, {"_i": F.lit(1).cast("bigint"), "_p": F.col("_x") - F.col("mean")}, keys)
+    own = [*keys, "_i"]
+    earlier = d.select(*keys, (F.col("_i") + F.col("_l") + 1).alias("_i"), F.col("_p").alias("_q"))
+    moving = F.col("_p") - F.coalesce("_q", F.lit(0.0))
+    over_end = F.when((F.col("_i") < F.col("n")) & (F.col("_i") >= F.col("n") - F.col("_l")), F.col("_p") * F.col("_p")).otherwise(0.0)
+    sums = in_blocks(d, earlier, own, ["_q"], "left").groupBy(*keys, "n", "mean", "_l").agg(F.sum(moving * moving + over_end).alias("_s"))
+    return sums.select(*keys, "n", "mean", F.greatest(F.lit(1e-12), F.col("_s") / (F.col("_l") + 1) / F.col("n") / F.col("n")).alias("variance"))
 
 
 def diebold_mariano(df: DataFrame, e1: Column, e2: Column, h: int, keys: list[str] = KEYS) -> DataFrame:
@@ -53,31 +55,56 @@ def clark_west(df: DataFrame, y: Column, null: Column, alternative: Column, h: i
     return s.withColumn("cw", F.col("mean") / F.sqrt("variance"))
 
 
-def p_values(stats: DataFrame, column: str) -> DataFrame:
-    """p: two-sided t for dm, one-sided normal for cw and z. One value a result row, so the function's cost doesn't matter."""
+#: How a statistic's p is found: two-sided t with n - 1 or n - 2 degrees of freedom, one- or two-sided normal.
+KINDS = ("dm", "correlation", "greater", "two-sided")
+
+
+def p_values(stats: DataFrame, column: str, kind: str | None = None) -> DataFrame:
+    """p of a statistic (with n beside it). One value a result row, so the function's cost doesn't matter.
+
+    kind: dm (two-sided t), correlation (of r, by t = r sqrt((n-2)/(1-r^2))), greater or two-sided (normal). By default dm for a column
+    of that name, else greater.
+    """
+    kind = kind or ("dm" if column == "dm" else "greater")
+    if kind not in KINDS:
+        raise ValueError(f"kind is one of {KINDS}")
 
     @F.pandas_udf("double")
     def p(x: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([math.nan if pd.isna(a) else t_two_sided(a, b - 1) if column == "dm" else normal_sf(a) for a, b in zip(x, n, strict=True)])
+        return pd.Series([p_of(a, b, kind) for a, b in zip(x, n, strict=True)])
 
     return stats.withColumn("p", p(F.col(column), F.col("n")))
 
 
+def p_of(x: float, n: float, kind: str) -> float | None:
+    if pd.isna(x) or (kind == "correlation" and n < 3):
+        return None
+    if kind == "dm":
+        return t_two_sided(x, n - 1)
+    if kind == "correlation":
+        return 0.0 if abs(x) >= 1 else t_two_sided(x * math.sqrt((n - 2) / (1 - x * x)), n - 2)
+    return normal_sf(x) if kind == "greater" else min(1.0, 2 * normal_sf(abs(x)))
+
+
 def average_rank(value: str, keys: list[str]) -> Column:
     """Rank with ties sharing their mean."""
     ties = Window.partitionBy(*keys, value)
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(ties) - 1) / 2
 
 
-def mann_whitney(df: DataFrame, group: Column, value: str, keys: list[str] = KEYS) -> DataFrame:
-    """u of the rows where group holds, and z: the normal approximation with tie and continuity correction (alternative: greater)."""
+def mann_whitney(df: DataFrame, group: Column, value: str, keys: list[str] = KEYS, two_sided: bool = False) -> DataFrame:
+    """u of the rows where group holds, and z: the normal approximation with tie and continuity correction.
+
+    The alternative is greater; two_sided: z of the larger of the two groups' u, for p_values(..., 'two-sided').
+    """
     d = df.where(F.col(value).isNotNull()).withColumn("_g", group)
     d = d.withColumn("_r", average_rank(value, keys)).withColumn("_t", F.count("*").over(Window.partitionBy(*keys, value)))
     n, n1 = F.count("*"), F.count(F.when(F.col("_g"), 1))
     s = d.groupBy(*keys).agg(n.alias("n"), n1.alias("n1"), F.sum(F.when(F.col("_g"), F.col("_r"))).alias("_s"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
     s = s.withColumn("n2", F.col("n") - F.col("n1")).withColumn("u", F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2)
     spread = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((F.col("n") + 1) - F.col("_ties") / (F.col("n") * (F.col("n") - 1))))
-    return s.withColumn("z", F.when(spread > 0, (F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5) / spread)).drop("_s", "_ties")
+    off = F.col("u") - F.col("n1") * F.col("n2") / 2
+    return s.withColumn("z", F.when(spread > 0, ((F.abs(off) if two_sided else off) - 0.5) / spread)).drop("_s", "_ties")
 
 
 def holm(tests: DataFrame, p: str, name: str, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:

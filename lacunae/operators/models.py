@@ -1,4 +1,4 @@
-"""Models on the full feature set: exact ridge, boosted trees and forests of Spark ML, a small autoregression."""
+"""Models on the full feature set: exact ridge, and a small autoregression. Trees are in trees.py."""
 
 from __future__ import annotations
 
@@ -44,25 +44,6 @@ def predict_ridge(df: DataFrame, model: DataFrame, features: list[str], keys: li
     return df.join(model, keys).withColumn("prediction", value).drop("intercept", "weights")
 
 
-def fit_trees(train: DataFrame, features: list[str], kind: str = "gbt", seed: int = 1, **params):
-    """A Spark ML regressor of target: kind gbt or forest. Rows are sorted into one order first, as trees depend on it."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    common = {"featuresCol": "features", "labelCol": "target", "seed": seed}
-    if kind == "gbt":
-        model = GBTRegressor(**common, **({"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxBins": 256} | params))
-    else:
-        model = RandomForestRegressor(**common, **({"numTrees": 200, "maxDepth": 12} | params))
-    rows = train.dropna(subset=[*features, "target"]).select(*features, "target").orderBy(*features)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(rows)
-
-
-def predict_trees(df: DataFrame, model, features: list[str]) -> DataFrame:
-    return model.transform(df.dropna(subset=features)).drop("features")
-
-
 def arma_forecast(history: np.ndarray, horizon: int, p: int = 2, q: int = 1) -> float:
     """Forecast of an ARMA(p, q) by two regressions (long autoregression for the errors, then lags and errors)."""
     y = np.asarray(history, float)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order
+from .blocked import in_blocks, numbered, running
 from .features import with_target
 from .grid import KEYS
 
@@ -19,11 +20,6 @@ def valid_origins(segmented: DataFrame, depth: int, seq_len: int, horizon: int,
     return marked.where((F.col("_p") >= max(depth, seq_len - 1)) & (F.col("_n") - F.col("_p") - 1 >= horizon)).drop("_p", "_n")
 
 
-def numbered(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """_r: place from 0, _c: rows of the series."""
-    return df.withColumn("_r", F.row_number().over(in_order(keys)) - 1).withColumn("_c", F.count("*").over(Window.partitionBy(*keys)))
-
-
 def gap_aware_split(valid: DataFrame, seq_len: int, horizon: int, fraction: float = 0.75, least: int = 800, least_test: int = 300, keys: list[str] = KEYS) -> DataFrame:
     """split: train for the first part of valid rows, test after an embargo of seq_len + horizon valid rows, null between.
 
@@ -35,6 +31,24 @@ def gap_aware_split(valid: DataFrame, seq_len: int, horizon: int, fraction: floa
     return kept.withColumn("split", F.when(F.col("_r") < cut, "train").when(F.col("_r") >= start, "test")).drop("_r", "_c")
 
 
+def both_splits(design: DataFrame, seq_len: int, horizon: int, fraction: float = 0.75, least: int = 800, least_test: int = 300, keys: list[str] = KEYS, embargo: int | None = None) -> DataFrame:
+    """split_a (of valid rows, as gap_aware_split) and split_c (of all rows on the calendar of split_a, as calendar_split), in one frame.
+
+    design: rows with target, target_t and valid. Series that fail the guards have neither. embargo: valid rows between train and test,
+    seq_len + horizon unless given.
+    """
+    counted = running(design, {"_r": F.col("valid").cast("bigint")}, keys, totals={"_r": "_c"})
+    cut = F.floor(F.col("_c") * fraction)
+    start = cut + (seq_len + horizon if embargo is None else embargo)
+    place = F.col("_r") - 1
+    enough = F.col("valid") & (F.col("_c") >= least) & (F.col("_c") - start >= least_test)
+    split = counted.withColumn("split_a", F.when(enough & (place < cut), "train").when(enough & (place >= start), "test")).drop("_r", "_c")
+    bounds = bounds_of(split.withColumnRenamed("split_a", "split"), keys)
+    out = in_blocks(split, bounds, keys, ["train_end", "test_start", "test_end"])
+    train = (F.col("t") <= F.col("train_end")) & (F.col("target_t") < F.col("test_start"))
+    return out.withColumn("split_c", F.when(train, "train").when(F.col("t").between(F.col("test_start"), F.col("test_end")), "test")).drop("train_end", "test_start", "test_end")
+
+
 def bounds_of(split: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """train_end, test_start, test_end of each series."""
     when = lambda s: F.when(F.col("split") == s, F.col("t"))

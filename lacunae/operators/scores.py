@@ -64,6 +64,67 @@ def four_arms(aware: DataFrame, naive: DataFrame, x_aware: str, x_naive: str, ke
     return decompose(out)
 
 
+def arm_rows(design: DataFrame, aware: list[str], naive: list[str], keep: tuple[str, ...] = (), keys: list[str] = KEYS) -> DataFrame:
+    """keys, t, v, target, in_a (a test row of A), arm (a, b, c), role (train, test), x0, x1, ...: the rows of all arms in one frame.
+
+    design: rows with split_a and split_c and the features of both designs.
+    """
+    arm = lambda name, role, xs: F.struct(F.lit(name).alias("arm"), F.col(role).alias("role"), F.array(*xs).alias("x"))
+    arms = F.explode(F.array(arm("a", "split_a", aware), arm("b", "split_a", naive), arm("c", "split_c", naive)))
+    long = design.select(*keys, "t", "v", "target", *keep, (F.coalesce(F.col("split_a") == "test", F.lit(False))).alias("in_a"), arms.alias("_arm")).where("_arm.role is not null")
+    return long.select(*keys, "t", "v", "target", *keep, "in_a", "_arm.arm", "_arm.role", *[F.col("_arm.x")[k].alias(f"x{k}") for k in range(len(aware))])
+
+
+def arm_skills(predicted: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Skills, rows and errors of the four arms and their decomposition, in one aggregate. predicted: test rows of arm_rows with prediction.
+
+    D is C's predictions on A's rows. Rows without a prediction don't count.
+    """
+    p = predicted.where("prediction is not null")
+    em, ep = F.col("target") - F.col("prediction"), F.col("target") - F.col("v")
+    rows = {"a": F.col("arm") == "a", "b": F.col("arm") == "b", "c": F.col("arm") == "c", "d": (F.col("arm") == "c") & F.col("in_a")}
+    part = lambda c, x: F.sum(F.when(c, x))
+    out = []
+    for k, c in rows.items():
+        out += [skill(part(c, em * em), part(c, ep * ep)).alias(f"skill_{k}"), F.count(F.when(c, 1)).alias(f"n_{k}")]
+    out += [F.sqrt(F.avg(F.when(rows[k], e * e))).alias(f"rmse_{x}_{k}") for k in "ac" for x, e in (("p", ep), ("m", em))]
+    return decompose(p.groupBy(*keys).agg(*out))
+
+
+def lead_time_channels(predicted: DataFrame, horizon: int, step: int, keys: list[str] = KEYS) -> DataFrame:
+    """C's test rows by class: valid (A's rows), input-only (the target lies `horizon` steps ahead, the inputs reach over a gap) and
+    target-crossing. Counts, error ratios to valid rows, skills D (valid), E (with input-only), C (all), and what each class adds.
+
+    predicted: rows of arm c with t, target_t, in_a and prediction.
+    """
+    late = F.col("target_t") - F.col("t") != horizon * step
+    valid, inputs, crossing = F.col("in_a"), ~F.col("in_a") & ~late, ~F.col("in_a") & late
+    em, ep = F.col("target") - F.col("prediction"), F.col("target") - F.col("v")
+    mean = lambda c, e: F.sqrt(F.avg(F.when(c, e * e)))
+    of = lambda c: skill(F.sum(F.when(c, em * em)), F.sum(F.when(c, ep * ep)))
+    out = predicted.where("prediction is not null").groupBy(*keys).agg(
+        *[F.count(F.when(c, 1)).alias(f"n_{n}") for n, c in (("valid", valid), ("input_only", inputs), ("target_crossing", crossing))],
+        *[(mean(c, e) / mean(valid, e)).alias(f"rho_{x}_{n}") for n, c in (("input_only", inputs), ("target_crossing", crossing)) for x, e in (("p", ep), ("m", em))],
+        of(valid).alias("skill_d"), of(valid | inputs).alias("skill_e"), of(F.lit(True)).alias("skill_c"),
+    )
+    return out.withColumns({"comp_total": F.col("skill_c") - F.col("skill_d"), "comp_input_only": F.col("skill_e") - F.col("skill_d"), "comp_target_crossing": F.col("skill_c") - F.col("skill_e")})
+
+
+def injection_mixture(runs: DataFrame, depth: int, horizon: Column) -> DataFrame:
+    """f, rho_p, rho_m, bias_hat (the exact identity) and f_design of injected runs whose exposure is above 0 and whose displaced rows'
+    mean squared errors, as the identity gives them, are positive.
+
+    runs: n_a, n_c, rmse_p_a, rmse_m_a, rmse_p_c, rmse_m_c, missing (share), mean_gap.
+    """
+    d = runs.withColumn("f", 1 - F.col("n_a") / F.col("n_c")).where("f > 1e-6")
+    hidden = lambda x: (F.col(f"rmse_{x}_c") * F.col(f"rmse_{x}_c") - (1 - F.col("f")) * F.col(f"rmse_{x}_a") * F.col(f"rmse_{x}_a")) / F.col("f")
+    d = d.withColumn("_p", hidden("p")).withColumn("_m", hidden("m")).where("_p > 0 and _m > 0")
+    d = d.withColumn("rho_p", F.sqrt("_p") / F.col("rmse_p_a")).withColumn("rho_m", F.sqrt("_m") / F.col("rmse_m_a")).drop("_p", "_m")
+    over = lambda x: 1 + F.col("f") * (F.col(f"rho_{x}") * F.col(f"rho_{x}") - 1)
+    d = d.withColumn("bias_hat", 100 * F.col("rmse_m_a") / F.col("rmse_p_a") * (1 - F.sqrt(over("m") / over("p"))))
+    return d.withColumn("f_design", design_exposure(F.col("missing"), depth, horizon, F.col("mean_gap")))
+
+
 def channel_shares(parts: DataFrame, by: list[str]) -> DataFrame:
     """Shares of feature, training and composition, pooled by mean absolute value and by signed sum; null where all are 0."""
     names = ("feature", "training", "composition")
@@ -89,7 +150,7 @@ def mixture_identity(df: DataFrame) -> DataFrame:
     return out.withColumn("exact", exact).withColumn("first_order", first)
 
 
-def design_exposure(p: Column, depth: int, horizon: int, gap: Column) -> Column:
+def design_exposure(p: Column, depth: int, horizon: int | Column, gap: Column) -> Column:
     """Expected exposure of a missing share p in gaps of a given length."""
     return F.least(F.lit(1.0), p * (depth + horizon) / ((1 - p) * gap))
 

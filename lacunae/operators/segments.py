@@ -6,23 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order, so_far
+from .blocked import SPAN, in_blocks
 from .grid import KEYS, reindex
 
 
-def segment_ids(df: DataFrame, step: int, keys: list[str] = KEYS) -> DataFrame:
-    """seg: 0 for the first run of each series, one more after every difference other than step (also a shorter one)."""
-    breaks = (F.col("t") - F.lag("t").over(in_order(keys)) != step).cast("long")
-    return df.withColumn("_b", F.coalesce(breaks, F.lit(0))).withColumn("seg", F.sum("_b").over(so_far(keys))).drop("_b")
+def segment_ids(df: DataFrame, step: int, keys: list[str] = KEYS, span: int = SPAN) -> DataFrame:
+    """seg: 0 for the first run of each series, one more after every difference other than step (also a shorter one).
 
-
-def segment_ids_blocked(df: DataFrame, step: int, keys: list[str] = KEYS, block: int = 86400) -> DataFrame:
-    """As segment_ids, for series too long for one task: rows are dealt by time block.
-
-    Breaks within a block are counted there. One edge row a block (its first and last time, its breaks) carries the count on:
-    only those edges, not the rows, are ordered along the whole series.
+    Rows are dealt by block of time and breaks counted there. One edge row a block (its first and last time, its breaks) carries the
+    count on: only those edges, not the rows, are ordered along the whole series.
     """
     own = [*keys, "_k"]
-    dealt = df.withColumn("_k", F.floor(F.col("t") / block))
+    dealt = df.withColumn("_k", F.floor(F.col("t") / span))
     breaks = F.coalesce((F.col("t") - F.lag("t").over(in_order(own)) != step).cast("long"), F.lit(0))
     counted = dealt.withColumn("_b", breaks).withColumn("_in", F.sum("_b").over(so_far(own)))
     edges = counted.groupBy(*own).agg(F.min("t").alias("_first"), F.max("t").alias("_last"), F.sum("_b").alias("_n"))
@@ -30,8 +25,13 @@ def segment_ids_blocked(df: DataFrame, step: int, keys: list[str] = KEYS, block:
     joint = F.coalesce((F.col("_first") - F.lag("_last").over(order) != step).cast("long"), F.lit(0))
     edges = edges.withColumn("_joint", joint)
     before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = edges.select(*own, (before + F.sum("_joint").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("_off"))
-    return counted.join(offsets, own).withColumn("seg", F.col("_in") + F.col("_off")).drop("_k", "_b", "_in", "_off")
+    offsets = edges.withColumn("_off", before + F.sum("_joint").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return in_blocks(counted, offsets, own, ["_off"]).withColumn("seg", F.col("_in") + F.col("_off")).drop("_k", "_b", "_in", "_off")
+
+
+def segment_ids_blocked(df: DataFrame, step: int, keys: list[str] = KEYS, block: int = 86400) -> DataFrame:
+    """segment_ids by blocks of a day."""
+    return segment_ids(df, step, keys, block)
 
 
 def segment_lengths(segmented: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -118,8 +118,7 @@ def retention(lengths: DataFrame, depth: Column, horizon: Column, keys: list[str
 def retention_curve(lengths: DataFrame, depths: list[int], horizons: list[int], keys: list[str] = KEYS) -> DataFrame:
     """retention over a grid of depths and horizons; lengths are counted first, so the grid multiplies few rows."""
     sizes = lengths.groupBy(*keys, "length").agg(F.count("*").alias("n"))
-    grid = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w in depths for h in horizons]))
-    each = sizes.withColumn("g", grid).select(*keys, "length", "n", "g.w", "g.h")
+    each = sizes.withColumn("w", F.explode(F.array(*map(F.lit, depths)))).withColumn("h", F.explode(F.array(*map(F.lit, horizons))))
     valid = F.sum(F.col("n") * F.greatest(F.lit(0), F.col("length") - F.col("w") - F.col("h")))
     whole = F.sum(F.col("n") * F.col("length")) - F.col("w") - F.col("h")
     return each.groupBy(*keys, "w", "h").agg(valid.alias("n_valid"), F.when(whole > 0, valid / whole).alias("retention"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import t_quantile
+
 CONDITIONS = ("MANY-SHORT", "MEDIUM", "FEW-LONG")
 
 
@@ -66,10 +69,16 @@ def sign_agreement(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), (F.countDistinct(sign(F.col(value))) == 1).alias("agree"))
 
 
-def origin_summary(df: DataFrame, value: str, by: list[str], t: float) -> DataFrame:
-    """Mean, sd, t interval (t: its quantile), one sign over origins, and whether the interval leaves out 0."""
-    half = F.lit(t) * F.stddev_samp(value) / F.sqrt(F.count(value))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.avg(value) - half).alias("ci_lo"), (F.avg(value) + half).alias("ci_hi"), (F.countDistinct(sign(F.col(value))) == 1).alias("one_sign"))
+def origin_summary(df: DataFrame, value: str, by: list[str], level: float = 0.95) -> DataFrame:
+    """Mean, sd, t interval by each group's own number of values, one sign over origins, and whether the interval leaves out 0."""
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        return n.map(lambda x: t_quantile((1 + level) / 2, x - 1) if x > 1 else None).astype(float)
+
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.countDistinct(sign(F.col(value))) == 1).alias("one_sign"))
+    half = quantile("n") * F.col("sd") / F.sqrt("n")
+    out = out.withColumn("_h", half).select(*by, "n", "mean", "sd", (F.col("mean") - F.col("_h")).alias("ci_lo"), (F.col("mean") + F.col("_h")).alias("ci_hi"), "one_sign")
     return out.withColumn("excludes_zero", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0))
 
 

@@ -1,6 +1,8 @@
 """Series that the registered queries work on, and the same in DuckDB SQL.
 
-Events of each type are one series, averaged in bins of an hour; smaller bins give many short gaps. Times are seconds.
+Events of each type are series, averaged in bins of an hour; smaller bins give many short gaps. A type has one series for each
+PER_SERIES events in the table, of users by the remainder of their ids, so that larger tables have more series, not denser ones, and
+gaps at every size. Times are seconds.
 """
 
 from __future__ import annotations
@@ -16,9 +18,19 @@ STEP = 3600
 DEPTH, SEQ, H = 5, 4, 1
 
 
+#: Events of all types in the table for each group of users, whose events of one type are a series.
+PER_SERIES = 10_000
+
+
+def user_groups(spark: SparkSession, sf_dir: str) -> int:
+    """Groups of users: one for each PER_SERIES rows of events (a count from the files' footers)."""
+    return max(1, spark.read.parquet(f"{sf_dir}/events.parquet").count() // PER_SERIES)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.col("event_type").alias("series_id"), seconds(F.col("ts")).alias("t"), F.col("value").alias("v"), "event_id").where("v is not null")
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), user_groups(spark, sf_dir)
+    name = F.col("event_type") if n == 1 else F.concat("event_type", F.lit("-"), F.pmod(F.coalesce("user_id", F.lit(0)), F.lit(n)).cast("string"))
+    return e.select(name.alias("series_id"), seconds(F.col("ts")).alias("t"), F.col("value").alias("v"), "event_id").where("v is not null")
 
 
 def series(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
@@ -58,7 +70,8 @@ def order():
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
-EV = "ev AS (SELECT event_type AS series_id, epoch_us(ts) // 1000000 AS t, value AS v, event_id FROM events WHERE value IS NOT NULL)"
+EV = f"""ev AS (SELECT CASE WHEN groups = 1 THEN event_type ELSE event_type || '-' || (coalesce(user_id, 0) % groups) END AS series_id, epoch_us(ts) // 1000000 AS t, value AS v, event_id
+  FROM events, (SELECT greatest(1, count(*) // {PER_SERIES}) AS groups FROM events) WHERE value IS NOT NULL)"""
 
 
 def s_sql(step: int = STEP, name: str = "s") -> str:

@@ -2,37 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order, rmse, skill
 from ..operators import bootstrap, features, grid, origins, scores, segments, summary
+from ..sources.tables import shared_path, stored
 from ..streaming import series as stream
 from .base import EV, LEN, SCORES, SEGS, SEQ, STEP, H, events, grid_sql, naive_rows, rounded, s_sql, scored_rows, segmented, series, valid_sql, with_
-from .inference import _CLUST, _RT, DRAWS, _clusters, _draw_sql, _pct, _runs_table
+from .inference import _CLUST, _RT, DRAWS, _clusters, _draw_sql, _pct, _runs_table, bias_interval
 from .modelling import K, kalman_sql
 
 BLOCK_SIZES = (12, 25, 50)
 DEPTHS = (3, 5, 10, 15)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir; where that is unset, in a local temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def block_sensitivity(spark, d):
     """Bias intervals for several block sizes."""
-    out, rows = None, scored_rows(spark, d)
+    out, rows = None, stored(scored_rows(spark, d), "scored")  # read once for each block size
     for size in BLOCK_SIZES:
-        b = bootstrap.segment_blocks(rows, size)
-        c = b.select("series_id", "t", F.col("sq_m").alias("em2"), F.col("sq_p").alias("ep2"))
-        a = b.where("d > 5 and not displaced").select("series_id", "t", F.col("sq_m").alias("em2"), F.col("sq_p").alias("ep2"))
-        one = bootstrap.bias_interval(a, c, b, DRAWS.get()[0], 7, redraws=DRAWS.get()[1]).withColumn("block", F.lit(size))
+        one = bias_interval(rows, size).withColumn("block", F.lit(size))
         out = one if out is None else out.unionByName(one)
     return rounded(out, 4)
 
@@ -204,7 +193,7 @@ _SPLIT_FIT = "SELECT series_id, avg(m5) AS mx, avg(target) AS my, count(*) * cov
 
 QUERIES = {
     "block_sensitivity": (block_sensitivity, with_(_sensitivity_sql(), "SELECT * FROM bs")),
-    "width_change": (width_change, None),
+    "width_change": (width_change, with_(_sensitivity_sql(), "SELECT series_id, round(100 * (max(ci_hi - ci_lo) / min(ci_hi - ci_lo) - 1), 2) AS width_change FROM bs GROUP BY 1")),
     "intervals_excluding_zero": (intervals_excluding_zero, with_(_sensitivity_sql(), "SELECT block, count(*) FILTER (ci_lo > 0 OR ci_hi < 0) AS n_excluding, count(*) AS n FROM bs GROUP BY 1")),
     "first_ratio_interval": (first_ratio_interval, with_([*SCORES, "iv AS (SELECT series_id, sq_m, sq_p, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS place FROM sc WHERE d = 1)", "fr AS (SELECT series_id, sqrt(avg(sq_m)) AS fm, sqrt(avg(sq_p)) AS fp FROM sc WHERE d > 8 AND NOT displaced AND to_gap > 1 GROUP BY 1)", "rp AS (SELECT series_id, rep, sqrt(avg(sq_m)) / max(fm) / (sqrt(avg(sq_p)) / max(fp)) AS ratio FROM (" + _draw_sql("(SELECT series_id, count(*) AS n FROM iv GROUP BY 1)", "n", "n") + ") JOIN iv USING (series_id, place) JOIN fr USING (series_id) GROUP BY 1, 2)"], _pct("ratio", "rp"))),
     "common_support": (common_support, with_([*SCORES, *_CLUST, "rp AS (SELECT series_id, rep, avg(m) AS mean FROM (SELECT series_id, rep, cell, sum(s * weight) / sum(c * weight) AS m FROM (SELECT series_id, t % 86400 // 21600 AS cell, cluster, sum(sq_p) AS s, count(*) AS c FROM cl GROUP BY 1, 2, 3) JOIN cw USING (cluster) GROUP BY 1, 2, 3) GROUP BY 1, 2)"], _pct("mean", "rp"))),

@@ -6,18 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rmse
-from ..operators import segments
-from .base import DEPTH, LEN, SEGS, naive_rows, naive_sql, rounded, segmented, valid_rows, valid_sql, with_
+from ..operators.blocked import numbered, with_halo
+from ..operators.features import with_target
+from .base import DEPTH, LEN, SEGS, SEQ, H, naive_sql, rounded, segmented, valid_sql, with_
+
+K = ["series_id"]
 
 
 def exposure_report(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
     """For each series: rows and valid origins (counted and by formula), exposure, persistence errors on either."""
-    error = F.col("target") - F.col("v")
-    naive = naive_rows(spark, sf_dir).where("target is not null").groupBy("series_id").agg(F.count("*").alias("n_naive"), rmse(error).alias("rmse_naive"))
-    valid = valid_rows(spark, sf_dir, depth).groupBy("series_id").agg(F.count("*").alias("n_valid"), rmse(error).alias("rmse_valid"))
-    formula = segments.retention(segments.segment_lengths(segmented(spark, sf_dir)), F.lit(depth), F.lit(1)).select("series_id", F.col("n_valid").alias("n_formula"), "retention")
-    out = naive.join(valid, "series_id", "left").join(formula, "series_id").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
-    return rounded(out.withColumn("exposure", 1 - F.col("n_valid") / F.col("n_naive")))
+    seg = [*K, "seg"]
+    placed = numbered(segmented(spark, sf_dir), seg).withColumnsRenamed({"_r": "_p", "_c": "_n"})
+    rows = with_target(with_halo(numbered(placed), 0, H), H, [*K, "_blk"]).where("_own")
+    error, ok = F.col("target") - F.col("v"), (F.col("_p") >= max(depth, SEQ - 1)) & (F.col("_n") - F.col("_p") - 1 >= H)
+    # a segment's formula, max(0, L - W - H), is counted at its first row
+    formula = F.sum(F.when(F.col("_p") == 0, F.greatest(F.lit(0), F.col("_n") - depth - H)))
+    whole = F.count("*") - depth - H
+    out = rows.groupBy(*K).agg(
+        F.count("target").alias("n_naive"), rmse(error).alias("rmse_naive"), F.count(F.when(ok, F.col("target"))).alias("n_valid"), rmse(F.when(ok, error)).alias("rmse_valid"),
+        formula.alias("n_formula"), F.when(whole > 0, formula / whole).alias("retention"),
+    )
+    return rounded(out.where("n_naive > 0").withColumn("exposure", 1 - F.col("n_valid") / F.col("n_naive")))
 
 
 SQL = with_(

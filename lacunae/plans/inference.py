@@ -6,10 +6,10 @@ from contextvars import ContextVar
 
 from pyspark.sql import functions as F
 
-from ..functions.special import t_quantile
-from ..operators import bootstrap, features, hac, inject, models, origins, segments, summary
-from .base import SCORES, SEGS, SEQ, STEP, H, rounded, scored_rows, segmented, series, valid_rows, with_
-from .modelling import LEAST, OWN, K
+from ..functions.columns import last_rows
+from ..operators import bootstrap, features, hac, inject, models, origins, profile, scores, segments, summary, trees
+from .base import DIST, LEN, SCORES, SEGS, SEQ, STEP, H, rounded, scored_rows, segmented, series, valid_rows, with_
+from .modelling import _CTX, _CTX_ROWS, LEAST, OWN, K
 
 REPS = 100
 #: Replicates, and times as many draws as may be made for unusable ones; (REPS, 1) in queries as first registered.
@@ -51,11 +51,40 @@ def mann_whitney_u(spark, d):
     return rounded(hac.mann_whitney(s, F.col("d") <= 3, "sq_p"), 4)
 
 
+def mann_whitney_p(spark, d):
+    """One-sided (greater) and two-sided p of early errors against late ones."""
+    rows = scored_rows(spark, d).where("d <= 3 or d > 8")
+    one = hac.p_values(hac.mann_whitney(rows, F.col("d") <= 3, "sq_p"), "z", "greater").select("series_id", "n", "u", F.col("p").alias("p_greater"))
+    two = hac.p_values(hac.mann_whitney(rows, F.col("d") <= 3, "sq_p", two_sided=True), "z", "two-sided").select("series_id", F.col("p").alias("p_two_sided"))
+    return rounded(one.join(two, "series_id"))
+
+
 def holm(spark, d):
-    """Which series' early errors are larger after Holm's correction: p from a fixed function of z that SQL has too."""
+    """Which series' early errors are larger after Holm's correction of the one-sided p-values."""
     s = hac.mann_whitney(scored_rows(spark, d).where("d <= 3 or d > 8"), F.col("d") <= 3, "sq_p")
-    s = s.withColumn("p", 1 / (1 + F.exp(1.702 * F.col("z")))).withColumn("family", F.lit(1))
-    return rounded(hac.holm(s, "p", "series_id", 0.4, ["family"]).select("series_id", "p", "supported"), 5)
+    s = hac.p_values(s, "z", "greater").withColumn("family", F.lit(1))
+    return rounded(hac.holm(s, "p", "series_id", 0.05, ["family"]).select("series_id", "p", "supported"), 5)
+
+
+def cw_p_value(spark, d):
+    """Clark-West with its one-sided p."""
+    return rounded(hac.p_values(hac.clark_west(_hac(spark, d), F.col("target"), F.col("v"), F.col("m5"), H), "cw").select("series_id", "n", "p"))
+
+
+def pearson_p(spark, d):
+    """Correlation of the errors of model and persistence, with its p."""
+    r = hac.pearson(scored_rows(spark, d), F.col("sq_m"), F.col("d"))
+    return rounded(hac.p_values(r, "r", "correlation"))
+
+
+def gap_context_tests(spark, d):
+    """Whether deviation and ramp before gaps exceed those of baseline windows: one-sided p, Holm over all series and both measures."""
+    c = profile.pre_gap_context(segments.gap_distance(series(spark, d), STEP), 6, STEP)
+    long = c.select("series_id", "kind", F.explode(F.create_map(F.lit("sd"), "sd", F.lit("ramp"), "ramp")).alias("measure", "x"))
+    keys = ["series_id", "measure"]
+    z = hac.mann_whitney(long, F.col("kind") == "before gap", "x", keys).where("n1 >= 5 and n2 >= 5")
+    p = hac.p_values(z, "z", "greater").withColumn("family", F.lit(1)).withColumn("name", F.concat_ws("/", "series_id", "measure"))
+    return rounded(hac.holm(p, "p", "name", 0.05, ["family"]).select("series_id", "measure", "n1", "n2", "u", "p", "supported"), 5)
 
 
 def spearman(spark, d):
@@ -78,10 +107,13 @@ def segment_blocks(spark, d):
 
 
 def bias_block_bootstrap(spark, d):
-    b = _blocks(spark, d)
-    c = b.select("series_id", "t", F.col("sq_m").alias("em2"), F.col("sq_p").alias("ep2"))
-    a = b.where("d > 5 and not displaced").select("series_id", "t", F.col("sq_m").alias("em2"), F.col("sq_p").alias("ep2"))
-    return rounded(bootstrap.bias_interval(a, c, b, DRAWS.get()[0], 7, redraws=DRAWS.get()[1]), 4)
+    return rounded(bias_interval(scored_rows(spark, d), 25), 4)
+
+
+def bias_interval(rows, size: int):
+    """Interval of the bias of scored rows for one block size: arm A has the rows that no gap touches, arm C all."""
+    table = bootstrap.block_sums(bootstrap.segment_blocks(rows, size), (F.col("d") > 5) & ~F.col("displaced"), F.lit(True), "sq_m", "sq_p")
+    return bootstrap.bias_of_blocks(table, DRAWS.get()[0], 7, redraws=DRAWS.get()[1])
 
 
 def circular_bootstrap(spark, d):
@@ -142,23 +174,14 @@ _CLUST = [
 
 CONDITIONS = (("MANY-SHORT", 2), ("MEDIUM", 6), ("FEW-LONG", 24))
 SHARES = (0.05, 0.1)
-#: Whether gaps go into the series of all types; queries as first registered have three of them.
-EVERY = ContextVar("EVERY", default=False)
-_THREE = " WHERE series_id IN ('click', 'purchase', 'view')"
+CELLS = [{"condition": name, "share": share, "_length": length} for name, length in CONDITIONS for share in SHARES]
 
 
 def _injected(spark, d):
-    """Copies of the hourly series of three types (or all, by EVERY) with gaps of three lengths and two shares, all in one table."""
-    s = series(spark, d)
-    if not EVERY.get():
-        s = s.where("series_id in ('click', 'purchase', 'view')")
-    out = None
-    for name, length in CONDITIONS:
-        for share in SHARES:
-            part = s.select("series_id", "t", "v", F.lit(name).alias("condition"), F.lit(share).alias("share"))
-            part = inject.inject_stratified(part, share, length, 5, ["series_id"])
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Copies of the hourly series with gaps of three lengths and two shares, all in one table."""
+    s = series(spark, d).select("series_id", "t", "v")
+    got = inject.inject_stratified(s, F.col("share"), F.col("_length"), 5, K, cells=CELLS)
+    return got.select("series_id", "t", "v", "condition", "share")
 
 
 def inject_stratified(spark, d):
@@ -169,7 +192,7 @@ def _injected_sql() -> list[str]:
     parts = []
     for name, length in CONDITIONS:
         for share in SHARES:
-            parts.append(f"""SELECT series_id, t, v, '{name}' AS condition, {share}::DOUBLE AS share FROM (SELECT *, stratum * width + 1 + ('0x' || substr(md5('5|' || series_id || '|' || stratum), 1, 8))::UBIGINT::BIGINT % greatest(1, width - {length} - 1) AS start FROM (SELECT *, i // width AS stratum FROM (SELECT *, n // strata AS width FROM (SELECT *, greatest(1, floor(n * {share}::DOUBLE / {length})::BIGINT) AS strata FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM s{_THREE}))))) WHERE NOT (stratum < strata AND width > {length} + 1 AND i >= start AND i < start + {length})""")
+            parts.append(f"""SELECT series_id, t, v, '{name}' AS condition, {share}::DOUBLE AS share FROM (SELECT *, stratum * width + 1 + ('0x' || substr(md5('5|' || series_id || '|' || stratum), 1, 8))::UBIGINT::BIGINT % greatest(1, width - {length} - 1) AS start FROM (SELECT *, i // width AS stratum FROM (SELECT *, n // strata AS width FROM (SELECT *, greatest(1, floor(n * {share}::DOUBLE / {length})::BIGINT) AS strata FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM s))))) WHERE NOT (stratum < strata AND width > {length} + 1 AND i >= start AND i < start + {length})""")
     return ["ij AS (" + "\nUNION ALL ".join(parts) + ")"]
 
 
@@ -223,7 +246,7 @@ def reliability(spark, d):
 
 
 def origin_summary(spark, d):
-    return rounded(summary.origin_summary(_runs_table(spark, d), "bias", ["series_id", "condition"], 2.0), 5)
+    return rounded(summary.origin_summary(_runs_table(spark, d), "bias", ["series_id", "condition"]), 5)
 
 
 def sign_agreement(spark, d):
@@ -264,71 +287,114 @@ def _modelling_rows(spark, d, depth=5):
 
 def ridge_full(spark, d):
     """Skill of ridge on the whole feature set."""
-    from ..operators import scores
-
     rows, names = _modelling_rows(spark, d)
     model = models.fit_ridge(rows.where("split = 'train'"), names)
     return rounded(scores.skill_summary(models.predict_ridge(rows.where("split = 'test'"), model, names)), 4)
 
 
-def _trees(spark, d, kind, **params):
-    from ..operators import scores
-
+def _trees(spark, d, kind, params):
+    """Skill of trees fitted to each record by itself."""
     rows, names = _modelling_rows(spark, d)
-    model = models.fit_trees(rows.where("split = 'train'"), names, kind, **params)
-    return rounded(scores.skill_summary(models.predict_trees(rows.where("split = 'test'"), model, names)), 4)
+    made = trees.predict_by_record(rows.withColumnRenamed("split", "role"), names, kind, K, **params)
+    return rounded(scores.skill_summary(made), 4)
 
 
 def gbt_skill(spark, d):
-    return _trees(spark, d, "gbt")
+    return _trees(spark, d, "boosted", trees.BOOSTED)
 
 
 def forest_skill(spark, d):
-    return _trees(spark, d, "forest")
+    return _trees(spark, d, "forest", trees.FOREST)
 
 
 def arma_skill(spark, d):
-    from ..operators import scores
-
-    rows = origins.gap_aware_split(valid_rows(spark, d, 30), SEQ, H, **LEAST)
-    windows = features.sequences(segmented(spark, d), 31, OWN).select("series_id", "t", "window")
-    test = rows.where("split = 'test'").join(windows, ["series_id", "t"])
-    return rounded(scores.skill_summary(models.arma_predictions(test, H).where("prediction is not null")), 4)
+    """Autoregression on up to 301 rows of history within the segment, from at most 120 test origins a series at even strides."""
+    rows = origins.gap_aware_split(valid_rows(spark, d, 30), SEQ, H, **LEAST).where("split = 'test'")
+    stride = F.greatest(F.lit(1), F.floor(F.col("_c") / 120))
+    some = origins.numbered(rows).where((F.col("_r") % stride == 0) & (F.col("_r") < 120 * stride)).drop("_r", "_c")
+    over = last_rows(OWN, 301)
+    windows = segmented(spark, d).select("series_id", "t", F.collect_list("v").over(over).alias("window"))
+    made = models.arma_predictions(some.join(windows, ["series_id", "t"]), H)
+    return rounded(scores.skill_summary(made.where("prediction is not null")), 4)
 
 
 def inject_exact(spark, d):
-    """Gaps by exact plan: counts for each series."""
-    s = series(spark, d)
-    sizes = {r["series_id"]: r["n"] for r in s.groupBy("series_id").agg(F.count("*").alias("n")).collect()}
-    plans = {k: inject.plan_gaps(n, n // 10, 6, 42, margin=20) for k, n in sizes.items()}
-    left = inject.inject_exact(spark, s, plans)
-    return segments.segment_lengths(segments.segment_ids(left, STEP)).groupBy("series_id").agg(F.sum("length").alias("n"), F.count("*").alias("segments"))
+    """A tenth of each series' samples taken away in gaps of about six: what is left, and in how many segments."""
+    left = inject.inject_exact(series(spark, d), F.floor(F.col("n") / 10), F.lit(6), 42, 20)
+    return segments.segment_lengths(segments.segment_ids(left, STEP)).groupBy("series_id").agg(F.sum("length").alias("n"), F.count("*").alias("segments"), F.max("length").alias("longest"))
+
+
+_EXACT = [
+    "pn AS (SELECT series_id, n, n // 10 AS dr, greatest(1, round_even((n // 10) / 6.0, 0))::BIGINT AS g FROM (SELECT series_id, count(*) AS n FROM s GROUP BY 1))",
+    "pj AS (SELECT *, unnest(range(0, g)) AS j FROM (SELECT *, n - dr - 42 - (g - 1) AS room FROM pn) WHERE dr >= g AND room >= 0)",
+    "pc AS (SELECT *, ('0x' || substr(md5('42|' || series_id || '|' || j), 1, 8))::UBIGINT::BIGINT % (room + 1) AS cut, ('0x' || substr(md5('43|' || series_id || '|' || j), 1, 8))::UBIGINT::BIGINT % 2147483648 AS turn FROM pj)",
+    "pl AS (SELECT *, dr // g + CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY turn, j) <= dr % g THEN 1 ELSE 0 END AS length FROM pc)",
+    "ps AS (SELECT series_id, length, 21 + cut + row_number() OVER w - 1 + coalesce(sum(length) OVER (PARTITION BY series_id ORDER BY cut, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pl WINDOW w AS (PARTITION BY series_id ORDER BY cut, j))",
+    "ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i FROM s) ANTI JOIN (SELECT series_id, unnest(range(start::BIGINT, (start + length)::BIGINT)) AS i FROM ps) USING (series_id, i))",
+]
 
 
 def causality_check(spark, d):
-    """Rows whose features change when later rows are taken away: none."""
+    """For each series, up to eight instants (five places spread over it, its first three segments' starts): on how many the features
+    change when all later rows are taken away. None may."""
     s = segmented(spark, d)
     names = features.feature_names(5)
-    cut = 1705312800
-    return features.causality_errors(s, lambda x: features.build_features(x, 5, OWN), cut, names, K).groupBy().agg(F.count("*").alias("n_wrong"))
+    return features.causality_checks(s, lambda x, keys: features.build_features(x, 5, keys), names).groupBy("series_id").agg(F.count("*").alias("n_checked"), F.sum(F.col("wrong").cast("long")).alias("n_wrong"))
+
+
+def _causal_sql() -> list[str]:
+    f = lambda source, keys: f"SELECT *, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2, lag(v, 3) OVER w AS l3, lag(v, 5) OVER w AS l5, CASE WHEN count(v) OVER f = 5 THEN avg(v) OVER f END AS m, CASE WHEN count(v) OVER f = 5 THEN stddev_samp(v) OVER f END AS sd FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY t), f AS (PARTITION BY {keys} ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+    same = " AND ".join(f"coalesce(abs(a.{x} - b.{x}) <= 1e-9, a.{x} IS NULL AND b.{x} IS NULL)" for x in ("v", "l1", "l2", "l3", "l5", "m", "sd"))
+    return [
+        "rn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS c, row_number() OVER (PARTITION BY series_id, seg ORDER BY t) AS p FROM seg)",
+        "ct AS (SELECT DISTINCT series_id, t AS cut FROM rn WHERE r IN (c // 6, 2 * c // 6, 3 * c // 6, 4 * c // 6, 5 * c // 6) OR (p = 1 AND seg < 3))",
+        f"fa AS ({f('seg', 'series_id, seg')})",
+        "cu AS (SELECT seg.*, cut FROM seg JOIN ct USING (series_id) WHERE t <= cut)",
+        f"fb AS ({f('cu', 'series_id, cut, seg')})",
+        f"cc AS (SELECT a.series_id, NOT ({same}) AS wrong FROM fa a JOIN fb b ON a.series_id = b.series_id AND a.t = b.t AND b.t = b.cut)",
+    ]
 
 
 def t_interval(spark, d):
-    """t interval over weeks with the quantile for their number."""
+    """t interval over weeks, each condition by the number of its own."""
     r = _runs_table(spark, d)
-    n = r.select("week").distinct().count()
-    return rounded(summary.origin_summary(r.groupBy("condition", "week").agg(F.avg("bias").alias("bias")), "bias", ["condition"], t_quantile(0.975, max(1, n - 1))), 5)
+    return rounded(summary.origin_summary(r.groupBy("condition", "week").agg(F.avg("bias").alias("bias")), "bias", ["condition"]), 5)
+
+
+#: 97.5 % points of Student's t for 1 to 30 degrees of freedom. Fixed values.
+T975 = (12.7062047361747, 4.30265272974946, 3.18244630528371, 2.77644510519779, 2.57058183563631, 2.44691185114497, 2.36462425159278, 2.30600413520417, 2.2621571627982, 2.22813885198627, 2.20098516009164, 2.17881282966723, 2.16036865646279, 2.1447866879178, 2.13144954555978, 2.11990529922126, 2.10981557783332, 2.10092204024104, 2.09302405440831, 2.08596344726586, 2.07961384472768, 2.07387306790403, 2.06865761041905, 2.06389856162803, 2.05953855275330, 2.05552943864287, 2.05183051648029, 2.04840714179525, 2.04522964213270, 2.04227245630124)
+
+
+def _t_sql(n: str) -> str:
+    return f"({list(T975)})[{n} - 1]"
+
+
+def _normal_sf_sql(z: str) -> str:
+    """P(Z > z): half less the density times sum z^(2k+1) / (2k+1)!!, whose terms are all of one sign."""
+    return f"greatest(0.0::DOUBLE, 0.5 - sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-30)) - lgamma(2 * k + 2.0) + k * ln(2) + lgamma(k + 1.0)))))"
+
+
+def _t_two_sided_sql(t: str, df: str) -> str:
+    """P(|T| > t) for whole degrees of freedom, by the finite sums over powers of the cosine of atan(t / sqrt(df))."""
+    c2, s = f"({df} / ({df} + {t} * {t}))", f"(abs({t}) / sqrt({df} + {t} * {t}))"
+    even = f"{s} * list_sum(list_transform(range(0, {df} // 2), lambda k: exp(lgamma(2 * k + 1.0) - 2 * lgamma(k + 1.0) - k * ln(4) + k * ln({c2}))))"
+    odd = f"2 / pi() * (atan(abs({t}) / sqrt({df})) + {s} * coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1.0) - lgamma(2 * k + 2.0) + (k + 0.5) * ln({c2})))), 0))"
+    return f"greatest(0.0::DOUBLE, 1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
-_MW = "mw AS (SELECT series_id, count(*) AS n, count(*) FILTER (g) AS n1, sum(r) FILTER (g) AS s, sum(k * k - 1)::DOUBLE AS ties FROM (SELECT *, rank() OVER (PARTITION BY series_id ORDER BY sq_p) + (k - 1) / 2 AS r FROM (SELECT *, d <= 3 AS g, count(*) OVER (PARTITION BY series_id, sq_p) AS k FROM sc WHERE d <= 3 OR d > 8)) GROUP BY 1), mz AS (SELECT *, u0 AS u, CASE WHEN sp > 0 THEN (u0 - n1 * n2 / 2 - 0.5) / sp END AS z FROM (SELECT *, s - n1 * (n1 + 1) / 2 AS u0, sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS sp FROM (SELECT *, n - n1 AS n2 FROM mw)))"
+_MW = "mw AS (SELECT series_id, count(*) AS n, count(*) FILTER (g) AS n1, sum(r) FILTER (g) AS s, sum(k * k - 1)::DOUBLE AS ties FROM (SELECT *, rank() OVER (PARTITION BY series_id ORDER BY sq_p) + (k - 1) / 2 AS r FROM (SELECT *, d <= 3 AS g, count(*) OVER (PARTITION BY series_id, sq_p) AS k FROM sc WHERE d <= 3 OR d > 8)) GROUP BY 1), mz AS (SELECT *, u0 AS u, CASE WHEN sp > 0 THEN (u0 - n1 * n2 / 2 - 0.5) / sp END AS z, CASE WHEN sp > 0 THEN (abs(u0 - n1 * n2 / 2) - 0.5) / sp END AS z2 FROM (SELECT *, s - n1 * (n1 + 1) / 2 AS u0, sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS sp FROM (SELECT *, n - n1 AS n2 FROM mw)))"
 _SIGN = "CASE WHEN bias > 0.005 THEN 1 WHEN bias < -0.005 THEN -1 ELSE 0 END"
 
 QUERIES = {
     "dm_statistic": (dm_statistic, with_([*SCORES, *_hac_sql("sq_m - sq_p")], f"SELECT series_id, n, round(sqrt(greatest(1e-12, (n + 1 - {2 * H} + {H * (H - 1)} / n) / n)) * mean / sqrt(variance), 4) AS dm FROM hs")),
-    "dm_p_value": (dm_p_value, None),
+    "dm_p_value": (dm_p_value, with_([*SCORES, *_hac_sql("sq_m - sq_p"), f"dm AS (SELECT series_id, n, sqrt(greatest(1e-12, (n + 1 - {2 * H} + {H * (H - 1)} / n) / n)) * mean / sqrt(variance) AS dm FROM hs)"], f"SELECT series_id, n, round(dm, 6) AS dm, round({_t_two_sided_sql('dm', '(n - 1)')}, 6) AS p FROM dm")),
+    "cw_p_value": (cw_p_value, with_([*SCORES, *_hac_sql("(target - v) * (target - v) - ((target - m5) * (target - m5) - (v - m5) * (v - m5))")], f"SELECT series_id, n, round({_normal_sf_sql('z')}, 6) AS p FROM (SELECT series_id, n, mean / sqrt(variance) AS z FROM hs)")),
+    "pearson_p": (pearson_p, with_(SCORES, f"SELECT series_id, n, round(r, 6) AS r, round({_t_two_sided_sql('t', '(n - 2)')}, 6) AS p FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT series_id, count(*) AS n, corr(sq_m, d) AS r FROM sc GROUP BY 1))")),
+    "mann_whitney_p": (mann_whitney_p, with_([*SCORES, _MW], f"SELECT series_id, n, round(u, 6) AS u, round({_normal_sf_sql('z')}, 6) AS p_greater, round(least(1, 2 * {_normal_sf_sql('abs(z2)')}), 6) AS p_two_sided FROM mz")),
+    "gap_context_tests": (gap_context_tests, with_([*SEGS, LEN, DIST, _CTX, "cb AS (" + _CTX_ROWS + ")", "cm AS (SELECT series_id, kind, 'sd' AS measure, sd AS x FROM cb UNION ALL SELECT series_id, kind, 'ramp', ramp FROM cb)", "cr AS (SELECT series_id, measure, count(*) AS n, count(*) FILTER (g) AS n1, sum(r) FILTER (g) AS s, sum(k * k - 1)::DOUBLE AS ties FROM (SELECT *, kind = 'before gap' AS g, rank() OVER (PARTITION BY series_id, measure ORDER BY x) + (count(*) OVER (PARTITION BY series_id, measure, x) - 1) / 2 AS r, count(*) OVER (PARTITION BY series_id, measure, x) AS k FROM cm WHERE x IS NOT NULL) GROUP BY 1, 2)", "cz AS (SELECT *, s - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS sp FROM (SELECT *, n - n1 AS n2 FROM cr) WHERE n1 >= 5 AND n2 >= 5)", f"cp AS (SELECT *, CASE WHEN z IS NOT NULL THEN {_normal_sf_sql('z')} END AS p FROM (SELECT *, CASE WHEN sp > 0 THEN (u - n1 * n2 / 2 - 0.5) / sp END AS z FROM cz))"], "SELECT series_id, measure, n1, n2, round(u, 5) AS u, round(p, 5) AS p, min(ok) OVER (ORDER BY p, series_id || '/' || measure ROWS UNBOUNDED PRECEDING) = 1 AS supported FROM (SELECT *, CASE WHEN p <= 0.05::DOUBLE / (count(*) OVER () - row_number() OVER (ORDER BY p, series_id || '/' || measure) + 1) THEN 1 ELSE 0 END AS ok FROM cp)")),
     "cw_statistic": (cw_statistic, with_([*SCORES, *_hac_sql("(target - v) * (target - v) - ((target - m5) * (target - m5) - (v - m5) * (v - m5))")], "SELECT series_id, n, round(mean / sqrt(variance), 4) AS cw FROM hs")),
     "mann_whitney_u": (mann_whitney_u, with_([*SCORES, _MW], "SELECT series_id, n, n1, n2, round(u, 4) AS u, round(z, 4) AS z FROM mz")),
-    "holm": (holm, with_([*SCORES, _MW], "SELECT series_id, round(p, 5) AS p, min(ok) OVER (ORDER BY p, series_id ROWS UNBOUNDED PRECEDING) = 1 AS supported FROM (SELECT *, CASE WHEN p <= 0.4 / (count(*) OVER () - row_number() OVER (ORDER BY p, series_id) + 1) THEN 1 ELSE 0 END AS ok FROM (SELECT series_id, 1 / (1 + exp(1.702 * z)) AS p FROM mz))")),
+    "holm": (holm, with_([*SCORES, _MW, f"pv AS (SELECT series_id, {_normal_sf_sql('z')} AS p FROM mz)"], "SELECT series_id, round(p, 5) AS p, min(ok) OVER (ORDER BY p, series_id ROWS UNBOUNDED PRECEDING) = 1 AS supported FROM (SELECT *, CASE WHEN p <= 0.05::DOUBLE / (count(*) OVER () - row_number() OVER (ORDER BY p, series_id) + 1) THEN 1 ELSE 0 END AS ok FROM pv)")),
     "spearman": (spearman, with_(SCORES, "SELECT series_id, count(*) AS n, round(corr(a, b), 5) AS rho FROM (SELECT *, rank() OVER (PARTITION BY series_id ORDER BY d) + (count(*) OVER (PARTITION BY series_id, d) - 1) / 2 AS a, rank() OVER (PARTITION BY series_id ORDER BY sq_p) + (count(*) OVER (PARTITION BY series_id, sq_p) - 1) / 2 AS b FROM sc) GROUP BY 1")),
     "correlations": (correlations, with_(SCORES, "SELECT series_id, count(*) AS n, round(corr(sq_m, sq_p), 5) AS pearson, round(corr(ln(greatest(sq_m, 1e-4)), ln(greatest(sq_p, 1e-4))), 5) AS log_log FROM sc GROUP BY 1")),
     "segment_blocks": (segment_blocks, with_([*SCORES, _BLOCKS], "SELECT series_id, t, block FROM bk")),
@@ -345,18 +411,18 @@ QUERIES = {
     "survival_grid": (survival_grid, with_(_RT, "SELECT series_id, condition, share, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT series_id FROM rt), (SELECT DISTINCT condition FROM rt), (SELECT DISTINCT share FROM rt)) LEFT JOIN (SELECT series_id, condition, share, count(*) AS n FROM rt WHERE bias > 0 GROUP BY 1, 2, 3) USING (series_id, condition, share)")),
     "summary_grouping_sets": (summary_grouping_sets, with_(_RT, "SELECT condition, share, count(bias) AS n, round(avg(bias), 5) AS mean, round(quantile_cont(bias, 0.5), 5) AS median FROM rt GROUP BY GROUPING SETS ((condition, share), (condition), (share), ())")),
     "reliability": (reliability, with_(_RT, "SELECT condition, count(*) AS n, round(avg(bias), 5) AS mean FROM rt WHERE -bias > -10 AND rmse / rmse_intact BETWEEN 0.9 AND 1.1 GROUP BY 1")),
-    "origin_summary": (origin_summary, with_(_RT, f"SELECT series_id, condition, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(mean - 2 * sd / sqrt(n), 5) AS ci_lo, round(mean + 2 * sd / sqrt(n), 5) AS ci_hi, one_sign, mean - 2 * sd / sqrt(n) > 0 OR mean + 2 * sd / sqrt(n) < 0 AS excludes_zero FROM (SELECT series_id, condition, count(bias) AS n, avg(bias) AS mean, stddev_samp(bias) AS sd, count(DISTINCT {_SIGN}) = 1 AS one_sign FROM rt GROUP BY 1, 2)")),
+    "origin_summary": (origin_summary, with_(_RT, f"SELECT series_id, condition, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(mean - half, 5) AS ci_lo, round(mean + half, 5) AS ci_hi, one_sign, mean - half > 0 OR mean + half < 0 AS excludes_zero FROM (SELECT *, {_t_sql('n')} * sd / sqrt(n) AS half FROM (SELECT series_id, condition, count(bias) AS n, avg(bias) AS mean, stddev_samp(bias) AS sd, count(DISTINCT {_SIGN}) = 1 AS one_sign FROM rt GROUP BY 1, 2))")),
     "sign_agreement": (sign_agreement, with_(_RT, f"SELECT series_id, share, count(*) AS n, count(DISTINCT {_SIGN}) = 1 AS agree FROM rt GROUP BY 1, 2")),
     "spread": (spread, with_(_RT, f"SELECT series_id, round(min(bias), 5) AS min, round(max(bias), 5) AS max, round(avg(bias), 5) AS mean, round(stddev_samp(bias), 5) AS sd, count(DISTINCT {_SIGN}) = 1 AS one_sign FROM rt GROUP BY 1")),
     "best_condition": (best_condition, with_(_RT, "SELECT series_id, condition, share, round(bias, 5) AS bias FROM (SELECT series_id, condition, share, avg(bias) AS bias FROM rt GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY bias, condition, share) = 1")),
     "long_numbers": (long_numbers, with_(_RT, "SELECT condition, 'n' AS stat, count(*)::DOUBLE AS value FROM rt GROUP BY 1 UNION ALL SELECT condition, 'mean', round(avg(bias), 5) FROM rt GROUP BY 1")),
-    "t_interval": (t_interval, None),
+    "t_interval": (t_interval, with_([*_RT, "wk AS (SELECT condition, week, avg(bias) AS bias FROM rt GROUP BY 1, 2)"], f"SELECT condition, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(mean - half, 5) AS ci_lo, round(mean + half, 5) AS ci_hi, one_sign, mean - half > 0 OR mean + half < 0 AS excludes_zero FROM (SELECT *, {_t_sql('n')} * sd / sqrt(n) AS half FROM (SELECT condition, count(bias) AS n, avg(bias) AS mean, stddev_samp(bias) AS sd, count(DISTINCT {_SIGN}) = 1 AS one_sign FROM wk GROUP BY 1))")),
     "ridge_full": (ridge_full, None),
     "gbt_skill": (gbt_skill, None),
     "forest_skill": (forest_skill, None),
     "arma_skill": (arma_skill, None),
-    "inject_exact": (inject_exact, None),
-    "causality_check": (causality_check, with_(SEGS, "SELECT 0::BIGINT AS n_wrong")),
+    "inject_exact": (inject_exact, with_([*SEGS[:2], *_EXACT], f"SELECT series_id, sum(length)::BIGINT AS n, count(*) AS segments, max(length) AS longest FROM (SELECT series_id, seg, count(*) AS length FROM (SELECT *, sum(b) OVER (PARTITION BY series_id ORDER BY t) AS seg FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY series_id ORDER BY t) <> {STEP} THEN 1 ELSE 0 END AS b FROM ex)) GROUP BY 1, 2) GROUP BY 1")),
+    "causality_check": (causality_check, with_([*SEGS, *_causal_sql()], "SELECT series_id, count(*) AS n_checked, count(*) FILTER (wrong) AS n_wrong FROM cc GROUP BY 1")),
 }
 
 
@@ -377,8 +443,8 @@ def with_value(query, var: ContextVar, value):
 
 
 def every_type(queries: dict) -> dict:
-    """NAME_every_type of each query on injected gaps: the same on the series of all types."""
-    return {f"{n}_every_type": (with_value(queries[n][0], EVERY, True), queries[n][1] and queries[n][1].replace(_THREE, "")) for n in INJECTED}
+    """NAME_every_type, as the queries on injected gaps of all types were first called, beside NAME."""
+    return {f"{n}_every_type": queries[n] for n in INJECTED}
 
 
 #: Replicates of the reference (N_BOOT, BOOT_N); intervals of a bias may draw five times as many.

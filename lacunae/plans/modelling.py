@@ -51,11 +51,11 @@ def _rolls_sql(keys: str, source: str) -> str:
 
 
 def kalman_segmented(spark, d):
-    return rounded(features.kalman_level(segmented(spark, d), OWN).select("series_id", "t", "kalman"))
+    return rounded(features.kalman_level_blocked(segmented(spark, d), OWN).select("series_id", "t", "kalman"))
 
 
 def kalman_naive(spark, d):
-    return rounded(features.kalman_level(series(spark, d), K).select("series_id", "t", "kalman"))
+    return rounded(features.kalman_level_blocked(series(spark, d), K).select("series_id", "t", "kalman"))
 
 
 def kalman_sql(seg: str, source: str, name: str) -> list[str]:
@@ -174,13 +174,16 @@ def skill_ridge1(spark, d):
     return rounded(scores.skill_summary(scores.predict_ridge1(s.where("split = 'test'"), model, "v")), 5)
 
 
+def design(df, horizon: int = H, depth: int = DEPTH, seq: int = SEQ, **guards):
+    """Both designs' features and splits of a segmented series in one frame."""
+    return origins.both_splits(features.both_designs(df, depth, seq, horizon), seq, horizon, **(LEAST | guards))
+
+
 def _arms(spark, d):
     """Arms on the Kalman level: within segments for A, over the whole series for B, C and D."""
-    seg = features.kalman_level(segmented(spark, d), OWN).select("series_id", "t", F.col("kalman").alias("k_aware"))
-    nav = features.kalman_level(series(spark, d), K).select("series_id", "t", F.col("kalman").alias("k_naive"))
-    aware = _aware(spark, d).join(seg, ["series_id", "t"]).join(nav, ["series_id", "t"])
-    naive = _calendar(spark, d).join(nav, ["series_id", "t"])
-    return scores.four_arms(aware, naive, "k_aware", "k_naive")
+    rows, keys = scores.arm_rows(design(segmented(spark, d)), ["a_kalman"], ["n_kalman"]), [*K, "arm"]
+    model = scores.fit_ridge1(rows.where("role = 'train'"), "x0", keys=keys)
+    return scores.arm_skills(scores.predict_ridge1(rows.where("role = 'test'"), model, "x0", keys)).drop("rmse_p_a", "rmse_p_c", "rmse_m_a", "rmse_m_c")
 
 
 def arms_decomposition(spark, d):
@@ -290,6 +293,7 @@ _FAR = f"(d > 8 AND NOT displaced AND to_gap > {H})"
 _CTX = f"""cx AS (SELECT *, CASE WHEN count(v) OVER w = 6 THEN stddev_pop(v) OVER w END AS sd, CASE WHEN count(v) OVER w = 6 THEN max(ch) OVER w5 END AS ramp FROM (SELECT *, CASE WHEN d > 1 THEN abs(v - lag(v) OVER (PARTITION BY series_id, seg ORDER BY t)) END AS ch FROM di)
   WINDOW w AS (PARTITION BY series_id, seg ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), w5 AS (PARTITION BY series_id, seg ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
 _FARROWS = f"NOT EXISTS (SELECT 1 FROM di g WHERE g.to_gap = 1 AND g.series_id = q.series_id AND abs(g.t + {STEP} - q.t) <= 6 * {STEP})"
+_CTX_ROWS = f"SELECT series_id, 'before gap' AS kind, sd, ramp FROM cx WHERE to_gap = 1 AND sd IS NOT NULL UNION ALL SELECT series_id, 'baseline', sd, ramp FROM cx q WHERE d % 6 = 0 AND sd IS NOT NULL AND {_FARROWS}"
 _OWN = "PARTITION BY series_id, seg ORDER BY t"
 
 QUERIES = {

@@ -102,7 +102,7 @@ def longest_block(spark, d):
 
 
 def day_runs(spark, d):
-    days = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 400000").select(F.col("o_orderpriority").alias("series_id"), F.floor(seconds(F.col("o_orderdate")) / 86400).alias("day"))
+    days = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("series_id"), F.floor(seconds(F.col("o_orderdate")) / 86400).alias("day"))
     return segments.day_runs(days)
 
 
@@ -111,7 +111,7 @@ def distance_from_gap(spark, d):
 
 
 def label_changes(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey < 500")
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
     days = li.select(F.col("l_linestatus").alias("series_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t"), "l_returnflag")
     one = days.groupBy("series_id", "t").agg(F.min("l_returnflag").alias("l_returnflag"))
     return segments.label_changes(one, "l_returnflag")
@@ -129,7 +129,7 @@ def retention_formula(spark, d):
 
 
 def retention_curve(spark, d):
-    return rounded(segments.retention_curve(segments.segment_lengths(segmented(spark, d)), list(range(1, 31)), list(range(1, 13))))
+    return rounded(segments.retention_curve(segments.segment_lengths(segmented(spark, d)), list(range(1, 151)), list(range(1, 61))))
 
 
 _RUNS = """ (SELECT series_id, run, count(*) AS length, min(t) AS start, max(t) AS "end" FROM (SELECT *, sum(st) OVER (PARTITION BY series_id ORDER BY t) AS run FROM (SELECT *, CASE WHEN ok AND NOT coalesce(lag(ok) OVER (PARTITION BY series_id ORDER BY t), false) THEN 1 ELSE 0 END AS st FROM (SELECT *, {ok} AS ok FROM {source}))) WHERE ok GROUP BY 1, 2)"""
@@ -159,10 +159,10 @@ QUERIES = {
     "gap_report": (gap_report, with_(_GF, f"""SELECT series_id, intervals, valid, intervals - valid AS missing, round(100 * (intervals - valid) / intervals, 6) AS pct_missing, segments, round(longest * {FINE} / 86400, 6) AS longest_days, coalesce(n_gaps, 0) AS n_gaps, round(med * {FINE} / 60, 6) AS median_gap_min, round(mx * {FINE} / 3600, 6) AS max_gap_h FROM (SELECT series_id, count(*) AS intervals, count(v) AS valid FROM g GROUP BY 1) JOIN (SELECT series_id, count(*) AS segments, max(length) AS longest FROM{_runs('v IS NOT NULL')} GROUP BY 1) USING (series_id) LEFT JOIN (SELECT series_id, count(*) AS n_gaps, quantile_cont(length, 0.5) AS med, max(length) AS mx FROM{_runs('v IS NULL')} GROUP BY 1) USING (series_id)""")),
     "gap_statistics": (gap_statistics, with_(BASE, f"""SELECT series_id, n, round(span / 86400, 6) AS span_days, round(100 * n / (span / {STEP} + 1), 6) AS completeness, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mi, 6) AS min, round(ma, 6) AS max, round(p05, 6) AS p05, round(p95, 6) AS p95, n_gaps + 1 AS segments, n_gaps, round(100 * n_gaps / n, 6) AS pct_after_gap, round(gm, 6) AS gap_median, round(g95, 6) AS gap_p95, round(gx, 6) AS gap_max FROM (SELECT series_id, count(*) AS n, max(t) - min(t) AS span, avg(v) AS mean, stddev_samp(v) AS sd, min(v) AS mi, max(v) AS ma, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.95) AS p95, count(gap) AS n_gaps, quantile_cont(gap, 0.5) AS gm, quantile_cont(gap, 0.95) AS g95, max(gap) AS gx FROM (SELECT *, CASE WHEN dt <> {STEP} THEN dt / {STEP} - 1 END AS gap FROM (SELECT *, t - lag(t) OVER (PARTITION BY series_id ORDER BY t) AS dt FROM s)) GROUP BY 1)""")),
     "longest_block": (longest_block, with_([*SEGS, LEN], "SELECT series_id, t, round(v, 6) AS v, seg FROM seg SEMI JOIN (SELECT series_id, seg FROM len QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY length DESC, start) = 1) USING (series_id, seg)")),
-    "day_runs": (day_runs, "SELECT series_id, min(day) AS first_day, count(*) AS n_days FROM (SELECT *, day - row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM (SELECT DISTINCT o_orderpriority AS series_id, epoch_us(o_orderdate) // 86400000000 AS day FROM orders WHERE o_totalprice > 400000)) GROUP BY series_id, i"),
+    "day_runs": (day_runs, "SELECT series_id, min(day) AS first_day, count(*) AS n_days FROM (SELECT *, day - row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM (SELECT DISTINCT o_orderpriority AS series_id, epoch_us(o_orderdate) // 86400000000 AS day FROM orders)) GROUP BY series_id, i"),
     "distance_from_gap": (distance_from_gap, with_([*SEGS, LEN, DIST], "SELECT series_id, t, round(v, 6) AS v, seg, d, gap_before, to_gap FROM di")),
-    "label_changes": (label_changes, "SELECT series_id, count(*) AS n_changes, string_agg(f, ' -> ' ORDER BY t) AS path FROM (SELECT *, lag(f) OVER (PARTITION BY series_id ORDER BY t) AS p FROM (SELECT l_linestatus AS series_id, l_orderkey * 10 + l_linenumber AS t, min(l_returnflag) AS f FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2)) WHERE p IS NULL OR f <> p GROUP BY 1"),
+    "label_changes": (label_changes, "SELECT series_id, count(*) AS n_changes, string_agg(f, ' -> ' ORDER BY t) AS path FROM (SELECT *, lag(f) OVER (PARTITION BY series_id ORDER BY t) AS p FROM (SELECT l_linestatus AS series_id, l_orderkey * 10 + l_linenumber AS t, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2)) WHERE p IS NULL OR f <> p GROUP BY 1"),
     "record_rows": (record_rows, with_([EV, f"good AS (SELECT series_id, t - t % {STEP} AS t, avg(v) AS v FROM ev WHERE v BETWEEN 0 AND 60 GROUP BY 1, 2)", grid_sql(source="good"), f"m AS (SELECT g.*, there IS NOT NULL AS there FROM g LEFT JOIN (SELECT DISTINCT series_id, t - t % {STEP} AS t, true AS there FROM ev) USING (series_id, t))"], f"SELECT series_id, bad, absent, longest_clean, longest_apparent FROM (SELECT series_id, count(*) FILTER (there AND v IS NULL) AS bad, count(*) FILTER (NOT there AND v IS NULL) AS absent FROM m GROUP BY 1) JOIN (SELECT series_id, max(length) AS longest_clean FROM{_runs('v IS NOT NULL', 'm')} GROUP BY 1) USING (series_id) JOIN (SELECT series_id, max(length) AS longest_apparent FROM{_runs('v IS NOT NULL OR there', 'm')} GROUP BY 1) USING (series_id)")),
     "retention_formula": (retention_formula, with_([*SEGS, LEN], "SELECT series_id, 5 AS w, 1 AS h, n_valid, round(CASE WHEN total - 6 > 0 THEN n_valid / (total - 6) END, 6) AS retention FROM (SELECT series_id, sum(greatest(0, length - 6))::BIGINT AS n_valid, sum(length) AS total FROM len GROUP BY 1)")),
-    "retention_curve": (retention_curve, with_([*SEGS, LEN], "SELECT series_id, w::INTEGER AS w, h::INTEGER AS h, n_valid, round(CASE WHEN total - w - h > 0 THEN n_valid / (total - w - h) END, 6) AS retention FROM (SELECT series_id, w, h, sum(greatest(0, length - w - h))::BIGINT AS n_valid, sum(length) AS total FROM len, range(1, 31) a(w), range(1, 13) b(h) GROUP BY 1, 2, 3)")),
+    "retention_curve": (retention_curve, with_([*SEGS, LEN], "SELECT series_id, w::INTEGER AS w, h::INTEGER AS h, n_valid, round(CASE WHEN total - w - h > 0 THEN n_valid / (total - w - h) END, 6) AS retention FROM (SELECT series_id, w, h, sum(greatest(0, length - w - h))::BIGINT AS n_valid, sum(length) AS total FROM len, range(1, 151) a(w), range(1, 61) b(h) GROUP BY 1, 2, 3)")),
 }

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import experiments, flagship, inference, modelling, structure
+from .plans import evaluation, experiments, flagship, inference, modelling, structure
 
-REGISTRY: dict = {**flagship.QUERIES, **structure.QUERIES, **modelling.QUERIES, **inference.QUERIES, **experiments.QUERIES}
+REGISTRY: dict = {**flagship.QUERIES, **structure.QUERIES, **modelling.QUERIES, **inference.QUERIES, **experiments.QUERIES, **evaluation.QUERIES}
 REGISTRY |= inference.every_type(REGISTRY)
 REGISTRY |= inference.full_reps(REGISTRY)

@@ -100,6 +100,7 @@ def write_results(df: DataFrame, path: str, by: list[str] | None = None, csv: bo
 
 
 def text_report(df: DataFrame, most: int = 1000) -> list[str]:
-    """Lines of a small result table for a text report."""
-    rows = df.limit(most).collect()
-    return ["\t".join(df.columns), *("\t".join("" if x is None else str(x) for x in r) for r in rows)]
+    """Lines of a result table for a text report. Of a table with more than `most` rows the last line tells that others follow."""
+    rows = df.limit(most + 1).collect()
+    lines = ["\t".join(df.columns), *("\t".join("" if x is None else str(x) for x in r) for r in rows[:most])]
+    return lines + ["... more rows"] * (len(rows) > most)

@@ -249,12 +249,29 @@ def test_bootstrap(spark, gappy):
     assert {r["sum(weight)"] for r in w.groupBy("rep").sum("weight").collect()} == {10}
 
 
+@pytest.mark.parametrize(("n", "drop", "nominal", "margin"), [(1500, 150, 6, 200), (1500, 151, 7, 200), (100, 47, 1, 2), (60, 40, 40, 5), (1000, 3, 50, 10)])
+def test_planned_gaps_are_exact(spark, n, drop, nominal, margin):
+    sizes = spark.createDataFrame([(f"s{k}", n) for k in range(8)], "series_id string, n bigint")
+    plans = inject.plan_gaps(sizes, F.lit(drop), F.lit(nominal), 4, margin).collect()
+    assert plans == inject.plan_gaps(sizes, F.lit(drop), F.lit(nominal), 4, margin).collect()
+    by_series = {k: sorted((r.start, r.length) for r in plans if r.series_id == f"s{k}") for k in range(8)}
+    assert len(set(map(tuple, by_series.values()))) > 1 or (n, drop) == (60, 40)
+    for plan in by_series.values():
+        assert sum(m for _, m in plan) == drop and len(plan) == max(1, round(drop / nominal)) and max(m for _, m in plan) - min(m for _, m in plan) <= 1
+        assert all(a + m < b for (a, m), (b, _) in zip(plan, plan[1:], strict=False)) and plan[0][0] > margin and sum(plan[-1]) < n - margin
+
+
+def test_gaps_without_room_are_not_planned(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 10), (None, 100), ("d", 0)], "series_id string, n bigint")
+    got = inject.plan_gaps(sizes, F.floor(F.col("n") / 5), F.lit(4), 1, 10)
+    assert {r.series_id: r["sum(length)"] for r in got.groupBy("series_id").sum("length").collect()} == {"a": 20, None: 20}
+    assert inject.plan_gaps(sizes, F.lit(0), F.lit(4), 1, 10).isEmpty()
+
+
 def test_injection(spark, whole):
-    plan = inject.plan_gaps(1500, 150, 6, 4)
-    assert sum(n for _, n in plan) == 150 and all(a + n < b for (a, n), (b, _) in zip(plan, plan[1:]))
-    assert plan == inject.plan_gaps(1500, 150, 6, 4)
-    left = inject.inject_exact(spark, whole, {"x": plan})
-    assert left.count() == 1350 and segments.segment_ids(left, STEP).agg(F.max("seg")).first()[0] == len(plan)
+    plan = inject.plan_gaps(spark.createDataFrame([("x", 1500)], "series_id string, n bigint"), F.lit(150), F.lit(6), 4).count()
+    left = inject.inject_exact(whole, F.lit(150), F.lit(6), 4)
+    assert left.count() == 1350 and segments.segment_ids(left, STEP).agg(F.max("seg")).first()[0] == plan == 25
     spread = inject.inject_stratified(whole, 0.1, 6, 1)
     lengths = segments.gap_statistics(spread, STEP).first()
     assert (lengths.n, lengths.n_gaps, lengths.gap_max) == (1350, 25, 6.0)
