@@ -7,7 +7,7 @@ Patterns shorter than the window (items with fewer words) have tables of their o
 
 Tables are flat arrays: the shift table is indexed by a hash of the block (blocks that share a place share the smaller shift,
 which is always safe), bucket keys are one sorted array, and patterns are places in one buffer of the items' words. A window so
-takes some 40 bytes however many items hold it.
+takes some 40 bytes however many items hold it. Words that no item has are in no pattern, so the search jumps over them.
 
 Null or empty texts have no words and no hits. Repeated rows are each judged on their own. An empty benchmark hits nothing; null
 and empty items have no windows. Extra columns are ignored, whatever their names.
@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, small_batches, stored, texts_of
+from .common import map_texts, small_batches, stored, texts_of
 
 WINDOW = 10
 #: Bytes that the search tables of one broadcast block may have; a larger benchmark is searched for in several blocks, one after another.
-BLOCK_BYTES = 128_000_000
-#: Bytes of tables for each word of an item, besides its text: key, places, items, and its share of the shift table.
-WORD_BYTES = 48
+BLOCK_BYTES = 256_000_000
+#: Bytes of tables for each word of an item, besides its text: key, places, items, its share of the shift table, and, should it be the
+#: only one of its kind, its entry among the known words.
+WORD_BYTES = 200
 
 #: Bytes of words stay (A-Z in lower case), others become blanks. All bytes of non-ASCII characters belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -41,22 +42,15 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(word)
-
-
-_HASHES = Memo(_word_hash)
 _SUFFIX, _PREFIX, _JOIN = 0x5BD1E995, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers
 _MASK = (1 << 64) - 1
 
 
 class WuManber:
-    """Search tables for the windows of m words of items. rows: (item, its words), each of at least m words."""
+    """Search tables for the windows of m words of items. rows: (item, its words), each of at least m words; codes: a number for each word."""
 
-    def __init__(self, m: int, rows: list[tuple[str, list[bytes]]]):
-        self.m, self.b = m, min(2, m)
+    def __init__(self, m: int, rows: list[tuple[str, list[bytes]]], codes: dict[bytes, int]):
+        self.m, self.b, self.codes = m, min(2, m), codes
         self.default = min(255, m - self.b + 1)
         self.items = [item for item, _ in rows]
         sizes = np.array([len(words) for _, words in rows], np.int64)
@@ -64,7 +58,7 @@ class WuManber:
         self.buffer = b" ".join(b" ".join(words) for _, words in rows)
         lengths = np.fromiter((len(w) for _, words in rows for w in words), np.int64, total)
         self.places = np.r_[0, np.cumsum(lengths + 1)]  # of each word in the buffer
-        h = np.fromiter((_HASHES[w] for _, words in rows for w in words), np.uint64, total)
+        h = np.fromiter((codes[w] for _, words in rows for w in words), np.uint64, total)
         per_item = sizes - m + 1
         item = np.repeat(np.arange(len(rows), dtype=np.int32), per_item)
         starts = np.arange(len(item)) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(per_item) + per_item, per_item)
@@ -113,19 +107,32 @@ class WuManber:
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
         """(start, items) of every occurrence, in order."""
-        m, b, n, shift, mask, code_of = self.m, self.b, len(words), self.shift, self.mask, _HASHES
+        m, b, n, shift, mask, code_of = self.m, self.b, len(words), self.shift, self.mask, self.codes.get
         keys = memoryview(self.keys)
         end = m
         while end <= n:
-            code = code_of[words[end - 2]] * _SUFFIX + code_of[words[end - 1]] if b == 2 else code_of[words[end - 1]]
+            code = code_of(words[end - 1])
+            if code is None:  # in no pattern: the next one may begin after this word
+                end += m
+                continue
+            if b == 2:
+                before = code_of(words[end - 2])
+                if before is None:
+                    end += m - 1
+                    continue
+                code += before * _SUFFIX
             s = shift[code & mask]
             if s:
                 end += s
                 continue
             start = end - m
+            before = list(map(code_of, words[start : end - b]))
+            if None in before:
+                end += 1
+                continue
             prefix = 0
-            for w in words[start : end - b]:
-                prefix = (prefix * _PREFIX + code_of[w]) & _MASK
+            for c in before:
+                prefix = (prefix * _PREFIX + c) & _MASK
             key = (prefix * _JOIN + code) & _MASK
             at = bisect_left(keys, key)
             while at < len(keys) and keys[at] == key:
@@ -143,7 +150,12 @@ def tables_of(items: list[tuple], window: int = WINDOW) -> list[WuManber]:
         words = words_of(text)
         if words:
             by_length[min(window, len(words))].append((str(item), words))
-    return [WuManber(m, rows) for m, rows in sorted(by_length.items())]
+    codes: dict[bytes, int] = {}
+    for rows in by_length.values():
+        for _, words in rows:
+            for w in words:
+                codes.setdefault(w, len(codes))
+    return [WuManber(m, rows, codes) for m, rows in sorted(by_length.items())]
 
 
 def found(words: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int, int]], set[str]]:
