@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch: texts may be long, so batches stay small. Narrow rows reach the session's own row bound first.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Bytes that one bucket of a shuffle held in Python may have.
 BUCKET_BYTES = 64 << 20
 
