@@ -85,11 +85,11 @@ def _calendar_sql(h: int) -> str:
   FROM nv JOIN bo USING (series_id) WHERE target IS NOT NULL)"""
 
 
-def pair_arms_sql(h: int) -> list[str]:
+def pair_arms_sql(h: int, depth: int = DEPTH, seq: int = SEQ) -> list[str]:
     """aw, na: rows of both designs with v, k_aware, k_naive and split; pa, pb, pc: test rows of the arms with prediction p."""
     predict = lambda x, rows, fit: f"SELECT q.*, my + b1 * (v - m1) + b2 * ({x} - m2) AS p FROM {rows} q JOIN ({fit}) USING (series_id) WHERE split = 'test'"
     return [
-        *SEGS, naive_sql(h), valid_sql(h=h), split_sql(h=h), _BOUNDS, _calendar_sql(h), *kalman_sql("seg", "seg", "ks"), *kalman_sql("0", "s", "kn"),
+        *SEGS, naive_sql(h), valid_sql(depth, seq, h), split_sql(h=h), _BOUNDS, _calendar_sql(h), *kalman_sql("seg", "seg", "ks"), *kalman_sql("0", "s", "kn"),
         "aw AS (SELECT sp.*, ks.x AS k_aware, kn.x AS k_naive FROM sp JOIN ks USING (series_id, t) JOIN kn USING (series_id, t))",
         "na AS (SELECT cs.*, kn.x AS k_naive FROM cs JOIN kn USING (series_id, t))",
         f"pa AS ({predict('k_aware', 'aw', _fit2('v', 'k_aware', '(FROM aw WHERE split = ' + chr(39) + 'train' + chr(39) + ')'))})",
@@ -137,12 +137,44 @@ def pair_decomposition(spark, d):
     return rounded(union(each).select(*K, "horizon", *[f"skill_{x}" for x in "abcd"], "feature", "training", "composition", "total", "n_a", "n_c"), 4)
 
 
-def _pair_sql(h: int) -> str:
+def _pair_sql(h: int, depth: int = DEPTH) -> str:
     sk = lambda a, where="": f"SELECT series_id, count(*) AS n, 100 * (1 - sqrt(sum((target - p) * (target - p)) / sum((target - v) * (target - v)))) AS skill FROM p{a} {where} GROUP BY 1"
-    return with_(pair_arms_sql(h), f"""SELECT series_id, {h} AS horizon, round(a.skill, 4) AS skill_a, round(b.skill, 4) AS skill_b, round(c.skill, 4) AS skill_c, round(d.skill, 4) AS skill_d, round(b.skill - a.skill, 4) AS feature, round(d.skill - b.skill, 4) AS training, round(c.skill - d.skill, 4) AS composition, round(c.skill - a.skill, 4) AS total, a.n AS n_a, c.n AS n_c
+    return with_(pair_arms_sql(h, depth, min(SEQ, depth + 1)), f"""SELECT series_id, {h} AS horizon, round(a.skill, 4) AS skill_a, round(b.skill, 4) AS skill_b, round(c.skill, 4) AS skill_c, round(d.skill, 4) AS skill_d, round(b.skill - a.skill, 4) AS feature, round(d.skill - b.skill, 4) AS training, round(c.skill - d.skill, 4) AS composition, round(c.skill - a.skill, 4) AS total, a.n AS n_a, c.n AS n_c
     FROM ({sk('a')}) a JOIN ({sk('b')}) b USING (series_id) JOIN ({sk('c')}) c USING (series_id) JOIN ({sk('c', 'WHERE (series_id, t) IN (SELECT (series_id, t) FROM pa)')}) d USING (series_id)""", True)
 
 
+DEPTHS = (5, 10, 15)
+
+
+def depth_arms(spark, d):
+    """Arms by feature depth, the embargo the same for all: how the bias grows with the rows that a deeper window takes away."""
+    seg, out = stored(segmented(spark, d), "segments"), []
+    for w in DEPTHS:
+        rows = origins.both_splits(features.both_designs(seg, w, min(SEQ, w + 1), H), SEQ, H, embargo=SEQ + H, **LEAST)
+        long = stored(scores.arm_rows(rows, ["a_lag_0", "a_kalman"], ["n_lag_0", "n_kalman"]), "depth-rows")
+        out.append(scores.arm_skills(ridge_arms(long, 2, [*K, "arm"])).withColumn("w", F.lit(w)))
+    return rounded(union(out).select(*K, "w", *[f"skill_{x}" for x in "abcd"], "feature", "training", "composition", "total", "n_a", "n_c"), 4)
+
+
+def _depth_sql(w: int) -> str:
+    return _pair_sql(H, w).replace(f"{H} AS horizon", f"{w} AS w", 1)
+
+
+def mixture_table(spark, d):
+    """The decomposition beside the main table's counts and errors: exposure, persistence ratio, composition, for each series and horizon."""
+    main = union(scores.arm_skills(ridge_arms(arm_rows(spark, d, h, PAIR), 2, [*K, "arm"])).withColumn("horizon", F.lit(h)) for h in HORIZONS)
+    main = stored(main, "main-table")
+    parts = main.select(*K, "horizon", "composition", "total")
+    joined = parts.join(main.select(*K, "horizon", (1 - F.col("n_a") / F.col("n_c")).alias("f"), (F.col("rmse_p_c") / F.col("rmse_p_a")).alias("rp_ratio"), (F.col("rmse_m_c") / F.col("rmse_m_a")).alias("rm_ratio")), [*K, "horizon"], "left")
+    return rounded(joined, 4)
+
+
+def _mixture_sql(h: int) -> str:
+    e = lambda a, where="": f"SELECT series_id, count(*) AS n, sqrt(avg((target - p) * (target - p))) AS rm, sqrt(avg((target - v) * (target - v))) AS rp FROM p{a} {where} GROUP BY 1"
+    sk = lambda x: f"100 * (1 - {x}.rm / {x}.rp)"
+    return with_(pair_arms_sql(h), f"SELECT series_id, {h} AS horizon, round({sk('c')} - {sk('d')}, 4) AS composition, round({sk('c')} - {sk('a')}, 4) AS total, round(1 - a.n / c.n, 4) AS f, round(c.rp / a.rp, 4) AS rp_ratio, round(c.rm / a.rm, 4) AS rm_ratio FROM ({e('a')}) a JOIN ({e('c')}) c USING (series_id) JOIN ({e('c', 'WHERE (series_id, t) IN (SELECT (series_id, t) FROM pa)')}) d USING (series_id)", True)
+
+
 MODELS = ("ridge", "boosted", "forest")
 
 
@@ -425,6 +457,8 @@ _R4 = lambda names: ", ".join(f"round({n}, 4) AS {n}" for n in names.split())  #
 QUERIES = {
     "aligned_table": (aligned_table, " UNION ALL ".join(f"SELECT * FROM ({_aligned_sql(h)})" for h in HORIZONS)),
     "pair_decomposition": (pair_decomposition, " UNION ALL ".join(f"SELECT * FROM ({_pair_sql(h)})" for h in HORIZONS)),
+    "depth_arms": (depth_arms, " UNION ALL ".join(f"SELECT * FROM ({_depth_sql(w)})" for w in DEPTHS)),
+    "mixture_table": (mixture_table, " UNION ALL ".join(f"SELECT * FROM ({_mixture_sql(h)})" for h in HORIZONS)),
     "clark_west_arms": (clark_west_arms, _cw_sql()),
     "channel_lead_times": (channel_lead_times, " UNION ALL ".join(f"SELECT * FROM ({_lead_sql(h)})" for h in HORIZONS)),
     "walk_forward_profile": (walk_forward_profile, with_(_WALK, f"SELECT series_id, d, n, round(rmse, 4) AS rmse, round(far_rmse, 4) AS far_rmse, n_far, round(100 * (rmse / far_rmse - 1), 4) AS inflation FROM (SELECT series_id, d, count(*) AS n, sqrt(avg(sq_m)) AS rmse FROM wx WHERE d <= 12 GROUP BY 1, 2 HAVING count(*) >= 3) JOIN (SELECT series_id, sqrt(avg(sq_m)) AS far_rmse, count(*) AS n_far FROM wx WHERE {_FAR} GROUP BY 1) USING (series_id)")),

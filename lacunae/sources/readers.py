@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import seconds
-from ..operators.grid import coerce
+from ..operators.grid import coerce, dedupe_prefer_valid, mask_sentinels, reindex, require_packets, snap_to_grid
 
 #: Spellings of missing values in lidar files. Fixed values.
 MISSING = ("#N/A", "9999", "")
 
 
+#: Commas that end a cell: an even number of quotation marks follows.
+CELLS = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def lidar_column(height: int) -> str:
     return f"Horizontal Wind Speed (m/s) at {height}m"
 
@@ -21,12 +25,13 @@ def lidar_column(height: int) -> str:
 def read_preambled_csv(spark: SparkSession, path: str, columns: dict[str, str], preamble: int = 1) -> DataFrame:
     """Text columns (file's name -> ours) of CSV files whose header follows some preamble lines, with file and line number.
 
-    Files are split by line; names are taken from each file's own header, so columns may differ in order between files.
+    Files are split by line (each is one row first, so a file must fit a task: these are files of a day); names are taken from each file's
+    own header, so columns may differ in order between files. Cells may be quoted and then hold commas, but no line ends.
     """
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
     body = text.withColumn("header", F.split(F.get("lines", F.lit(preamble)), ","))
     rows = body.select("file", "header", F.get("lines", F.lit(0)).alias("preamble"), F.posexplode(F.slice("lines", preamble + 2, F.greatest(F.size("lines"), F.lit(1)))).alias("line", "row")).where("row <> ''")
-    cells = F.split("row", ",")
+    cells = F.transform(F.split("row", CELLS), lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')))
     get = lambda name: F.trim(F.try_element_at(cells, F.array_position(F.transform("header", F.trim), name).cast("int")))
     return rows.select("file", "line", "preamble", *[F.when(F.array_contains(F.transform("header", F.trim), name), get(name)).alias(ours) for name, ours in columns.items()])
 
@@ -36,12 +41,14 @@ def not_missing(c: str):
 
 
 def read_lidar(spark: SparkSession, path: str, height: int = 38, series_id: str = "D1", packets: bool = False) -> DataFrame:
-    """Lidar files: series_id, ts, v (and packets), unreadable values and missing marks as null, with file and line."""
+    """Lidar files: series_id, ts, v (and packets), unreadable values and missing marks as null, with file and line, whether the file has the
+    value's column, and whether the value is marked missing."""
     names = {"Time and Date": "time", lidar_column(height): "value"} | ({f"Packets in Average at {height}m": "n"} if packets else {})
     raw = read_preambled_csv(spark, path, names)
-    got = coerce(raw.withColumn("value", not_missing("value")), "value", "time", "dd/MM/yyyy HH:mm:ss")
+    got = coerce(raw.withColumn("raw", F.col("value")).withColumn("value", not_missing("value")), "value", "time", "dd/MM/yyyy HH:mm:ss")
     extra = [F.expr("try_cast(n AS int)").alias("packets")] if packets else []
-    return got.select(F.lit(series_id).alias("series_id"), "ts", seconds(F.col("ts")).alias("t"), "v", *extra, "file", "line", "preamble")
+    got = got.withColumn("has_column", F.col("raw").isNotNull()).withColumn("missing", F.col("has_column") & F.col("value").isNull())
+    return got.select(F.lit(series_id).alias("series_id"), "ts", seconds(F.col("ts")).alias("t"), "v", *extra, "file", "line", "preamble", "has_column", "missing")
 
 
 def read_onshore(spark: SparkSession, path: str, series_id: str = "D3") -> DataFrame:
@@ -73,7 +80,46 @@ def has_token(name, token: str):
     return F.array_contains(F.split(F.translate(F.lower(name), "-. ", "___"), "_"), token.lower())
 
 
-LOADERS: dict[str, Callable[..., DataFrame]] = {"lidar": read_lidar, "onshore": read_onshore}
+def load_platform(spark: SparkSession, path: str, step: int = 600, height: int = 38, least_packets: int | None = None, series_id: str = "platform", high: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    """A platform's daily files as one series on a complete grid, and a report of the files.
+
+    Rows are masked (sentinels, too few packets), snapped to the grid, and of rows at one grid point a measurement goes before a missing
+    value, then the earlier file and line. A file that can't be used (no such column, no readable time) fails by itself: it adds no rows
+    and the report gives its reason, beside its counts of lines, unreadable times, missing, masked and too few.
+    """
+    raw = read_lidar(spark, path, height, series_id, least_packets is not None)
+    marked = mask_sentinels(raw, high)
+    marked = require_packets(marked, least_packets) if least_packets is not None else marked.withColumn("too_few", F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    files = marked.groupBy("file").agg(
+        F.count("*").alias("lines"), count(F.col("ts").isNull()).alias("bad_times"), count(F.col("missing")).alias("missing"), count(F.col("masked")).alias("masked"), count(F.col("too_few")).alias("too_few"),
+        F.when(count(F.col("has_column")) == 0, "no such column").when(F.count("ts") == 0, "no readable time").alias("reason"),
+    )
+    good = marked.where("ts is not null and has_column")
+    snapped = dedupe_prefer_valid(snap_to_grid(good.select("series_id", "t", "v", "file", "line"), step), ["file", "line"])
+    return reindex(snapped.select("series_id", "t", "v"), step), files
+
+
+def latest_days(files: DataFrame, most: int, by: list[str] | None = None, day: str = "day") -> DataFrame:
+    """Rows of the last `most` days that there are files of (of each group)."""
+    place = F.dense_rank().over(Window.partitionBy(*(by or [])).orderBy(F.desc(day)))
+    return files.where(F.col(day).isNotNull()).withColumn("_p", place).where(F.col("_p") <= most).drop("_p")
+
+
+def unfinished(parts: DataFrame, path: str, by: list[str]) -> DataFrame:
+    """The parts (rows of the columns by) that the result table at path doesn't hold yet: a job that was broken off goes on with those."""
+    from pyspark.sql.utils import AnalysisException
+
+    try:
+        done = parts.sparkSession.read.parquet(path).select(by).distinct()
+    except AnalysisException as none:
+        if "PATH_NOT_FOUND" not in str(none):
+            raise
+        return parts
+    return parts.join(done, by, "left_anti")
+
+
+LOADERS: dict[str, Callable[..., DataFrame]] = {"lidar": read_lidar, "onshore": read_onshore, "platform": lambda *a, **k: load_platform(*a, **k)[0]}
 
 
 def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:

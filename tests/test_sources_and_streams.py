@@ -76,3 +76,33 @@ def test_streams_equal_batch(spark, tmp_path):
     found = run_stream(spark, stream.sessions(source, "10 minutes", "0 seconds", ["series_id"]), "found", tmp_path / "c3")
     lengths = {r.length for r in segments.segment_lengths(segments.segment_ids(batch, 600)).collect()}
     assert {r.length for r in found.collect()} <= lengths
+
+
+def test_platform_of_daily_files(spark, tmp_path):
+    head = "Time and Date,Horizontal Wind Speed (m/s) at 38m,Packets in Average at 38m"
+    day = lambda name, *rows, top=head: (tmp_path / name).write_text("\n".join(["Unit: 7", top, *rows]) + "\n")
+    day("x_20240101.csv", '01/01/2024 00:00:00,5.0,20', '"01/01/2024 00:09:59","6,0",20', "01/01/2024 00:20:00,9999,20", "no time,3.0,20", "01/01/2024 00:40:00,150,20", "01/01/2024 00:50:00,4.0,2")
+    day("x_20240102.csv", "01/01/2024 00:20:00,7.5,20", "01/01/2024 00:00:00,8.0,20")
+    day("x_20240103.csv", "03/01/2024 00:00:00,1.0", top="Time and Date,Something else")
+    day("x_20240104.csv", "04-01-2024,1.0,20")
+    grid, files = readers.load_platform(spark, str(tmp_path), least_packets=5)
+    t0 = 1704067200
+    assert [(r.t - t0, r.v) for r in grid.orderBy("t").collect()] == [(0, 5.0), (600, None), (1200, 7.5), (1800, None), (2400, None), (3000, None)]
+    got = {r.file[-6:-4]: (r.lines, r.bad_times, r.missing, r.masked, r.too_few, r.reason) for r in files.collect()}
+    assert got == {"01": (6, 1, 1, 1, 1, None), "02": (2, 0, 0, 0, 0, None), "03": (1, 0, 0, 0, 0, "no such column"), "04": (1, 1, 0, 0, 0, "no readable time")}
+
+
+def test_latest_days_and_unfinished_parts(spark, tmp_path):
+    files = spark.createDataFrame([(f"f{k}", k // 2) for k in range(20)] + [("x", None)], "file string, day int")
+    assert {r.day for r in readers.latest_days(files, 3).collect()} == {7, 8, 9}
+    parts = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "record string, h int")
+    path = str(tmp_path / "out")
+    assert readers.unfinished(parts, path, ["record", "h"]).count() == 3
+    readers.write_results(parts.where("record = 'a'").withColumn("skill", F.lit(1.0)), path, ["record", "h"])
+    assert [tuple(r) for r in readers.unfinished(parts, path, ["record", "h"]).collect()] == [("b", 1)]
+
+
+def test_report_tells_that_rows_are_left_out(spark):
+    df = spark.range(5)
+    assert readers.text_report(df, 3)[-1] == "... more rows" and len(readers.text_report(df, 3)) == 5
+    assert len(readers.text_report(df, 5)) == 6
