@@ -190,7 +190,7 @@ def test_media_round_trip_and_damage():
         assert ma.decode(media, s) == ma.padded(raw)
         assert (s.checked, s.damaged, s.resyncs) == (len(s.offsets) + 1, 0, 0)
         assert s.table["frames"] == len(s.offsets) and s.table["bytes"] == len(media) - s.offsets[0] + 626
-        assert s.samples == 1152 * len(s.offsets) and s.tag == {"TLEN": str(n)}
+        assert s.samples == 1152 * len(s.offsets) and s.tag == {"TXXX:n_bytes": str(n)}
         assert s.seek(0) == s.offsets[0] and s.seek(1e9) == s.offsets[-1]
     broken = bytearray(media)
     broken[s.offsets[3] + 8] ^= 1  # side information of a protected frame
@@ -232,6 +232,6 @@ def test_noisy_or_and_sentences():
     assert tm.noisy_or(np.full(3, -40.0)) == pytest.approx(3 * np.exp(-40.0))
     text = "One two. Bad words!\nEnd é"
     assert [len(s) for s in tm.sentences_of(text)] == [len(text[a:b].split()) for a, b in tm.sentence_spans(text)]
-    assert [tm._span(text, k) for k in range(len(tm.sentences_of(text)))] == tm.sentence_spans(text)
+    assert tm._spans(text, list(range(len(tm.sentences_of(text))))) == tm.sentence_spans(text)
     assert len(tm.features_of(b"abcdef")) == 3 and tm.features_of(b"abc") == [zlib.crc32(b"abc") % tm.FEATURES]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
