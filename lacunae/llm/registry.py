@@ -5,6 +5,7 @@ from __future__ import annotations
 from .benchmark_decontamination import OP5_SQL, op5_benchmark_decontamination
 from .language_cnn import op7_language_cnn
 from .mpeg_audio import op8_mpeg_audio
+from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .pivotal_mix import op1_pivotal_mix
 from .secret_ledger import op9_secret_ledger
 from .simhash_pivots import op10_simhash_pivots
@@ -24,4 +25,5 @@ REGISTRY = {
     "op8_mpeg_audio": (op8_mpeg_audio, None),
     "op9_secret_ledger": (op9_secret_ledger, None),
     "op10_simhash_pivots": (op10_simhash_pivots, None),
+    "op12_periodic_runs": (op12_periodic_runs, OP12_SQL),
 }
