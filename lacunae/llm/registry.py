@@ -7,6 +7,7 @@ from .language_cnn import op7_language_cnn
 from .mpeg_audio import op8_mpeg_audio
 from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .pivotal_mix import op1_pivotal_mix
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .secret_ledger import op9_secret_ledger
 from .simhash_pivots import op10_simhash_pivots
 from .substring_dedup import OP6_SQL, op6_substring_dedup
@@ -25,5 +26,6 @@ REGISTRY = {
     "op8_mpeg_audio": (op8_mpeg_audio, None),
     "op9_secret_ledger": (op9_secret_ledger, None),
     "op10_simhash_pivots": (op10_simhash_pivots, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_periodic_runs": (op12_periodic_runs, OP12_SQL),
 }
