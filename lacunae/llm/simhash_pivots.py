@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buckets_for, map_texts, mix64, small_batches, stored, texts_of, unused
-from .packed_exchange import SCHEMA, Gathered, batch_of, bucket_rows, group_starts, per_group
+from .packed_exchange import SCHEMA, Gathered, batch_of, bucket_rows, each_bucket, exchange, group_starts, per_group
 
 SHINGLE = 4
 DISTANCE = 4
@@ -211,20 +211,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE, equal: int | None = Non
             yield ship()
 
     def compare(batches):
-        blocks = Gathered({"a": np.uint64, "docs": np.uint64})
-        for batch in batches:
-            for k in range(batch.num_rows):
-                blocks.add(batch, k)
-        keys, fps = blocks.arrays()
-        # a key tells its choice of blocks no more, so of a bucket only bits that all its fingerprints share are known to be used up
-        u, v = bucket_links(keys, fps, distance, differing(keys, fps))
-        u, v = u.view(np.int64), v.view(np.int64)
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-        for k in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 100_000, 0]), pa.array(pairs[k : k + 100_000, 1])], names=["u", "v"])
-
-    dealt = distinct.select("fp").mapInArrow(deal, SCHEMA).repartition(n_buckets, "bucket")
-    return dealt.mapInArrow(compare, "u bigint, v bigint").distinct()
+        for held in each_bucket(batches):
+            keys, fps = Gathered({"a": np.uint64, "docs": np.uint64}, held).arrays()
+            # a key tells its choice of blocks no more, so of a bucket only bits that all its fingerprints share are known to be used up
+            u, v = bucket_links(keys, fps, distance, differing(keys, fps))
+            u, v = u.view(np.int64), v.view(np.int64)
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+            for k in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 100_000, 0]), pa.array(pairs[k : k + 100_000, 1])], names=["u", "v"])
+
+    return exchange(distinct.select("fp").mapInArrow(deal, SCHEMA), n_buckets).mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, buckets_for, map_texts, mix64, partitions, small_batches, stored, text_bytes, texts_of
-from .packed_exchange import FLUSH_PAIRS, SCHEMA, Gathered, batch_of, bucket_rows, by_owner, group_starts, of_kind, owner_rows, per_group
+from .packed_exchange import FLUSH_PAIRS, SCHEMA, Gathered, batch_of, bucket_rows, by_owner, each_bucket, exchange, group_starts, of_kind, owner_rows, per_group
 
 WINDOW = 13
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers of two rolling hashes
@@ -146,13 +146,8 @@ def _level(candidates: DataFrame, length: int, nxt: int, before: int | None, n_b
         if pairs.size:
             yield flush(pairs)
 
-    def decide(batches):
-        blocks = Gathered({"a": np.uint64, "docs": np.int64, "many": np.int8})
-        for batch in batches:
-            for k in of_kind(batch, 0):
-                blocks.add(batch, int(k))
-            yield batch.take(pa.array(of_kind(batch, 1)))
-        a, docs, many = blocks.arrays()
+    def decide(held):
+        a, docs, many = Gathered({"a": np.uint64, "docs": np.int64, "many": np.int8}, held).arrays()
         order = np.argsort(a, kind="stable")
         a, docs, many = a[order], docs[order], many[order]
         new = group_starts(a)
@@ -197,13 +192,8 @@ def _last_level(candidates: DataFrame, window: int, before: int, n_buckets: int)
         if pairs.size:
             yield flush(pairs)
 
-    def decide(batches):
-        blocks = Gathered({"a": np.uint64, "b": np.uint32, "docs": np.int64, "pos": np.int64})
-        for batch in batches:
-            for k in of_kind(batch, 0):
-                blocks.add(batch, int(k))
-            yield batch.take(pa.array(of_kind(batch, 1)))
-        a, b, docs, pos = blocks.arrays()
+    def decide(held):
+        a, b, docs, pos = Gathered({"a": np.uint64, "b": np.uint32, "docs": np.int64, "pos": np.int64}, held).arrays()
         order = np.lexsort((b, a))
         a, b, docs, pos = a[order], b[order], docs[order], pos[order]
         if len(a):
@@ -216,7 +206,8 @@ def _last_level(candidates: DataFrame, window: int, before: int, n_buckets: int)
 
 
 def _decided(source: DataFrame, ship, decide, n_buckets: int, of_documents) -> DataFrame:
-    """doc_id, found: keys are shipped to their buckets and decided there, findings go on to their documents' buckets."""
+    """doc_id, found: keys are shipped to their buckets and decided there (decide takes one bucket's rows), findings go on to their
+    documents' buckets."""
 
     def collect(batches):
         rows = []
@@ -228,8 +219,14 @@ def _decided(source: DataFrame, ship, decide, n_buckets: int, of_documents) -> D
         if rows:
             yield found_batch(rows)
 
-    decided = source.mapInArrow(ship, SCHEMA).repartition(n_buckets, "bucket").mapInArrow(decide, SCHEMA)
-    return decided.repartition(n_buckets, "bucket").mapInArrow(collect, "doc_id bigint, found binary")
+    def decide_each(batches):
+        for held in each_bucket(batches):
+            for batch in held:
+                yield batch.take(pa.array(of_kind(batch, 1)))
+            yield from decide(held)
+
+    decided = exchange(source.mapInArrow(ship, SCHEMA), n_buckets).mapInArrow(decide_each, SCHEMA)
+    return exchange(decided, n_buckets).mapInArrow(collect, "doc_id bigint, found binary")
 
 
 def found_batch(rows: list[tuple]) -> pa.RecordBatch:
