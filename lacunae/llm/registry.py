@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .benchmark_decontamination import OP5_SQL, op5_benchmark_decontamination
 from .language_cnn import op7_language_cnn
+from .language_scores import op13_language_scores
 from .mpeg_audio import op8_mpeg_audio
 from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .pivotal_mix import op1_pivotal_mix
@@ -28,4 +29,5 @@ REGISTRY = {
     "op10_simhash_pivots": (op10_simhash_pivots, None),
     "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_periodic_runs": (op12_periodic_runs, OP12_SQL),
+    "op13_language_scores": (op13_language_scores, None),
 }
