@@ -7,7 +7,7 @@ high by one with the filter's error rate at each step. A word's probability afte
 word's own, added KAPPA times: (c(h w) + KAPPA p(w)) / (c(h) + KAPPA), p(w) = (c(w) + 1) / (N + V + 1), all counts
 by levels; what precedes a text's first word is counted by the end token, of which every text has one.
 
-The filter is as large as the corpus asks: counting deals n-grams to buckets whose number grows with the texts, and each bucket sets
+All bits of an entry lie in one 64-bit word of the filter, so a probe is one look. The filter is as large as the corpus asks: counting deals n-grams to buckets whose number grows with the texts, and each bucket sets
 the bits of its own part. Parts of up to BROADCAST_BYTES together, with the words' exact counts, are broadcast (the bound is
 checked), and each task probes all its n-grams there. A larger filter stays where it is: texts are dealt to chunks, each chunk
 asks the parts' tasks for the levels of its distinct n-grams, and the answers meet the chunk's texts again. Both ways probe the same
@@ -24,25 +24,24 @@ empty table gives an empty result. Extra columns are ignored. A very long text i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, buckets_for, held_out, map_texts, mix64, small_batches, stored, text_bytes, texts_of
+from .common import arrow_schema, buckets_for, held_out, map_texts, mix64, small_batches, stored, text_bytes
 from .packed_exchange import FAN, FLUSH_PAIRS, SCHEMA, STORE, Gathered, batch_of, bucket_of, bucket_rows, each_bucket, exchange, group_starts, of_kind
-from .simhash_pivots import _LOWER
 
 #: Ratio of the scale of levels.
 SCALE = 1.5
-#: Hashes of an entry; the error rate is 2^-HASHES.
-HASHES = 8
-#: Weight of a word's own probability, in counts.
+#: Bits set by an entry, all in one word, and bits of the filter for each entry: the error rate is about 1.5 %.
+HASHES, ENTRY_BITS = 6, 11
+#: Weight of a word's own probability, in counts (of 1, 4, 16, 64 and 256 the best two on held-out texts are 64 and 256).
 KAPPA = 64.0
 #: The filter and the words' counts together are broadcast up to this size.
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 192 << 20
 #: Bytes of texts that a chunk has whose n-grams are asked for together.
 CHUNK_BYTES = 16 << 20
 PAIRS, WORDS = 0, 2  # kinds of rows of the exchange
@@ -51,29 +50,29 @@ _STARTS = np.unique(np.ceil(SCALE ** np.arange(108)))  # least count of each lev
 _VALUES = np.r_[0, (_STARTS + np.r_[_STARTS[1:] - 1, _STARTS[-1]]) / 2]  # what a level stands for: the middle of its counts
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word, 13)
-
+#: Hash of the end token. No word has a blank.
+END = xxhash.xxh64_intdigest(b" ")
 
-_HASHES = Memo(_word_hash)
-END = b" "  # no word has a blank
 
-
-def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the texts' tokens in turn, each text's last the end token, and the number of tokens of each."""
-    words = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
-    for w in words:
-        w.append(END)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    return np.fromiter((_HASHES[w] for t in words for w in t), np.uint64, int(sizes.sum())), sizes
+def tokens_of(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens of the texts, the tokens in turn as places in them (each text's last is the end token, at place 0), and
+    the number of tokens of each text."""
+    texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # blanks and the five controls from tab to carriage return
+    words = lists.flatten()
+    some = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(some)][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    sizes = np.diff(ends) + 1
+    flat = np.zeros(int(sizes.sum()), np.int64)
+    flat[np.arange(ends[-1]) + np.repeat(np.arange(len(sizes)), sizes - 1)] = coded.indices.to_numpy() + 1
+    digest = map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist())
+    return np.r_[np.uint64(END), np.fromiter(digest, np.uint64, len(coded.dictionary))], flat, sizes
 
 
 def pairs_of(h: np.ndarray) -> np.ndarray:
     """Keys of each token with the one before it. The end token of the text before (or of none) stands before a text's first."""
-    before = np.r_[np.uint64(_HASHES[END]), h[:-1]]
-    return mix64(mix64(before) + h * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(mix64(np.r_[np.uint64(END), h[:-1]]) + h * np.uint64(0x9E3779B97F4A7C15))
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -85,52 +84,58 @@ def entries(keys: np.ndarray, order: int, level: int) -> np.ndarray:
     return mix64(keys + np.uint64((level << 3 | order) * 0xD1342543DE82EF95 & (1 << 64) - 1))
 
 
-def place(entry: np.ndarray, k: int, size: np.ndarray | np.uint64) -> np.ndarray:
-    """Where an entry's k-th bit is in a part of this size."""
-    return (((entry & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((entry >> np.uint64(32)) | np.uint64(1))) % size).astype(np.int64)
+def word_of(entry: np.ndarray, n_words: np.ndarray | np.uint64) -> np.ndarray:
+    """The filter's word that an entry's bits are in, of so many words (below 2^32)."""
+    return (((entry >> np.uint64(32)) * n_words) >> np.uint64(32)).astype(np.int64)
+
+
+def mask_of(entry: np.ndarray) -> np.ndarray:
+    """The bits of an entry in its word."""
+    bits, out = mix64(entry), np.zeros(len(entry), np.uint64)
+    for k in range(HASHES):
+        out |= np.uint64(1) << ((bits >> np.uint64(6 * k)) & np.uint64(63))
+    return out
 
 
-def part_of(ngrams: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[bytes, int]:
-    """One part of the filter and its size in bits, from (order, keys, levels)."""
+def part_of(ngrams: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The words of one part of the filter, from (order, keys, levels)."""
     n = sum(int(levels.sum()) for _, _, levels in ngrams)
-    size = max(64, math.ceil(n * HASHES / math.log(2)))
-    bits = np.zeros(size, bool)
+    out = np.zeros(max(1, math.ceil(n * ENTRY_BITS / 64)), np.uint64)
     for order, keys, levels in ngrams:
         for q in range(1, int(levels.max(initial=0)) + 1):
             entry = entries(keys[levels >= q], order, q)
-            for k in range(HASHES):
-                bits[place(entry, k, np.uint64(size))] = True
-    return np.packbits(bits, bitorder="little").tobytes(), size
+            np.bitwise_or.at(out, word_of(entry, np.uint64(len(out))), mask_of(entry))
+    return out
 
 
 class Parts:
     """Some or all parts of the filter, with the exact counts of the words in them."""
 
-    def __init__(self, parts: list[dict], n_buckets: int):
-        bits = [np.frombuffer(p["bits"], np.uint8) for p in parts]
-        self.n_buckets, self.bits = n_buckets, np.concatenate(bits) if bits else np.empty(0, np.uint8)
-        self.first, self.sizes = np.zeros(n_buckets, np.int64), np.ones(n_buckets, np.uint64)
-        number = [p["bucket"] for p in parts]
-        self.first[number] = 8 * np.cumsum([0, *map(len, bits)])[:-1]
-        self.sizes[number] = [p["size"] for p in parts]
-        words = np.frombuffer(b"".join(p["words"] for p in parts), np.uint64)
-        order = np.argsort(words)
-        self.words, self.counts = words[order], np.frombuffer(b"".join(p["counts"] for p in parts), np.int64)[order]
+    def __init__(self, numbers: list[int], bits: list, words: list, counts: list, n_buckets: int):
+        """Of each part: its number, and buffers of its filter's words, its words' hashes and their counts."""
+        all_of = lambda parts, kind: np.concatenate([np.empty(0, kind), *[np.frombuffer(x, kind) for x in parts]])
+        self.n_buckets, self.bits = n_buckets, all_of(bits, np.uint64)
+        self.first, self.sizes = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.uint64)
+        sizes = [len(x) // 8 for x in bits]
+        self.first[numbers], self.sizes[numbers] = np.cumsum([0, *sizes])[:-1], sizes
+        self.words, self.counts = all_of(words, np.uint64), all_of(counts, np.int64)
+        order = np.argsort(self.words)
+        self.words, self.counts = self.words[order], self.counts[order]
+        if self.counts.max(initial=0) < 1 << 32:
+            self.counts = self.counts.astype(np.uint32)
 
     def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Levels of n-grams, by probing with 1, 2, ... until one is missing."""
         out = np.zeros(len(keys), np.uint8)
         part = bucket_of(keys, self.n_buckets)
-        first, size = self.first[part], self.sizes[part]
-        alive, level = np.arange(len(keys) if len(self.bits) else 0), 0
+        alive, level = np.flatnonzero(self.sizes[part]), 0
+        first, size, keys = self.first[part[alive]], self.sizes[part[alive]], keys[alive]
         while len(alive) and level < len(_STARTS):
             level += 1
-            entry, left = entries(keys[alive], order, level), np.arange(len(alive))
-            for k in range(HASHES):
-                own = alive[left]
-                at = first[own] + place(entry[left], k, size[own])
-                left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            alive = alive[left]
+            entry = entries(keys, order, level)
+            mask = mask_of(entry)
+            hit = np.flatnonzero(self.bits[first + word_of(entry, size)] & mask == mask)
+            alive, first, size, keys = alive[hit], first[hit], size[hit], keys[hit]
             out[alive] = level
         return out
 
@@ -139,10 +144,10 @@ class Parts:
         if not len(self.words):
             return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.counts[at], 0)
+        return np.where(self.words[at] == words, self.counts[at], 0).astype(np.int64)
 
 
-PART_SCHEMA = "bucket int, size bigint, bits binary, words binary, counts binary, tokens bigint, kinds bigint"
+PART_SCHEMA = "bucket int, bits binary, words binary, counts binary, tokens bigint, kinds bigint"
 
 
 def count_ngrams(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
@@ -160,7 +165,8 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, in
     def ship(batches):
         tokens, pairs, size = [], [], 0
         for batch in batches:
-            h, _ = tokens_of(texts_of(batch, text_col))
+            distinct, at, _ = tokens_of(batch.column(text_col))
+            h = distinct[at]
             tokens.append(h), pairs.append(pairs_of(h))
             size += len(h)
             if size >= 2 * FLUSH_PAIRS:
@@ -181,12 +187,11 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, in
                 if kind == WORDS:
                     words, counts = keys, many
                 ngrams.append((order, keys, level_of(many)))
-            bits, size = part_of(ngrams)
-            row = (int(held[0].column("bucket")[0].as_py()), size, bits, words.tobytes(), counts.tobytes(), int(counts.sum()), len(words))
+            row = (int(held[0].column("bucket")[0].as_py()), part_of(ngrams).tobytes(), words.tobytes(), counts.tobytes(), int(counts.sum()), len(words))
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
     out = arrow_schema(docs.sparkSession, PART_SCHEMA)
-    shipped = docs.select(text_col).mapInArrow(ship, SCHEMA)
+    shipped = docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(ship, SCHEMA)
     return stored(exchange(shipped, n_buckets).mapInArrow(decide, PART_SCHEMA), "ngram-filter"), n_buckets
 
 
@@ -198,16 +203,15 @@ def spread(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 SCORED = "n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def scored(texts: list[str], lookup, n: int, v: int, kappa: float) -> dict:
+def scored(texts: pa.Array, lookup, n: int, v: int, kappa: float) -> dict:
     """The columns of SCORED. lookup: of distinct words their exact counts and levels, and of distinct pairs their levels."""
-    h, sizes = tokens_of(texts)
-    words, at = np.unique(h, return_inverse=True)
-    pairs, pair_at = np.unique(pairs_of(h), return_inverse=True)
+    words, at, sizes = tokens_of(texts)
+    pairs, pair_at = np.unique(pairs_of(words[at]), return_inverse=True)
     exact, level, pair_level = lookup(words, pairs)
-    count = _VALUES[level][at]
-    before = np.r_[_VALUES[level[np.searchsorted(words, np.uint64(_HASHES[END]))]], count[:-1]] if len(h) else count
-    own = (count + 1) / (n + v + 1)
-    told = (_VALUES[pair_level][pair_at] + kappa * own) / (before + kappa)
+    value = _VALUES[level]
+    before = value[np.r_[0, at[:-1]]] if len(at) else value[at]  # the end token, at place 0, stands before a text's first
+    own = (value + 1) / (n + v + 1)
+    told = (_VALUES[pair_level][pair_at] + kappa * own[at]) / (before + kappa)
     base = np.log10((exact + 1) / (n + v + 1))
     return {"n_tokens": sizes, "n_known": spread((exact > 0).astype(np.int64)[at], sizes), "base_score": spread(base[at], sizes), "score": spread(np.log10(told), sizes)}
 
@@ -216,17 +220,17 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """id_col, n_tokens, n_known (tokens that training has), base_score, score (both log10), train_tokens. train: whether to learn from a row."""
     spark = docs.sparkSession
     parts, n_buckets = count_ngrams(docs.where(train), text_col)
-    sums = parts.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v"), F.sum(F.octet_length("bits") + 2 * F.octet_length("words")).alias("bytes")).first()
+    sums = parts.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v"), F.sum(F.octet_length("bits") + F.octet_length("words") + F.octet_length("counts")).alias("bytes")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if (sums["bytes"] or 0) <= broadcast_bytes:
-        rows = parts.drop("tokens", "kinds").toArrow().to_pylist()
-        own = spark.sparkContext.broadcast(Parts(sorted(rows, key=lambda r: r["bucket"]), n_buckets))
-        del rows
+        table = parts.drop("tokens", "kinds").toArrow()
+        own = spark.sparkContext.broadcast(Parts(table["bucket"].to_pylist(), *[[x.as_buffer() for x in table[c]] for c in ("bits", "words", "counts")], n_buckets))
+        del table
 
         def make():
             parts = own.value
-            return lambda batch: {"doc_id": batch.column("doc_id")} | scored(texts_of(batch), lambda words, pairs: (parts.exact(words), parts.levels(words, 1), parts.levels(pairs, 2)), n, v, kappa)
+            return lambda batch: {"doc_id": batch.column("doc_id")} | scored(batch.column("text"), lambda words, pairs: (parts.exact(words), parts.levels(words, 1), parts.levels(pairs, 2)), n, v, kappa)
 
         got = map_texts(base, ["doc_id", "text"], make, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, {SCORED}")
     else:
@@ -248,10 +252,11 @@ def _scored_by_parts(base: DataFrame, parts: DataFrame, n_buckets: int, n: int,
             number, waiting, size = int(held[0].column("bucket")[0].as_py()), [], 0
             for batch in [*held, None]:
                 if batch is not None:
-                    waiting.append(tokens_of(texts_of(batch))[0])
-                    size += len(waiting[-1])
+                    distinct, at, _ = tokens_of(batch.column("text"))
+                    waiting.append(distinct[at])
+                    size += len(at)
                 if size >= FLUSH_PAIRS or batch is None:
-                    keys = np.unique(np.concatenate([*waiting, np.array([_HASHES[END]], np.uint64)]))
+                    keys = np.unique(np.concatenate([*waiting, np.array([END], np.uint64)]))
                     pairs = np.unique(np.concatenate([pairs_of(h) for h in waiting] or [np.empty(0, np.uint64)]))
                     for kind, x in ((WORDS, keys), (PAIRS, pairs)):
                         yield batch_of([(kind, k, number, *rest) for _, k, _, *rest in bucket_rows(n_buckets, x, None, None, None, None, kind=kind)])
@@ -259,8 +264,8 @@ def _scored_by_parts(base: DataFrame, parts: DataFrame, n_buckets: int, n: int,
 
     def answer(batches):
         for held in each_bucket(batches):
-            own = [{"bucket": b.column("bucket")[k].as_py(), "size": b.column("doc_id")[k].as_py()} | {to: b.column(c)[k].as_py() for to, c in (("bits", "b"), ("words", "docs"), ("counts", "pos"))} for b in held for k in of_kind(b, STORE).tolist()]
-            part = Parts(own, n_buckets)
+            own = [(b, k) for b in held for k in of_kind(b, STORE).tolist()]  # one, or none
+            part = Parts(*[[b.column(c)[k].as_py() for b, k in own] for c in ("bucket", "b", "docs", "pos")], n_buckets)
             for batch in held:
                 rows = []
                 for kind in (WORDS, PAIRS):
@@ -288,13 +293,13 @@ def _scored_by_parts(base: DataFrame, parts: DataFrame, n_buckets: int, n: int,
                 at = np.flatnonzero(~np.asarray(batch.column("is_text").is_null()))
                 if len(at):
                     batch = batch.take(pa.array(at))
-                    told = {"doc_id": batch.column("text_id")} | scored(texts_of(batch), lookup, n, v, kappa)
+                    told = {"doc_id": batch.column("text_id")} | scored(batch.column("text"), lookup, n, v, kappa)
                     yield pa.RecordBatch.from_arrays([x if isinstance(x := told[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
 
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {SCORED}"
     out = arrow_schema(spark, schema)
-    store = parts.selectExpr(f"{STORE} as kind", "bucket", "size as doc_id", "cast(null as binary) as a", "bits as b", "words as docs", "counts as pos", "cast(null as binary) as many")
+    store = parts.selectExpr(f"{STORE} as kind", "bucket", "cast(null as bigint) as doc_id", "cast(null as binary) as a", "bits as b", "words as docs", "counts as pos", "cast(null as binary) as many")
     answers = exchange(dealt.mapInArrow(ask, SCHEMA).unionByName(store), n_buckets).mapInArrow(answer, SCHEMA)
     texts = base.select(chunk.alias("bucket"), F.col("doc_id").alias("text_id"), "text", F.lit(True).alias("is_text"))
     both = answers.unionByName(texts, allowMissingColumns=True)
