@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, fresh_path, partitions, small_batches
+from .common import Memo, arrow_schema, buckets_for, fresh_path, small_batches, text_bytes
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -76,7 +76,8 @@ class Encoder:
     """Ids of whole texts, by a memo of blank-separated words, for tokenizers of which by_words holds.
 
     Such a tokenizer cuts at white space before anything else, and its normaliser never composes characters across a blank, so
-    a text's ids are those of its blank-separated words in turn. Lower-case letters and the marks after them are also cut apart.
+    a text's ids are those of its blank-separated words in turn, whatever stands in the same batch. ASCII letters and the marks after
+    them are also cut apart.
     """
 
     MARKS = frozenset(".,;:!?")
@@ -135,9 +136,10 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers. Each distinct word is looked up once."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = lists.flatten()
-        if not pc.any(pc.match_substring(words, "<|")).as_py():  # else special tokens might be meant, whose case counts
-            words = pc.ascii_lower(words)  # the tokenizer's own first effect on letters
-        words = words.dictionary_encode()
+        # of words of ASCII letters lower-casing is the tokenizer's first effect. Not of others, which it composes first (J and a caron after
+        # it stay two characters, j and a caron become one), nor of what may be a special token, whose case counts
+        plain = pc.and_not(pc.string_is_ascii(words), pc.match_substring(words, "<|"))
+        words = pc.if_else(plain, pc.ascii_lower(words), words).dictionary_encode()
         distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
         self.prepare(distinct)
         parts = list(map(self.ids.__getitem__, distinct))
@@ -234,7 +236,7 @@ def write_planes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield chunk()
 
     order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
-    dealt = base.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = base.repartitionByRange(buckets_for(spark, text_bytes(base)), *order).sortWithinPartitions(*order)
     dealt.mapInArrow(encode, schema).write.option("compression", "none").parquet(path)
 
 
