@@ -7,11 +7,13 @@ offends.
 
 Labels are noisy: some documents are marked though none of their sentences offends. A leak, one more term of the noisy-or that
 every document has, takes up their share, so that long clean documents aren't made suspects. Only words that toxic documents
-hold significantly more often than others have a weight (MIN_DOCS, MIN_Z); rare words would only learn the noise by heart.
+hold significantly more often than others have a weight (MIN_DOCS, MIN_Z); rare words would only learn the noise by heart. A sentence
+without such a word tells nothing: it has no term in the noisy-or, in training as in scoring, so neither many sentences nor blank lines
+and rows of dots raise a score.
 
-Words are hashed to FEATURES places. Null and empty texts have one empty sentence, so their score is that of no words. Repeated
-rows get equal results; of several texts of a labelled doc_id the least in order is learned from. Without labelled rows every score is 0. Of documents with several labels any toxic one counts. Extra
-columns are ignored.
+Words are hashed to FEATURES places. Null and empty texts score as all texts without such words, by the leak alone. Repeated rows
+get equal results; of several texts of a labelled doc_id the least in order is learned from. Of several labels of a document any
+toxic one counts. Without labelled rows every score is 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,16 +55,6 @@ def features_of(word: bytes) -> list[int]:
     return [zlib.crc32(x) % FEATURES for x in (word, *(b"^" + word[:k] for k in PREFIXES if len(word) > k))]
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Code-point spans of the sentences, as sentences_of cuts them (marks excluded)."""
-    spans, start = [], 0
-    for k, ch in enumerate(text):
-        if ch in ".!?\n":
-            spans.append((start, k))
-            start = k + 1
-    return [*spans, (start, len(text))]
-
-
 def noisy_or(logits: np.ndarray) -> float:
     """1 - prod(1 - sigmoid(z)), without losing small probabilities."""
     return float(-np.expm1(-np.logaddexp(0, logits).sum()))
@@ -71,7 +63,8 @@ def noisy_or(logits: np.ndarray) -> float:
 @dataclass
 class Model:
     weights: np.ndarray  # of each feature
-    bias: float  # of a sentence
+    known: np.ndarray  # whether a feature is screened
+    bias: float  # of a sentence with a screened feature
     leak: float  # logit of a document without offending sentences
 
 
@@ -92,10 +85,7 @@ def screened(words: np.ndarray, document_of_word: np.ndarray, labels: np.ndarray
 
 
 def train(words: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = L2) -> Model:
-    """Leaky noisy-or by Adam. words: features in turn; sentence: of each word; document: of each sentence.
-
-    Sentences without a screened word all have the same logit, so they enter as one term a document with their count.
-    """
+    """Leaky noisy-or by Adam. words: features in turn; sentence: of each word; document: of each sentence."""
     n_d = len(labels)
     known = screened(words, document[sentence], labels)
     place = np.full(FEATURES, -1)
@@ -104,28 +94,27 @@ def train(words: np.ndarray, sentence: np.ndarray, document: np.ndarray, labels:
     x, s = x[x >= 0], sentence[x >= 0]
     told, s = np.unique(s, return_inverse=True)  # sentences with screened words
     owner = document[told]
-    plain = np.bincount(document, minlength=n_d) - np.bincount(owner, minlength=n_d)
     theta = np.concatenate([np.ones(len(known)), [-6.0, -3.0]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     sigmoid = lambda z: 1 / (1 + np.exp(-z))
     for t in range(1, steps + 1):
         w, bias, leak = theta[:-2], theta[-2], theta[-1]
         z = np.bincount(s, w[x], len(told)) + bias
-        none = np.exp(-np.bincount(owner, np.logaddexp(0, z), n_d) - plain * np.logaddexp(0, bias) - np.logaddexp(0, leak))
+        none = np.exp(-np.bincount(owner, np.logaddexp(0, z), n_d) - np.logaddexp(0, leak))
         pull = np.where(labels == 1, -none / np.maximum(1 - none, 1e-9), 1.0) / n_d
         g = pull[owner] * sigmoid(z)
-        grad = np.concatenate([np.bincount(x, g[s], len(known)) + l2 * w, [g.sum() + (pull * plain).sum() * sigmoid(bias), pull.sum() * sigmoid(leak)]])
+        grad = np.concatenate([np.bincount(x, g[s], len(known)) + l2 * w, [g.sum(), pull.sum() * sigmoid(leak)]])
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     out = np.zeros(FEATURES, np.float32)
     out[known] = theta[:-2]
-    return Model(out, float(theta[-2]), float(theta[-1]))
+    return Model(out, np.isin(np.arange(FEATURES), known), float(theta[-2]), float(theta[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = 11) -> Model | None:
-    """Train on labelled documents that are not held out, at most `sample` of them, chosen by a hash of their ids, of those those with at
-    most `sample_bytes` of text."""
+    """Train on labelled documents that are not held out: at most `sample` of them are chosen by a hash of their ids, and those of them learned
+    from that have at most `sample_bytes` of text."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id", 4, 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
@@ -201,13 +190,24 @@ def scorer(model: Model | None, threshold: float = THRESHOLD) -> Callable[[str],
     if model is None:
         return lambda text: (0.0, len(sentences_of(text)), 0, 0.0, [])
     least = float(np.log(threshold / (1 - threshold)))
-    weight = Memo(lambda w: float(model.weights[features_of(w)].sum())).__getitem__
 
-    def of_text(text: str) -> tuple[float, int, int, float]:
-        z = np.array([sum(map(weight, s)) for s in sentences_of(text)]) + model.bias
-        worst = int(z.argmax())
-        bad = np.flatnonzero(z >= least).tolist() if z[worst] >= least else []
-        return noisy_or(np.append(z, model.leak)), len(z), worst, float(1 / (1 + np.exp(-z[worst]))), bad
+    def weight_of(word: bytes) -> float | None:
+        at = features_of(word)
+        return float(model.weights[at].sum()) if model.known[at].any() else None
+
+    weight = Memo(weight_of).__getitem__
+
+    def of_text(text: str) -> tuple[float, int, int, float, list[int]]:
+        sentences = sentences_of(text)
+        told, z = [], []
+        for place, sentence in enumerate(sentences):
+            if own := [x for x in map(weight, sentence) if x is not None]:
+                told.append(place), z.append(sum(own) + model.bias)
+        z = np.array(z)
+        worst = int(z.argmax()) if told else None
+        bad = [told[k] for k in np.flatnonzero(z >= least)]
+        chance = float(1 / (1 + np.exp(-z[worst]))) if told else 0.0
+        return noisy_or(np.append(z, model.leak)), len(sentences), told[worst] if told else 0, chance, bad
 
     return of_text
 
