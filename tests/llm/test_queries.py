@@ -37,6 +37,7 @@ def empty_folder(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 
