@@ -43,9 +43,16 @@ def feature_columns(depth: int, keys: list[str]) -> dict[str, Column]:
 
 
 def build_features(df: DataFrame, depth: int = DEPTH, keys: list[str] = KEYS, kalman: bool = True) -> DataFrame:
-    """lag_0, lags, rolling means and deviations (null until full), first difference, turbulence, Kalman level, hour of day."""
-    made = df.select("*", *[c.alias(k) for k, c in feature_columns(depth, keys).items()])
-    return kalman_level(made, keys) if kalman else made
+    """lag_0, lags, rolling means and deviations (null until full), first difference, turbulence, Kalman level, hour of day.
+
+    Groups of keys are numbered by blocks of time and dealt by blocks of rows with a halo, so a long group isn't one task.
+    """
+    back, rows = kalman_reach()
+    own = [*keys, "_blk"]
+    halo = with_halo(numbered(df, keys), max(depth, back), 0, rows)
+    made = halo.select("*", *[c.alias(k) for k, c in feature_columns(depth, own).items()])
+    made = kalman_in_blocks(made, own, "_r", "kalman") if kalman else made
+    return made.where("_own").drop("_r", "_c", "_blk", "_own")
 
 
 def feature_names(depth: int = DEPTH, kalman: bool = True) -> list[str]:
@@ -123,13 +130,14 @@ def both_designs(segmented: DataFrame, depth: int, seq_len: int, horizon: int, k
     """Rows with target (by row position), target_t, valid (features, input window and target within the row's own segment), and all
     features twice: within segments (a_...) and by row position (n_...).
 
-    Rows are numbered by blocks of time and dealt once more, with a halo that reaches as far as any feature or target; all windows of
-    both designs share that one exchange.
+    Rows are numbered by blocks of time (unless they are blocked.placed already) and dealt once more, with a halo that reaches as far as
+    any feature or target; all windows of both designs share that one exchange.
     """
     seg = [*keys, "seg"]
-    placed = numbered(segmented, seg).withColumnsRenamed({"_r": "_p", "_c": "_n"})
+    if "_p" not in segmented.columns:
+        segmented = numbered(numbered(segmented, seg).withColumnsRenamed({"_r": "_p", "_c": "_n"}), keys)
     back, rows = kalman_reach()
-    halo = with_halo(numbered(placed, keys), max(depth, back), horizon, rows)
+    halo = with_halo(segmented, max(depth, back), horizon, rows)
     naive, aware = [*keys, "_blk"], [*seg, "_blk"]
     out = with_target(halo, horizon, naive)
     for own, mark, place in ((naive, "n_", "_r"), (aware, "a_", "_p")):
@@ -185,16 +193,3 @@ def causality_checks(segmented: DataFrame, build, names: list[str], keys: list[s
     for w in wrong[1:]:
         any_wrong = any_wrong | w
     return whole.join(short, own).select(*own, any_wrong.alias("wrong"))
-
-
-def causality_errors(df: DataFrame, build, cut: int, names: list[str], keys: list[str] = KEYS) -> DataFrame:
-    """Rows at time cut whose features change (beyond 1e-9, or in being null) when later rows are taken away; none if causal."""
-    whole = build(df).where(F.col("t") == cut)
-    short = build(df.where(F.col("t") <= cut)).where(F.col("t") == cut).select(*keys, *[F.col(n).alias(f"_{n}") for n in names])
-    wrong = [F.col(n).isNull() != F.col(f"_{n}").isNull() for n in names] + [F.coalesce(F.abs(F.col(n) - F.col(f"_{n}")) > 1e-9, F.lit(False)) for n in names]
-    any_wrong = wrong[0]
-    for w in wrong[1:]:
-        any_wrong = any_wrong | w
-    return whole.join(short, keys).where(any_wrong)
-
-

@@ -70,24 +70,24 @@ def reindex(df: DataFrame, step: int, keys: list[str] = KEYS, block: int = 1 <<
 def fill_short_gaps(df: DataFrame, limit: int, keys: list[str] = KEYS, span: int = SPAN) -> DataFrame:
     """Linear fill of runs of at most limit nulls that have values on both sides; `filled` marks them. df is a complete grid.
 
-    Rows are dealt by block of time. A gap's neighbours come from last/first non-null values within the block, and beyond its edges
-    from one row a block, which are ordered along the series with the counts that number the rows.
+    Rows are dealt by block of time. A gap's neighbours come from two running passes within the block, one in either direction, and beyond
+    its edges from one row a block, which are ordered along the series with the counts that number the rows.
     """
     own = [*keys, "_k"]
-    order = Window.partitionBy(*own).orderBy("t")
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    order, back = Window.partitionBy(*own).orderBy("t"), Window.partitionBy(*own).orderBy(F.desc("t"))
+    here, earlier = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     dealt = df.withColumn("_k", F.floor(F.col("t") / span)).withColumn("_i", F.row_number().over(order).cast("long"))
-    dealt = dealt.withColumn("_at", F.when(F.col("v").isNotNull(), F.col("_i")))
-    known = dealt.withColumns({"_i0": F.last("_at", True).over(before), "_w0": F.last("v", True).over(before), "_i1": F.first("_at", True).over(after), "_w1": F.first("v", True).over(after)})
-    edges = dealt.groupBy(*own).agg(F.count("*").alias("_m"), F.max("_at").alias("_l"), F.max_by("v", "_at").alias("_lv"), F.min("_at").alias("_f"), F.min_by("v", "_at").alias("_fv"))
-    along = Window.partitionBy(*keys).orderBy("_k")
-    ahead, back = along.rowsBetween(1, Window.unboundedFollowing), along.rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("_off", F.coalesce(F.sum("_m").over(back), F.lit(0)))
-    edges = edges.withColumns({"_p": F.last(F.col("_off") + F.col("_l"), True).over(back), "_pv": F.last("_lv", True).over(back), "_q": F.first(F.col("_off") + F.col("_f"), True).over(ahead), "_qv": F.first("_fv", True).over(ahead)})
-    got = in_blocks(known, edges, own, ["_off", "_p", "_pv", "_q", "_qv"])
+    dealt = dealt.withColumn("_at", F.when(F.col("v").isNotNull(), F.struct(F.col("_i").alias("i"), "v")))
+    known = dealt.withColumns({"_x0": F.last("_at", True).over(order.rowsBetween(*here)), "_x1": F.last("_at", True).over(back.rowsBetween(*here))})
+    edges = dealt.groupBy(*own).agg(F.count("*").alias("_m"), F.max("_at").alias("_l"), F.min("_at").alias("_f"))
+    along, across = Window.partitionBy(*keys).orderBy("_k"), Window.partitionBy(*keys).orderBy(F.desc("_k"))
+    edges = edges.withColumn("_off", F.coalesce(F.sum("_m").over(along.rowsBetween(*earlier)), F.lit(0)))
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col("_off") + F.col(f"{c}.i")).alias("i"), F.col(f"{c}.v").alias("v")))
+    edges = edges.withColumns({"_e0": F.last(place("_l"), True).over(along.rowsBetween(*earlier)), "_e1": F.last(place("_f"), True).over(across.rowsBetween(*earlier))})
+    got = in_blocks(known, edges, own, ["_off", "_e0", "_e1"])
     n, off = F.col("_off") + F.col("_i"), F.col("_off")
-    n0, v0 = F.coalesce(off + F.col("_i0"), F.col("_p")), F.coalesce("_w0", "_pv")
-    n1, v1 = F.coalesce(off + F.col("_i1"), F.col("_q")), F.coalesce("_w1", "_qv")
+    n0, v0 = F.coalesce(off + F.col("_x0.i"), F.col("_e0.i")), F.coalesce("_x0.v", "_e0.v")
+    n1, v1 = F.coalesce(off + F.col("_x1.i"), F.col("_e1.i")), F.coalesce("_x1.v", "_e1.v")
     fill = F.col("v").isNull() & n0.isNotNull() & n1.isNotNull() & (n1 - n0 - 1 <= limit)
     line = v0 + (v1 - v0) * ((n - n0) / (n1 - n0))
     at = df.columns.index("v")

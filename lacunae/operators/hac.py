@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS
 from ..functions.special import normal_sf, t_two_sided
+from ..sources.tables import stored
 from .blocked import in_blocks, running
 
 
@@ -26,12 +27,12 @@ def truncation_lag(n: Column, h: int) -> Column:
 def hac_mean(df: DataFrame, value: Column, h: int, keys: list[str] = KEYS) -> DataFrame:
     """n, mean, variance of the mean (floor 1e-12) of a value in time order. Nulls are left out.
 
-    With centred values c, running sums P and lag L, sum_k w_k c_t c_(t-k) = (sum_s (P_s - P_(s-L-1))^2 + sum of P_i^2 for the last L i < n) / (L+1).
+    Values and running sums are written once each, as both are read twice. With centred values c, running sums P and lag L, sum_k w_k c_t c_(t-k) = (sum_s (P_s - P_(s-L-1))^2 + sum of P_i^2 for the last L i < n) / (L+1).
     """
-    d = df.select(*keys, "t", value.alias("_x")).where("_x is not null")
+    d = stored(df.select(*keys, "t", value.alias("_x")).where("_x is not null"), "hac-values")
     stats = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean")).withColumn("_l", truncation_lag(F.col("n"), h))
     d = in_blocks(d, stats, keys, ["n", "mean", "_l"])
-    d = running(d, {"_i": F.lit(1).cast("bigint"), "_p": F.col("_x") - F.col("mean")}, keys)
+    d = stored(running(d, {"_i": F.lit(1).cast("bigint"), "_p": F.col("_x") - F.col("mean")}, keys).drop("_x", "t"), "hac-sums")
     own = [*keys, "_i"]
     earlier = d.select(*keys, (F.col("_i") + F.col("_l") + 1).alias("_i"), F.col("_p").alias("_q"))
     moving = F.col("_p") - F.coalesce("_q", F.lit(0.0))

@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order
-from .blocked import in_blocks, numbered, running
+from .blocked import in_blocks, numbered, running, with_halo
 from .features import with_target
 from .grid import KEYS
 
 
 def valid_origins(segmented: DataFrame, depth: int, seq_len: int, horizon: int, keys: list[str] = KEYS) -> DataFrame:
-    """Rows with target whose features (depth rows back), input window (seq_len rows) and target lie in their own segment."""
-    own = [*keys, "seg"]
-    place = F.row_number().over(in_order(own)) - 1
-    size = F.count("*").over(Window.partitionBy(*own))
-    marked = with_target(segmented, horizon, own).withColumn("_p", place).withColumn("_n", size)
-    return marked.where((F.col("_p") >= max(depth, seq_len - 1)) & (F.col("_n") - F.col("_p") - 1 >= horizon)).drop("_p", "_n")
+    """Rows with target whose features (depth rows back), input window (seq_len rows) and target lie in their own segment.
+
+    Rows of blocked.placed are dealt by blocks of rows; others are numbered within their segments first.
+    """
+    if "_p" not in segmented.columns:
+        rows = numbered(segmented, [*keys, "seg"])
+        placed, place, size = rows, F.col("_r"), F.col("_c")
+    else:
+        rows, placed, place, size = segmented, segmented.withColumnsRenamed({"_r": "_rs", "_c": "_cs"}).withColumnsRenamed({"_p": "_r", "_n": "_c"}), F.col("_r"), F.col("_c")
+    marked = with_target(with_halo(placed, 0, horizon), horizon, [*keys, "seg", "_blk"])
+    kept = marked.where(F.col("_own") & (place >= max(depth, seq_len - 1)) & (size - place - 1 >= horizon))
+    return kept.select(*[c for c in rows.columns if c in segmented.columns and c not in ("_r", "_c", "_p", "_n")], "target", "target_t")
 
 
 def gap_aware_split(valid: DataFrame, seq_len: int, horizon: int, fraction: float = 0.75, least: int = 800, least_test: int = 300, keys: list[str] = KEYS) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order, last_rows
+from .blocked import SPAN, nearest
 from .grid import KEYS
 
 
@@ -53,17 +54,13 @@ def staleness(scored: DataFrame, step: int, horizon: int, least: int = 15, keys:
     return scored.withColumn("late", name).groupBy(*keys, "late").agg(F.count("*").alias("n"), F.sqrt(F.avg("sq")).alias("rmse")).where(F.col("n") >= least)
 
 
-def far_from_gap_starts(df: DataFrame, starts: DataFrame, width: int, step: int, keys: list[str] = KEYS) -> DataFrame:
-    """Rows of df with no gap start within `width` steps: the nearest start on either side comes from one ordered pass.
-
-    starts (keys, t) are merged into the rows and carried along by last/first non-null, instead of a band join.
-    """
+def far_from_gap_starts(df: DataFrame, starts: DataFrame, width: int, step: int, keys: list[str] = KEYS, span: int = SPAN) -> DataFrame:
+    """Rows of df with no gap start within `width` steps: starts (keys, t) are merged into the rows, and the nearest on either side is
+    carried to each (blocked.nearest), instead of a band join."""
     both = df.withColumn("_g", F.lit(None).cast("bigint")).withColumn("_own", F.lit(True)).unionByName(starts.select(*keys, "t").withColumn("_g", F.col("t")).withColumn("_own", F.lit(False)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("t")
-    before = F.last("_g", True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_g", True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    near = F.coalesce(F.col("t") - F.col("_b") <= width * step, F.lit(False)) | F.coalesce(F.col("_a") - F.col("t") <= width * step, F.lit(False))
-    return both.withColumn("_b", before).withColumn("_a", after).where(F.col("_own") & ~near).select(df.columns)
+    got = nearest(both, "_g", keys, span, [F.col("_own")])
+    near = F.coalesce(F.col("t") - F.col("_before") <= width * step, F.lit(False)) | F.coalesce(F.col("_after") - F.col("t") <= width * step, F.lit(False))
+    return got.where(F.col("_own") & ~near).select(df.columns)
 
 
 def pre_gap_context(distances: DataFrame, width: int, step: int, keys: list[str] = KEYS) -> DataFrame:
@@ -80,5 +77,3 @@ def pre_gap_context(distances: DataFrame, width: int, step: int, keys: list[str]
     base = far_from_gap_starts(d.where((F.pmod(F.col("d"), F.lit(width)) == 0) & F.col("sd").isNotNull()), starts, width, step, keys)
     pick = lambda df, name: df.select(*keys, "t", "sd", "ramp", F.lit(name).alias("kind"))
     return pick(ends, "before gap").unionByName(pick(base, "baseline"))
-
-

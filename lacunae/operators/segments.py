@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order, so_far
-from .blocked import SPAN, in_blocks
+from ..sources.tables import stored
+from .blocked import SPAN, in_blocks, placed
 from .grid import KEYS, reindex
 
 
@@ -86,18 +87,19 @@ def day_runs(days: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def gap_distance(df: DataFrame, step: int, keys: list[str] = KEYS) -> DataFrame:
     """For each sample: d (its place after the last gap, from 1), gap_before (missing samples before its run; 0 for the first)
     and to_gap (steps to the next missing sample; 10^9 less its place in the series where no gap follows)."""
-    seg = segment_ids(df, step, keys)
+    return distances(stored(placed(df, step, keys), "placed"), step, keys).select(*keys, "t", "v", "seg", "d", "gap_before", "to_gap")
+
+
+def distances(rows: DataFrame, step: int, keys: list[str] = KEYS) -> DataFrame:
+    """rows (of blocked.placed, written) with d, gap_before and to_gap of gap_distance. A segment's neighbours come from one row a segment."""
     own = [*keys, "seg"]
-    place = F.row_number().over(in_order(own))
-    size = F.count("*").over(Window.partitionBy(*own))
-    d = seg.withColumn("d", place).withColumn("_left", size - place)
-    lengths = segment_lengths(seg, keys)
+    lengths = segment_lengths(rows, keys)
     order = Window.partitionBy(*keys).orderBy("seg")
     lengths = lengths.select(*own, F.coalesce((F.col("start") - F.lag("end").over(order)) / step - 1, F.lit(0.0)).cast("long").alias("gap_before"), F.lead("seg").over(order).isNotNull().alias("_more"), F.min("start").over(Window.partitionBy(*keys)).alias("_t0"))
-    joined = d.join(lengths, own)
+    joined = rows.join(lengths, own)
     grid_place = (F.col("t") - F.col("_t0")) / step
-    to_gap = F.when(F.col("_more"), F.col("_left") + 1).otherwise(F.lit(1_000_000_000) - grid_place.cast("long"))
-    return joined.select(*keys, "t", "v", "seg", F.col("d").cast("long").alias("d"), "gap_before", to_gap.alias("to_gap"))
+    to_gap = F.when(F.col("_more"), F.col("_n") - F.col("_p")).otherwise(F.lit(1_000_000_000) - grid_place.cast("long"))
+    return joined.withColumns({"d": F.col("_p") + 1, "to_gap": to_gap}).drop("_more", "_t0")
 
 
 def label_changes(df: DataFrame, label: str, keys: list[str] = KEYS) -> DataFrame:
@@ -116,12 +118,16 @@ def retention(lengths: DataFrame, depth: Column, horizon: Column, keys: list[str
 
 
 def retention_curve(lengths: DataFrame, depths: list[int], horizons: list[int], keys: list[str] = KEYS) -> DataFrame:
-    """retention over a grid of depths and horizons; lengths are counted first, so the grid multiplies few rows."""
+    """retention over a grid of depths and horizons. It depends on their sum alone: lengths are counted, summed once for each
+    sum that occurs, and the grid is laid out after the aggregate."""
     sizes = lengths.groupBy(*keys, "length").agg(F.count("*").alias("n"))
-    each = sizes.withColumn("w", F.explode(F.array(*map(F.lit, depths)))).withColumn("h", F.explode(F.array(*map(F.lit, horizons))))
-    valid = F.sum(F.col("n") * F.greatest(F.lit(0), F.col("length") - F.col("w") - F.col("h")))
-    whole = F.sum(F.col("n") * F.col("length")) - F.col("w") - F.col("h")
-    return each.groupBy(*keys, "w", "h").agg(valid.alias("n_valid"), F.when(whole > 0, valid / whole).alias("retention"))
+    totals = sorted({w + h for w in depths for h in horizons})
+    each = sizes.withColumn("_s", F.explode(F.array(*map(F.lit, totals))))
+    valid = F.sum(F.col("n") * F.greatest(F.lit(0), F.col("length") - F.col("_s")))
+    sums = each.groupBy(*keys, "_s").agg(valid.alias("n_valid"), (F.sum(F.col("n") * F.col("length")) - F.col("_s")).alias("_whole"))
+    known = F.array(*map(F.lit, depths))
+    grid = sums.withColumn("h", F.explode(F.filter(F.array(*map(F.lit, horizons)), lambda h: F.array_contains(known, F.col("_s") - h))))
+    return grid.select(*keys, (F.col("_s") - F.col("h")).alias("w"), "h", "n_valid", F.when(F.col("_whole") > 0, F.col("n_valid") / F.col("_whole")).alias("retention"))
 
 
 def record_row(grid: DataFrame, present: DataFrame, step: int, keys: list[str] = KEYS) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order, last_rows, seconds
-from ..operators import features, grid, origins, segments
+from ..operators import blocked, features, grid, origins, segments
+from ..sources.tables import stored
 
 STEP = 3600
 #: Depth, window length and horizon of the registered queries: the small tables have few long segments.
@@ -41,15 +42,30 @@ def segmented(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
     return segments.segment_ids(series(spark, sf_dir, step), step)
 
 
+def placed_rows(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
+    """The series with segments and all places (blocked.placed), written once for all that reads it."""
+    return stored(blocked.placed(series(spark, sf_dir, step), step), "placed")
+
+
+_PLACES = ("_r", "_c", "_p", "_n")
+
+
+def _naive(placed: DataFrame, horizon: int) -> DataFrame:
+    """placed rows with target by row position, whether it is displaced, and the mean of the last 5 rows as m5, by blocks of rows."""
+    own = ["series_id", "_blk"]
+    s = features.with_target(blocked.with_halo(placed, 4, horizon), horizon, own)
+    over = last_rows(own, 5)
+    s = s.select("*", F.coalesce(features.displaced(horizon, STEP), F.lit(False)).alias("displaced"), F.when(F.count("v").over(over) == 5, F.avg("v").over(over)).alias("m5"))
+    return s.where("_own").drop("_blk", "_own")
+
+
 def naive_rows(spark: SparkSession, sf_dir: str, horizon: int = H) -> DataFrame:
     """Segmented series with target by row position, whether it is displaced, and the mean of the last 5 rows as m5."""
-    s = features.with_target(segmented(spark, sf_dir), horizon)
-    over = last_rows(["series_id"], 5)
-    return s.select("*", F.coalesce(features.displaced(horizon, STEP), F.lit(False)).alias("displaced"), F.when(F.count("v").over(over) == 5, F.avg("v").over(over)).alias("m5"))
+    return _naive(placed_rows(spark, sf_dir), horizon).drop(*_PLACES)
 
 
 def valid_rows(spark: SparkSession, sf_dir: str, depth: int = DEPTH, horizon: int = H) -> DataFrame:
-    return origins.valid_origins(segmented(spark, sf_dir), depth, SEQ, horizon)
+    return origins.valid_origins(placed_rows(spark, sf_dir), depth, SEQ, horizon).drop(*_PLACES)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -57,11 +73,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def scored_rows(spark: SparkSession, sf_dir: str, horizon: int = H) -> DataFrame:
-    """Naive rows with target, scored by m5 and by persistence, with distances from gaps."""
-    rows = naive_rows(spark, sf_dir, horizon).where("target is not null and m5 is not null")
-    d = segments.gap_distance(series(spark, sf_dir), STEP).select("series_id", "t", "d", "gap_before", "to_gap")
+    """Naive rows with target, scored by m5 and by persistence, with distances from gaps: one frame, dealt once to blocks of rows."""
+    rows = segments.distances(stored(_naive(placed_rows(spark, sf_dir), horizon), "naive-rows"), STEP)
     sq = lambda p: (F.col("target") - F.col(p)) * (F.col("target") - F.col(p))
-    return rows.join(d, ["series_id", "t"]).select("*", sq("m5").alias("sq_m"), sq("v").alias("sq_p"), sq("v").alias("sq"))
+    names = ("series_id", "t", "v", "seg", "target", "target_t", "displaced", "m5", "d", "gap_before", "to_gap")
+    return rows.where("target is not null and m5 is not null").select(*names, sq("m5").alias("sq_m"), sq("v").alias("sq_p"), sq("v").alias("sq"))
 
 
 def order():

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import skill
 from ..operators import bootstrap, features, hac, inject, models, origins, profile, scores, segments, summary, trees
 from ..sources.tables import stored
-from .base import DEPTH, DIST, LEN, SEGS, SEQ, STEP, H, naive_sql, rounded, segmented, series, split_sql, valid_sql, with_
+from .base import DEPTH, DIST, LEN, SEGS, SEQ, STEP, H, naive_sql, placed_rows, rounded, segmented, series, split_sql, valid_sql, with_
 from .base import BOUNDS as _BOUNDS
 from .inference import _draw_sql, _normal_sf_sql, _pct, _t_two_sided_sql, CONDITIONS, DRAWS, SHARES  # noqa: F401
 from .modelling import K, LEAST, OWN, design, kalman_sql
@@ -31,7 +31,7 @@ def union(parts) -> DataFrame:
 
 def arm_rows(spark, d, horizon: int, names: list[str], keep: tuple[str, ...] = ("seg",)) -> DataFrame:
     """The arms' rows, written once: fits, predictions, counts and tests all read them."""
-    return stored(scores.arm_rows(design(segmented(spark, d), horizon), [f"a_{n}" for n in names], [f"n_{n}" for n in names], keep), "arm-rows")
+    return stored(scores.arm_rows(design(placed_rows(spark, d), horizon), [f"a_{n}" for n in names], [f"n_{n}" for n in names], keep), "arm-rows")
 
 
 def ridge_arms(rows: DataFrame, n: int, by: list[str]) -> DataFrame:
@@ -148,7 +148,7 @@ DEPTHS = (5, 10, 15)
 
 def depth_arms(spark, d):
     """Arms by feature depth, the embargo the same for all: how the bias grows with the rows that a deeper window takes away."""
-    seg, out = stored(segmented(spark, d), "segments"), []
+    seg, out = placed_rows(spark, d), []
     for w in DEPTHS:
         rows = origins.both_splits(features.both_designs(seg, w, min(SEQ, w + 1), H), SEQ, H, embargo=SEQ + H, **LEAST)
         long = stored(scores.arm_rows(rows, ["a_lag_0", "a_kalman"], ["n_lag_0", "n_kalman"]), "depth-rows")
@@ -322,7 +322,7 @@ _FAR = f"(d > 8 AND NOT displaced AND to_gap > {H})"
 
 def rolling_origin_refit(spark, d):
     """For six disjoint origins: A and C refitted on what lies before each, ridge on value and Kalman level; guards on rows."""
-    rows = features.both_designs(segmented(spark, d), DEPTH, SEQ, H)
+    rows = features.both_designs(placed_rows(spark, d), DEPTH, SEQ, H)
     places = origins.numbered(series(spark, d)).select("series_id", F.col("_r").alias("place"), F.col("t").alias("at"))
     w = origins.origin_windows(series(spark, d)).select("series_id", "origin", F.col("start").alias("place"), (F.col("end") - 1).alias("last"))
     w = w.join(places, ["series_id", "place"]).withColumnRenamed("at", "t0").join(places.withColumnRenamed("place", "last").withColumnRenamed("at", "t1"), ["series_id", "last"]).select("series_id", "origin", "t0", "t1")

@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rmse
-from ..operators.blocked import numbered, with_halo
+from ..operators.blocked import with_halo
 from ..operators.features import with_target
-from .base import DEPTH, LEN, SEGS, SEQ, H, naive_sql, rounded, segmented, valid_sql, with_
+from .base import DEPTH, LEN, SEGS, SEQ, H, naive_sql, placed_rows, rounded, valid_sql, with_
 
 K = ["series_id"]
 
 
 def exposure_report(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
     """For each series: rows and valid origins (counted and by formula), exposure, persistence errors on either."""
-    seg = [*K, "seg"]
-    placed = numbered(segmented(spark, sf_dir), seg).withColumnsRenamed({"_r": "_p", "_c": "_n"})
-    rows = with_target(with_halo(numbered(placed), 0, H), H, [*K, "_blk"]).where("_own")
+    rows = with_target(with_halo(placed_rows(spark, sf_dir), 0, H), H, [*K, "_blk"]).where("_own")
     error, ok = F.col("target") - F.col("v"), (F.col("_p") >= max(depth, SEQ - 1)) & (F.col("_n") - F.col("_p") - 1 >= H)
     # a segment's formula, max(0, L - W - H), is counted at its first row
     formula = F.sum(F.when(F.col("_p") == 0, F.greatest(F.lit(0), F.col("_n") - depth - H)))

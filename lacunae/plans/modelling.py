@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import full, hour_of, in_order, last_rows, rmse
 from ..operators import features, origins, profile, scores, summary
-from .base import BOUNDS, CALENDAR, DEPTH, DIST, LEN, SCORES, SEGS, SEQ, STEP, H, naive_rows, naive_sql, rounded, scored_rows, segmented, series, split_sql, valid_rows, valid_sql, with_
+from ..sources.tables import stored
+from .base import BOUNDS, CALENDAR, DEPTH, DIST, LEN, SCORES, SEGS, SEQ, STEP, H, naive_rows, naive_sql, placed_rows, rounded, scored_rows, segmented, series, split_sql, valid_rows, valid_sql, with_
 
 K = ["series_id"]
 OWN = ["series_id", "seg"]
@@ -175,13 +176,13 @@ def skill_ridge1(spark, d):
 
 
 def design(df, horizon: int = H, depth: int = DEPTH, seq: int = SEQ, **guards):
-    """Both designs' features and splits of a segmented series in one frame."""
-    return origins.both_splits(features.both_designs(df, depth, seq, horizon), seq, horizon, **(LEAST | guards))
+    """Both designs' features and splits of a series with segments (and places, if it has them) in one frame. The features are written once."""
+    return origins.both_splits(stored(features.both_designs(df, depth, seq, horizon), "designs"), seq, horizon, **(LEAST | guards))
 
 
 def _arms(spark, d):
     """Arms on the Kalman level: within segments for A, over the whole series for B, C and D."""
-    rows, keys = scores.arm_rows(design(segmented(spark, d)), ["a_kalman"], ["n_kalman"]), [*K, "arm"]
+    rows, keys = stored(scores.arm_rows(design(placed_rows(spark, d)), ["a_kalman"], ["n_kalman"]), "arm-rows"), [*K, "arm"]
     model = scores.fit_ridge1(rows.where("role = 'train'"), "x0", keys=keys)
     return scores.arm_skills(scores.predict_ridge1(rows.where("role = 'test'"), model, "x0", keys)).drop("rmse_p_a", "rmse_p_c", "rmse_m_a", "rmse_m_c")
 

@@ -80,14 +80,14 @@ def test_features_against_numpy(whole):
         r = got[rows[i].t]
         assert r.roll_mean_15 == pytest.approx(v[i - 14 : i + 1].mean()) and r.roll_std_60 == pytest.approx(v[i - 59 : i + 1].std(ddof=1))
         assert r.turbulence == pytest.approx(v[i - 29 : i + 1].std(ddof=1) / (v[i - 29 : i + 1].mean() + 1e-9))
-        assert r.kalman == level[i] and r.lag_30 == v[i - 30] and r.shear == v[i] - v[i - 1]
+        assert r.kalman == pytest.approx(level[i], abs=1e-12) and r.lag_30 == v[i - 30] and r.shear == v[i] - v[i - 1]
         assert (r.lag_60 is None) == (i < 60)
 
 
 def test_features_are_causal(gappy):
     seg = segments.segment_ids(gappy, STEP)
-    for cut in (80, 130, 590):
-        assert features.causality_errors(seg, lambda d: features.build_features(d, 15, OWN), cut * STEP, features.feature_names(15), K).isEmpty()
+    checks = features.causality_checks(seg, lambda d, keys: features.build_features(d, 15, keys), features.feature_names(15)).collect()
+    assert len(checks) > 5 and not any(r.wrong for r in checks)
 
 
 def test_origins_never_cross_a_gap(gappy):
