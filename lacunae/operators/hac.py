@@ -17,6 +17,7 @@ from ..functions.columns import KEYS
 from ..functions.special import normal_sf, t_two_sided
 from ..sources.tables import stored
 from .blocked import in_blocks, running
+from .ranks import average_ranks
 
 
 def truncation_lag(n: Column, h: int) -> Column:
@@ -87,19 +88,12 @@ def p_of(x: float, n: float, kind: str) -> float | None:
     return normal_sf(x) if kind == "greater" else min(1.0, 2 * normal_sf(abs(x)))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank with ties sharing their mean."""
-    ties = Window.partitionBy(*keys, value)
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(ties) - 1) / 2
-
-
 def mann_whitney(df: DataFrame, group: Column, value: str, keys: list[str] = KEYS, two_sided: bool = False) -> DataFrame:
     """u of the rows where group holds, and z: the normal approximation with tie and continuity correction.
 
     The alternative is greater; two_sided: z of the larger of the two groups' u, for p_values(..., 'two-sided').
     """
-    d = df.where(F.col(value).isNotNull()).withColumn("_g", group)
-    d = d.withColumn("_r", average_rank(value, keys)).withColumn("_t", F.count("*").over(Window.partitionBy(*keys, value)))
+    d = average_ranks(df.select(*keys, value, group.alias("_g")), value, "_r", keys, "_t")
     n, n1 = F.count("*"), F.count(F.when(F.col("_g"), 1))
     s = d.groupBy(*keys).agg(n.alias("n"), n1.alias("n1"), F.sum(F.when(F.col("_g"), F.col("_r"))).alias("_s"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
     s = s.withColumn("n2", F.col("n") - F.col("n1")).withColumn("u", F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2)
@@ -118,8 +112,8 @@ def holm(tests: DataFrame, p: str, name: str, alpha: float = 0.05, by: list[str]
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] = KEYS) -> DataFrame:
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.withColumn("_rx", average_rank(x, keys)).withColumn("_ry", average_rank(y, keys))
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    d = average_ranks(average_ranks(d, x, "_rx", keys), y, "_ry", keys)
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import in_order, so_far
 from ..sources.tables import stored
-from .blocked import SPAN, in_blocks, placed
+from .blocked import SPAN, in_blocks, placed, running
 from .grid import KEYS, reindex
+from .ranks import percentiles
 
 
 def segment_ids(df: DataFrame, step: int, keys: list[str] = KEYS, span: int = SPAN) -> DataFrame:
@@ -40,35 +41,49 @@ def segment_lengths(segmented: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def runs(df: DataFrame, ok: Column, keys: list[str] = KEYS) -> DataFrame:
-    """Runs of rows on which ok holds: run number, length, first and last time."""
-    order = in_order(keys)
-    marked = df.withColumn("_ok", ok)
-    starts = (F.col("_ok") & ~F.coalesce(F.lag("_ok").over(order), F.lit(False))).cast("long")
-    numbered = marked.withColumn("_s", starts).withColumn("run", F.sum("_s").over(so_far(keys))).where("_ok")
-    return numbered.groupBy(*keys, "run").agg(F.count("*").alias("length"), F.min("t").alias("start"), F.max("t").alias("end"))
+    """Runs of rows on which ok holds: run number, length, first and last time.
+
+    Two counts, of rows and of rows on which ok holds, run along the series by blocks of time; their difference is the same all along a
+    run and larger in the next.
+    """
+    counted = running(df.select(*keys, "t", F.coalesce(ok, F.lit(False)).alias("_ok")), {"_all": F.lit(1).cast("bigint"), "_good": F.col("_ok").cast("bigint")}, keys).where("_ok")
+    found = counted.groupBy(*keys, (F.col("_all") - F.col("_good")).alias("_isle")).agg(F.count("*").alias("length"), F.min("t").alias("start"), F.max("t").alias("end"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_isle")).cast("bigint")
+    return found.select(*keys, nth.alias("run"), "length", "start", "end")
 
 
 def gap_report(grid: DataFrame, step: int, keys: list[str] = KEYS) -> DataFrame:
     """Of a complete grid: intervals, valid, missing, percent, segments, longest run (days), gaps, median (min) and longest (h) gap."""
+    grid = stored(grid.select(*keys, "t", "v"), "gap-grid")
     valid = runs(grid, F.col("v").isNotNull(), keys).groupBy(*keys).agg(F.count("*").alias("segments"), (F.max("length") * step / 86400).alias("longest_days"))
-    gaps = runs(grid, F.col("v").isNull(), keys).groupBy(*keys).agg(F.count("*").alias("n_gaps"), (F.percentile("length", 0.5) * step / 60).alias("median_gap_min"), (F.max("length") * step / 3600).alias("max_gap_h"))
+    lengths = runs(grid, F.col("v").isNull(), keys).select(*keys, "length")
+    gaps = lengths.groupBy(*keys).agg(F.count("*").alias("n_gaps"), (F.max("length") * step / 3600).alias("max_gap_h"))
+    median = percentiles(lengths, "length", {"_median": 0.5}, keys).select(*keys, (F.col("_median") * step / 60).alias("median_gap_min"))
     total = grid.groupBy(*keys).agg(F.count("*").alias("intervals"), F.count("v").alias("valid"))
-    out = total.join(valid, keys, "left").join(gaps, keys, "left")
+    out = total.join(valid, keys, "left").join(gaps, keys, "left").join(median, keys, "left")
     missing = F.col("intervals") - F.col("valid")
     return out.select(*keys, "intervals", "valid", missing.alias("missing"), (100 * missing / F.col("intervals")).alias("pct_missing"), F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("longest_days", F.lit(0.0)).alias("longest_days"), F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), "median_gap_min", "max_gap_h")
 
 
-def gap_statistics(df: DataFrame, step: int, keys: list[str] = KEYS) -> DataFrame:
-    """Of rows that are there: counts, completeness, moments, percentiles, and gap lengths in missing samples (diff / step - 1)."""
-    d = df.withColumn("_d", F.col("t") - F.lag("t").over(in_order(keys)))
-    gap = F.when(F.col("_d") != step, F.col("_d") / step - 1)
-    out = d.groupBy(*keys).agg(
+def gap_statistics(df: DataFrame, step: int, keys: list[str] = KEYS, span: int = SPAN) -> DataFrame:
+    """Of rows that are there: counts, completeness, moments, percentiles, and gap lengths in missing samples (diff / step - 1).
+
+    Differences are taken within blocks of time, and between a block's first row and the last one before it from one row a block.
+    """
+    own = [*keys, "_k"]
+    rows = stored(df.select(*keys, "t", "v").withColumn("_k", F.floor(F.col("t") / span)), "gap-rows")
+    inside = rows.withColumn("_d", F.col("t") - F.lag("t").over(in_order(own))).select(*keys, "_d")
+    edges = rows.groupBy(*own).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+    between = edges.withColumn("_d", F.col("_a") - F.lag("_b").over(Window.partitionBy(*keys).orderBy("_k"))).select(*keys, "_d")
+    gap = stored(inside.unionByName(between).where(F.col("_d") != step).select(*keys, (F.col("_d") / step - 1).alias("gap")), "gaps")
+    whole = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), ((F.max("t") - F.min("t")) / 86400).alias("span_days"), (100 * F.count("*") / ((F.max("t") - F.min("t")) / step + 1)).alias("completeness"),
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", 0.05).alias("p05"), F.percentile("v", 0.95).alias("p95"),
-        (F.count(gap) + 1).alias("segments"), F.count(gap).alias("n_gaps"), (100 * F.count(gap) / F.count("*")).alias("pct_after_gap"),
-        F.percentile(gap, 0.5).alias("gap_median"), F.percentile(gap, 0.95).alias("gap_p95"), F.max(gap).alias("gap_max"),
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"),
     )
-    return out
+    counts = gap.groupBy(*keys).agg(F.count("*").alias("_g"), F.max("gap").alias("gap_max"))
+    out = whole.join(percentiles(rows, "v", {"p05": 0.05, "p95": 0.95}, keys), keys, "left").join(counts, keys, "left").join(percentiles(gap, "gap", {"gap_median": 0.5, "gap_p95": 0.95}, keys), keys, "left")
+    n_gaps = F.coalesce("_g", F.lit(0))
+    return out.select(*keys, "n", "span_days", "completeness", "mean", "sd", "min", "max", "p05", "p95", (n_gaps + 1).alias("segments"), n_gaps.alias("n_gaps"), (100 * n_gaps / F.col("n")).alias("pct_after_gap"), "gap_median", "gap_p95", "gap_max")
 
 
 def longest_block(segmented: DataFrame, keys: list[str] = KEYS) -> DataFrame:
