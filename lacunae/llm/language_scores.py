@@ -120,9 +120,11 @@ class Parts:
         self.first[numbers], self.sizes[numbers] = np.cumsum([0, *sizes])[:-1], sizes
         self.words, self.counts = all_of(words, np.uint64), all_of(counts, np.int64)
         order = np.argsort(self.words)
-        self.words, self.counts = self.words[order], self.counts[order]
-        if self.counts.max(initial=0) < 1 << 32:
-            self.counts = self.counts.astype(np.uint32)
+        self.words, self.counts = self.words[order], self.narrow(self.counts[order])
+
+    @staticmethod
+    def narrow(counts: np.ndarray) -> np.ndarray:
+        return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
 
     def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Levels of n-grams, by probing with 1, 2, ... until one is missing."""
@@ -224,9 +226,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     n, v = sums["n"] or 0, sums["v"] or 0
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if (sums["bytes"] or 0) <= broadcast_bytes:
-        table = parts.drop("tokens", "kinds").toArrow()
-        own = spark.sparkContext.broadcast(Parts(table["bucket"].to_pylist(), *[[x.as_buffer() for x in table[c]] for c in ("bits", "words", "counts")], n_buckets))
-        del table
+        own = spark.sparkContext.broadcast(_whole(parts, n_buckets))
 
         def make():
             parts = own.value
@@ -238,6 +238,26 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     return got.withColumnRenamed("doc_id", id_col).withColumn("train_tokens", F.lit(n).cast("bigint"))
 
 
+def _whole(parts: DataFrame, n_buckets: int) -> Parts:
+    """All parts on the driver, a column at a time, so that little more than their size is held twice."""
+    out = Parts([], [], [], [], n_buckets)
+
+    def joined(column: str, kind: type) -> np.ndarray:
+        table = parts.select("bucket", column).toArrow().sort_by("bucket")
+        buffers = [x.as_buffer() for x in table[column]]
+        if column == "bits":
+            sizes = [len(x) // 8 for x in buffers]
+            out.first[table["bucket"].to_numpy()], out.sizes[table["bucket"].to_numpy()] = np.cumsum([0, *sizes])[:-1], sizes
+        return np.concatenate([np.empty(0, kind), *[np.frombuffer(x, kind) for x in buffers]])
+
+    out.bits = joined("bits", np.uint64)
+    out.words = joined("words", np.uint64)
+    order = np.argsort(out.words)
+    out.words = out.words[order]
+    out.counts = Parts.narrow(joined("counts", np.int64)[order])
+    return out
+
+
 def _scored_by_parts(base: DataFrame, parts: DataFrame, n_buckets: int, n: int, v: int, kappa: float) -> DataFrame:
     """Scores where the parts stay at their tasks: chunks of texts ask them for the levels of their n-grams."""
     spark = base.sparkSession

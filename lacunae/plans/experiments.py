@@ -155,9 +155,17 @@ def top_gaps(spark, d):
     return g.withColumn("place", n).where("place <= 3").select("series_id", "place", "length", "start")
 
 
-def _streamed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """All that is there now, through the stream into Parquet of the shared folder."""
+def _counted(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The counts of a stream in complete mode after all that is there now: each batch's overwrite those before."""
     out = shared_path(spark, name)
+    write = lambda counts, _: counts.write.mode("overwrite").parquet(f"{out}/rows")
+    df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+
+def _streamed(spark: SparkSession, df: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """All that is there now, through the stream into Parquet of the shared folder."""
+    out = out or shared_path(spark, name)
     q = df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
@@ -181,6 +189,38 @@ def stream_levels(spark, d):
     return rounded(_streamed(spark, stream.online_levels(source, STEP), "levels").select("series_id", "t", "kalman", "d"))
 
 
+def stream_features(spark, d):
+    """Lags, rolling statistics and level within segments by a stateful stream over the hourly series."""
+    path = shared_path(spark, "series")
+    series(spark, d).write.parquet(path)
+    source = spark.readStream.schema("series_id string, t bigint, v double").parquet(path)
+    made = _streamed(spark, stream.online_features(source, STEP, 5), "features")
+    return rounded(made.select("series_id", "t", "d", "lag_5", "roll_mean_5", "roll_std_5", "shear", "turbulence", "kalman"), 5)
+
+
+def stream_sessions(spark, d):
+    """Segments by session windows: those that the watermark has closed."""
+    path = shared_path(spark, "series")
+    series(spark, d).withColumn("ts", F.timestamp_seconds("t")).write.parquet(path)
+    source = spark.readStream.schema("series_id string, t bigint, v double, ts timestamp").parquet(path)
+    closed = _streamed(spark, stream.sessions(source, "1 hour", "0 seconds", K), "sessions")
+    return closed.select("series_id", "length", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"))
+
+
+def stream_distance_profile(spark, d):
+    """Persistence errors by distance from the last gap: a stream of forecasts meets the stream of observations, a second stream counts."""
+    rows, place = scored_rows(spark, d), shared_path(spark, "forecasts")
+    rows.select("series_id", F.timestamp_seconds(F.col("t") + H * STEP).alias("target_ts"), F.col("v").alias("prediction"), "d").write.parquet(f"{place}/forecasts")
+    series(spark, d).select("series_id", F.timestamp_seconds("t").alias("ts"), "v").write.parquet(f"{place}/observations")
+    forecasts = spark.readStream.schema("series_id string, target_ts timestamp, prediction double, d bigint").parquet(f"{place}/forecasts")
+    observations = spark.readStream.schema("series_id string, ts timestamp, v double").parquet(f"{place}/observations")
+    met = stream.online_errors(forecasts, observations, "1 hour", K)
+    _streamed(spark, met, "met", f"{place}/met")
+    again = spark.readStream.schema(met.schema).parquet(f"{place}/met/rows")
+    counts = _counted(spark, stream.error_counters(again, K, 8), "counts")
+    return rounded(stream.profile_of_counters(counts, K, 3), 5)
+
+
 _FINE = 600
 _FILL = "fl AS (SELECT series_id, t, CASE WHEN v IS NULL AND n1 - n0 - 1 <= 3 THEN v0 + (v1 - v0) * ((n - n0) / (n1 - n0)) ELSE v END AS v FROM (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, first_value(v IGNORE NULLS) OVER a AS v1, last_value(k IGNORE NULLS) OVER b AS n0, first_value(k IGNORE NULLS) OVER a AS n1 FROM (SELECT *, CASE WHEN v IS NOT NULL THEN n END AS k FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS n FROM g)) WINDOW b AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"
 
@@ -209,4 +249,7 @@ QUERIES = {
     "top_gaps": (top_gaps, with_([*SEGS, LEN], f"SELECT series_id, place::INTEGER AS place, length, start FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY length DESC, start) AS place FROM (SELECT series_id, (start - e) // {STEP} - 1 AS length, e + {STEP} AS start FROM (SELECT *, lag(\"end\") OVER (PARTITION BY series_id ORDER BY start) AS e FROM len) WHERE e IS NOT NULL)) WHERE place <= 3")),
     "stream_means": (stream_means, with_([EV], f"SELECT series_id, t - t % {STEP} AS t, round(avg(v), 6) AS v, count(*) AS n FROM ev WHERE t - t % {STEP} + {STEP} <= (SELECT max(t) FROM ev) GROUP BY 1, 2")),
     "stream_levels": (stream_levels, with_([*SEGS, *kalman_sql("seg", "seg", "ks")], "SELECT series_id, t, round(x, 6) AS kalman, n AS d FROM ks", True)),
+    "stream_features": (stream_features, with_([*SEGS, *kalman_sql("seg", "seg", "ks")], "SELECT series_id, t, d, lag_5, round(CASE WHEN c = 5 THEN m END, 5) AS roll_mean_5, round(CASE WHEN c = 5 THEN sd END, 5) AS roll_std_5, shear, round(CASE WHEN c = 5 THEN sd / (m + 1e-9) END, 5) AS turbulence, kalman FROM (SELECT series_id, t, row_number() OVER o AS d, round(lag(v, 5) OVER o, 5) AS lag_5, avg(v) OVER f AS m, stddev_samp(v) OVER f AS sd, count(v) OVER f AS c, round(v - lag(v) OVER o, 5) + 0.0::DOUBLE AS shear FROM seg WINDOW o AS (PARTITION BY series_id, seg ORDER BY t), f AS (PARTITION BY series_id, seg ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) JOIN (SELECT series_id, t, round(x, 5) AS kalman FROM ks) USING (series_id, t)", True)),
+    "stream_sessions": (stream_sessions, with_([*SEGS, LEN], f"SELECT series_id, length, start, \"end\" FROM len WHERE \"end\" + {STEP} <= (SELECT max(t) FROM s)")),
+    "stream_distance_profile": (stream_distance_profile, with_(SCORES, "SELECT series_id, d, n, round(rmse, 5) AS rmse, round(far_rmse, 5) AS far_rmse, n_far, round(100 * (rmse / far_rmse - 1), 5) AS inflation FROM (SELECT series_id, d, count(*) AS n, sqrt(avg(sq)) AS rmse FROM sc WHERE NOT displaced AND d <= 12 GROUP BY 1, 2 HAVING count(*) >= 3) JOIN (SELECT series_id, sqrt(avg(sq)) AS far_rmse, count(*) AS n_far FROM sc WHERE NOT displaced AND d > 8 GROUP BY 1) USING (series_id)")),
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.features import ROLLS, feature_names, lags_up_to
 
 
 def windowed_means(events: DataFrame, step: str, lateness: str, keys: list[str], time: str = "ts", value: str = "v") -> DataFrame:
@@ -22,26 +26,130 @@ def sessions(grid: DataFrame, step: str, lateness: str, keys: list[str], time: s
     return s.agg(F.count("*").alias("length"), F.min(time).alias("start"), F.max(time).alias("end")).drop("session_window")
 
 
-def online_levels(rows: DataFrame, step: int, key: str = "series_id", q: float = 0.02, r: float = 0.6) -> DataFrame:
-    """Kalman level and distance from the last gap of each arriving row (key, t, v), with one small state for each series.
+class FeatureProcessor(StatefulProcessor):
+    """Features of a series' rows in the order of their times, segment by segment, from the last `depth` rows of the segment.
+
+    Rows wait in a map until the watermark has passed the latest of those that came with them; then all that are due are taken in order
+    of time, whatever order they arrived in. Rows behind the watermark are late and left out. Of rows with one time the last to arrive
+    counts. When the watermark passes the time at which a segment's next row was due, what is kept of it is dropped.
+    """
+
+    def __init__(self, depth: int, step: int, q: float, r: float):
+        self.depth, self.step, self.q, self.r = depth, step, q, r
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getListState("last", "t bigint, v double")
+        self.level = handle.getValueState("level", "x double, p double, d bigint")
+        self.waiting = handle.getMapState("waiting", "t bigint", "v double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        passed, newest = timerValues.getCurrentWatermarkInMs(), None
+        for part in rows:
+            part = part[part["t"] * 1000 > passed]
+            for t, v in zip(part["t"].tolist(), part["v"].tolist(), strict=True):
+                self.waiting.updateValue((t,), (v,))
+            if len(part):
+                newest = max(part["t"].max(), newest or part["t"].max())
+        if newest is not None:
+            self.handle.registerTimer(int(newest) * 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        due = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] <= now)
+        kept = [(x[0], x[1]) for x in self.last.get()] if self.last.exists() else []
+        if not due:  # the next row is overdue
+            if kept and kept[-1][0] + self.step <= now and not self.waiting.containsKey((kept[-1][0] + self.step,)):
+                self.last.clear()
+                self.level.clear()
+            return
+        x, p, d = self.level.get() if self.level.exists() else (0.0, 1.0, 0)
+        begun = 0
+        times = [t for t, _ in kept] + [t for t, _ in due]
+        cuts = [0, *(k for k in range(1, len(times)) if times[k] - times[k - 1] != self.step), len(times)]
+        values = np.array([v for _, v in kept] + [v for _, v in due])
+        for begun, end in zip(cuts, cuts[1:], strict=False):
+            new = max(begun, len(kept))
+            if new >= end:
+                continue
+            levels, places = [], []
+            if new == begun:
+                d = 0
+            for z in values[new:end].tolist():
+                if d == 0:
+                    x, p = z, 1.0
+                else:
+                    m = p + self.q
+                    k = m / (m + self.r)
+                    x, p = x + k * (z - x), (1 - k) * m
+                d += 1
+                levels.append(x), places.append(d)
+            made = features_of(pd.Series(values[begun:end]), self.depth).iloc[new - begun :]
+            angle = np.array(times[new:end]) % 86400 // 3600 * (2 * math.pi / 24)
+            yield made.assign(series_id=key[0], t=times[new:end], v=values[new:end], d=places, kalman=levels, hour_sin=np.sin(angle), hour_cos=np.cos(angle))[["series_id", "t", "v", "d", *feature_names(self.depth)]]
+        for t, _ in due:
+            self.waiting.removeKey((t,))
+        tail = list(zip(times[begun:], values[begun:].tolist(), strict=True))[-self.depth :]
+        self.last.put([(int(t), float(v)) for t, v in tail])
+        self.level.update((float(x), float(p), int(d)))
+        self.handle.registerTimer((int(times[-1]) + self.step) * 1000)
+
+
+def features_of(v: pd.Series, depth: int) -> pd.DataFrame:
+    """The window features of a segment's values, as build_features makes them."""
+    out = {"lag_0": v} | {f"lag_{k}": v.shift(k) for k in lags_up_to(depth)}
+    for w in (w for w in ROLLS if w <= depth):
+        out |= {f"roll_mean_{w}": v.rolling(w).mean(), f"roll_std_{w}": v.rolling(w).std()}
+    n = min(30, depth)
+    out |= {"shear": v - v.shift(1), "turbulence": v.rolling(n).std() / (v.rolling(n).mean() + 1e-9) if n > 1 else v * float("nan")}
+    return pd.DataFrame(out)
+
 
-    Rows of a batch are taken in time order; a row not a step after the last one starts the filter and the count afresh.
+def online_features(rows: DataFrame, step: int, depth: int, lateness: str = "0 seconds", q: float = 0.02, r: float = 0.6) -> DataFrame:
+    """rows (series_id, t, v) with d (place after the last gap) and the features of features.build_features within segments, as soon as the
+    watermark has passed them. The state of a series is its segment's last `depth` rows and what waits for the watermark."""
+    use_rocksdb(rows.sparkSession)
+    names = ", ".join(f"{n} double" for n in feature_names(depth))
+    timed = rows.select("series_id", "t", "v", F.timestamp_seconds("t").alias("ts")).withWatermark("ts", lateness)
+    return timed.groupBy("series_id").transformWithStateInPandas(FeatureProcessor(depth, step, q, r), f"series_id string, t bigint, v double, d bigint, {names}", "Append", "EventTime")
+
+
+def use_rocksdb(spark) -> None:
+    """State of several kinds needs the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def online_levels(rows: DataFrame, step: int, lateness: str = "0 seconds", q: float = 0.02, r: float = 0.6) -> DataFrame:
+    """Kalman level and distance from the last gap (series_id, t, v, kalman, d), as online_features gives them."""
+    return online_features(rows, step, 1, lateness, q, r).select("series_id", "t", "v", "kalman", "d")
+
+
+def online_errors(forecasts: DataFrame, observations: DataFrame, lateness: str, keys: list[str]) -> DataFrame:
+    """Each forecast with the observation that it was for: forecasts (keys, target_ts, prediction, d) meet observations (keys, ts, v).
+
+    Either waits for the other until the watermarks of both have passed its time; what has found none by then is dropped from the state, so
+    a forecast into a gap gives no row. Rows behind the watermark are late and meet nobody.
     """
+    f = forecasts.withWatermark("target_ts", lateness)
+    o = observations.select(*[F.col(k).alias(f"_o_{k}") for k in keys], "ts", F.col("v").alias("target")).withWatermark("ts", lateness)
+    same = F.col("target_ts") == F.col("ts")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_o_{k}"))
+    e = F.col("target") - F.col("prediction")
+    return f.join(o, same).select(*keys, "target_ts", "d", "prediction", "target", (e * e).alias("sq"))
+
+
+def error_counters(scored: DataFrame, keys: list[str], depth: int, most: int = 12) -> DataFrame:
+    """n and sum of squares for each distance up to `most`, and under a null distance for the far ones (beyond depth). Complete mode: few rows."""
+    near = F.when(F.col("d") <= most, F.col("d"))
+    both = F.explode(F.array_compact(F.array(F.when(near.isNotNull(), F.struct(near.alias("d"))), F.when(F.col("d") > depth, F.struct(F.lit(None).cast("bigint").alias("d"))))))
+    return scored.select(*keys, "sq", both.alias("_d")).groupBy(*keys, F.col("_d.d").alias("d")).agg(F.count("*").alias("n"), F.sum("sq").alias("sum_sq"))
+
 
-    def update(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, x, p, d = state.get if state.exists else (None, 0.0, 1.0, 0)
-        rows = pd.concat(list(parts)).sort_values("t")
-        out = []
-        for t, z in zip(rows["t"].tolist(), rows["v"].tolist(), strict=True):
-            if last is None or t - last != step:
-                x, p, d = z, 1.0, 1
-            else:
-                m = p + q
-                k = m / (m + r)
-                x, p, d = x + k * (z - x), (1 - k) * m, d + 1
-            last = t
-            out.append((name[0], t, z, x, d))
-        state.update((last, x, p, d))
-        yield pd.DataFrame(out, columns=[key, "t", "v", "kalman", "d"])
-
-    return rows.select(key, "t", "v").groupBy(key).applyInPandasWithState(update, f"{key} string, t bigint, v double, kalman double, d bigint", "last bigint, x double, p double, d bigint", "append", GroupStateTimeout.NoTimeout)
+def profile_of_counters(counters: DataFrame, keys: list[str], least: int = 15) -> DataFrame:
+    """distance_profile (n, rmse, far_rmse, n_far, inflation) from error_counters."""
+    root = F.sqrt(F.col("sum_sq") / F.col("n"))
+    far = counters.where("d is null").select(*keys, root.alias("far_rmse"), F.col("n").alias("n_far"))
+    near = counters.where(F.col("d").isNotNull() & (F.col("n") >= least)).select(*keys, "d", "n", root.alias("rmse"))
+    return near.join(far, keys).withColumn("inflation", 100 * (F.col("rmse") / F.col("far_rmse") - 1))
