@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,31 +10,23 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import seconds
 from ..operators.grid import coerce, dedupe_prefer_valid, mask_sentinels, reindex, require_packets, snap_to_grid
+from .preambled import PreambledCsv
 
 #: Spellings of missing values in lidar files. Fixed values.
 MISSING = ("#N/A", "9999", "")
 
 
-#: Commas that end a cell: an even number of quotation marks follows.
-CELLS = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
 def lidar_column(height: int) -> str:
     return f"Horizontal Wind Speed (m/s) at {height}m"
 
 
-def read_preambled_csv(spark: SparkSession, path: str, columns: dict[str, str], preamble: int = 1) -> DataFrame:
-    """Text columns (file's name -> ours) of CSV files whose header follows some preamble lines, with file and line number.
-
-    Files are split by line (each is one row first, so a file must fit a task: these are files of a day); names are taken from each file's
-    own header, so columns may differ in order between files. Cells may be quoted and then hold commas, but no line ends.
-    """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    body = text.withColumn("header", F.split(F.get("lines", F.lit(preamble)), ","))
-    rows = body.select("file", "header", F.get("lines", F.lit(0)).alias("preamble"), F.posexplode(F.slice("lines", preamble + 2, F.greatest(F.size("lines"), F.lit(1)))).alias("line", "row")).where("row <> ''")
-    cells = F.transform(F.split("row", CELLS), lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')))
-    get = lambda name: F.trim(F.try_element_at(cells, F.array_position(F.transform("header", F.trim), name).cast("int")))
-    return rows.select("file", "line", "preamble", *[F.when(F.array_contains(F.transform("header", F.trim), name), get(name)).alias(ours) for name, ours in columns.items()])
+def read_preambled_csv(spark: SparkSession, path: str, columns: dict[str, str], range_bytes: int | None = None) -> DataFrame:
+    """Text columns (file's name -> ours) of CSV files whose header follows some preamble lines, with file, line (the byte at which it begins),
+    preamble (the file's first line) and reason (why a file can't be read; such a file has one row of nothing else). See preambled."""
+    spark.dataSource.register(PreambledCsv)
+    read = spark.read.format("preambled_csv").option("columns", json.dumps(columns))
+    read = read.option("rangeBytes", str(range_bytes)) if range_bytes else read
+    return read.load(path).withColumnRenamed("at", "line")
 
 
 def not_missing(c: str):
@@ -48,7 +41,7 @@ def read_lidar(spark: SparkSession, path: str, height: int = 38, series_id: str
     got = coerce(raw.withColumn("raw", F.col("value")).withColumn("value", not_missing("value")), "value", "time", "dd/MM/yyyy HH:mm:ss")
     extra = [F.expr("try_cast(n AS int)").alias("packets")] if packets else []
     got = got.withColumn("has_column", F.col("raw").isNotNull()).withColumn("missing", F.col("has_column") & F.col("value").isNull())
-    return got.select(F.lit(series_id).alias("series_id"), "ts", seconds(F.col("ts")).alias("t"), "v", *extra, "file", "line", "preamble", "has_column", "missing")
+    return got.select(F.lit(series_id).alias("series_id"), "ts", seconds(F.col("ts")).alias("t"), "v", *extra, "file", "line", "preamble", "has_column", "missing", "reason")
 
 
 def read_onshore(spark: SparkSession, path: str, series_id: str = "D3") -> DataFrame:
@@ -92,8 +85,8 @@ def load_platform(spark: SparkSession, path: str, step: int = 600, height: int =
     marked = require_packets(marked, least_packets) if least_packets is not None else marked.withColumn("too_few", F.lit(False))
     count = lambda c: F.count(F.when(c, 1))
     files = marked.groupBy("file").agg(
-        F.count("*").alias("lines"), count(F.col("ts").isNull()).alias("bad_times"), count(F.col("missing")).alias("missing"), count(F.col("masked")).alias("masked"), count(F.col("too_few")).alias("too_few"),
-        F.when(count(F.col("has_column")) == 0, "no such column").when(F.count("ts") == 0, "no readable time").alias("reason"),
+        F.count("line").alias("lines"), count(F.col("line").isNotNull() & F.col("ts").isNull()).alias("bad_times"), count(F.col("missing")).alias("missing"), count(F.col("masked")).alias("masked"), count(F.col("too_few")).alias("too_few"),
+        F.coalesce(F.max("reason"), F.when(count(F.col("has_column")) == 0, "no such column").when(F.count("ts") == 0, "no readable time")).alias("reason"),
     )
     good = marked.where("ts is not null and has_column")
     snapped = dedupe_prefer_valid(snap_to_grid(good.select("series_id", "t", "v", "file", "line"), step), ["file", "line"])
