@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import skill
 from ..operators import bootstrap, features, hac, inject, models, origins, profile, scores, segments, summary, trees
+from ..operators.blocked import placed
 from ..sources.tables import stored
 from .base import DEPTH, DIST, LEN, SEGS, SEQ, STEP, H, naive_sql, placed_rows, rounded, segmented, series, split_sql, valid_sql, with_
 from .base import BOUNDS as _BOUNDS
@@ -162,11 +162,19 @@ def _depth_sql(w: int) -> str:
 
 def mixture_table(spark, d):
     """The decomposition beside the main table's counts and errors: exposure, persistence ratio, composition, for each series and horizon."""
-    main = union(scores.arm_skills(ridge_arms(arm_rows(spark, d, h, PAIR), 2, [*K, "arm"])).withColumn("horizon", F.lit(h)) for h in HORIZONS)
-    main = stored(main, "main-table")
-    parts = main.select(*K, "horizon", "composition", "total")
-    joined = parts.join(main.select(*K, "horizon", (1 - F.col("n_a") / F.col("n_c")).alias("f"), (F.col("rmse_p_c") / F.col("rmse_p_a")).alias("rp_ratio"), (F.col("rmse_m_c") / F.col("rmse_m_a")).alias("rm_ratio")), [*K, "horizon"], "left")
-    return rounded(joined, 4)
+    parts = union(scores.arm_skills(ridge_arms(arm_rows(spark, d, h, PAIR), 2, [*K, "arm"])).withColumn("horizon", F.lit(h)) for h in HORIZONS)
+    main = union(split_errors(design(placed_rows(spark, d), h)).withColumn("horizon", F.lit(h)) for h in HORIZONS)
+    joined = parts.join(main, [*K, "horizon"], "left")
+    return rounded(joined.select(*K, "horizon", "composition", "total", "f", "rp_ratio", (F.col("rmse_m_c") / F.col("rmse_m_a")).alias("rm_ratio")), 4)
+
+
+def split_errors(rows: DataFrame) -> DataFrame:
+    """f and rp_ratio of each series: how much of C's test rows A lacks, and persistence's error on C's rows over that on A's. No model is
+    needed: rows are those of `design`."""
+    e = F.col("target") - F.col("v")
+    part = lambda c, x: F.when(F.col(c) == "test", x)
+    m = rows.groupBy(*K).agg(*[F.count(part(f"split_{a}", e)).alias(f"n_{a}") for a in "ac"], *[F.sqrt(F.avg(part(f"split_{a}", e * e))).alias(f"rp_{a}") for a in "ac"])
+    return m.where("n_a > 0").select(*K, (1 - F.col("n_a") / F.col("n_c")).alias("f"), (F.col("rp_c") / F.col("rp_a")).alias("rp_ratio"))
 
 
 def _mixture_sql(h: int) -> str:
@@ -321,7 +329,12 @@ _FAR = f"(d > 8 AND NOT displaced AND to_gap > {H})"
 
 
 def rolling_origin_refit(spark, d):
-    """For six disjoint origins: A and C refitted on what lies before each, ridge on value and Kalman level; guards on rows."""
+    """refitted_origins with guards for the small tables' series."""
+    return refitted_origins(spark, d, 40, 5)
+
+
+def refitted_origins(spark, d, least: int = 1200, least_test: int = 200):
+    """For six disjoint origins: A and C refitted on what lies before each, ridge on value and Kalman level; A needs so many rows to train and test."""
     rows = features.both_designs(placed_rows(spark, d), DEPTH, SEQ, H)
     places = origins.numbered(series(spark, d)).select("series_id", F.col("_r").alias("place"), F.col("t").alias("at"))
     w = origins.origin_windows(series(spark, d)).select("series_id", "origin", F.col("start").alias("place"), (F.col("end") - 1).alias("last"))
@@ -332,7 +345,7 @@ def rolling_origin_refit(spark, d):
     each = each.withColumn("split_c", role).withColumn("split_a", F.when(F.col("valid"), role))
     keys = [*K, "origin"]
     long = stored(scores.arm_rows(each, ["a_lag_0", "a_kalman"], ["n_lag_0", "n_kalman"], keys=keys), "origin-rows")
-    enough = long.where("arm = 'a'").groupBy(*keys).agg(F.count(F.when(F.col("role") == "train", 1)).alias("n_train"), F.count(F.when(F.col("role") == "test", 1)).alias("n_test")).where("n_train >= 40 and n_test >= 5").select(*keys)
+    enough = long.where("arm = 'a'").groupBy(*keys).agg(F.count(F.when(F.col("role") == "train", 1)).alias("n_train"), F.count(F.when(F.col("role") == "test", 1)).alias("n_test")).where((F.col("n_train") >= least) & (F.col("n_test") >= least_test)).select(*keys)
     long = long.join(enough, keys, "left_semi")
     got = scores.arm_skills(ridge_arms(long, 2, [*keys, "arm"]), keys)
     return rounded(got.select(*keys, "skill_a", "skill_c", F.col("total").alias("bias"), "n_a", "n_c"), 4)
@@ -356,50 +369,52 @@ FRACTIONS = (0.6, 0.7, 0.8)
 PLACEMENTS = (0, 1)
 
 
-def injected_copies(spark, d) -> DataFrame:
-    """run, record, condition, share, placement, t, v: copies of each series with exact gaps, every run a series of its own."""
-    cells = [{"condition": c, "nominal": n, "share": s, "placement": p} for c, n in CONDITIONS for s in SHARES for p in PLACEMENTS]
+def injected_copies(spark, d, placements: tuple[int, ...] = PLACEMENTS) -> DataFrame:
+    """run, record, condition, share, placement, t, v: copies of each series with exact gaps, every run a series of its own. Copies that
+    their gaps found no room in are left out: they would be intact records under an injected run's name."""
+    cells = [{"condition": c, "nominal": n, "share": s, "placement": p} for c, n in CONDITIONS for s in SHARES for p in placements]
     made = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.items()]) for c in cells]))
     s = series(spark, d).withColumn("_cell", made).select(F.col("series_id").alias("record"), "t", "v", "_cell.*")
     s = s.withColumn("run", F.concat_ws("/", "record", "condition", F.col("share").cast("string"), F.col("placement").cast("string")))
     keys = ["run", "record", "condition", "share", "placement", "nominal"]
     sizes = s.groupBy(*keys).agg(F.count("*").alias("n"))
-    plan = inject.plan_gaps(sizes, F.floor(F.col("n") * F.col("share")), F.col("nominal"), 5, 20, keys).select("run", "start", "length")
-    return inject.drop_intervals(s, plan, ["run"])
+    plan = stored(inject.plan_gaps(sizes, F.floor(F.col("n") * F.col("share")), F.col("nominal"), 5, 20, keys).select("run", "start", "length"), "gap-plan")
+    return inject.drop_intervals(s.join(plan.select("run").distinct(), "run", "left_semi"), plan, ["run"])
 
 
-def injection_sweep(spark, d):
-    """For every injected copy and origin: rows, errors, skills and bias of A and C by ridge, beside the intact record's, and whether the
-    run is reliable. Origins are windows of the intact record; guards on rows as in the evaluation."""
-    runs = stored(injected_copies(spark, d), "injected")
-    seg = stored(segments.segment_ids(runs.select("run", "record", "t", "v"), STEP, ["run"]), "injected-segments")
-    rows = features.both_designs(seg, DEPTH, SEQ, H, ["run"])
-    w = origins.origin_bounds(series(spark, d), list(FRACTIONS), SEQ, H).select(F.col("series_id").alias("record"), "fraction", "train_end", "test_start", "test_end").dropna()
+def injection_sweep(spark, d, horizon: int = H, placements: tuple[int, ...] = PLACEMENTS, names: list[str] = PAIR, least: int = 40, least_test: int = 5):
+    """For every injected copy and origin: rows, errors, skills and bias of A and C by ridge, in skill and in RMSE above persistence's, beside
+    the intact record's, and whether the run is reliable. Origins are windows of the intact record; guards on rows as in the evaluation."""
+    runs = stored(injected_copies(spark, d, placements), "injected")
+    seg = stored(placed(runs.select("run", "record", "t", "v"), STEP, ["run"]), "injected-segments")
+    rows = features.both_designs(seg, DEPTH, SEQ, horizon, ["run"])
+    w = origins.origin_bounds(series(spark, d), list(FRACTIONS), SEQ, horizon).select(F.col("series_id").alias("record"), "fraction", "train_end", "test_start", "test_end").dropna()
     w = stored(w, "windows")
     each = rows.join(w, "record")
     test = F.col("t").between(F.col("test_start"), F.col("test_end"))
     each = each.withColumn("split_a", F.when(F.col("valid") & (F.col("t") <= F.col("train_end")), "train").when(F.col("valid") & test, "test"))
     each = each.withColumn("split_c", F.when((F.col("t") <= F.col("train_end")) & (F.col("target_t") < F.col("test_start")), "train").when(test, "test"))
     keys = ["run", "record", "fraction"]
-    long = stored(scores.arm_rows(each, ["a_lag_0", "a_kalman"], ["n_lag_0", "n_kalman"], keys=keys).where("arm <> 'b'"), "sweep-rows")
+    long = stored(scores.arm_rows(each, [f"a_{n}" for n in names], [f"n_{n}" for n in names], keys=keys).where("arm <> 'b'"), "sweep-rows")
     sizes = long.groupBy(*keys).agg(*[F.count(F.when((F.col("arm") == a) & (F.col("role") == r), 1)).alias(f"n_{r}_{a}") for a in "ac" for r in ("train", "test")])
-    enough = sizes.where(" and ".join(f"n_train_{a} >= 40 and n_test_{a} >= 5" for a in "ac")).select(*keys)
-    got = scores.arm_skills(ridge_arms(long.join(enough, keys, "left_semi"), 2, [*keys, "arm"]), keys)
+    enough = sizes.where(" and ".join(f"n_train_{a} >= {least} and n_test_{a} >= {least_test}" for a in "ac")).select(*keys)
+    got = scores.arm_skills(ridge_arms(long.join(enough, keys, "left_semi"), len(names), [*keys, "arm"]), keys)
+    got = got.withColumns({f"excess_{a}": F.col(f"rmse_m_{a}") - F.col(f"rmse_p_{a}") for a in "ac"}).withColumn("rmse_bias", F.col("excess_c") - F.col("excess_a"))
     facts = runs.groupBy("run", "condition", "share", "placement").agg(F.count("*").alias("n_left"))
     whole = series(spark, d).groupBy(F.col("series_id").alias("record")).agg(F.count("*").alias("n_whole"))
     gaps = segments.segment_lengths(seg, ["run"]).groupBy("run").agg(F.count("*").alias("segments"))
     base = segments.segment_lengths(segmented(spark, d)).groupBy(F.col("series_id").alias("record")).agg(F.count("*").alias("base_segments"))
-    got = got.join(facts, "run").join(gaps, "run").join(whole, "record").join(base, "record").join(_intact(spark, d, w), ["record", "fraction"], "left")
+    got = got.join(facts, "run").join(gaps, "run").join(whole, "record").join(base, "record").join(intact_errors(spark, d, w, horizon), ["record", "fraction"], "left")
     got = got.withColumn("missing", 1 - F.col("n_left") / F.col("n_whole")).withColumn("mean_gap", (F.col("n_whole") - F.col("n_left")) / F.greatest(F.lit(1), F.col("segments") - F.col("base_segments")))
     ratio = F.col("rmse_p_a") / F.col("rmse_p_intact")
     return got.withColumn("rp_ratio", ratio).withColumn("reliable", summary.reliable(F.col("skill_a"), ratio)).drop("n_b", "skill_b", "feature", "training", "n_left", "n_whole", "segments", "base_segments").withColumnRenamed("total", "bias")
 
 
-def _intact(spark, d, w: DataFrame) -> DataFrame:
-    """record, fraction, rmse_p_intact: persistence error of the intact record in each origin's test window; at least 5 rows."""
-    rows = features.with_target(series(spark, d).withColumnRenamed("series_id", "record"), H, ["record"]).where("target is not null")
+def intact_errors(spark, d, w: DataFrame, horizon: int = H, least: int = 5) -> DataFrame:
+    """record, fraction, rmse_p_intact: persistence error of the intact record in each origin's test window; at least so many rows."""
+    rows = features.with_target(series(spark, d).withColumnRenamed("series_id", "record"), horizon, ["record"]).where("target is not null")
     e = F.col("target") - F.col("v")
-    return rows.join(w, "record").where(F.col("t").between(F.col("test_start"), F.col("test_end"))).groupBy("record", "fraction").agg(F.sqrt(F.avg(e * e)).alias("rmse_p_intact"), F.count("*").alias("_n")).where("_n >= 5").drop("_n")
+    return rows.join(w, "record").where(F.col("t").between(F.col("test_start"), F.col("test_end"))).groupBy("record", "fraction").agg(F.sqrt(F.avg(e * e)).alias("rmse_p_intact"), F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
 
 
 def injection_runs(spark, d):
@@ -420,12 +435,13 @@ def injection_pooled(spark, d):
     return rounded(s.groupBy("condition").agg(F.count("*").alias("n"), F.avg("bias").alias("mean"), F.percentile("bias", 0.5).alias("median"), F.count(ok).alias("n_reliable"), F.avg(ok).alias("mean_reliable")), 4)
 
 
-def _sweep_sql() -> list[str]:
+def sweep_sql(h: int = H, pair: bool = True) -> list[str]:
     cells = " UNION ALL ".join(f"SELECT '{c}' AS condition, {n} AS nominal, {s}::DOUBLE AS share, {p} AS placement" for c, n in CONDITIONS for s in SHARES for p in PLACEMENTS)
     name = "run || '/' || record || '/' || condition || '/' || share || '/' || placement || '/' || nominal"
     hashed = lambda seed: f"('0x' || substr(md5('{seed}|' || {name} || '|' || j), 1, 8))::UBIGINT::BIGINT"
-    arm = lambda k, where: f"(SELECT * FROM sw WHERE {where})"
-    fit = lambda x, where: _fit2("v", x, f"(SELECT * FROM sw WHERE {where} = 'train')", "run, record, fraction")
+    train = lambda where: f"(SELECT * FROM sw WHERE {where} = 'train')"
+    one = lambda x, where: f"SELECT run, record, fraction, avg(target) AS my, avg(v) AS m1, avg({x}) AS m2, 0 AS b1, CASE WHEN var_pop({x}) > 0 THEN count(*) * covar_pop({x}, target) / (count(*) * var_pop({x}) + var_pop({x})) ELSE 0 END AS b2 FROM {train(where)} GROUP BY ALL"
+    fit = lambda x, where: _fit2("v", x, train(where), "run, record, fraction") if pair else one(x, where)
     sums = lambda a, x: f"e{a} AS (SELECT run, record, fraction, count(*) AS n, sqrt(avg((target - v) * (target - v))) AS rp, sqrt(avg((target - p) * (target - p))) AS rm FROM (SELECT q.*, my + b1 * (v - m1) + b2 * ({x} - m2) AS p FROM sw q JOIN ({fit(x, f'split_{a}')}) USING (run, record, fraction) WHERE split_{a} = 'test') GROUP BY 1, 2, 3)"
     return [
         *SEGS[:2], f"cells AS ({cells})",
@@ -435,20 +451,20 @@ def _sweep_sql() -> list[str]:
         f"pc AS (SELECT *, {hashed(5)} % (room + 1) AS cut, {hashed(6)} % 2147483648 AS turn FROM pj)",
         "pl AS (SELECT *, dr // g + CASE WHEN row_number() OVER (PARTITION BY run ORDER BY turn, j) <= dr % g THEN 1 ELSE 0 END AS length FROM pc)",
         "ps AS (SELECT run, length, 21 + cut + row_number() OVER w - 1 + coalesce(sum(length) OVER (PARTITION BY run ORDER BY cut, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pl WINDOW w AS (PARTITION BY run ORDER BY cut, j))",
-        "rg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS i FROM rs) ANTI JOIN (SELECT run, unnest(range(start::BIGINT, (start + length)::BIGINT)) AS i FROM ps) USING (run, i))",
+        "rg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS i FROM rs WHERE run IN (SELECT run FROM ps)) ANTI JOIN (SELECT run, unnest(range(start::BIGINT, (start + length)::BIGINT)) AS i FROM ps) USING (run, i))",
         f"sg AS (SELECT * EXCLUDE (b), sum(b) OVER (PARTITION BY run ORDER BY t) AS seg FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY run ORDER BY t) <> {STEP} THEN 1 ELSE 0 END AS b FROM rg))",
         *[c.replace("series_id", "run") for c in kalman_sql("seg", "sg", "ks")], *[c.replace("series_id", "run") for c in kalman_sql("0", "sg", "kn")],
-        f"nv AS (SELECT * FROM (SELECT *, lead(v, {H}) OVER (PARTITION BY run ORDER BY t) AS target, lead(t, {H}) OVER (PARTITION BY run ORDER BY t) AS target_t, row_number() OVER (PARTITION BY run, seg ORDER BY t) - 1 AS p0, count(*) OVER (PARTITION BY run, seg) AS m0 FROM sg) WHERE target IS NOT NULL)",
+        f"nv AS (SELECT * FROM (SELECT *, lead(v, {h}) OVER (PARTITION BY run ORDER BY t) AS target, lead(t, {h}) OVER (PARTITION BY run ORDER BY t) AS target_t, row_number() OVER (PARTITION BY run, seg ORDER BY t) - 1 AS p0, count(*) OVER (PARTITION BY run, seg) AS m0 FROM sg) WHERE target IS NOT NULL)",
         "bn AS (SELECT series_id AS record, t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM s)",
-        f"bf AS (SELECT *, least(n - 1, i_start + floor(0.25 * n)::BIGINT) AS i_end FROM (SELECT *, i_train + {SEQ + H} AS i_start FROM (SELECT record, n, fraction, floor(fraction * n)::BIGINT AS i_train FROM (SELECT record, max(n) AS n, unnest([{', '.join(f'{f}::DOUBLE' for f in FRACTIONS)}]) AS fraction FROM bn GROUP BY 1))))",
+        f"bf AS (SELECT *, least(n - 1, i_start + floor(0.25 * n)::BIGINT) AS i_end FROM (SELECT *, i_train + {SEQ + h} AS i_start FROM (SELECT record, n, fraction, floor(fraction * n)::BIGINT AS i_train FROM (SELECT record, max(n) AS n, unnest([{', '.join(f'{f}::DOUBLE' for f in FRACTIONS)}]) AS fraction FROM bn GROUP BY 1))))",
         "bw AS (SELECT f.record, fraction, a.t AS train_end, b.t AS test_start, c.t AS test_end FROM bf f JOIN bn a ON a.record = f.record AND a.r = i_train JOIN bn b ON b.record = f.record AND b.r = i_start JOIN bn c ON c.record = f.record AND c.r = i_end)",
-        f"sx AS (SELECT nv.*, fraction, ks.x AS k_aware, kn.x AS k_naive, p0 >= {max(DEPTH, SEQ - 1)} AND m0 - p0 - 1 >= {H} AS valid, train_end, test_start, test_end FROM nv JOIN bw USING (record) JOIN ks USING (run, t) JOIN kn USING (run, t))",
+        f"sx AS (SELECT nv.*, fraction, ks.x AS k_aware, kn.x AS k_naive, p0 >= {max(DEPTH, SEQ - 1)} AND m0 - p0 - 1 >= {h} AS valid, train_end, test_start, test_end FROM nv JOIN bw USING (record) JOIN ks USING (run, t) JOIN kn USING (run, t))",
         "sy AS (SELECT *, CASE WHEN valid AND t <= train_end THEN 'train' WHEN valid AND t BETWEEN test_start AND test_end THEN 'test' END AS split_a, CASE WHEN t <= train_end AND target_t < test_start THEN 'train' WHEN t BETWEEN test_start AND test_end THEN 'test' END AS split_c FROM sx)",
         "sw AS (SELECT * FROM sy WHERE (run, fraction) IN (SELECT (run, fraction) FROM sy GROUP BY run, fraction HAVING count(*) FILTER (split_a = 'train') >= 40 AND count(*) FILTER (split_a = 'test') >= 5 AND count(*) FILTER (split_c = 'train') >= 40 AND count(*) FILTER (split_c = 'test') >= 5))",
         sums("a", "k_aware"), sums("c", "k_naive"),
-        f"it AS (SELECT q.record, fraction, sqrt(avg((x - v) * (x - v))) AS ri FROM (SELECT series_id AS record, t, v, lead(v, {H}) OVER (PARTITION BY series_id ORDER BY t) AS x FROM s) q JOIN bw USING (record) WHERE x IS NOT NULL AND t BETWEEN test_start AND test_end GROUP BY 1, 2 HAVING count(*) >= 5)",
+        f"it AS (SELECT q.record, fraction, sqrt(avg((x - v) * (x - v))) AS ri FROM (SELECT series_id AS record, t, v, lead(v, {h}) OVER (PARTITION BY series_id ORDER BY t) AS x FROM s) q JOIN bw USING (record) WHERE x IS NOT NULL AND t BETWEEN test_start AND test_end GROUP BY 1, 2 HAVING count(*) >= 5)",
         f"mg AS (SELECT run, record, condition, share, placement, 1 - n / whole AS missing, (whole - n) / greatest(1, segs - base) AS mean_gap FROM (SELECT run, record, condition, share, placement, count(*) AS n, count(DISTINCT seg) AS segs FROM sg GROUP BY ALL) JOIN (SELECT series_id AS record, count(*) AS whole, 1 + count(*) FILTER (b) AS base FROM (SELECT series_id, t - lag(t) OVER (PARTITION BY series_id ORDER BY t) <> {STEP} AS b FROM s) GROUP BY 1) USING (record))",
-        "ru AS (SELECT mg.*, fraction, a.n AS n_a, c.n AS n_c, a.rp AS rmse_p_a, a.rm AS rmse_m_a, c.rp AS rmse_p_c, c.rm AS rmse_m_c, 100 * (1 - a.rm / a.rp) AS skill_a, 100 * (1 - c.rm / c.rp) AS skill_c, 100 * (1 - c.rm / c.rp) - 100 * (1 - a.rm / a.rp) AS bias, ri AS rmse_p_intact, 100 * (1 - a.rm / a.rp) > -50 AND a.rp / ri BETWEEN 0.7 AND 1.4 AS reliable FROM ea a JOIN ec c USING (run, record, fraction) JOIN mg USING (run, record) LEFT JOIN it USING (record, fraction))",
+        "ru AS (SELECT mg.*, fraction, a.n AS n_a, c.n AS n_c, a.rp AS rmse_p_a, a.rm AS rmse_m_a, c.rp AS rmse_p_c, c.rm AS rmse_m_c, 100 * (1 - a.rm / a.rp) AS skill_a, 100 * (1 - c.rm / c.rp) AS skill_c, 100 * (1 - c.rm / c.rp) - 100 * (1 - a.rm / a.rp) AS bias, a.rm - a.rp AS excess_a, c.rm - c.rp AS excess_c, (c.rm - c.rp) - (a.rm - a.rp) AS rmse_bias, ri AS rmse_p_intact, 100 * (1 - a.rm / a.rp) > -50 AND a.rp / ri BETWEEN 0.7 AND 1.4 AS reliable FROM ea a JOIN ec c USING (run, record, fraction) JOIN mg USING (run, record) LEFT JOIN it USING (record, fraction))",
     ]
 
 
@@ -464,9 +480,9 @@ QUERIES = {
     "walk_forward_profile": (walk_forward_profile, with_(_WALK, f"SELECT series_id, d, n, round(rmse, 4) AS rmse, round(far_rmse, 4) AS far_rmse, n_far, round(100 * (rmse / far_rmse - 1), 4) AS inflation FROM (SELECT series_id, d, count(*) AS n, sqrt(avg(sq_m)) AS rmse FROM wx WHERE d <= 12 GROUP BY 1, 2 HAVING count(*) >= 3) JOIN (SELECT series_id, sqrt(avg(sq_m)) AS far_rmse, count(*) AS n_far FROM wx WHERE {_FAR} GROUP BY 1) USING (series_id)")),
     "walk_forward_inflation": (walk_forward_inflation, with_(_WALK, f"SELECT series_id, n_far, n_first, round(m, 4) AS model_ratio, round(p, 4) AS persistence_ratio, round(m / p, 4) AS ratio, CASE WHEN m > p THEN 'model' WHEN m < p THEN 'persistence' ELSE 'equal' END AS hurt_more FROM (SELECT series_id, count(*) FILTER ({_FAR}) AS n_far, count(*) FILTER (d = 1) AS n_first, sqrt(avg(sq_m) FILTER (d = 1)) / sqrt(avg(sq_m) FILTER ({_FAR})) AS m, sqrt(avg(sq_p) FILTER (d = 1)) / sqrt(avg(sq_p) FILTER ({_FAR})) AS p FROM wx GROUP BY 1) WHERE n_far > 20")),
     "rolling_origin_refit": (rolling_origin_refit, with_(_REFIT, "SELECT series_id, origin::INTEGER AS origin, round(a.skill, 4) AS skill_a, round(c.skill, 4) AS skill_c, round(c.skill - a.skill, 4) AS bias, a.n AS n_a, c.n AS n_c FROM (SELECT series_id, origin, count(*) AS n, 100 * (1 - sqrt(sum((target - p) * (target - p)) / sum((target - v) * (target - v)))) AS skill FROM qa GROUP BY 1, 2) a JOIN (SELECT series_id, origin, count(*) AS n, 100 * (1 - sqrt(sum((target - p) * (target - p)) / sum((target - v) * (target - v)))) AS skill FROM qc GROUP BY 1, 2) c USING (series_id, origin)", True)),
-    "injection_runs": (injection_runs, with_(_sweep_sql(), f"SELECT record, condition, share, placement, fraction, n_a, n_c, {_R4('rmse_p_a rmse_m_a rmse_p_c rmse_m_c skill_a skill_c bias rmse_p_intact')}, reliable FROM ru", True)),
-    "injection_mixture": (injection_mixture, with_(_sweep_sql(), f"SELECT record, condition, share, placement, fraction, round(f, 4) AS f, round(rho_p, 4) AS rho_p, round(rho_m, 4) AS rho_m, round(100 * rmse_m_a / rmse_p_a * (1 - sqrt((1 + f * (rho_m * rho_m - 1)) / (1 + f * (rho_p * rho_p - 1)))), 4) AS bias_hat, round(least(1.0::DOUBLE, missing * {DEPTH + H} / ((1 - missing) * mean_gap)), 4) AS f_design FROM (SELECT *, sqrt(p2) / rmse_p_a AS rho_p, sqrt(m2) / rmse_m_a AS rho_m FROM (SELECT *, (rmse_p_c * rmse_p_c - (1 - f) * rmse_p_a * rmse_p_a) / f AS p2, (rmse_m_c * rmse_m_c - (1 - f) * rmse_m_a * rmse_m_a) / f AS m2 FROM (SELECT *, 1 - n_a / n_c AS f FROM ru) WHERE f > 1e-6) WHERE p2 > 0 AND m2 > 0)", True)),
-    "injection_pooled": (injection_pooled, with_(_sweep_sql(), "SELECT condition, count(*) AS n, round(avg(bias), 4) AS mean, round(quantile_cont(bias, 0.5), 4) AS median, count(bias) FILTER (reliable) AS n_reliable, round(avg(bias) FILTER (reliable), 4) AS mean_reliable FROM ru GROUP BY 1", True)),
+    "injection_runs": (injection_runs, with_(sweep_sql(), f"SELECT record, condition, share, placement, fraction, n_a, n_c, {_R4('rmse_p_a rmse_m_a rmse_p_c rmse_m_c skill_a skill_c bias rmse_p_intact')}, reliable FROM ru", True)),
+    "injection_mixture": (injection_mixture, with_(sweep_sql(), f"SELECT record, condition, share, placement, fraction, round(f, 4) AS f, round(rho_p, 4) AS rho_p, round(rho_m, 4) AS rho_m, round(100 * rmse_m_a / rmse_p_a * (1 - sqrt((1 + f * (rho_m * rho_m - 1)) / (1 + f * (rho_p * rho_p - 1)))), 4) AS bias_hat, round(least(1.0::DOUBLE, missing * {DEPTH + H} / ((1 - missing) * mean_gap)), 4) AS f_design FROM (SELECT *, sqrt(p2) / rmse_p_a AS rho_p, sqrt(m2) / rmse_m_a AS rho_m FROM (SELECT *, (rmse_p_c * rmse_p_c - (1 - f) * rmse_p_a * rmse_p_a) / f AS p2, (rmse_m_c * rmse_m_c - (1 - f) * rmse_m_a * rmse_m_a) / f AS m2 FROM (SELECT *, 1 - n_a / n_c AS f FROM ru) WHERE f > 1e-6) WHERE p2 > 0 AND m2 > 0)", True)),
+    "injection_pooled": (injection_pooled, with_(sweep_sql(), "SELECT condition, count(*) AS n, round(avg(bias), 4) AS mean, round(quantile_cont(bias, 0.5), 4) AS median, count(bias) FILTER (reliable) AS n_reliable, round(avg(bias) FILTER (reliable), 4) AS mean_reliable FROM ru GROUP BY 1", True)),
     "model_arms": (model_arms, None),
     "model_agreement": (model_agreement, None),
     "seed_spread": (seed_spread, None),
