@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order, last_rows
-from .blocked import SPAN, nearest
+from ..sources.tables import stored
+from .blocked import SPAN, nearest, numbered, with_halo
 from .grid import KEYS
 
 
@@ -77,3 +78,33 @@ def pre_gap_context(distances: DataFrame, width: int, step: int, keys: list[str]
     base = far_from_gap_starts(d.where((F.pmod(F.col("d"), F.lit(width)) == 0) & F.col("sd").isNotNull()), starts, width, step, keys)
     pick = lambda df, name: df.select(*keys, "t", "sd", "ramp", F.lit(name).alias("kind"))
     return pick(ends, "before gap").unionByName(pick(base, "baseline"))
+
+
+def context_windows(grid: DataFrame, width: int, step: int, keys: list[str] = KEYS) -> DataFrame:
+    """keys, method, before_gap, sd (population) and ramp (largest) of the one-step changes in windows of `width` samples of a complete grid.
+
+    clean: windows that end right before a gap, and baseline windows at every `width` samples whose end has no gap start within width; all samples
+    must be there. legacy: what is there of a window before a gap (at least 5 and half of it), whose changes may so span earlier
+    gaps, and baseline windows at every half width wherever gaps start. Windows are made in blocks of rows with a halo.
+    """
+    halo = with_halo(numbered(grid.select(*keys, "t", "v"), keys), width - 1, 1)
+    own = [*keys, "_blk"]
+    ends = F.col("v").isNotNull() & F.lead("t").over(in_order(own)).isNotNull() & F.lead("v").over(in_order(own)).isNull()
+    rows = halo.withColumns({"_ends": ends, "_a": F.collect_list("v").over(last_rows(own, width)), "_j": F.col("_r") + 1}).where("_own")
+    half = max(1, width // 2)
+    full, more = F.size("_a") == width, F.col("_j") < F.col("_c")
+    rows = stored(rows.where(F.col("_ends") | (full & more & ((F.col("_j") % width == 0) | (F.pmod(F.col("_j") - width, F.lit(half)) == 0)))), "context-rows")
+    starts = rows.where("_ends").select(*keys, (F.col("t") + step).alias("t"))
+    clean = rows.where(full & more & (F.col("_j") % width == 0)).withColumn("t", F.col("t") + step)
+    parts = (
+        ("clean", True, rows.where(F.col("_ends") & full)), ("legacy", True, rows.where(F.col("_ends") & (F.size("_a") >= max(5, width // 2)))),
+        ("clean", False, far_from_gap_starts(clean, starts, width, step, keys)), ("legacy", False, rows.where(full & more & (F.col("_j") >= width) & (F.pmod(F.col("_j") - width, F.lit(half)) == 0))),
+    )
+    out = None
+    for method, before, df in parts:
+        one = df.select(*keys, F.lit(method).alias("method"), F.lit(before).alias("before_gap"), "_a")
+        out = one if out is None else out.unionByName(one)
+    out = out.withColumn("_b", F.expr("transform(sequence(1, size(_a) - 1), k -> _a[k] - _a[k - 1])"))
+    mean = F.expr("aggregate(_b, 0D, (s, x) -> s + x) / size(_b)")
+    out = out.withColumn("_m", mean).withColumn("sd", F.expr("sqrt(aggregate(_b, 0D, (s, x) -> s + (x - _m) * (x - _m)) / size(_b))"))
+    return out.withColumn("ramp", F.expr("array_max(transform(_b, x -> abs(x)))")).drop("_a", "_b", "_m")

@@ -113,3 +113,19 @@ def widest_change(intervals: DataFrame, by: list[str], size: str = "block") -> D
 
 def common_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(keys).intersect(b.select(keys))
+
+
+def reliable_share(df: DataFrame, value: str, most: float, by: str = "condition") -> DataFrame:
+    """n and share of the rows of each group whose value lies within `most` of 0."""
+    small = F.abs(F.col(value)) <= most
+    return df.groupBy(by).agg(F.count(F.when(small, 1)).alias("n"), F.avg(small.cast("double")).alias("share"))
+
+
+def collate(tables: dict[str, DataFrame | None], key: str, wanted: dict[str, list[str]], spark) -> DataFrame:
+    """table, key, stat, value: the wanted numbers of many tables. A table that is None gives one row with the stat `missing`."""
+    out = None
+    for name, df in tables.items():
+        rows = spark.createDataFrame([(None, "missing", None)], f"{key} string, stat string, value double") if df is None else long_form(df, [key], wanted[name])
+        rows = rows.select(F.lit(name).alias("table"), key, "stat", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
