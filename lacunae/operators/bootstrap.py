@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import in_order, skill
+from ..functions.columns import skill
+from ..sources.tables import stored
+from .blocked import numbered, running
 from .grid import KEYS
+from .ranks import ranged
 
 
 #: Draws that are written out at once.
@@ -42,11 +45,15 @@ def percentiles(reps: DataFrame, stat: str, keys: list[str], level: float = 0.95
 
 
 def segment_blocks(scored: DataFrame, size: int, keys: list[str] = KEYS) -> DataFrame:
-    """block: a dense number of runs of at most `size` scored rows that never pass a segment's end. scored has seg."""
-    own = F.row_number().over(in_order([*keys, "seg"])) - 1
-    part = scored.withColumn("_p", F.floor(own / size))
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("seg", "_p")) - 1
-    return part.withColumn("block", rank.cast("bigint")).drop("_p")
+    """block: a dense number of runs of at most `size` scored rows that never pass a segment's end. scored has seg.
+
+    Rows are numbered within their segments by blocks of time; a block is new at the first row of each run, and those are counted along
+    the series in the same way.
+    """
+    placed = stored(numbered(scored, [*keys, "seg"]), "segment-rows")
+    first = (F.col("_r") % size == 0).cast("bigint")
+    counted = running(placed.withColumn("_new", first), {"_blocks": F.col("_new")}, keys)
+    return counted.withColumn("block", (F.col("_blocks") - 1).cast("bigint")).drop("_r", "_c", "_new", "_blocks")
 
 
 def bias_interval(arm_a: DataFrame, arm_c: DataFrame, blocks: DataFrame, reps: int, seed: int, keys: list[str] = KEYS, share: float = 0.5, redraws: int = 1) -> DataFrame:
@@ -96,11 +103,11 @@ def bias_of_blocks(table: DataFrame, reps: int, seed: int, keys: list[str] = KEY
 def circular_rmse_interval(scored: DataFrame, e2: Column, block: int, reps: int, seed: int, keys: list[str] = KEYS) -> DataFrame:
     """Interval of an RMSE by circular blocks in time order; the last block is cut so that each replicate has as many rows as the series.
 
-    Sums over the block from every start come from running sums, so a replicate adds up a few numbers.
+    Sums over the block from every start come from running sums (by blocks of time, written once), so a replicate adds up a few numbers.
+    Squared errors must not be null.
     """
-    order = in_order(keys)
-    d = scored.withColumn("_e", e2).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    d = d.withColumn("_c", F.sum("_e").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_e"))
+    d = running(scored.select(*keys, "t", e2.alias("_e")), {"_i": F.lit(1).cast("bigint"), "_c": F.col("_e")}, keys, totals={"_i": "_n"})
+    d = stored(d.withColumns({"_i": F.col("_i") - 1, "_c": F.col("_c") - F.col("_e")}), "running-sums")
     d = d.withColumn("_b", F.when(F.col("_n") < 2 * block, F.greatest(F.lit(5), F.floor(F.col("_n") / 4))).otherwise(F.lit(block)))
     total = d.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_b").alias("b"), F.sum("_e").alias("all"))
     before = d.select(*keys, F.col("_i").alias("i"), F.col("_c").alias("c"))
@@ -116,11 +123,16 @@ def circular_rmse_interval(scored: DataFrame, e2: Column, block: int, reps: int,
 
 
 def iid_mean_interval(df: DataFrame, value: str, reps: int, seed: int, keys: list[str]) -> DataFrame:
-    """Interval of a mean by drawing values. Equal values are drawn by their place in a fixed order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), place.cast("bigint").alias("place"))
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    rep = draws(n, "n", reps, seed, keys).join(rows, [*keys, "place"]).groupBy(*keys, "rep").agg(F.avg("x").alias("mean"))
+    """Interval of a mean by drawing values. Equal values are drawn by their place in a fixed order: values are dealt by ranges, and a place is
+    the row's place in its range and the rows of the ranges before. How often a replicate draws a place is counted before values are joined."""
+    dealt, counts = ranged(df.select(*keys, F.col(value).alias("x")), "x", keys)
+    own = [*keys, "_part"]
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*own).orderBy("x")) - 1)
+    offsets = counts.where("_off > 0").select(*own, "_off")  # fewer than the ranges
+    rows = inside.join(F.broadcast(offsets), own, "left").select(*keys, "x", (F.col("_i") + F.coalesce("_off", F.lit(0))).cast("bigint").alias("place"))
+    n = counts.groupBy(*keys).agg(F.sum("_m").alias("n"))
+    drawn = draws(n, "n", reps, seed, keys).groupBy(*keys, "rep", "place").agg(F.count("*").alias("times"))
+    rep = drawn.join(rows, [*keys, "place"]).groupBy(*keys, "rep").agg((F.sum(F.col("x") * F.col("times")) / F.sum("times")).alias("mean"))
     return percentiles(rep, "mean", keys)
 
 

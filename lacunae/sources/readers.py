@@ -33,11 +33,11 @@ def not_missing(c: str):
     return F.when(~F.col(c).isin(*MISSING), F.col(c))
 
 
-def read_lidar(spark: SparkSession, path: str, height: int = 38, series_id: str = "D1", packets: bool = False) -> DataFrame:
+def read_lidar(spark: SparkSession, path: str, height: int = 38, series_id: str = "D1", packets: bool = False, range_bytes: int | None = None) -> DataFrame:
     """Lidar files: series_id, ts, v (and packets), unreadable values and missing marks as null, with file and line, whether the file has the
     value's column, and whether the value is marked missing."""
     names = {"Time and Date": "time", lidar_column(height): "value"} | ({f"Packets in Average at {height}m": "n"} if packets else {})
-    raw = read_preambled_csv(spark, path, names)
+    raw = read_preambled_csv(spark, path, names, range_bytes)
     got = coerce(raw.withColumn("raw", F.col("value")).withColumn("value", not_missing("value")), "value", "time", "dd/MM/yyyy HH:mm:ss")
     extra = [F.expr("try_cast(n AS int)").alias("packets")] if packets else []
     got = got.withColumn("has_column", F.col("raw").isNotNull()).withColumn("missing", F.col("has_column") & F.col("value").isNull())
