@@ -10,7 +10,7 @@ which is always safe), bucket keys are one sorted array, and patterns are places
 takes some 40 bytes however many items hold it. Words that no item has are in no pattern, so the search jumps over them.
 
 Null or empty texts have no words and no hits. Repeated rows are each judged on their own. An empty benchmark hits nothing; null
-and empty items have no windows. Extra columns are ignored, whatever their names.
+and empty items have no windows. Items without an id are hit like others and count together as one item, which no list of ids names. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ class WuManber:
         return self.buffer[self.places[start] : self.places[start + self.m] - 1]
 
     def nbytes(self) -> int:
-        return len(self.buffer) + len(self.shift) + sum(x.nbytes for x in (self.places, self.keys, self.starts, self.own, self.ends)) + sum(map(len, self.items))
+        return len(self.buffer) + len(self.shift) + sum(x.nbytes for x in (self.places, self.keys, self.starts, self.own, self.ends)) + sum(len(i or "") for i in self.items)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
         """(start, items) of every occurrence, in order."""
@@ -149,7 +149,7 @@ def tables_of(items: list[tuple], window: int = WINDOW) -> list[WuManber]:
     for item, text in items:
         words = words_of(text)
         if words:
-            by_length[min(window, len(words))].append((str(item), words))
+            by_length[min(window, len(words))].append((None if item is None else str(item), words))
     codes: dict[bytes, int] = {}
     for rows in by_length.values():
         for _, words in rows:
@@ -242,8 +242,8 @@ def _hits(base: DataFrame, held: list, blocks: Iterator[list[tuple]], window: in
 
 
 def _row(n: int, spans: list[tuple[int, int]], items: set[str]) -> tuple:
-    items = sorted(items)
-    return n, sum(e - s for s, e in spans), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), bool(spans), items, [x for span in spans for x in span]
+    n_items, items = len(items), sorted(i for i in items if i is not None)
+    return n, sum(e - s for s, e in spans), n_items, hashlib.sha256(",".join(items).encode()).hexdigest(), bool(spans), items, [x for span in spans for x in span]
 
 
 def _columns(rows: list[tuple]) -> dict:
