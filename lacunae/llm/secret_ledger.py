@@ -27,7 +27,7 @@ RULE_VERSION = 1
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Beyond the base kinds: private key blocks and signed web tokens.
+#: Beyond the base kinds: the first lines of private keys and signed web tokens.
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 KINDS = ("assign", "access", "hex", "pem", "jwt")
@@ -75,17 +75,20 @@ def scan_unseen(blobs: DataFrame, ledger: str, rule_version: int = RULE_VERSION)
 
 
 def with_blobs(docs: DataFrame, paths: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns that name a version of a path, blob (its content's address) and text (null as empty)."""
+    """The columns that name a version of a path (renamed _path0, _path1, ...), blob (its content's address) and text (null as empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(*paths, F.sha2(text, 256).alias("blob"), text.alias("text"))
+    return docs.select(*[F.col(p).alias(f"_path{k}") for k, p in enumerate(paths)], F.sha2(text, 256).alias("blob"), text.alias("text"))
 
 
 def find_secrets(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION, paths: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of paths (say path and commit), blob, and the blob's kinds, starts and ends, for every row of docs."""
+    """The columns of paths (say path and commit), blob, and the blob's kinds, starts and ends, for every row of docs. Of these four names
+    one that a path has is given out with _ in front."""
     rows = with_blobs(docs, paths, text_col)
     scan_unseen(rows.select("blob", "text"), ledger, rule_version)
     found = read_ledger(docs.sparkSession, ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
-    return rows.select(*paths, "blob").join(found, "blob")
+    named = [F.col(f"_path{k}").alias(p) for k, p in enumerate(paths)]
+    own = [F.col(c).alias(f"_{c}" if c in paths else c) for c in ("blob", "kinds", "starts", "ends")]
+    return rows.drop("text").join(found, "blob").select(*named, *own)
 
 
 def joined(base_only: bool):
