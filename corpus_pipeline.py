@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document enters as often as the mix takes it: texts without words never, rows of one id equally often (the most that the mix
-    takes of any of them). Null is a source of its own."""
+    """Each document enters as often as the mix takes it: texts without words never, rows of one id with different texts each by itself, rows
+    that repeat id, source and text as often together as the mix takes them. Null is a source of its own."""
     return pivotal_mix.repeat_documents(docs)
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, unused
+from .common import hashable, partitions, stored, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -95,7 +95,8 @@ _UNIT = "doc_id {id}, source string, size bigint, h bigint, source_size bigint,
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 1, group: int = GROUP, **columns) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: how often each document enters the mix, and its words there."""
+    """doc_id, source, size, h, source_size, target, copies, taken: how often each document enters the mix, and its words there. h is a hash
+    of the text and of the row's number among its repeats (numbered_repeats)."""
     sizes = stored(numbered_repeats(with_sizes(docs, **columns)), "mix-sizes")
     table = stored(targets(sizes, weights, share, most), "mix-targets")
     schema = _UNIT.format(id=sizes.schema["doc_id"].dataType.simpleString())
@@ -127,15 +128,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     last = drawn(doubtful, level + 1)
     done = done.unionByName(last.withColumn("p", (F.col("u") < F.col("p")).cast("double")))
     copies = (F.col("whole") + F.col("p").cast("bigint")).alias("copies")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
-
-
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, each as often as the mix takes it; rows of one doc_id get its largest number of copies."""
-    key, n, k = unused(docs, "key"), unused(docs, "copies"), unused(docs, "nth")
-    copies = mix(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
-    return taken.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    return done.select("doc_id", "source", "size", "h", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it. Rows of one id with different texts are rows of their own; rows that repeat
+    id, source and text are numbered (by a hash of all columns), as the mix numbers them, and each is taken as often as its number."""
+    names = {c: unused(docs, c) for c in ("id", "source", "h", "nth", "copies")}
+    i, src, h, k, n = names.values()
+    copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
+    copies = copies.select(F.col("doc_id").alias(i), F.col("source").alias(src), F.col("h").alias(h), F.col("copies").alias(n))
+    own = Window.partitionBy(id_col, source_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*hashable(docs)))
+    rows = docs.withColumn(k, (F.row_number().over(own) - 1).cast("bigint"))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).cast("string").eqNullSafe(F.col(src)) & (F.xxhash64(F.xxhash64(text_col), F.col(k)) == F.col(h))
+    return rows.join(copies, same).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op1_pivotal_mix(spark, sf_dir: str) -> DataFrame:

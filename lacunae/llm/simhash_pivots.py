@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, map_texts, mix64, small_batches, stored, texts_of, unused
+from .common import buckets_for, hashable, map_texts, mix64, small_batches, stored, texts_of, unused
 from .packed_exchange import SCHEMA, Gathered, batch_of, bucket_rows, each_bucket, exchange, group_starts, per_group
 
 SHINGLE = 4
@@ -263,10 +263,5 @@ def keep_one_of_each(docs: DataFrame, text_col: str = "text", **options) -> Data
     return first.unionByName(docs.where("doc_id is null"))
 
 
-def hashable(docs: DataFrame) -> list:
-    """The columns that xxhash64 takes; maps go as their sorted entries."""
-    return [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() != "variant"]
-
-
 def op10_simhash_pivots(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
