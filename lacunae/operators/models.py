@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import in_order, so_far
+from .blocked import numbered, with_halo
 from .grid import KEYS
 
 
@@ -44,29 +46,61 @@ def predict_ridge(df: DataFrame, model: DataFrame, features: list[str], keys: li
     return df.join(model, keys).withColumn("prediction", value).drop("intercept", "weights")
 
 
-def arma_forecast(history: np.ndarray, horizon: int, p: int = 2, q: int = 1) -> float:
-    """Forecast of an ARMA(p, q) by two regressions (long autoregression for the errors, then lags and errors)."""
-    y = np.asarray(history, float)
-    mu = y.mean()
-    z = y - mu
-    long = max(p + q + 2, min(12, len(z) // 4))
-    x = np.stack([z[long - k : len(z) - k] for k in range(1, long + 1)], axis=1)
-    e = np.append(np.zeros(long), z[long:] - x @ np.linalg.lstsq(x, z[long:], rcond=None)[0])
-    s = long + max(p, q)
-    x = np.stack([z[s - k : len(z) - k] for k in range(1, p + 1)] + [e[s - k : len(e) - k] for k in range(1, q + 1)], axis=1)
-    b = np.linalg.lstsq(x, z[s:], rcond=None)[0]
-    zs, es = list(z), list(e)
-    for _ in range(horizon):
-        zs.append(sum(b[k] * zs[-1 - k] for k in range(p)) + sum(b[p + k] * es[-1 - k] for k in range(q)))
-        es.append(0.0)
-    return mu + zs[-1]
-
-
-def arma_predictions(origins: DataFrame, horizon: int, least: int = 30) -> DataFrame:
-    """prediction from each row's `window` (its history within the segment, an array of bounded length)."""
-
-    @F.pandas_udf("double")
-    def forecast(windows: pd.Series) -> pd.Series:
-        return pd.Series([arma_forecast(w, horizon) if w is not None and len(w) >= least else np.nan for w in windows])
-
-    return origins.withColumn("prediction", F.nanvl(forecast("window"), F.lit(None).cast("double")))
+#: Rows back from which on an autoregression's errors count as 0, and bound of the moving-average weight, within which it can be inverted.
+ERRORS, THETA = 30, 0.9
+
+
+def arma_coefficients(rows: DataFrame) -> DataFrame:
+    """p1, p2, theta of an ARMA(2, 1) from autocovariances c0 to c3; null where there is no variance.
+
+    An autoregression of order 3 by Yule-Walker, then the ARMA whose own autoregressive form has its coefficients a1, a2, a3:
+    theta = -a3 / a2 (within +-THETA), p1 = a1 - theta, p2 = a2 + theta a1.
+    """
+    r = rows.where("true")
+    for k in (1, 2, 3):
+        r = r.withColumn(f"_r{k}", F.when(F.col("c0") > 1e-12, F.col(f"c{k}") / F.col("c0")))
+    # Durbin-Levinson, order by order
+    r = r.withColumn("_f2", (F.col("_r2") - F.col("_r1") * F.col("_r1")) / (1 - F.col("_r1") * F.col("_r1")))
+    r = r.withColumn("_b1", F.col("_r1") * (1 - F.col("_f2")))
+    den = 1 - F.col("_b1") * F.col("_r1") - F.col("_f2") * F.col("_r2")
+    r = r.withColumn("_a3", (F.col("_r3") - F.col("_b1") * F.col("_r2") - F.col("_f2") * F.col("_r1")) / den)
+    r = r.withColumns({"_a1": F.col("_b1") - F.col("_a3") * F.col("_f2"), "_a2": F.col("_f2") - F.col("_a3") * F.col("_b1")})
+    theta = F.greatest(F.lit(-THETA), F.least(F.lit(THETA), F.when(F.col("_a2") == 0, 0.0).otherwise(-F.col("_a3") / F.col("_a2"))))
+    r = r.withColumn("theta", theta).withColumns({"p1": F.col("_a1") - F.col("theta"), "p2": F.col("_a2") + F.col("theta") * F.col("_a1")})
+    return r.drop(*[c for c in r.columns if c.startswith("_") and c not in rows.columns])
+
+
+def arma_predictions(segmented: DataFrame, horizon: int, window: int = 301, least: int = 30, keys: list[str] = KEYS) -> DataFrame:
+    """segmented (keys, seg, t, v) with prediction: the ARMA forecast `horizon` rows ahead from the last `window` rows of the segment, null where
+    there are fewer than `least` or no variance.
+
+    Autocovariances slide: running sums of values and of products of neighbours, less what they were a window ago, in blocks of rows with
+    a halo. The errors of the last ERRORS rows come from lags. All in column expressions.
+    """
+    seg = [*keys, "seg"]
+    own = [*seg, "_blk"]
+    d = with_halo(numbered(segmented, seg), window + ERRORS, 0)
+    order, here = in_order(own), so_far(own)
+    lag = lambda c, n: F.lag(c, n).over(order)
+    d = d.withColumn("_m", F.least(F.lit(window), F.col("_r") + 1).cast("double"))
+    sums = {"_s": F.sum("v").over(here)} | {f"_q{k}": F.coalesce(F.sum(F.col("v") * (lag("v", k) if k else F.col("v"))).over(here), F.lit(0.0)) for k in range(4)}
+    d = d.withColumns(sums)
+    slide = {"_s1": F.col("_s") - F.coalesce(lag("_s", window), F.lit(0.0))} | {f"_w{k}": F.col(f"_q{k}") - F.coalesce(lag(f"_q{k}", window - k), F.lit(0.0)) for k in range(4)}
+    # the first three values of the window: those of the segment while it is shorter, else those a window ago
+    first = {f"_e{k}": F.when(F.col("_r") + 1 <= window, F.nth_value("v", k + 1).over(here)).otherwise(lag("v", window - 1 - k)) for k in range(3)}
+    d = d.withColumns(slide | first | {"_back": F.array(*[F.col("v") if k == 0 else lag("v", k) for k in range(ERRORS + 3)])})
+    d = d.withColumn("_mu", F.col("_s1") / F.col("_m"))
+    cov = {}
+    for k in range(4):
+        early = sum((F.col(f"_e{i}") for i in range(k)), F.lit(0.0))
+        late = sum((F.col("_back")[i] for i in range(k)), F.lit(0.0))
+        cov[f"c{k}"] = (F.col(f"_w{k}") - F.col("_mu") * (2 * F.col("_s1") - early - late) + (F.col("_m") - k) * F.col("_mu") * F.col("_mu")) / F.col("_m")
+    d = arma_coefficients(d.where(F.col("_own")).withColumns(cov))
+    z = F.expr("transform(_back, x -> x - _mu)")
+    u = F.expr(f"transform(sequence({ERRORS}, 0, -1), j -> coalesce(_z[j] - p1 * _z[j + 1] - p2 * _z[j + 2], 0D))")
+    d = d.withColumn("_z", z).withColumn("_u", u).withColumn("_e", F.expr("aggregate(_u, 0D, (e, x) -> x - theta * e)"))
+    before, now = F.col("_z")[1], F.col("_z")[0]
+    ahead = F.col("p1") * now + F.col("p2") * before + F.col("theta") * F.col("_e")
+    for _ in range(horizon - 1):
+        ahead, now, before = F.col("p1") * ahead + F.col("p2") * now, ahead, now
+    return d.withColumn("prediction", F.when(F.col("_m") >= least, F.col("_mu") + ahead)).select(*segmented.columns, "prediction")

@@ -6,9 +6,9 @@ from contextvars import ContextVar
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import last_rows
 from ..operators import bootstrap, features, hac, inject, models, origins, profile, scores, segments, summary, trees
-from .base import DIST, LEN, SCORES, SEGS, SEQ, STEP, H, rounded, scored_rows, segmented, series, valid_rows, with_
+from ..sources.tables import stored
+from .base import DIST, LEN, SCORES, SEGS, SEQ, STEP, H, rounded, scored_rows, segmented, series, split_sql, valid_rows, valid_sql, with_
 from .modelling import _CTX, _CTX_ROWS, LEAST, OWN, K
 
 REPS = 100
@@ -308,14 +308,31 @@ def forest_skill(spark, d):
 
 
 def arma_skill(spark, d):
-    """Autoregression on up to 301 rows of history within the segment, from at most 120 test origins a series at even strides."""
+    """ARMA(2, 1) on up to 301 rows of history within the segment, from at most 120 test origins a series at even strides: skill against persistence
+    on the same origins, and at how many no forecast could be made."""
     rows = origins.gap_aware_split(valid_rows(spark, d, 30), SEQ, H, **LEAST).where("split = 'test'")
     stride = F.greatest(F.lit(1), F.floor(F.col("_c") / 120))
-    some = origins.numbered(rows).where((F.col("_r") % stride == 0) & (F.col("_r") < 120 * stride)).drop("_r", "_c")
-    over = last_rows(OWN, 301)
-    windows = segmented(spark, d).select("series_id", "t", F.collect_list("v").over(over).alias("window"))
-    made = models.arma_predictions(some.join(windows, ["series_id", "t"]), H)
-    return rounded(scores.skill_summary(made.where("prediction is not null")), 4)
+    some = stored(origins.numbered(rows).where((F.col("_r") % stride == 0) & (F.col("_r") < 120 * stride)).select("series_id", "t", "target"), "arma-origins")
+    made = models.arma_predictions(stored(segmented(spark, d), "segments"), H)
+    each = stored(some.join(made.select("series_id", "t", "v", "prediction"), ["series_id", "t"]), "arma-rows")
+    failed = each.groupBy(*K).agg(F.count(F.when(F.col("prediction").isNull(), 1)).alias("failures"))
+    return rounded(scores.skill_summary(each.where("prediction is not null")).join(failed, K), 4)
+
+
+_ARMA_SUM = lambda k: f"coalesce(sum(v * {'v' if k == 0 else f'l{k}'}) OVER (PARTITION BY series_id, seg ORDER BY t ROWS BETWEEN {300 - k} PRECEDING AND CURRENT ROW), 0)"
+_ARMA_COV = lambda k: f"(w{k} - mu * (2 * s1 - ({' + '.join(['0.0::DOUBLE', *[f'b[{i + 1}]' for i in range(k)]])}) - ({' + '.join(['0.0::DOUBLE', *[('v' if i == 0 else f'l{i}') for i in range(k)]])})) + (m - {k}) * mu * mu) / m"
+_ARMA = [
+    *SEGS, valid_sql(30), split_sql(),
+    f"a1 AS (SELECT *, {', '.join(f'lag(v, {k}) OVER o AS l{k}' for k in range(1, 4))} FROM seg WINDOW o AS (PARTITION BY series_id, seg ORDER BY t))",
+    f"a2 AS (SELECT *, list(v) OVER (PARTITION BY series_id, seg ORDER BY t ROWS BETWEEN 300 PRECEDING AND CURRENT ROW) AS b, sum(v) OVER (PARTITION BY series_id, seg ORDER BY t ROWS BETWEEN 300 PRECEDING AND CURRENT ROW) AS s1, list(v) OVER (PARTITION BY series_id, seg ORDER BY t ROWS BETWEEN {models.ERRORS + 2} PRECEDING AND CURRENT ROW) AS tail, {', '.join(f'{_ARMA_SUM(k)} AS w{k}' for k in range(4))} FROM a1)",
+    f"a3 AS (SELECT *, {', '.join(f'{_ARMA_COV(k)} AS c{k}' for k in range(4))} FROM (SELECT *, s1 / m AS mu FROM (SELECT *, len(b)::DOUBLE AS m FROM a2)))",
+    "a4 AS (SELECT *, r1 * (1 - f2) AS b1 FROM (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS f2 FROM (SELECT *, CASE WHEN c0 > 1e-12 THEN c1 / c0 END AS r1, CASE WHEN c0 > 1e-12 THEN c2 / c0 END AS r2, CASE WHEN c0 > 1e-12 THEN c3 / c0 END AS r3 FROM a3)))",
+    f"a5 AS (SELECT *, a1 - theta AS p1, a2 + theta * a1 AS p2 FROM (SELECT *, greatest(-{models.THETA}::DOUBLE, least({models.THETA}::DOUBLE, CASE WHEN a2 = 0 THEN 0 ELSE -a3 / a2 END)) AS theta FROM (SELECT *, b1 - a3 * f2 AS a1, f2 - a3 * b1 AS a2 FROM (SELECT *, (r3 - b1 * r2 - f2 * r1) / (1 - b1 * r1 - f2 * r2) AS a3 FROM a4))))",
+    "a6 AS (SELECT *, list_transform(tail, lambda x: x - mu) AS z FROM a5)",
+    "a7 AS (SELECT *, list_reduce([0.0::DOUBLE] || list_transform(range(3, len(z) + 1), lambda j: z[j] - p1 * z[j - 1] - p2 * z[j - 2]), lambda e, x: x - theta * e) AS e FROM a6)",
+    "am AS (SELECT series_id, t, CASE WHEN m >= 30 AND theta IS NOT NULL THEN mu + p1 * z[-1] + p2 * z[-2] + theta * e END AS p FROM a7)",
+    "ao AS (SELECT q.series_id, q.t, v, target, p FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY series_id) // 120) AS stride FROM sp WHERE split = 'test') q JOIN am USING (series_id, t) WHERE i % stride = 0 AND i < 120 * stride)",
+]
 
 
 def inject_exact(spark, d):
@@ -420,7 +437,7 @@ QUERIES = {
     "ridge_full": (ridge_full, None),
     "gbt_skill": (gbt_skill, None),
     "forest_skill": (forest_skill, None),
-    "arma_skill": (arma_skill, None),
+    "arma_skill": (arma_skill, with_(_ARMA, "SELECT series_id, n, rmse_m, rmse_p, skill, failures FROM (SELECT series_id, count(*) AS n, round(sqrt(avg((target - p) * (target - p))), 4) AS rmse_m, round(sqrt(avg((target - v) * (target - v))), 4) AS rmse_p, round(100 * (1 - sqrt(sum((target - p) * (target - p)) / sum((target - v) * (target - v)))), 4) AS skill FROM ao WHERE p IS NOT NULL GROUP BY 1) JOIN (SELECT series_id, count(*) FILTER (p IS NULL) AS failures FROM ao GROUP BY 1) USING (series_id)")),
     "inject_exact": (inject_exact, with_([*SEGS[:2], *_EXACT], f"SELECT series_id, sum(length)::BIGINT AS n, count(*) AS segments, max(length) AS longest FROM (SELECT series_id, seg, count(*) AS length FROM (SELECT *, sum(b) OVER (PARTITION BY series_id ORDER BY t) AS seg FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY series_id ORDER BY t) <> {STEP} THEN 1 ELSE 0 END AS b FROM ex)) GROUP BY 1, 2) GROUP BY 1")),
     "causality_check": (causality_check, with_([*SEGS, *_causal_sql()], "SELECT series_id, count(*) AS n_checked, count(*) FILTER (wrong) AS n_wrong FROM cc GROUP BY 1")),
 }

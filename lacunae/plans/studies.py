@@ -31,7 +31,7 @@ def resume_sweep(spark, d, path: str, horizons: tuple[int, ...] = SWEEP_HORIZONS
     todo = [tuple(r) for r in readers.unfinished(parts, path, SWEEP_BY).orderBy(*SWEEP_BY).collect()][:most]  # as many as the parameters name
     for h, p in todo:
         rows = injection_sweep(spark, d, h, (p,)).select(*SWEEP, F.lit(h).alias("horizon"), "placement")
-        readers.write_results(rows, path, SWEEP_BY)
+        readers.write_part(rows, path, {"horizon": h, "placement": p})
     return todo
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import seconds
 from ..operators.grid import coerce, dedupe_prefer_valid, mask_sentinels, reindex, require_packets, snap_to_grid
@@ -100,16 +101,25 @@ def latest_days(files: DataFrame, most: int, by: list[str] | None = None, day: s
 
 
 def unfinished(parts: DataFrame, path: str, by: list[str]) -> DataFrame:
-    """The parts (rows of the columns by) that the result table at path doesn't hold yet: a job that was broken off goes on with those."""
-    from pyspark.sql.utils import AnalysisException
+    """The parts (rows of the columns by) that the result table at path doesn't hold yet: a job that was broken off goes on with those.
 
-    try:
-        done = parts.sparkSession.read.parquet(path).select(by).distinct()
-    except AnalysisException as none:
-        if "PATH_NOT_FOUND" not in str(none):
-            raise
-        return parts
-    return parts.join(done, by, "left_anti")
+    A part that write_part has written counts as held though it gave no rows."""
+    left = parts
+    for place in (path, f"{path}-parts"):
+        try:
+            done = parts.sparkSession.read.parquet(place).select(by).distinct()
+        except AnalysisException as none:
+            if not any(x in str(none) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+                raise
+        else:
+            left = left.join(done, by, "left_anti")
+    return left
+
+
+def write_part(df: DataFrame, path: str, part: dict) -> None:
+    """One part of a result table (df has its columns), then a row beside the table that says it is done."""
+    write_results(df, path, list(part))
+    df.sparkSession.createDataFrame([tuple(part.values())], list(part)).write.mode("append").parquet(f"{path}-parts")
 
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {"lidar": read_lidar, "onshore": read_onshore, "platform": lambda *a, **k: load_platform(*a, **k)[0]}
@@ -121,8 +131,6 @@ def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     """A result table written earlier; None where there is none."""
-    from pyspark.sql.utils import AnalysisException
-
     try:
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     except AnalysisException as none:
