@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from contextvars import ContextVar
 
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def mann_whitney_u(spark, d):
 
 def mann_whitney_p(spark, d):
     """One-sided (greater) and two-sided p of early errors against late ones."""
-    rows = scored_rows(spark, d).where("d <= 3 or d > 8")
+    rows = stored(scored_rows(spark, d).where("d <= 3 or d > 8"), "early-and-late")
     one = hac.p_values(hac.mann_whitney(rows, F.col("d") <= 3, "sq_p"), "z", "greater").select("series_id", "n", "u", F.col("p").alias("p_greater"))
     two = hac.p_values(hac.mann_whitney(rows, F.col("d") <= 3, "sq_p", two_sided=True), "z", "two-sided").select("series_id", F.col("p").alias("p_two_sided"))
     return rounded(one.join(two, "series_id"))
@@ -469,7 +470,21 @@ FULL = {n: (2000, 1) for n in ("iid_bootstrap", "cluster_bootstrap", "paired_dif
 FULL |= {"circular_bootstrap": (500, 1)} | {n: (2000, 5) for n in ("bias_block_bootstrap", "block_sensitivity", "width_change", "intervals_excluding_zero")}
 
 
+_USABLE = re.compile(r"(rp\d*) AS \((SELECT series_id, rep, 100 .*?HAVING sum\(n_a\) >= 0\.5 \* max\(t_a\) AND sum\(n_c\) >= 0\.5 \* max\(t_c\))\)", re.DOTALL)
+
+
+def full_sql(sql: str | None, n: int, again: int) -> str | None:
+    """A query's SQL with n replicates. Where a bias may draw again: the first n usable ones of again * n, and no interval from fewer than half."""
+    if not sql:
+        return None
+    sql = sql.replace(f"unnest(range(0, {REPS})) AS rep", f"unnest(range(0, {n * again})) AS rep")
+    if again > 1:
+        sql = _USABLE.sub(rf"\1 AS (SELECT series_id, rep, bias FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rep) AS nth FROM (\2) WHERE bias IS NOT NULL) WHERE nth <= {n})", sql)
+        for q, c in (("0.025", "ci_lo"), ("0.975", "ci_hi")):
+            sql = sql.replace(f"round(quantile_cont(bias, {q}), 4) AS {c}", f"CASE WHEN count(bias) >= {n / 2} THEN round(quantile_cont(bias, {q}), 4) END AS {c}")
+    return sql
+
+
 def full_reps(queries: dict) -> dict:
-    """NAME_full of each query with intervals: the same with the reference's replicates. Those that may draw again have no SQL."""
-    more = lambda sql, n: sql and sql.replace(f"unnest(range(0, {REPS})) AS rep", f"unnest(range(0, {n})) AS rep")
-    return {f"{k}_full": (with_value(queries[k][0], DRAWS, (n, again)), more(queries[k][1], n) if again == 1 else None) for k, (n, again) in FULL.items()}
+    """NAME_full of each query with intervals: the same with the reference's replicates."""
+    return {f"{k}_full": (with_value(queries[k][0], DRAWS, (n, again)), full_sql(queries[k][1], n, again)) for k, (n, again) in FULL.items()}
