@@ -280,10 +280,10 @@ def injected_gaps(spark, d):
 
 
 def _modelling_rows(spark, d, depth=5):
-    made = features.build_features(segmented(spark, d), depth, OWN)
+    made = stored(features.build_features(segmented(spark, d), depth, OWN), "features")
     names = features.feature_names(depth)
     rows = origins.valid_origins(made, depth, SEQ, H)
-    return origins.gap_aware_split(rows, SEQ, H, **LEAST), names
+    return stored(origins.gap_aware_split(rows, SEQ, H, **LEAST), "split-features"), names
 
 
 def ridge_full(spark, d):
