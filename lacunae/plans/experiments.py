@@ -52,9 +52,10 @@ def first_ratio_interval(spark, d):
     far = s.where("d > 8 and not displaced and to_gap > 1").groupBy("series_id").agg(F.sqrt(F.avg("sq_m")).alias("fm"), F.sqrt(F.avg("sq_p")).alias("fp"))
     place = F.row_number().over(in_order(K)) - 1
     one = s.where("d = 1").select("series_id", "sq_m", "sq_p", place.cast("bigint").alias("place"))
-    n = one.groupBy("series_id").agg(F.count("*").alias("n"))
-    drawn = bootstrap.draws(n, "n", DRAWS.get()[0], 7, K).join(one, ["series_id", "place"]).join(far, "series_id")
-    rep = drawn.groupBy("series_id", "rep", "fm", "fp").agg((F.sqrt(F.avg("sq_m")) / F.col("fm") / (F.sqrt(F.avg("sq_p")) / F.col("fp"))).alias("ratio"))
+    one = one.withColumn("_n", F.count("*").over(Window.partitionBy(*K)))
+    means = {m: F.sqrt(F.avg(m)) for m in ("sq_m", "sq_p")}
+    rep = bootstrap.Drawn(one, "place", list(means), K).replicates(means, DRAWS.get()[0], 7).join(far, "series_id")
+    rep = rep.withColumn("ratio", F.col("sq_m") / F.col("fm") / (F.col("sq_p") / F.col("fp")))
     return rounded(bootstrap.percentiles(rep, "ratio", K), 4)
 
 
