@@ -64,7 +64,7 @@ def common_support(spark, d):
     c = _clusters(spark, d).withColumn("all", F.lit(0)).withColumn("cell", F.floor(F.pmod(F.col("t"), F.lit(86400)) / 21600))
     w = bootstrap.cluster_weights(c, DRAWS.get()[0], 7, ["all"])
     sums = c.groupBy("series_id", "cell", "cluster").agg(F.sum("sq_p").alias("s"), F.count("*").alias("n"))
-    cells = sums.join(w, "cluster").groupBy("series_id", "rep", "cell").agg((F.sum(F.col("s") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("m"))
+    cells = bootstrap.weighed(sums, w, K, few=True).groupBy("series_id", "rep", "cell").agg((F.sum(F.col("s") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("m"))
     return rounded(bootstrap.percentiles(cells.groupBy("series_id", "rep").agg(F.avg("m").alias("mean")), "mean", K), 4)
 
 

@@ -45,3 +45,14 @@ def test_few_replicates_a_row(sums, monkeypatch):
     want = sorted(map(tuple, bootstrap.bias_of_blocks(sums, 40, 7).collect()), key=str)
     monkeypatch.setattr(bootstrap, "CHUNK", 16)
     assert sorted(map(tuple, bootstrap.bias_of_blocks(sums, 40, 7).collect()), key=str) == want
+
+
+def test_replicates_of_days_are_not_shuffled(spark):
+    rows = [(s, day, float(day + k)) for s in ("a", "b", "c") for day in range(5) for k in range(3)]
+    df = spark.createDataFrame(rows, "series_id string, cluster bigint, x double")
+    w = bootstrap.cluster_weights(df.withColumn("all", F.lit(0)), 40, 7, ["all"])
+    few, many = (bootstrap.cluster_mean_interval(df, "x", w, ["series_id"], few=f) for f in (True, False))
+    assert sorted(few.collect()) == sorted(many.collect())
+    plan = few._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above = plan[: plan.rindex("Generate explode(_drawn")]
+    assert "Exchange" not in above
