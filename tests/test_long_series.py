@@ -84,3 +84,9 @@ def test_tests_and_bootstraps_of_a_split_series(spark):
     assert [r.block for r in blocks[:41]] == [0] * 25 + [1] * 15 + [2] and blocks[-1].block == 149
     mean = bootstrap.iid_mean_interval(df, "v", 50, 3, ["series_id"]).first()
     assert mean.ci_lo < 0.5 + 0.03 and mean.ci_hi > 0.5 - 0.03 and mean.n_reps == 50
+
+
+def test_label_changes_by_blocks(gappy):
+    rows = gappy.where("series_id is not null and v is not null").select("series_id", "t", F.when(F.col("v") < 5, "x").otherwise("y").alias("label"))
+    key = lambda span: sorted(map(tuple, segments.label_changes(rows, "label", span=span).collect()))
+    assert key(700) == key(10**9)
