@@ -12,7 +12,7 @@ from ..operators.blocked import placed
 from ..sources import readers
 from ..sources.tables import shared_path, stored
 from .base import EV, SCORES, SEQ, STEP, H, events, grid_sql, naive_rows, naive_sql, placed_rows, rounded, s_sql, scored_rows, seg_sql, series, with_
-from .evaluation import DEPTHS, PAIR, PLACEMENTS, _pair_sql, arm_rows, depth_arms, injection_sweep, intact_errors, pair_arms_sql, ridge_arms, sweep_sql, union
+from .evaluation import DEPTHS, PAIR, PLACEMENTS, _pair_sql, arm_rows, depth_arms, injection_sweep, intact_errors, pair_arms_sql, ridge_arms, sweep_sql
 from .experiments import _FILL
 from .inference import DRAWS, _RT, _draw_sql, _normal_sf_sql, _pct, _runs_table, _t_two_sided_sql
 from .modelling import K, design
@@ -57,7 +57,7 @@ def bias_agreement(spark, d):
 
 def sweep_by_model(spark, d):
     """Mean, median and number of runs by model and condition; models: ridge on value and level, and on the level alone."""
-    each = union(injection_sweep(spark, d, H, PLACEMENTS, names).withColumn("model", F.lit(m)) for m, names in (("pair", PAIR), ("level", ["kalman"])))
+    each = injection_sweep(spark, d, models={"pair": PAIR, "level": ["kalman"]})
     return rounded(each.groupBy("model", "condition").agg(F.count("*").alias("n"), F.avg("bias").alias("mean"), F.percentile("bias", 0.5).alias("median")), 4)
 
 

@@ -74,3 +74,9 @@ def test_missing_tables_are_told(spark):
     got = {(r.table, r.stat): r.value for r in summary.collate({"a": df, "b": None}, "condition", {"a": ["n", "mean"], "b": ["n"]}, spark).collect()}
     assert got == {("a", "n"): 1.0, ("a", "mean"): 2.0, ("b", "missing"): None}
     assert summary.reliable_share(df.withColumn("bias", F.lit(3.0)), "bias", 2.0).first().share == 0.0
+
+
+def test_models_share_one_sweep(spark, monkeypatch):
+    called, row = [], spark.createDataFrame([("pair", "FEW-LONG", 1.0)], "model string, condition string, bias double")
+    monkeypatch.setattr(studies, "injection_sweep", lambda *_, **more: called.append(more) or row)
+    assert studies.sweep_by_model(spark, SF).count() == 1 and [list(c["models"]) for c in called] == [["pair", "level"]]
