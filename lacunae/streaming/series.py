@@ -29,9 +29,10 @@ def sessions(grid: DataFrame, step: str, lateness: str, keys: list[str], time: s
 class FeatureProcessor(StatefulProcessor):
     """Features of a series' rows in the order of their times, segment by segment, from the last `depth` rows of the segment.
 
-    Rows wait in a map until the watermark has passed the latest of those that came with them; then all that are due are taken in order
-    of time, whatever order they arrived in. Rows behind the watermark are late and left out. Of rows with one time the last to arrive
-    counts. When the watermark passes the time at which a segment's next row was due, what is kept of it is dropped.
+    Rows wait as the lists they came in until the watermark has passed the latest of those that came with them; then all that are due are
+    taken in order of time, whatever order they arrived in. Rows behind the watermark are late and left out. Of rows with one time the
+    last to arrive counts. When the watermark passes the time at which a segment's next row was due, what is kept of it is dropped.
+    State is read and written by the list, so the calls for it grow with batches and series, not with rows.
     """
 
     def __init__(self, depth: int, step: int, q: float, r: float):
@@ -39,71 +40,80 @@ class FeatureProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getListState("last", "t bigint, v double")
-        self.level = handle.getValueState("level", "x double, p double, d bigint")
-        self.waiting = handle.getMapState("waiting", "t bigint", "v double")
+        self.kept = handle.getValueState("kept", "t array<bigint>, v array<double>, x double, p double, d bigint")
+        self.waiting = handle.getListState("waiting", "t array<bigint>, v array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        passed, newest = timerValues.getCurrentWatermarkInMs(), None
+        passed, came = timerValues.getCurrentWatermarkInMs(), []
         for part in rows:
             part = part[part["t"] * 1000 > passed]
-            for t, v in zip(part["t"].tolist(), part["v"].tolist(), strict=True):
-                self.waiting.updateValue((t,), (v,))
             if len(part):
-                newest = max(part["t"].max(), newest or part["t"].max())
-        if newest is not None:
-            self.handle.registerTimer(int(newest) * 1000)
+                came.append((part["t"].tolist(), part["v"].tolist()))
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(max(max(times) for times, _ in came) * 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        due = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] <= now)
-        kept = [(x[0], x[1]) for x in self.last.get()] if self.last.exists() else []
+        rows = {}
+        for part in self.waiting.get():
+            rows.update(zip(*part, strict=True))
+        due = sorted(t for t in rows if t <= now)
+        kept = self.kept.get()
         if not due:  # the next row is overdue
-            if kept and kept[-1][0] + self.step <= now and not self.waiting.containsKey((kept[-1][0] + self.step,)):
-                self.last.clear()
-                self.level.clear()
+            if kept and kept[0][-1] + self.step <= now and kept[0][-1] + self.step not in rows:
+                self.kept.clear()
             return
-        x, p, d = self.level.get() if self.level.exists() else (0.0, 1.0, 0)
-        begun = 0
-        times = [t for t, _ in kept] + [t for t, _ in due]
-        cuts = [0, *(k for k in range(1, len(times)) if times[k] - times[k - 1] != self.step), len(times)]
-        values = np.array([v for _, v in kept] + [v for _, v in due])
-        for begun, end in zip(cuts, cuts[1:], strict=False):
-            new = max(begun, len(kept))
-            if new >= end:
-                continue
-            levels, places = [], []
-            if new == begun:
-                d = 0
-            for z in values[new:end].tolist():
-                if d == 0:
-                    x, p = z, 1.0
-                else:
-                    m = p + self.q
-                    k = m / (m + self.r)
-                    x, p = x + k * (z - x), (1 - k) * m
-                d += 1
-                levels.append(x), places.append(d)
-            made = features_of(pd.Series(values[begun:end]), self.depth).iloc[new - begun :]
-            angle = np.array(times[new:end]) % 86400 // 3600 * (2 * math.pi / 24)
-            yield made.assign(series_id=key[0], t=times[new:end], v=values[new:end], d=places, kalman=levels, hour_sin=np.sin(angle), hour_cos=np.cos(angle))[["series_id", "t", "v", "d", *feature_names(self.depth)]]
-        for t, _ in due:
-            self.waiting.removeKey((t,))
-        tail = list(zip(times[begun:], values[begun:].tolist(), strict=True))[-self.depth :]
-        self.last.put([(int(t), float(v)) for t, v in tail])
-        self.level.update((float(x), float(p), int(d)))
+        before, old, x, p, d = kept or ([], [], 0.0, 1.0, 0)
+        n, times, values = len(before), np.array([*before, *due]), np.array([*old, *(rows[t] for t in due)], dtype=float)
+        cut = np.append(True, np.diff(times) != self.step)
+        begin = np.maximum.accumulate(np.where(cut, np.arange(len(times)), 0))
+        levels, places = [], []
+        for z, first in zip(values[n:].tolist(), cut[n:].tolist(), strict=True):
+            if first:
+                x, p, d = z, 1.0, 0
+            else:
+                m = p + self.q
+                k = m / (m + self.r)
+                x, p = x + k * (z - x), (1 - k) * m
+            d += 1
+            levels.append(x), places.append(d)
+        made = pd.DataFrame({name: c[n:] for name, c in features_of(values, begin, self.depth).items()})
+        angle = times[n:] % 86400 // 3600 * (2 * math.pi / 24)
+        yield made.assign(series_id=key[0], t=times[n:], v=values[n:], d=places, kalman=levels, hour_sin=np.sin(angle), hour_cos=np.cos(angle))[["series_id", "t", "v", "d", *feature_names(self.depth)]]
+        later = [(t, v) for t, v in rows.items() if t > now]
+        if later:
+            self.waiting.put([tuple(map(list, zip(*later, strict=True)))])
+        else:
+            self.waiting.clear()
+        tail = max(begin[-1], len(times) - self.depth)
+        self.kept.update((times[tail:].tolist(), values[tail:].tolist(), float(x), float(p), int(d)))
         self.handle.registerTimer((int(times[-1]) + self.step) * 1000)
 
 
-def features_of(v: pd.Series, depth: int) -> pd.DataFrame:
-    """The window features of a segment's values, as build_features makes them."""
-    out = {"lag_0": v} | {f"lag_{k}": v.shift(k) for k in lags_up_to(depth)}
+def features_of(v: np.ndarray, begin: np.ndarray, depth: int) -> dict[str, np.ndarray]:
+    """The window features of values, as build_features makes them within segments. begin: the place at which each value's segment begins."""
+    place = np.arange(len(v)) - begin
+
+    def back(k: int) -> np.ndarray:
+        out = np.full(len(v), np.nan)
+        out[k:] = v[: max(0, len(v) - k)]
+        return np.where(place >= k, out, np.nan)
+
+    def rolled(w: int) -> tuple[np.ndarray, np.ndarray]:
+        mean, std = np.full((2, len(v)), np.nan)
+        if len(v) >= w:
+            over = np.lib.stride_tricks.sliding_window_view(v, w)
+            mean[w - 1 :], std[w - 1 :] = over.mean(axis=1), over.std(axis=1, ddof=1)
+        return np.where(place >= w - 1, mean, np.nan), np.where(place >= w - 1, std, np.nan)
+
+    out = {"lag_0": v} | {f"lag_{k}": back(k) for k in lags_up_to(depth)}
     for w in (w for w in ROLLS if w <= depth):
-        out |= {f"roll_mean_{w}": v.rolling(w).mean(), f"roll_std_{w}": v.rolling(w).std()}
+        out[f"roll_mean_{w}"], out[f"roll_std_{w}"] = rolled(w)
     n = min(30, depth)
-    out |= {"shear": v - v.shift(1), "turbulence": v.rolling(n).std() / (v.rolling(n).mean() + 1e-9) if n > 1 else v * float("nan")}
-    return pd.DataFrame(out)
+    mean, std = rolled(n) if n > 1 else np.full((2, len(v)), np.nan)
+    return out | {"shear": v - back(1), "turbulence": std / (mean + 1e-9)}
 
 
 def online_features(rows: DataFrame, step: int, depth: int, lateness: str = "0 seconds", q: float = 0.02, r: float = 0.6) -> DataFrame:

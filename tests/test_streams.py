@@ -1,7 +1,9 @@
 """Stateful streams against batch, with rows that come late or out of order."""
 
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,51 @@ def test_errors_meet_by_time(spark, tmp_path):
     rows = {r.d: (r.n, r.sum_sq) for r in counts.collect()}
     assert rows == {1: (1, 9.0), 2: (1, 9.0), 4: (1, 9.0), 5: (1, 9.0), None: (2, 18.0)}
     assert stream.profile_of_counters(counts, ["series_id"], 1).where("inflation = 0").count() == 4
+
+
+class Calls:
+    """State of one series in memory that counts how often it is asked."""
+
+    def __init__(self):
+        self.n, self.timers = 0, []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def __getattr__(self, kind):
+        if not kind.startswith("get"):
+            raise AttributeError(kind)
+        return lambda *_: State(self)
+
+
+class State:
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def __getattr__(self, call):
+        def asked(*args):
+            self.calls.n += 1
+            if call == "get":
+                return self.value if self.value is not None or self.calls.values is self else []
+            if call == "appendList":
+                self.value = [*(self.value or []), *args[0]]
+            elif call in ("put", "update"):
+                self.value = args[0]
+            elif call == "clear":
+                self.value = None
+
+        return asked
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_calls_for_state_do_not_grow_with_rows(n):
+    calls = Calls()
+    made = stream.FeatureProcessor(5, STEP, 0.02, 0.6)
+    made.init(calls)
+    calls.values = made.kept
+    rows = pd.DataFrame({"t": [T0 + STEP * k for k in range(n) if k % 9], "v": [float(k) for k in range(n) if k % 9]})
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    list(made.handleInputRows(("x",), iter([rows[:20], rows[20:]]), watermark))
+    (got,) = made.handleExpiredTimer(("x",), watermark, SimpleNamespace(getExpiryTimeInMs=lambda: calls.timers[-1]))
+    assert got["t"].tolist() == rows["t"].tolist() and got["d"].max() == 8 and got["lag_5"].notna().sum() == sum(k % 9 > 5 for k in range(n))
+    assert calls.n <= 5
