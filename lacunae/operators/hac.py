@@ -111,9 +111,14 @@ def holm(tests: DataFrame, p: str, name: str, alpha: float = 0.05, by: list[str]
     return tests.withColumn("_ok", ok).withColumn("supported", F.min("_ok").over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("_ok")
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: list[str] = KEYS) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, keys: list[str] = KEYS, few: bool = False) -> DataFrame:
+    """few: groups don't grow with the table (runs of a record, as many as the parameters say), so a group is ranked by one window."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    d = average_ranks(average_ranks(d, x, "_rx", keys), y, "_ry", keys)
+    if few:
+        rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
+        d = d.withColumns({"_rx": rank(x), "_ry": rank(y)})
+    else:
+        d = average_ranks(average_ranks(d, x, "_rx", keys), y, "_ry", keys)
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 

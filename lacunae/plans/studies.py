@@ -12,7 +12,7 @@ from ..operators.blocked import placed
 from ..sources import readers
 from ..sources.tables import shared_path, stored
 from .base import EV, SCORES, SEQ, STEP, H, events, grid_sql, naive_rows, naive_sql, placed_rows, rounded, s_sql, scored_rows, seg_sql, series, with_
-from .evaluation import DEPTHS, PAIR, PLACEMENTS, _pair_sql, arm_rows, depth_arms, injection_sweep, intact_errors, pair_arms_sql, ridge_arms, sweep_sql
+from .evaluation import DEPTHS, PAIR, PLACEMENTS, _pair_sql, arm_rows, depth_arms, injection_sweep, intact_errors, pair_arms_sql, ridge_arms, sharing_copies, sweep_sql
 from .experiments import _FILL
 from .inference import DRAWS, _RT, _draw_sql, _normal_sf_sql, _pct, _runs_table, _t_two_sided_sql
 from .modelling import K, design
@@ -29,17 +29,19 @@ def resume_sweep(spark, d, path: str, horizons: tuple[int, ...] = SWEEP_HORIZONS
     are; each other one is written by itself. Gives the parts that were run, at most `most`."""
     parts = spark.createDataFrame([(h, p) for h in horizons for p in placements], "horizon int, placement int")
     todo = [tuple(r) for r in readers.unfinished(parts, path, SWEEP_BY).orderBy(*SWEEP_BY).collect()][:most]  # as many as the parameters name
-    for h, p in todo:
-        rows = injection_sweep(spark, d, h, (p,)).select(*SWEEP, F.lit(h).alias("horizon"), "placement")
-        readers.write_part(rows, path, {"horizon": h, "placement": p})
+    with sharing_copies():  # horizons read the same copies
+        for h, p in todo:
+            rows = injection_sweep(spark, d, h, (p,)).select(*SWEEP, F.lit(h).alias("horizon"), "placement")
+            readers.write_part(rows, path, {"horizon": h, "placement": p})
     return todo
 
 
 def sweep_table(spark, d) -> DataFrame:
     """The sweep's whole table, after a run that was broken off and one that went on."""
     path = shared_path(spark, "sweep")
-    resume_sweep(spark, d, path, most=1)
-    resume_sweep(spark, d, path)
+    with sharing_copies():
+        resume_sweep(spark, d, path, most=1)
+        resume_sweep(spark, d, path)
     return spark.read.parquet(path)
 
 
@@ -50,7 +52,7 @@ def resumed_sweep(spark, d):
 def bias_agreement(spark, d):
     """For each record with over 3 runs: whether the bias in skill and in RMSE go together (Pearson and Spearman), and their means."""
     s = stored(sweep_table(spark, d).select(F.col("record").alias("series_id"), "bias", "rmse_bias"), "biases")
-    r = hac.pearson(s, F.col("bias"), F.col("rmse_bias")).join(hac.spearman(s, "bias", "rmse_bias").select("series_id", "rho"), K)
+    r = hac.pearson(s, F.col("bias"), F.col("rmse_bias")).join(hac.spearman(s, "bias", "rmse_bias", few=True).select("series_id", "rho"), K)
     m = s.groupBy(*K).agg(F.avg("bias").alias("mean_bias"), F.avg("rmse_bias").alias("mean_rmse_bias"))
     return rounded(r.where("n > 3").join(m, K), 4)
 

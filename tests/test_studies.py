@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacunae.operators import profile, summary
-from lacunae.plans import studies
+from lacunae.operators import hac, inject, models, profile, summary
+from lacunae.operators.blocked import placed
+from lacunae.plans import evaluation, studies
 from lacunae.sources import readers
 
 SF = "/root/testdata/sf0.01"
@@ -80,3 +81,47 @@ def test_models_share_one_sweep(spark, monkeypatch):
     called, row = [], spark.createDataFrame([("pair", "FEW-LONG", 1.0)], "model string, condition string, bias double")
     monkeypatch.setattr(studies, "injection_sweep", lambda *_, **more: called.append(more) or row)
     assert studies.sweep_by_model(spark, SF).count() == 1 and [list(c["models"]) for c in called] == [["pair", "level"]]
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the test tables aren't here")
+def test_horizons_share_the_copies(spark, tmp_path, monkeypatch):
+    ran, made = [], evaluation.placed
+
+    def watched(*a):
+        ran.append(a)
+        return made(*a)
+
+    monkeypatch.setattr(evaluation, "placed", watched)
+    assert studies.resume_sweep(spark, SF, str(tmp_path / "sweep"), (1, 3), (0,)) == [(1, 0), (3, 0)]
+    assert len(ran) == 1 and spark.read.parquet(str(tmp_path / "sweep")).select("horizon").distinct().count() == 2
+
+
+def test_errors_from_moments_are_those_of_predictions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, role, *map(float, rng.normal(5, 2, 2)), None if i == 3 else float(rng.normal(4, 1)), 2.5) for k in ("a", "b") for role in ("train", "test") for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, role string, x0 double, x1 double, target double, v double")
+    train, test = df.where("role = 'train'"), df.where("role = 'test'")
+    want = models.predict_ridge(test, models.fit_ridge(train, ["x0", "x1"], keys=["k"]), ["x0", "x1"], ["k"])
+    want = {r.k: (r.e, r.p) for r in want.groupBy("k").agg(F.avg((F.col("target") - F.col("prediction")) ** 2).alias("e"), F.avg((F.col("target") - F.col("v")) ** 2).alias("p")).collect()}
+    m = models.moments(["x0", "x1", "target"], F.col("role") == "train", F.col("target") - F.col("v"))
+    both = df.groupBy("k").pivot("role", ["train", "test"]).agg(m)
+    got = {r.k: (r.e, r.p) for r in both.select("k", models.ridge_error("train", "test").alias("e"), F.col("test.square").alias("p")).collect()}
+    assert set(got) == {"a", "b"} and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+
+
+def test_copies_lose_the_planned_places(spark):
+    rows = [(s, 3600 * (k + (k > 100) * 5), float(k)) for s in ("a", "b") for k in range(300)]
+    intact = placed(spark.createDataFrame(rows, "series_id string, t bigint, v double"), 3600)
+    seg, runs = evaluation.injected_copies(intact, (0,))
+    assert runs.count() == 12
+    name = ["run", "record", "condition", "share", "placement", "nominal"]
+    nominal = F.element_at(F.create_map(*[F.lit(x) for c in evaluation.CONDITIONS for x in c]), F.col("condition"))
+    plan = inject.plan_gaps(runs.withColumn("n", F.lit(300)).withColumn("nominal", nominal), F.floor(F.col("n") * F.col("share")), F.col("nominal"), 5, 20, name)
+    lost = {(r.run, k) for r in plan.collect() for k in range(r.start, r.start + r.length)}
+    want = {(r.run, t) for r in runs.collect() for k, (_, t, _) in enumerate(x for x in rows if x[0] == r.record) if (r.run, k) not in lost}
+    assert lost and {(r.run, r.t) for r in seg.join(runs, "rid").collect()} == want
+
+
+def test_small_groups_rank_alike(spark):
+    df = spark.createDataFrame([(s, float(k * 7 % 5), float(k * 3 % 4)) for s in ("a", "b") for k in range(20)], "series_id string, x double, y double")
+    assert sorted(hac.spearman(df, "x", "y", few=True).collect()) == sorted(hac.spearman(df, "x", "y").collect())
